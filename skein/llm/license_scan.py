@@ -16,7 +16,7 @@ from math import ceil
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from skein.llm.text import ascii_lower, let, row_key, words
+from skein.llm.text import ascii_lower, computed_once, let, row_key, words
 
 #: The contract's word class, and its phrases with their labels.
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -109,7 +109,7 @@ def _tokens(text: str) -> set[str]:
 def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, threshold: float = 0.9, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: id, n_words, the phrases' places and labels, all labels, and score (1 at a phrase, else the best containment)."""
     rows = docs.select(row_key(id_col, text_col).alias("key"), F.col(id_col).alias("doc_id"), words(ascii_lower(F.col(text_col)), WORD).alias("w"))
-    rows = rows.select("key", "doc_id", F.size("w").cast("long").alias("n_words"), phrase_places(F.col("w")).alias("at"))
+    rows = computed_once(rows.select("key", "doc_id", F.size("w").cast("long").alias("n_words"), phrase_places(F.col("w")).alias("at")))
     hits = template_hits(docs, templates, threshold, id_col, text_col)
     hits = hits.groupBy("key").agg(F.collect_set("label").alias("found"), F.max("containment").alias("containment"))
     out = rows.join(hits, "key", "left")

@@ -29,7 +29,7 @@ CARD = r"[0-9](?:[\x20-]?[0-9])++"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 KINDS = ("email", "ip", "card", "phone")
 #: Tokens that may be identifiers, and those of them that are seeds.
-CANDIDATE = r"(?<![A-Za-z0-9])[A-Za-z]*+[0-9][A-Za-z0-9_-]{5,}+"
+CANDIDATE = r"(?<![A-Za-z0-9_-])[A-Za-z_-]*+[0-9][A-Za-z0-9_-]{5,}+"
 SECRET = r"^[0-9a-f]{32,}$"
 #: The pattern in front of an instance: up to two words, and what touches it.
 CONTEXT = r"((?:[^\x20\x09-\x0D]+[\x20\x09]+){0,2}[^\x20\x09-\x0D]*)$"

@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from skein.llm.text import let, words
+from skein.llm.text import computed_once, let, words
 
 #: Symbols that prose rarely has, endings of sentences, and phrases of page furniture (lower case).
 SYMBOLS = r"[#*$%&|<>]"
@@ -110,7 +110,7 @@ def line_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     base_failed = (F.col("n_words") < rules.min_words) | (F.col("n_repeat_words") * 100 > F.col("n_words") * rules.max_repeat_pct)
     lost = F.when(F.col("all_chars") > 0, 1 - F.col("passed_chars") / F.col("all_chars")).otherwise(F.lit(1.0))
     out = out.withColumn("base_failed", base_failed).withColumn("lost", lost)
-    return out.withColumn("kept", ~F.col("base_failed") & (F.col("lost") <= rules.max_lost)).drop("all_chars", "passed_chars")
+    return computed_once(out.withColumn("kept", ~F.col("base_failed") & (F.col("lost") <= rules.max_lost)).drop("all_chars", "passed_chars"))
 
 
 def digest(docs: DataFrame) -> DataFrame:

@@ -29,6 +29,11 @@ def let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+def computed_once(df: DataFrame) -> DataFrame:
+    """df behind a generator, through which later filters are not pushed, so that its columns are not computed again for them."""
+    return df.select(F.inline(F.array(F.struct(*df.columns))))
+
+
 def row_key(id_col: str, text_col: str) -> Column:
     """A key by which results join back. Rows that share it are equal in id and text, so get equal results."""
     return F.xxhash64(F.col(id_col), F.coalesce(F.col(text_col), F.lit("")))
