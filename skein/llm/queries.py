@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from skein.llm import bpe, license_scan, mixing, pii, quality_rules, simhash
+from skein.llm import bpe, license_scan, mixing, pii, quality_rules, simhash, substring
 from skein.llm.text import documents
 
 
+def op1_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.digest(documents(spark, sf_dir))
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.digest(documents(spark, sf_dir))
 
@@ -36,6 +40,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_substring": op1_substring,
         "op5_simhash": op5_simhash,
         "op6_pii": op6_pii,
         "op7_license_scan": op7_license_scan,
