@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from skein.llm import bpe, license_scan, mixing, pii, quality_rules, simhash, substring
+from skein.llm import bpe, gif, knn_quality, license_scan, mixing, pii, quality_rules, simhash, substring
 from skein.llm.text import documents
 
 
@@ -14,6 +14,14 @@ def op1_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.digest(documents(spark, sf_dir))
 
 
+def op3_knn_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return knn_quality.digest(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def op4_gif(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return gif.digest(documents(spark, sf_dir))
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.digest(documents(spark, sf_dir))
 
@@ -41,6 +49,8 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_substring": op1_substring,
+        "op3_knn_quality": op3_knn_quality,
+        "op4_gif": op4_gif,
         "op5_simhash": op5_simhash,
         "op6_pii": op6_pii,
         "op7_license_scan": op7_license_scan,
