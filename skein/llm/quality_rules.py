@@ -85,19 +85,20 @@ def line_fails(line: Column, rules: Rules) -> Column:
     )
 
 
-def line_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: Rules = Rules()) -> DataFrame:
+def line_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: Rules = Rules(), carry: bool = False) -> DataFrame:
     """One row per input row: id, counts, base_failed, lost (share of text), kept and clean_text (lines that passed, in order).
 
-    A repeated line counts as lost from its second occurrence on.
+    A repeated line counts as lost from its second occurrence on. carry: also `row`, the input row as a struct.
     """
     text = F.coalesce(F.col("t"), F.lit(""))
-    out = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("t"))
-    out = out.select("doc_id", text.alias("t"), words(text).alias("w"), F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")).alias("lines"))
-    out = out.select("doc_id", "t", "w", "lines", F.array_distinct("lines").alias("own"))
+    own = ["doc_id", "row"] if carry else ["doc_id"]
+    out = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("t"), *[F.struct(*docs.columns).alias("row")] * carry)
+    out = out.select(*own, text.alias("t"), words(text).alias("w"), F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")).alias("lines"))
+    out = out.select(*own, "t", "w", "lines", F.array_distinct("lines").alias("own"))
     out = out.withColumn("passed", F.filter("own", lambda x: ~line_fails(x, rules)))
     chars = lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda n, x: n + F.length(x))
     out = out.select(
-        "doc_id",
+        *own,
         F.size("w").cast("long").alias("n_words"),
         F.length(F.array_join("w", "")).cast("long").alias("word_chars"),
         (F.length("t") - F.length(F.regexp_replace("t", SYMBOLS + "+", ""))).cast("long").alias("n_symbols"),
@@ -113,6 +114,12 @@ def line_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return computed_once(out.withColumn("kept", ~F.col("base_failed") & (F.col("lost") <= rules.max_lost)).drop("all_chars", "passed_chars"))
 
 
+def clean(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: Rules = Rules()) -> DataFrame:
+    """docs without the rejected rows, and without the failing lines of the others."""
+    out = line_first(docs, id_col, text_col, rules, carry=True).where("kept")
+    return out.select(*[F.col("clean_text").alias(c) if c == text_col else F.col(f"row.`{c}`").alias(c) for c in docs.columns])
+
+
 def digest(docs: DataFrame) -> DataFrame:
     """The contract's columns."""
     return line_first(docs).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")

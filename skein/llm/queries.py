@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from skein.llm import bpe, gif, knn_quality, license_scan, mixing, pii, quality_rules, simhash, substring
+import corpus_pipeline
+from skein.llm import bpe, context_mixing, gif, knn_quality, license_scan, mixing, pii, quality_rules, simhash, substring
 from skein.llm.text import documents
 
 
@@ -14,6 +15,10 @@ def op1_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.digest(documents(spark, sf_dir))
 
 
+def op2_context_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return context_mixing.digest(documents(spark, sf_dir))
+
+
 def op3_knn_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return knn_quality.digest(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
@@ -49,6 +54,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_substring": op1_substring,
+        "op2_context_mixing": op2_context_mixing,
         "op3_knn_quality": op3_knn_quality,
         "op4_gif": op4_gif,
         "op5_simhash": op5_simhash,
@@ -57,6 +63,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_mixing": op8_mixing,
         "op9_bpe": op9_bpe,
         "op10_quality_rules": op10_quality_rules,
+        "pipeline": corpus_pipeline.run,
     }
 
 
