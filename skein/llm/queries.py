@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from skein.llm import bpe, context_mixing, gif, knn_quality, license_scan, mixing, pii, quality_rules, simhash, substring
+from skein.llm import bpe, context_mixing, gif, knn_quality, license_scan, mixing, oracles, pii, quality_rules, simhash, substring
 from skein.llm.text import documents
 
 
@@ -68,4 +68,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return oracles.SQL
