@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from skein.operators.tables import cut
+from skein.operators.tables import cut, number
 
 BIG = np.finfo(float).max
 
@@ -257,7 +257,7 @@ def components(g: DataFrame, vertices: DataFrame | None = None, rounds: int = 60
         label = new.select("id", F.col("n").alias("c"))
         if not changed:
             break
-    numbered = label.select("c").distinct().withColumn("component", F.row_number().over(W.orderBy("c")) - 1)
+    numbered = number(label.select("c").distinct(), ["c"], "component")
     return label.join(numbered, "c").select("id", "component")
 
 

@@ -179,3 +179,54 @@ def overlap(a: DataFrame, b: DataFrame, k: int) -> DataFrame:
 def occurrences(table: DataFrame) -> DataFrame:
     """(j, n): how often each row is a neighbour; its largest over k is the hubness."""
     return table.groupBy("j").agg(F.count("*").alias("n"))
+
+
+def check_knn(table: DataFrame, n: int | None = None) -> DataFrame:
+    """A neighbour table from elsewhere: complete, finite, with ids 0 to n - 1 that all have neighbours; ranks are made if absent."""
+    if "rank" not in table.columns:
+        table = _rank(table.select("i", "j", "d"), 2**31 - 1)
+    one = table.agg(F.sum((F.col("j").isNull() | F.col("d").isNull() | F.isnan("d")).cast("long")).alias("bad"), F.min(F.least("i", "j")).alias("low"), F.max(F.greatest("i", "j")).alias("high"), F.countDistinct("i").alias("n"), F.max("d").alias("far")).first()
+    n = one["n"] if n is None else n
+    if one["bad"] or one["far"] == float("inf"):
+        raise ValueError("neighbour graph contains NA or infinite distances")
+    if one["low"] < 0 or one["high"] >= n:
+        raise ValueError("Invalid neighbor: ids must be 0 to n - 1")
+    if one["n"] != n:
+        raise ValueError("every row needs at least one neighbour")
+    return table
+
+
+SPARSE = ("cosine", "euclidean", "hellinger", "manhattan")
+
+
+def knn_sparse(terms: DataFrame, k: int, metric: str = "cosine") -> DataFrame:
+    """Neighbours of sparse rows in long form (id, term, value), over an inverted index: rows that share no term are not candidates.
+
+    Distances come from sums over shared terms and sums of each row alone, so no vector is made dense.
+    """
+    if metric not in SPARSE:
+        raise ValueError(f"sparse distances are {SPARSE}")
+    t = terms.where("value <> 0").select("id", "term", F.col("value").cast("double").alias("value"))
+    v = F.col("value")
+    own = t.groupBy("id").agg(F.sum(v * v).alias("sq"), F.sum(F.abs(v)).alias("ab"))
+    a, b = t.select(F.col("id").alias("i"), "term", v.alias("x")), t.select(F.col("id").alias("j"), "term", v.alias("y"))
+    x, y = F.col("x"), F.col("y")
+    shared = a.join(b, "term").groupBy("i", "j").agg(F.sum(x * y).alias("dot"), F.sum(F.sqrt(F.abs(x)) * F.sqrt(F.abs(y))).alias("root"), F.sum(F.abs(x - y) - F.abs(x) - F.abs(y)).alias("gap"))
+    full = shared.join(own.select(F.col("id").alias("i"), F.col("sq").alias("sq_i"), F.col("ab").alias("ab_i")), "i").join(own.select(F.col("id").alias("j"), F.col("sq").alias("sq_j"), F.col("ab").alias("ab_j")), "j")
+    d = {
+        "cosine": 1 - F.col("dot") / (F.sqrt("sq_i") * F.sqrt("sq_j")),
+        "euclidean": F.sqrt(F.greatest(F.lit(0.0), F.col("sq_i") + F.col("sq_j") - 2 * F.col("dot"))),
+        "hellinger": F.sqrt(F.greatest(F.lit(0.0), 1 - F.col("root") / F.sqrt(F.col("ab_i") * F.col("ab_j")))),
+        "manhattan": F.col("ab_i") + F.col("ab_j") + F.col("gap"),
+    }[metric]
+    return _rank(full.select("i", "j", F.when(F.col("i") == F.col("j"), 0.0).otherwise(d).alias("d")), k)
+
+
+def mid_near(rows: DataFrame, n: int, k: int, draws: int = 6, seed: int = 42) -> DataFrame:
+    """(i, rank, j, d): k times, of `draws` rows drawn by a hash, the second closest; ids are 0 to n - 1."""
+    drawn = rows.select(F.col("id").alias("i"), F.col("x").alias("xi"), F.explode(F.sequence(F.lit(1), F.lit(k))).alias("rank"))
+    drawn = drawn.select("i", "xi", "rank", F.explode(F.sequence(F.lit(1), F.lit(draws))).alias("draw"))
+    drawn = drawn.withColumn("j", F.pmod(F.xxhash64(F.lit(seed), "i", "rank", "draw"), F.lit(n))).where("i <> j").dropDuplicates(["i", "rank", "j"])
+    d = F.sqrt(F.aggregate(F.zip_with("xi", "xj", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, e: s + e))
+    near = drawn.join(rows.select(F.col("id").alias("j"), F.col("x").alias("xj")), "j").select("i", "rank", "j", d.alias("d"))
+    return near.withColumn("at", F.row_number().over(W.partitionBy("i", "rank").orderBy("d", "j"))).where("at = 2").drop("at")

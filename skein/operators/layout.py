@@ -12,10 +12,9 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from skein.operators.tables import cut
+from skein.operators.tables import cut, number
 
 EPS = 1.1920928955078125e-07
 BROADCAST_CELLS = 8_000_000
@@ -62,11 +61,8 @@ def epochs_per_sample(g: DataFrame) -> DataFrame:
 
 
 def number_edges(g: DataFrame) -> DataFrame:
-    """edge_id from 0 in order of (i, j): counts of range partitions, then places within them."""
-    s = cut(g.repartitionByRange(F.col("i"), F.col("j")).sortWithinPartitions("i", "j").withColumn("_p", F.spark_partition_id()))
-    counts = s.groupBy("_p").count().withColumn("_before", F.sum("count").over(W.orderBy("_p")) - F.col("count"))
-    place = F.row_number().over(W.partitionBy("_p").orderBy("i", "j")) - 1
-    return s.withColumn("_at", place).join(F.broadcast(counts), "_p").withColumn("edge_id", F.col("_before") + F.col("_at")).drop("_p", "_at", "_before", "count")
+    """edge_id from 0 in order of (i, j)."""
+    return number(g, ["i", "j"], "edge_id")
 
 
 def schedule(edges: DataFrame, epoch: int, rate: float = 5.0) -> DataFrame:

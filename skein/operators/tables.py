@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
@@ -25,3 +26,12 @@ def check_complete(df: DataFrame, cols: list[str], what: str) -> None:
     bad = df.agg(*[F.sum((F.col(c).isNull() | F.isnan(F.col(c).cast("double"))).cast("long")).alias(c) for c in cols]).first()
     if any(bad):
         raise ValueError(f"{what} contains NA")
+
+
+def number(df: DataFrame, by: list[str], name: str) -> DataFrame:
+    """df with `name` from 0 in the order of `by`: counts of range partitions, then places within them; no task sees all rows."""
+    s = cut(df.repartitionByRange(*[F.col(c) for c in by]).withColumn("_p", F.spark_partition_id()))
+    counts = s.groupBy("_p").count()  # a row for each partition
+    counts = counts.withColumn("_before", F.sum("count").over(W.orderBy("_p")) - F.col("count"))
+    place = F.row_number().over(W.partitionBy("_p").orderBy(*by)) - 1
+    return s.withColumn("_at", place).join(F.broadcast(counts), "_p").withColumn(name, (F.col("_before") + F.col("_at")).cast("long")).drop("_p", "_at", "_before", "count")

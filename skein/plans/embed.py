@@ -9,15 +9,14 @@ from dataclasses import dataclass, field
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from skein.operators import graph as G
 from skein.operators import init as I
 from skein.operators import layout as L
-from skein.operators.knn import knn, neighbours
+from skein.operators.knn import check_knn, knn, neighbours
 from skein.operators.scaling import apply_pca, apply_scale, fit_pca, fit_scale, numeric_columns
-from skein.operators.tables import check_complete, cut
+from skein.operators.tables import check_complete, cut, number
 
 log = logging.getLogger("skein")
 
@@ -120,11 +119,8 @@ def load(spark: SparkSession, path: str) -> Model:
 
 
 def with_ids(df: DataFrame, key: str) -> DataFrame:
-    """df with id from 0 in the order of key: counts of range partitions, then places within them."""
-    s = cut(df.repartitionByRange(F.col(key)).withColumn("_p", F.spark_partition_id()))
-    counts = s.groupBy("_p").count().withColumn("_before", F.sum("count").over(W.orderBy("_p")) - F.col("count"))
-    place = F.row_number().over(W.partitionBy("_p").orderBy(key)) - 1
-    return s.withColumn("_at", place).join(F.broadcast(counts), "_p").withColumn("id", (F.col("_before") + F.col("_at")).cast("long")).drop("_p", "_at", "_before", "count")
+    """df with id from 0 in the order of key."""
+    return number(df, [key], "id")
 
 
 def _blocks(df: DataFrame, p: Params, skip: tuple[str, ...]) -> tuple[list[dict], list[str]]:
@@ -193,6 +189,7 @@ def similarity_graph(df: DataFrame, key: str, p: Params | None = None, y: str |
     cols = sorted({c for b in blocks for c in b["cols"]})
     check_complete(df, cols, "data")
     n = rows.count()
+    nn = None if nn is None else cut(check_knn(nn, n))
     k = p.n_neighbors if p.method != "largevis" else max(2, min(n - 1, int(p.perplexity if p.kernel == "knn" else 3 * p.perplexity)))
     if p.method == "largevis" and p.perplexity >= n:
         raise ValueError("perplexity can be no larger than the number of rows")

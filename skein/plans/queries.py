@@ -206,6 +206,29 @@ def knn_hubness(spark, sf):
     return K.occurrences(near(spark, sf))
 
 
+SPARSE = "with t as (select i, k, x from (select vec_id i, generate_subscripts(embedding, 1) k, unnest(embedding)::double x from embeddings) where abs(x) > 0.2), o as (select i, sum(x * x) sq, sum(abs(x)) ab from t group by 1), s as (select a.i, b.i j, sum(a.x * b.x) dot, sum(sqrt(abs(a.x)) * sqrt(abs(b.x))) root, sum(abs(a.x - b.x) - abs(a.x) - abs(b.x)) gap from t a join t b using (k) group by 1, 2), f as (select s.i, s.j, case when s.i = s.j then 0.0 else {} end::double d from s join o p on p.i = s.i join o q on q.i = s.j) select i, row_number() over (partition by i order by (i <> j)::int, d, j)::int rank, j, round(d, 6) + 0.0 d from f qualify rank <= 10"
+for _m, _e in (("cosine", "1 - dot / (sqrt(p.sq) * sqrt(q.sq))"), ("euclidean", "sqrt(greatest(0, p.sq + q.sq - 2 * dot))"), ("hellinger", "sqrt(greatest(0, 1 - root / sqrt(p.ab * q.ab)))"), ("manhattan", "p.ab + q.ab + gap")):
+
+    def _sparse(spark, sf, m=_m):
+        terms = vectors(spark, sf).select("id", F.posexplode("x").alias("term", "value")).where("abs(value) > 0.2")
+        return rounded(K.knn_sparse(terms, 10, m))
+
+    query(f"knn_sparse_{_m}", SPARSE.format(_e))(_sparse)
+
+
+@query("knn_mid_near")
+def knn_mid_near(spark, sf):
+    x = vectors(spark, sf)
+    return K.mid_near(x, x.count(), 5)
+
+
+@query("classical_mds")
+def classical_mds(spark, sf):
+    x = vectors(spark, sf).where("id < 200")
+    y = S.classical_mds(K.knn(x, 200), 200, 2)
+    return spark.createDataFrame([(i, *c) for i, c in y], "id long, y0 double, y1 double")
+
+
 @query("ann_knn")
 def ann_knn(spark, sf):
     return K.ann(vectors(spark, sf), N)

@@ -116,3 +116,26 @@ def test_other_engine_agrees(spark, sf, name):
     assert cols == sorted(b.columns) and len(a) == len(b)
     a, b = (x[cols].sort_values(cols).reset_index(drop=True) for x in (a, b))
     assert all((a[c] == b[c]).all() for c in cols)
+
+
+def test_precomputed_neighbours_and_chaining(mixture, spark):
+    p = E.Params(n_epochs=4, init="pca", n_neighbors=10)
+    m = E.fit(mixture, "k", p)
+    g = E.similarity_graph(mixture, "k", p, nn=m.nn)
+    coords, epochs, _ = E.optimize_graph_layout(g.graph, 160, p, g.rows.selectExpr("id", "x0 as x"))
+    a, b = (np.stack(x.orderBy("id").toPandas().y) for x in (coords, m.embedding))
+    assert epochs == 4 and np.allclose(a, b, atol=1e-6)
+    with pytest.raises(ValueError, match="Invalid neighbor"):
+        K.check_knn(m.nn.selectExpr("i", "rank", "j + 1000 as j", "d"), 160)
+
+
+def test_stream(mixture, spark, tmp_path):
+    from skein.streaming.project import project_stream
+
+    m = E.fit(mixture, "k", E.Params(n_epochs=2, init="pca", n_neighbors=10))
+    mixture.limit(20).write.parquet(str(tmp_path / "in"))
+    seen = []
+    q = project_stream(spark.readStream.schema(mixture.schema).parquet(str(tmp_path / "in")), m, "k", lambda df, n: seen.append(df.count()), str(tmp_path / "c"))
+    q.processAllAvailable()
+    q.stop()
+    assert sum(seen) == 20
