@@ -5,6 +5,7 @@ from __future__ import annotations
 from math import ceil
 
 from skein.llm.license_scan import PHRASES, TEMPLATES, _tokens
+from skein.llm.mixing import Mix
 from skein.llm.quality_rules import BOILERPLATE
 
 WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
@@ -62,4 +63,34 @@ from w left join b using (doc_id) left join z using (doc_id) left join o using (
 """
 
 
-SQL = {"op1_substring": SUBSTRING, "op7_license_scan": _license(), "op10_quality_rules": QUALITY}
+
+def _mixing() -> str:
+    plan = Mix()
+    keys = ["domain", "lang", "source"]
+    parts, given = [], ""
+    for depth in (1, 2, 3):
+        own, up = keys[:depth], keys[: depth - 1]
+        same = " and ".join(f"n.{k} is not distinct from g.{k}" for k in up) or "true"
+        above = f"join b{depth - 1} g on {same}" if up else f"cross join (select sum(n_tokens) * {plan.budget_share}::double budget from leaf) g"
+        by = f"partition by {', '.join(up)}" if up else ""
+        order = f"({by} order by supply / weight, {', '.join(own)} rows between "
+        cols = ", ".join(own)
+        parts.append(
+            f"n{depth} as (select {cols}, sum(n_tokens) n_tokens, sum(n_tokens) * {plan.max_epochs}::double supply, greatest(power(sum(n_tokens)::double, {plan.temperature}::double), 1e-9) weight from leaf group by {cols}), "
+            f"x{depth} as (select *, (given - coalesce(sum(supply) over {order} unbounded preceding and 1 preceding), 0)) / sum(weight) over {order} current row and unbounded following) lev from (select n.*, g.budget given from n{depth} n {above})), "
+            f"b{depth} as (select *, least(supply, coalesce(first_value(case when supply / weight > lev then lev end ignore nulls) over {order} unbounded preceding and unbounded following) * weight, supply)) budget from x{depth})"
+        )
+    number = "regexp_extract(coalesce(source, ''), '([0-9]{1,9})$', 1)"
+    same = " and ".join(f"d.{k} is not distinct from b.{k}" for k in keys)
+    return f"""
+with d as (select doc_id, 'domain' || (case when {number} = '' then '0' else {number} end::bigint % 4)::varchar as domain, lang, source, len({WORDS})::bigint n_tokens from documents),
+ leaf as (select domain, lang, source, sum(n_tokens) n_tokens from d group by 1, 2, 3), {", ".join(parts)},
+ p as (select d.*, case when b.n_tokens > 0 then floor(budget / b.n_tokens) else 1 end::int as whole, budget, b.n_tokens all_tokens from d join b3 b on {same}),
+ o as (select *, ('0x' || substr(md5('{plan.seed}:' || whole::varchar || ':' || doc_id::varchar), 1, 13))::bigint spot from p),
+ c as (select *, coalesce(sum(n_tokens) over (partition by domain, lang, source order by spot, doc_id rows between unbounded preceding and 1 preceding), 0) before from o),
+ e as (select *, whole + (budget - whole * all_tokens > 0 and before < budget - whole * all_tokens)::int n from c)
+select doc_id, domain, lang, source, n_tokens, unnest(range(n::bigint))::int epoch from e
+"""
+
+
+SQL = {"op1_substring": SUBSTRING, "op7_license_scan": _license(), "op8_mixing": _mixing(), "op10_quality_rules": QUALITY}
