@@ -96,7 +96,7 @@ def eigen_coords(g: DataFrame, n: int, dim: int, rounds: int = 60, seed: int = 4
             z = times(q)
             value, turn = np.linalg.eigh(q.T @ z)
             q, _ = np.linalg.qr(z @ turn[:, ::-1])
-            if np.abs(value - last)[-dim - 1 :].max() < 1e-9:
+            if np.abs(value - last)[-dim - 1 :].max() < 1e-7:
                 break
             last = value
     finally:

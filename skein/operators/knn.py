@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from skein.functions.metrics import distances
+from skein.functions.metrics import METRICS, distances
 from skein.operators.tables import cut
 
 BLOCK = 2048
@@ -41,6 +41,8 @@ def _blocks(df: DataFrame, n: int, name: str) -> DataFrame:
 
 def knn(df: DataFrame, k: int, metric: str = "euclidean", query: DataFrame | None = None) -> DataFrame:
     """Exact neighbours of each row of query (df itself if None) among df's rows; both have id long and x array."""
+    if metric not in METRICS:
+        raise ValueError(f"unknown distance {metric!r}")
     n = df.count()
     if query is None and n < k:
         raise ValueError(f"n_neighbors must be at most the number of rows ({n})")

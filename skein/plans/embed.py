@@ -17,6 +17,7 @@ from skein.operators import layout as L
 from skein.operators.knn import check_knn, knn, neighbours
 from skein.operators.scaling import apply_pca, apply_scale, fit_pca, fit_scale, numeric_columns
 from skein.operators.tables import check_complete, cut, number
+from skein.sources.inputs import graph_table
 
 log = logging.getLogger("skein")
 
@@ -202,6 +203,7 @@ def similarity_graph(df: DataFrame, key: str, p: Params | None = None, y: str |
             x = apply_pca(x, b["pca"])
         x = cut(x)
         found = cut(neighbours(x, k, b["metric"], p.nn_method)) if nn is None or b_no else nn
+        log.info("block %d of %d: %d rows, %d neighbours, %s", b_no + 1, len(blocks), n, k, b["metric"])
         w, s = _weights(found, p)
         g = cut(w) if g is None else cut(G.intersect(g, w, 0.5))
         stats, first = (s, found) if b_no == 0 else (stats, first)
@@ -218,9 +220,7 @@ def optimize_graph_layout(g: DataFrame, n: int, p: Params | None = None, rows: D
     """(coordinates, epochs, ai) from a symmetric graph over ids 0 to n - 1."""
     p = p or Params()
     p.check()
-    lone = g.select("i", "j").join(g.select(F.col("j").alias("i"), F.col("i").alias("j")), ["i", "j"], "left_anti")
-    if lone.limit(1).count():
-        raise ValueError("the graph is not symmetric")
+    graph_table(g)
     if p.binary_edge_weights:
         g = g.withColumn("w", F.lit(1.0))
     epochs = default_epochs(p, n, g)

@@ -139,3 +139,19 @@ def test_stream(mixture, spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert sum(seen) == 20
+
+
+def test_sources(iris, spark):
+    from skein.sources import inputs
+
+    full = K.knn(iris, 10).select("i", "j", "d")
+    half = inputs.distance_table(full.where("i < j"), 4).orderBy("i", "rank").collect()
+    assert [(r.i, r.j) for r in half] == [(r.i, r.j) for r in inputs.distance_table(full.where("i <> j"), 4).orderBy("i", "rank").collect()]
+    named = K.knn(iris, 4).selectExpr("i", "rank", "j as `index`", "d as distance")
+    assert inputs.neighbour_table(named, 10).columns == ["i", "rank", "j", "d"]
+    with pytest.raises(ValueError, match="symmetric"):
+        inputs.graph_table(spark.createDataFrame([(0, 1, 1.0)], "i long, j long, w double"))
+    with pytest.raises(ValueError, match="distance"):
+        K.knn(iris, 4, "nonsense")
+    with pytest.raises(ValueError, match="contains NA"):
+        inputs.feature_table(spark.createDataFrame([(1, 1.0), (2, None)], "k long, a double"), "k")
