@@ -1,17 +1,20 @@
 """Language-model scores by online logistic context mixing.
 
-A lower-cased text is a sequence of bytes and one end symbol. A prefix code over the corpus's bytes makes each a path of binary choices.
-For each choice, hashed contexts of several orders give predictions: log-odds from the training documents' counts in a table of fixed
-size. Predictions are summed under weights that a gate (the depth in the code) selects, and squashed. The weights refine themselves while
-a text is read: after each block of `block` bytes they move down the gradient of its coding cost, from the same start for every text. The
-sum of the choices' costs is the text's bits.
-
-Counting covers all training documents: buckets of documents send the touched places of their tables, packed, to shards, which merge them
-in rounds of bounded fan-in. What is broadcast is the merged table, whose size is a parameter. Token counts for the base score go the
-same way: a bucket sends its distinct tokens and gets their counts back.
+A lower-cased text is a sequence of bytes and one end symbol. A prefix code over the corpus's bytes makes each a path of binary choices. Every
+choice is predicted by hashed contexts of several orders: the log-odds of the training documents' counts. Predictions are summed under
+weights that a gate selects (how far into the code, and how often the word so far was seen) and squashed. The weights start from those that
+code all training documents best, where no place counts for itself; while a text is read they move, block by block, down the gradient of its
+coding cost. The sum of the choices' costs is the text's bits, a proper code length: all bytes that may follow share a chance of one.
+
+Counting covers all training documents and follows the corpus: buckets send the distinct (context, byte) pairs that they hold, with their
+counts, up a tree of ranges (exchange.py), which answers each pair with the counts along its path over the whole corpus. Context hashes grow
+by a bit whenever the corpus doubles, so no table fills up; a bucket keeps only its own pairs. Token counts for the base score go the same
+way. For the starting weights, buckets count the choices by gate and quantised predictions, and Spark sums those cells, whose number is fixed
+by the model; a logistic regression over them is solved on the driver.
 
 Defined results: null text counts as empty (its end symbol is scored); null ids are trained on and not held out; equal texts get equal
-scores; an empty table gives an empty table; other columns are not read.
+scores in any company; a very long text is read block by block like any other, and words of over 32 bytes in pieces; without training
+documents every choice is even; an empty table gives an empty table; other columns are not read.
 """
 
 from __future__ import annotations
@@ -19,40 +22,52 @@ from __future__ import annotations
 import heapq
 from collections.abc import Iterator
 from dataclasses import dataclass
-from math import ceil, log, log2
+from math import ceil, log
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from skein.llm import exchange as X
 from skein.llm.knn_quality import remainder
-from skein.llm.substring import BUCKET_BYTES, PIECE_BYTES, SPACE, _pack, _steps, _table, _unpack, _unsteps, mix, powers, word_hashes
+from skein.llm.substring import LONG_WORD, SPACE, mix, powers
 from skein.llm.tables import cut
 
 U = np.uint64
 END = 255  # never in UTF-8
 GAP = SPACE | (np.arange(256) == END)
-FAN_IN = 32
-GROUP = 16  # slots of a context
-COUNT_BYTES = 1_500_000
-RANGES = 16  # parts of a table
+WORD = 32  # bytes of a word that are read at once
+BUCKET_BYTES = 8_000_000
+AT_ONCE, CELLS_AT_ONCE = 16_000, 240_000  # bytes
+ROW = 4  # choices of a byte that are kept side by side
+SEEN = np.array([1, 2, 4, 16, 256])  # a gate for each range of counts
+GATES = (ROW + 1) * (len(SEEN) + 1)
+LEVELS, STEP = 33, 0.5  # quantised predictions, for the starting weights only
 
 
 @dataclass(frozen=True)
 class Model:
-    orders: tuple[int, ...] = (2, 4, 0)  # bytes in front; 0: all bytes of the word so far
-    start: tuple[float, ...] = (0.35, 0.45, 0.45)
-    slot_bits: int = 21  # of each order's table
+    orders: tuple[int, ...] = (2, 4, 0)  # bytes in front; 0: all bytes of the word so far. The last selects the gate
     prior: float = 0.4
-    block: int = 2048
-    gates: int = 4
-    rate: float = 0.3
-    piece: int = 300_000  # bytes handled at once
+    first_block: int = 64  # bytes
+    last_block: int = 1024
+    rate: float = 0.03
+    together: int = 128  # texts read side by side
+
+
+@dataclass(frozen=True)
+class Code:
+    """A prefix code: by byte its length and its place among the leaves; by two places, how many choices their paths share."""
+
+    length: np.ndarray
+    place: np.ndarray
+    shared: np.ndarray
 
 
-def prefix_code(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Huffman's code: (length of each byte's path, [256, longest] of node * 2 + choice)."""
+def prefix_code(counts: np.ndarray) -> Code:
+    """Huffman's code of the 256 bytes."""
     heap = [(int(c) + 1, i, i) for i, c in enumerate(counts)]
     heapq.heapify(heap)
     children, n = {}, 256
@@ -61,146 +76,327 @@ def prefix_code(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         children[n] = (x, y)
         heapq.heappush(heap, (a + b, n, n))
         n += 1
-    paths, todo = {}, [(heap[0][2], [])]
-    while todo:
+    paths, todo = [], [(heap[0][2], [])]
+    while todo:  # depth first, so that the leaves under a node are neighbours
         node, path = todo.pop()
         if node < 256:
-            paths[node] = path
+            paths.append((node, [*path, node]))
         else:
-            todo += [(c, [*path, (node - 256) * 2 + k]) for k, c in enumerate(children[node])]
-    length = np.array([len(paths[i]) for i in range(256)])
-    steps = np.zeros((256, length.max()), np.int32)
-    for i, p in paths.items():
-        steps[i, : len(p)] = p
-    return length, steps
-
-
-@dataclass
-class Gate:
-    """The choices that one gate takes, by (block, text): slot per order, sign (-1 for choice 1), and how many each segment has."""
-
-    slots: list[np.ndarray]
-    sign: np.ndarray
-    segments: np.ndarray  # those that are not empty
-    sizes: np.ndarray
-    ends: np.ndarray
-
-
-class Choices:
-    """The binary choices of texts (lower-cased bytes). A segment is one block of one text; segments are in order of (block, text)."""
-
-    def __init__(self, texts: list[bytes], code: tuple[np.ndarray, np.ndarray], model: Model):
-        length, steps = code
-        buf = np.frombuffer(bytes([END]).join([*texts, b""]), np.uint8)
-        sizes = np.fromiter(map(len, texts), np.int64, len(texts)) + 1
-        first = np.cumsum(sizes) - sizes
-        # cut every text into blocks, and put the first blocks of all in front, then the second ones
-        blocks = -(-sizes // model.block)
-        text = np.repeat(np.arange(len(texts)), blocks)
-        block = np.arange(len(text)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
-        put = np.argsort(block, kind="stable")
-        self.text, self.block = text[put], block[put]
-        start = first[self.text] + self.block * model.block
-        size = np.minimum(model.block, first[self.text] + sizes[self.text] - start)
-        order = np.repeat((start - (np.cumsum(size) - size)).astype(np.int32), size) + np.arange(len(buf), dtype=np.int32)
-        byte, segment = buf[order], np.repeat(np.arange(len(size), dtype=np.int32), size)
-        self.rounds = np.concatenate([[0], np.cumsum(np.bincount(self.block))])
-        contexts = [(self._front(buf, first, sizes, k) if k else self._word(buf))[order] for k in model.orders]
-        low, shift = np.uint32(GROUP - 1), np.uint32(32 - model.slot_bits)
-        n, row = length[byte], byte.astype(np.int32) * np.int32(steps.shape[1])
-        self.gates = []
-        for g in range(model.gates):
-            if g < model.gates - 1:
-                own = np.flatnonzero(n > g).astype(np.int32)
-                step = steps.ravel()[row[own] + g]
-            else:
-                rest = np.maximum(n - g, 0)
-                own = np.repeat(np.arange(len(n), dtype=np.int32), rest)
-                step = steps.ravel()[row[own] + (np.arange(len(own), dtype=np.int32) - np.repeat((np.cumsum(rest) - rest).astype(np.int32), rest)) + g]
-            # nodes that were made one after another stand side by side under a context
-            node = (step >> 1).astype(np.uint32)
-            far, node = (node // np.uint32(GROUP)) * np.uint32(0x9E3779B1), node & low
-            count = np.bincount(segment[own], minlength=len(size))
-            some = np.flatnonzero(count)
-            sign = (1 - 2 * (step & 1)).astype(np.float32)
-            self.gates.append(Gate([(x[own] + far) * np.uint32(0xC2B2AE35) >> shift & ~low | node for x in contexts], sign, some, count[some], np.concatenate([[0], np.cumsum(count[some])])))
-
-    def places(self, model: Model) -> list[np.ndarray]:
-        """By order, each choice's place in a table of counts for choice 0, then for choice 1."""
-        bit = [(g.sign < 0).astype(np.uint32) << np.uint32(model.slot_bits) for g in self.gates]
-        return [np.concatenate([g.slots[i] | b for g, b in zip(self.gates, bit)]) for i in range(len(model.orders))]
-
-    def _front(self, buf: np.ndarray, first: np.ndarray, sizes: np.ndarray, k: int) -> np.ndarray:
-        """The k (up to 4) bytes in front, none across the text's start."""
-        wide, out = buf.astype(np.uint32), np.zeros(len(buf), np.uint32)
-        for back in range(1, k + 1):
-            out[back:] |= wide[:-back] << np.uint32(8 * (back - 1))
+            todo += [(c, [*path, node]) for c in children[node]]
+    length, place = np.zeros(256, np.int64), np.zeros(256, np.int64)
+    steps = np.full((256, max(len(p) for _, p in paths)), -1, np.int64)
+    for k, (byte, path) in enumerate(paths):
+        length[byte], place[byte] = len(path) - 1, k
+        steps[k, : len(path)] = path
+    shared = np.zeros((256, 256), np.int8)
+    for depth in range(steps.shape[1]):
+        shared += (steps[:, None, depth] == steps[None, :, depth]) & (steps[:, None, depth] >= 0)
+    return Code(length, place, shared - 1)
+
+
+def _code(n: np.ndarray) -> np.ndarray:
+    return np.where(n < 16, n, np.minimum(255, 16 + np.floor(4 * np.log2(np.maximum(n, 1) / 16) + 1e-9))).astype(np.uint8)
+
+
+CODE_OF = _code(np.arange(1 << 14))
+
+
+def to_code(n: np.ndarray) -> np.ndarray:
+    """Counts as bytes: exact below 16, then four a doubling."""
+    out = CODE_OF.take(n, mode="clip")
+    large = np.flatnonzero(n >= len(CODE_OF))
+    out[large] = _code(n[large])
+    return out
+
+
+COUNT_OF = np.concatenate([np.arange(16.0), 16 * 2 ** ((np.arange(240) + 0.5) / 4)]).astype(np.float32)
+
+
+def find(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(distinct keys, the place of each key among them)."""
+    d = pa.array(key).dictionary_encode()
+    return d.dictionary.to_numpy(), d.indices.to_numpy()
+
+
+class Stream:
+    """Texts (lower-cased bytes), each with its end, as one run of bytes; per order, the distinct keys (context, byte) and each byte's."""
+
+    def __init__(self, texts: list[bytes], code: Code, model: Model, context_bits: int):
+        self.padded = np.frombuffer(bytes(8) + bytes([END]).join([*texts, b""]), np.uint8)
+        self.buf = self.padded[8:]
+        self.size = np.fromiter(map(len, texts), np.int64, len(texts)) + 1
+        self.first = np.cumsum(self.size) - self.size
+        self.code, self.model, self.shift = code, model, U(64 - context_bits)
+        self._words()
+        found = [self._front(k) if k else self._word() for k in model.orders]
+        self.keys, self.entry = [f[0] for f in found], [f[1] for f in found]
+
+    def _key(self, context: np.ndarray, order: int, byte: np.ndarray) -> np.ndarray:
+        return mix(context, order) >> self.shift << U(8) | self.code.place[byte].astype(U)
+
+    def _front(self, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """The k (up to 7) bytes in front, none across the text's start."""
+        n = len(self.buf)
+        eight = np.ndarray((n,), "<u8", self.padded.data, 1, (1,))  # each byte, as the highest, with the seven in front of it
+        seen = eight >> U(8 * (7 - k))
         for t in range(k):
-            out[(first + t)[sizes > t]] &= np.uint32((1 << 8 * t) - 1)
-        out = (out + np.uint32(k)) * np.uint32(0x85EBCA6B)
-        return out ^ (out >> np.uint32(15))
-
-    def _word(self, buf: np.ndarray) -> np.ndarray:
-        up, down = powers(1 << max(0, len(buf) - 1).bit_length())
-        total = np.cumsum((buf + U(1)) * up[: len(buf)]) - (buf + U(1)) * up[: len(buf)]  # in front of each byte
-        gap = np.zeros(len(buf), np.int64)
-        after = np.flatnonzero(GAP[buf[:-1]]) + 1
-        gap[after] = after
-        start = np.maximum.accumulate(gap)
-        return (mix((total - total[start]) * down[start]) >> U(32)).astype(np.uint32)
-
-
-def _some(texts: list[bytes], most: int) -> Iterator[slice]:
-    start = held = 0
-    for i, t in enumerate(texts):
-        held += len(t) + 1
-        if held >= most or i == len(texts) - 1:
-            yield slice(start, i + 1)
-            start, held = i + 1, 0
-
-
-def costs(texts: list[bytes], code: tuple[np.ndarray, np.ndarray], odds: np.ndarray, model: Model) -> np.ndarray:
-    """Bits of each text. odds: (orders, slots) of log-odds for choice 1."""
-    out = []
-    for s in _some(texts, model.piece):
-        # longest first, so that the texts which a round's refinement still serves are the first ones
-        own = sorted(range(s.start, s.stop), key=lambda t: -len(texts[t]))
-        c, n = Choices([texts[t] for t in own], code, model), len(own)
-        w = np.repeat(np.array(model.start, np.float32), model.gates * n).reshape(-1, model.gates, n)
-        bits = np.zeros(n)
-        for r, (low, high) in enumerate(zip(c.rounds[:-1], c.rounds[1:])):
-            more = c.rounds[r + 2] - high if r + 2 < len(c.rounds) else 0
-            for g, gate in enumerate(c.gates):
-                a, m, b = np.searchsorted(gate.segments, (low, low + more, high))
-                if a == b:
-                    continue
-                text, size, at = c.text[gate.segments[a:b]], gate.sizes[a:b], slice(gate.ends[a], gate.ends[b])
-                heads, sign = gate.ends[a:b] - gate.ends[a], gate.sign[at]
-                x = [odds[i][gate.slots[i][at]] for i in range(len(w))]
-                z = sum((np.repeat(w[i, g, text], size) if r else w[i, g, 0]) * x[i] for i in range(len(w)))
-                z *= sign
-                e = np.exp(np.clip(z, -12, 12, out=z), out=z)
-                bits[text] += np.add.reduceat(np.log1p(e), heads)
-                if m > a:
-                    k, text, size = gate.ends[m] - gate.ends[a], text[: m - a], size[: m - a]
-                    miss = e[:k] / (1 + e[:k]) * -sign[:k]  # the choice less its chance
-                    for i in range(len(w)):
-                        w[i, g, text] += model.rate * np.add.reduceat(miss * x[i][:k], heads[: m - a]) / (size + 16).astype(np.float32)
-        out.append(np.empty(n))
-        out[-1][np.array(own) - s.start] = bits / log(2)
-    return np.concatenate([*out, np.empty(0)])
-
-
-def _tokens(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """(hashes of the tokens of each text, the end last; tokens of each text)."""
-    parts = [word_hashes(texts[s]) for s in _some(texts, PIECE_BYTES)]
-    h = np.concatenate([*[p[0] for p in parts], np.empty(0, U)])
-    n = np.concatenate([*[p[1] for p in parts], np.empty(0, np.int64)]).astype(np.int64)
-    return np.insert(h, np.cumsum(n), U(0)), n + 1
-
-
-SENT = "kind string, shard int, part int, bucket int, a binary, b binary, c binary"
-ANSWER = "kind string, bucket int, shard int, n long, total long, a binary"
+            seen[(self.first + t)[self.size > t]] &= U(2**64 - (1 << 8 * (k - t)))
+        own, entry = find(seen.astype(np.uint32) if k < 4 else seen)
+        own = own.astype(U)
+        return self._key(own & U((1 << 8 * k) - 1), k, (own >> U(8 * k)).astype(np.int64)), entry
+
+    def _words(self) -> None:
+        """Words with the byte behind them, long ones in pieces: where they start, their sizes, and which are later pieces."""
+        buf, n = self.buf, len(self.buf)
+        up, self.down = powers(1 << n.bit_length())
+        self.total = np.empty(n + 1, U)
+        self.total[0] = 0
+        np.cumsum((buf + U(1)) * up[:n], out=self.total[1:])
+        self.word = np.concatenate([np.zeros(1, np.int64), np.flatnonzero(GAP[buf[:-1]]) + 1])
+        size = np.diff(self.word, append=n)
+        pieces = -(-size // WORD)
+        place = np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+        self.piece = np.repeat(self.word, pieces) + place * WORD
+        self.piece_size, self.later = np.diff(self.piece, append=n), place > 0
+
+    def _hash(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        return (self.total[end] - self.total[start]) * self.down[start]
+
+    def tokens(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(hashes of the distinct tokens, the token of each place, its text); every text's last is its end, with hash 0."""
+        start, end = self.word, np.append(self.word[1:], len(self.buf)) - 1  # the byte behind the word
+        h = mix(self._hash(start, end) + (end - start).astype(U))
+        for k in np.flatnonzero(end - start > LONG_WORD):
+            import xxhash
+
+            h[k] = xxhash.xxh64_intdigest(self.buf[start[k] : end[k]].tobytes(), 1)
+        doc = np.searchsorted(self.first, start, "right") - 1
+        some = end > start
+        own, at = find(np.concatenate([h[some], np.zeros(len(self.first), U)]))
+        return own, at, np.concatenate([doc[some], np.arange(len(self.first))])
+
+    def _word(self) -> tuple[np.ndarray, np.ndarray]:
+        """All bytes of the word so far. Each kind of word is worked out once."""
+        start, size, later = self.piece, self.piece_size, self.later
+        kinds, which = find(mix(self._hash(start, start + size) + later, 9) & ~U(63) | size.astype(U))
+        lead = np.zeros(len(kinds), np.int64)
+        lead[which[::-1]] = np.arange(len(start))[::-1]
+        length = size[lead]
+        own = np.cumsum(length) - length
+        at = np.arange(length.sum()) + np.repeat(start[lead] - own, length)
+        context = (self.total[at] - np.repeat(self.total[start[lead]], length)) * np.repeat(self.down[start[lead]], length) + np.repeat(later[lead], length)
+        keys, entry = find(self._key(context, 0, self.buf[at]))
+        return keys, entry[np.repeat(own[which] - start, size) + np.arange(len(self.buf))]
+
+    def together(self, use: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(the keys of all orders in order, how many bytes in use have each, by order and key its place)."""
+        keys = np.concatenate(self.keys)
+        count = np.concatenate([np.bincount(e[use], minlength=len(k)) for k, e in zip(self.keys, self.entry)])
+        order = np.argsort(keys)
+        place = np.empty(len(keys), np.int64)
+        place[order] = np.arange(len(keys))
+        return keys[order], count[order], place
+
+
+class Tokens(X.Scheme):
+    """Hashes of tokens with their training counts; the sums are the distinct ones and all."""
+
+    answers = (np.int64,)
+
+    def sums(self, keys, values):
+        return np.array([(values[0] > 0).sum(), values[0].sum(dtype=np.int64)])
+
+
+class Contexts(X.Scheme):
+    """Pairs (context, byte) with their training counts; an answer has, for each choice, the counts of the side that was taken and the other."""
+
+    answers = (np.uint16,)
+
+    def __init__(self, code: Code, context_bits: int):
+        self.code, self.bits = code, context_bits + 8
+        self.by_place = np.empty(256, np.int64)
+        self.by_place[code.place] = code.length
+
+    def lengths(self, keys):
+        return self.by_place[(keys[0] & U(255)).astype(np.int64)]
+
+    def top(self, keys, values):
+        place, context = (keys[0] & U(255)).astype(np.int64), keys[0] >> U(8)
+        length = self.by_place[place]
+        first = np.cumsum(length) - length
+        out = np.zeros(length.sum(), np.uint16)
+        # the bytes under a node of the code are neighbours within a context; with the one in front, a byte shares so many choices
+        shared = np.full(len(place), -1, np.int8)
+        shared[1:] = np.where(context[1:] == context[:-1], self.code.shared[place[1:], place[:-1]], -1)
+        total = np.concatenate([np.zeros(1, np.int64), np.cumsum(values[0], dtype=np.int64)])
+        left, before = np.arange(len(place)), None
+        for depth in range(int(length.max(initial=0)) + 1):
+            heads = np.flatnonzero(shared < depth)
+            ends = np.append(heads[1:], len(shared))
+            seen = np.repeat(total[ends] - total[heads], ends - heads)[left]
+            if before is not None:
+                out[first[left] + depth - 1] = to_code(seen).astype(np.uint16) << 8 | to_code(before - seen)
+            on = length[left] > depth
+            left, before = left[on], seen[on]
+        return [out]
+
+
+class Odds:
+    """The log-odds of the choices that were made, and the gates of the last order, by key of the stream: a row of the first ROW choices of
+    each, and the rest of all paths in a run."""
+
+    def __init__(self, stream: Stream, place: np.ndarray, many: np.ndarray, answers: np.ndarray, model: Model, own: int = 0):
+        """answers: to the keys of all orders together, in order; many: choices of each. own: what each byte counts for itself."""
+        end = np.cumsum(many)
+        taken, other = COUNT_OF[np.arange(1 << 16) >> 8], COUNT_OF[np.arange(1 << 16) & 255]
+        taken, prior = np.maximum(taken - own, 0), np.float32(model.prior)
+        odds = np.append(np.log((taken + prior) / (other + prior)).take(answers), np.float32(0))  # one more for choices that there are not
+        gate = np.append(np.searchsorted(SEEN, taken + other, "right").astype(np.int16).take(answers), np.int16(0))
+        ends = np.cumsum([0, *map(len, stream.keys)])
+        self.row, self.rest, self.begin = [], odds, []
+        for a, b in zip(ends[:-1], ends[1:]):
+            mine = place[a:b]
+            start, n = (end - many)[mine], many[mine]
+            spot = np.where(np.arange(ROW) < n[:, None], start[:, None] + np.arange(ROW), len(answers))
+            self.row.append(odds.take(spot))
+            self.begin.append(start + ROW)
+        depth = np.arange(ROW, dtype=np.int16) * (len(SEEN) + 1)
+        self.gate = np.where(spot < len(answers), gate.take(spot) + depth, GATES)
+        self.rest_gate = gate + ROW * (len(SEEN) + 1)
+
+
+def level(odds: np.ndarray) -> np.ndarray:
+    return np.clip(np.rint(odds / STEP), -(LEVELS // 2), LEVELS // 2).astype(np.int32) + LEVELS // 2
+
+
+def edges(longest: int, model: Model) -> np.ndarray:
+    """Where blocks begin, and the end: a block is a quarter of what has been read, within bounds."""
+    out = [0]
+    while out[-1] < longest:
+        out.append(out[-1] + min(max(model.first_block, out[-1] // 4), model.last_block))
+    return np.minimum(out, longest)
+
+
+def beyond(stream: Stream, odds: Odds, byte: np.ndarray, entry: list[np.ndarray]) -> tuple[list[np.ndarray], np.ndarray]:
+    """(per order, the places in odds.rest of the choices behind the rows; how many each byte has)."""
+    n = np.maximum(stream.code.length[stream.buf[byte]] - ROW, 0)
+    some = np.flatnonzero(n)
+    m = n[some]
+    ends = np.cumsum(m)
+    count = np.arange(ends[-1] if len(ends) else 0)
+    return [np.repeat(s[e[some]] - (ends - m), m) + count for s, e in zip(odds.begin, entry)], n
+
+
+def cells(stream: Stream, odds: Odds, use: np.ndarray) -> np.ndarray:
+    """Choices of the bytes in use by gate and quantised predictions."""
+    orders = len(odds.row)
+    size = LEVELS**orders
+    row, rest = [level(x) for x in odds.row], level(odds.rest)
+    row[-1] += odds.gate * LEVELS  # the last order's comes with its gate
+    last = rest + odds.rest_gate * LEVELS
+    out = np.zeros((GATES + 1) * size, np.int64)
+    byte = np.flatnonzero(use)
+    for k in range(0, len(byte), CELLS_AT_ONCE):
+        cell = []
+        for p in range(k, min(len(byte), k + CELLS_AT_ONCE), AT_ONCE):
+            own = byte[p : p + AT_ONCE]
+            entry = [e[own] for e in stream.entry]
+            at, _ = beyond(stream, odds, own, entry)
+            for x in ([r.take(e, 0).ravel() for r, e in zip(row, entry)], [rest.take(a) for a in at[:-1]] + [last.take(at[-1])]):
+                one = x[-1]
+                for y in x[:-1]:
+                    one *= LEVELS
+                    one += y
+                cell.append(one)
+        if cell:
+            out += np.bincount(np.concatenate(cell), minlength=len(out))
+    return out[:-size]
+
+
+def fit(cell: np.ndarray, n: np.ndarray, orders: int, rounds: int = 30, ridge: float = 1.0) -> np.ndarray:
+    """(gates, orders): weights that code the counted choices best, by Newton's steps; gates without choices weigh all orders alike."""
+    out = np.full((GATES, orders), 1.0 / orders)
+    size = LEVELS**orders
+    for g in range(GATES):
+        own = cell // size == g
+        rest, many = cell[own] % size, n[own].astype(float)
+        digit = [((rest // LEVELS ** (orders - 1 - i)) % LEVELS - LEVELS // 2) * STEP for i in range(orders)]
+        x = np.stack([*digit[1:], digit[0]], 1)  # the last order is the first digit
+        w = out[g].copy()
+        for _ in range(rounds if own.any() else 0):
+            p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+            slope = x.T @ (many * (1 - p)) - ridge * (w - 1.0 / orders)
+            bend = (x * (many * p * (1 - p))[:, None]).T @ x + ridge * np.eye(orders)
+            step = np.linalg.solve(bend, slope)
+            w += step * min(1.0, 1.0 / max(1e-12, np.abs(step).max()))
+        out[g] = w
+    return out
+
+
+def costs(stream: Stream, odds: Odds, weights: np.ndarray, model: Model) -> np.ndarray:
+    """Bits of each text."""
+    orders = range(len(odds.row))
+    w = np.append(weights.T, np.zeros((len(orders), 1)), 1).astype(np.float32)
+    row_w, rest_w = [w[i].take(odds.gate) for i in orders], [w[i].take(odds.rest_gate) for i in orders]
+    own_row = row_w[-1] * odds.row[-1]
+    own_row[odds.gate == GATES] = 60  # choices that there are not cost nothing
+    own_rest = rest_w[-1] * odds.rest
+    out = np.zeros(len(stream.size))
+    by_length = np.argsort(-stream.size, kind="stable")
+    for k in range(0, len(by_length), model.together):
+        texts = by_length[k : k + model.together]
+        size, first = stream.size[texts], stream.first[texts]
+        drift = np.zeros((len(orders), len(texts)), np.float32)
+        nats, read = np.zeros(len(texts)), np.zeros(len(texts))
+        block = edges(int(size[0]), model)
+        for low, high in zip(block[:-1], block[1:]):
+            m = int(np.searchsorted(-size, -low))  # those that go on: longest first
+            more = int(np.searchsorted(-size, -high))
+            n = np.minimum(high, size[:m]) - low
+            ends = np.cumsum(n)
+            byte = np.repeat(first[:m] + low - (ends - n), n) + np.arange(ends[-1])
+            entry = [e[byte] for e in stream.entry]
+            at, many = beyond(stream, odds, byte, entry)
+            many = np.add.reduceat(many, ends - n)
+            e = entry[-1]
+            rows = [x.take(y, 0).ravel() for x, y in zip(odds.row, entry)], own_row.take(e, 0).ravel(), [x.take(e, 0).ravel() for x in row_w[:-1]], n * ROW
+            rest = [odds.rest.take(a) for a in at], own_rest.take(at[-1]), [x.take(at[-1]) for x in rest_w[:-1]], many
+            slope = np.zeros((len(orders), more), np.float32)
+            for x, z, gated, count in (rows, rest):
+                stops = np.cumsum(count)
+                for i in orders[:-1]:
+                    z += gated[i] * x[i]
+                if low:
+                    for i in orders:
+                        z += np.repeat(drift[i, :m], count) * x[i]
+                chance = np.exp(-np.maximum(z, -60, out=z), out=z)
+                nats[:m] += between(np.log1p(chance), stops)
+                if more:
+                    miss = chance[: stops[more - 1]]
+                    miss = miss / (1 + miss)  # what the chance of the choice lacks
+                    for i in orders:
+                        slope[i] += between(miss * x[i][: len(miss)], stops[:more])
+            read[:m] += many + np.add.reduceat(np.minimum(stream.code.length[stream.buf[byte]], ROW), ends - n)
+            drift[:, :more] += (model.rate / np.sqrt(read[:more])).astype(np.float32) * slope
+        out[texts] = nats / log(2)
+    return out
+
+
+def between(x: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Sums of the runs of x that end there; a run may be empty."""
+    heads = np.append(0, ends[:-1])
+    some = heads < ends
+    out = np.zeros(len(ends), x.dtype)
+    out[some] = np.add.reduceat(x, heads[some]) if some.any() else 0
+    return out
+
+
+SENT = f"kind string, {X.UP}"
+SAID = f"kind string, {X.DOWN}"
+
+
+def _lower(column: pa.ChunkedArray) -> list[bytes]:
+    return [t.encode("utf-8").lower() for t in column.to_pylist()]
 
 
 def score(docs: DataFrame, train, model: Model = Model(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -209,119 +405,84 @@ def score(docs: DataFrame, train, model: Model = Model(), id_col: str = "doc_id"
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
     rows = rows.withColumn("train", F.coalesce(train(F.col("doc_id")), F.lit(True)))
     kind = dict(rows.dtypes)["doc_id"]
-    lower = lambda column: [t.encode("utf-8").lower() for t in column.to_pylist()]
 
     def census(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen, octets, of_train = np.zeros(256, np.int64), 0, 0
         for b in batches:
-            for t, use in zip(lower(b.column(0)), b.column(1).to_pylist()):
+            for t, use in zip(_lower(b.column(0)), b.column(1).to_pylist()):
                 octets += len(t) + 1
                 if use:
                     of_train += 1
                     seen += np.bincount(np.frombuffer(t, np.uint8), minlength=256)
         seen[END] += of_train
-        yield pa.RecordBatch.from_arrays([pa.array(range(257), pa.int32()), pa.array([*seen.tolist(), octets], pa.int64())], names=["byte", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(range(258), pa.int32()), pa.array([*seen.tolist(), octets, ceil(octets / BUCKET_BYTES)], pa.int64())], names=["byte", "n"])
 
-    counts = np.zeros(257, np.int64)
-    for r in rows.select("t", "train").mapInArrow(census, "byte int, n long").groupBy("byte").agg(F.sum("n").alias("n")).collect():  # 257 rows
+    counts = np.zeros(258, np.int64)
+    for r in rows.select("t", "train").mapInArrow(census, "byte int, n long").groupBy("byte").agg(F.sum("n").alias("n")).collect():  # 258 rows
         counts[r["byte"]] = r["n"]
     code = prefix_code(counts[:256])
-    buckets = max(1, ceil(counts[256] / BUCKET_BYTES))
-    shard_bits = ceil(log2(buckets))
-    rows = rows.withColumn("bucket", F.pmod(F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.col("t"))), F.lit(buckets)).cast("int"))
-
-    def edges(h: np.ndarray) -> list[tuple[int, slice]]:
-        at = (h >> U(64 - shard_bits)).astype(np.int64) if shard_bits else np.zeros(len(h), np.int64)
-        e = np.searchsorted(at, np.arange((1 << shard_bits) + 1))
-        return [(s, slice(e[s], e[s + 1])) for s in range(1 << shard_bits) if e[s] < e[s + 1]]
-
-    def gather(left: pa.Table) -> pa.Table:
-        """One bucket's distinct tokens with their training counts, and the touched places of its tables."""
-        texts, use, own = lower(left.column("t")), np.asarray(left.column("train")), left.column("bucket")[0].as_py()
-        tokens, n = _tokens(texts)
-        word, inverse = np.unique(tokens, return_inverse=True)
-        count = np.bincount(inverse, np.repeat(use, n), len(word)).astype(np.uint32)
-        out = [("token", s, 0, own, _steps(word[x]), _pack(count[x]), None) for s, x in edges(word)]
-        tables = np.zeros((len(model.orders), 2, 1 << model.slot_bits), np.uint32)
-        texts = [t for t, u in zip(texts, use) if u]
-        for many in _some(texts, COUNT_BYTES):
-            held = [Choices(texts[many][s], code, model).places(model) for s in _some(texts[many], model.piece)]
-            for i, x in enumerate(zip(*held)):
-                tables[i] += np.bincount(np.concatenate(x), minlength=2 << model.slot_bits).astype(np.uint32).reshape(2, -1)
-        width = (1 << model.slot_bits) // RANGES
-        for i in range(len(model.orders)):
-            for r in range(RANGES):
-                out.append(("table", i * RANGES + r, own // FAN_IN, own, *_places(tables[i][:, r * width : (r + 1) * width])))
-        return _table(out, SENT)
-
-    def _places(two: np.ndarray) -> tuple[bytes, bytes, bytes]:
-        at = np.flatnonzero(two.any(0)).astype(U)
-        return _steps(at), _pack(two[0, at].astype(np.uint32)), _pack(two[1, at].astype(np.uint32))
-
-    def _sum(parts: list[dict]) -> np.ndarray:
-        two = np.zeros((2, (1 << model.slot_bits) // RANGES), np.int64)
-        for r in parts:
-            at = _unsteps(r["a"])
-            two[0, at] += _unpack(r["b"], np.uint32)
-            two[1, at] += _unpack(r["c"], np.uint32)
-        return two
-
-    def merge_some(table: pa.Table) -> pa.Table:
-        """Tables of up to FAN_IN buckets as one."""
-        r = table.slice(0, 1).to_pylist()[0]
-        return _table([("table", r["shard"], r["part"] // FAN_IN, r["part"], *_places(_sum(table.to_pylist())))], SENT)
-
-    def odds_of(table: pa.Table) -> pa.Table:
-        two = _sum(table.to_pylist())
-        odds = np.log((two[1] + model.prior) / (two[0] + model.prior)).astype(np.float16)
-        return _table([("odds", 0, table.column("shard")[0].as_py(), 0, 0, odds.tobytes())], ANSWER)
-
-    def merge_tokens(table: pa.Table) -> pa.Table:
-        """One shard's counts over all buckets, to each bucket for what it sent, and the shard's totals."""
-        parts, shard = table.to_pylist(), table.column("shard")[0].as_py()
-        word, count = [_unsteps(r["a"]) for r in parts], [_unpack(r["b"], np.uint32) for r in parts]
-        _, inverse = np.unique(np.concatenate(word), return_inverse=True)
-        total = np.bincount(inverse, np.concatenate(count)).astype(np.int64)
-        ends = np.cumsum([0, *map(len, word)])
-        out = [("count", r["bucket"], shard, 0, 0, _pack(total[inverse[ends[i] : ends[i + 1]]])) for i, r in enumerate(parts)]
-        return _table([*out, ("total", -1, shard, int((total > 0).sum()), int(total.sum()), None)], ANSWER)
-
-    sent = cut(rows.groupBy("bucket").applyInArrow(gather, SENT))
-    tables, n = sent.where("kind = 'table'"), ceil(buckets / FAN_IN)
-    while n > 1:
-        tables, n = tables.groupBy("shard", "part").applyInArrow(merge_some, SENT), ceil(n / FAN_IN)
-    size = (1 << model.slot_bits) // RANGES
-    odds = np.zeros((len(model.orders), RANGES, size), np.float32)
-    for r in tables.groupBy("shard").applyInArrow(odds_of, ANSWER).collect():  # 2 bytes a slot, whatever the corpus
-        odds[r["shard"] // RANGES, r["shard"] % RANGES] = np.frombuffer(r["a"], np.float16)
-    known = spark.sparkContext.broadcast((code, odds.reshape(len(model.orders), -1)))
-    answers = cut(sent.where("kind = 'token'").groupBy("shard").applyInArrow(merge_tokens, ANSWER))
-    total = answers.where("kind = 'total'").agg(F.sum("n").alias("v"), F.sum("total").alias("n")).first()
-    v, n_train = total["v"] or 0, total["n"] or 0
-    unit = log(n_train + v + 1)
-    schema = f"doc_id {kind}, n_tokens long, n_known long, base_score double, bits double, n_bytes long"
+    context_bits = min(56, max(40, int(counts[256]).bit_length() + 10))
+    tokens, contexts = Tokens(), Contexts(code, context_bits)
+    token_tree, context_tree = (X.Tree(int(counts[257]), s) for s in (tokens, contexts))
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Each bucket's texts, packed; its distinct tokens and pairs with their training counts; its choices for the starting weights."""
+        for bucket, left in X.bucketed(batches, "t", BUCKET_BYTES):
+            use = np.asarray(left.column("train"))
+            stream = Stream(_lower(left.column("t")), code, model, context_bits)
+            word, at, doc = stream.tokens()
+            n = np.bincount(at[use[doc]], minlength=len(word))
+            order = np.argsort(word)
+            out = [("text", None, bucket, None, None, [X.freeze(left)])]
+            out += [("token", *x) for x in token_tree.send(bucket, [word[order]], [n[order]])]
+            trained = np.repeat(use, stream.size)
+            keys, n, place = stream.together(trained)
+            out += [("context", *x) for x in context_tree.send(bucket, [keys], [n])]
+            cell = cells(stream, Odds(stream, place, contexts.lengths([keys]), contexts.top([keys], [n])[0], model, 1), trained)
+            some = np.flatnonzero(cell)
+            out.append(("cell", None, bucket, None, X.pack_sorted(some.astype(U)), [X.pack(cell[some])]))
+            yield from X.table(out, SENT).to_batches()
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for r in b.to_pylist():
+                yield pa.RecordBatch.from_arrays([pa.array(X.unpack_sorted(r["keys"]).astype(np.int64)), pa.array(X.unpack(r["values"][0], np.int64))], names=["cell", "n"])
+
+    sent = cut(rows.mapInArrow(gather, SENT))
+    of = lambda k: sent.where(F.col("kind") == k).drop("kind")
+    answers = token_tree.totals(of("token")).select(F.lit("token").alias("kind"), "*").union(context_tree.totals(of("context")).select(F.lit("context").alias("kind"), "*"))
+    counted = of("cell").select("keys", "values").mapInArrow(spread, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()  # at most as many rows as the model has cells
+    weights = fit(np.asarray(counted["cell"]), np.asarray(counted["n"]), len(model.orders))
+    schema = f"doc_id {kind}, n_tokens long, n_known long, train_tokens long, base_score double, bits double, n_bytes long"
 
     def apply(left: pa.Table, said: pa.Table) -> pa.Table:
-        texts = lower(left.column("t"))
-        tokens, n = _tokens(texts)
-        word, inverse = np.unique(tokens, return_inverse=True)
-        count = np.concatenate([*[_unpack(r["a"], np.int64) for r in sorted(said.to_pylist(), key=lambda r: r["shard"])], np.empty(0, np.int64)])
-        doc = np.repeat(np.arange(len(texts)), n)
-        c = count[inverse]
-        code, odds = known.value
+        left = X.thaw(left.column("values")[0][0].as_py())
+        texts = _lower(left.column("t"))
+        parts = {k: said.filter(pa.compute.equal(said.column("kind"), k)) for k in ("token", "context")}
+        stream = Stream(texts, code, model, context_bits)
+        word, at, doc = stream.tokens()
+        (count,), (v, total) = token_tree.read(parts["token"])
+        c = np.empty(len(word), np.int64)
+        c[np.argsort(word)] = count
+        c = c[at]
+        n = np.bincount(doc, minlength=len(texts))
+        keys, _, place = stream.together(np.zeros(len(stream.buf), bool))
+        (said,), _ = context_tree.read(parts["context"])
+        odds = Odds(stream, place, contexts.lengths([keys]), said, model)
         return pa.table(
             {
                 "doc_id": left.column("doc_id"),
                 "n_tokens": pa.array(n, pa.int64()),
                 "n_known": pa.array(np.bincount(doc, c > 0, len(texts)).astype(np.int64)),
-                "base_score": pa.array((np.bincount(doc, np.log(c + 1.0), len(texts)) - n * unit) / log(10)),
-                "bits": pa.array(costs(texts, code, odds, model)),
+                "train_tokens": pa.array(np.full(len(texts), total), pa.int64()),
+                "base_score": pa.array((np.bincount(doc, np.log(c + 1.0), len(texts)) - n * log(total + v + 1)) / log(10)),
+                "bits": pa.array(costs(stream, odds, weights, model)),
                 "n_bytes": pa.array([len(t) for t in texts], pa.int64()),
             }
         )
 
-    out = rows.groupBy("bucket").cogroup(answers.where("kind = 'count'").groupBy("bucket")).applyInArrow(apply, schema)
-    return out.select("doc_id", "n_tokens", "n_known", F.lit(n_train).cast("long").alias("train_tokens"), "base_score", "bits", "n_bytes", (F.col("bits") * -log(2) / log(10)).alias("score"))
+    out = of("text").groupBy("child").cogroup(answers.groupBy("child")).applyInArrow(apply, schema)
+    return out.withColumn("score", F.col("bits") * (-log(2) / log(10)))
 
 
 def digest(docs: DataFrame) -> DataFrame:

@@ -1,16 +1,19 @@
 import re
 import zlib
-from collections import Counter
-from math import isclose, log10
+from collections import Counter, defaultdict
+from dataclasses import replace
+from math import exp, isclose, log, log10, log1p
 
 import numpy as np
+import pytest
 
 from skein.llm import context_mixing as cm
+from skein.llm import exchange
 
 
 def test_base_and_held_out_bits(docs, none, monkeypatch):
     monkeypatch.setattr(cm, "BUCKET_BYTES", 60_000)
-    monkeypatch.setattr(cm, "FAN_IN", 3)
+    monkeypatch.setattr(exchange, "FAN_BITS", 2)
     rows = [(r.doc_id, re.sub("[A-Z]", lambda m: m[0].lower(), r.text or "")) for r in docs.select("doc_id", "text").collect()]
     token = lambda t: [*re.findall(r"[^\x20\x09-\x0D]+", t), None]
     c = Counter(x for i, t in rows if i is None or zlib.crc32(str(i).encode()) % 7 != 2 for x in token(t))
@@ -28,24 +31,123 @@ def test_base_and_held_out_bits(docs, none, monkeypatch):
     assert cm.digest(none).count() == 0
 
 
-def test_codes_and_chances_are_proper():
-    length, steps = cm.prefix_code(np.arange(256))
-    assert isclose(sum(2.0 ** -length), 1.0)
-    assert len({tuple(s[:n]) for n, s in zip(length, steps)}) == 256
-    # over all bytes that may follow, chances sum to one
-    m = cm.Model(slot_bits=10)
-    odds = np.random.default_rng(1).normal(0, 2, (3, 1024)).astype(np.float32)
-    code = (length, steps)
-    one = lambda t: cm.costs([t], code, odds, m)[0]
-    stem = np.array([one(b"ab" + bytes([k])) for k in range(255)])
-    assert 0.2 < (2.0 ** -(stem - one(b"ab"))).sum() < 60  # ends differ, so only the order of size is fixed
+class Brute:
+    """The model, choice by choice, over plain dictionaries of counts."""
+
+    def __init__(self, texts, weights, model):
+        seen = np.zeros(256, np.int64)
+        for t in texts:
+            seen += np.bincount(np.frombuffer(t + b"\xff", np.uint8), minlength=256)
+        self.code, self.w, self.model, self.n = cm.prefix_code(seen), weights, model, defaultdict(Counter)
+        for t in texts:
+            for p in range(len(t) + 1):
+                for o in range(len(model.orders)):
+                    self.n[self.context(t, p, o)][(t + b"\xff")[p]] += 1
+
+    def context(self, t, p, o):
+        k = self.model.orders[o]
+        if k:
+            return o, t[max(0, p - k) : p]
+        at = max((t.rfind(bytes([c]), 0, p) for c in b" \t\n\v\f\r"), default=-1) + 1
+        piece = (p - at) // cm.WORD
+        return o, piece > 0, t[at + piece * cm.WORD : p]
+
+    def choices(self, t, p):
+        """(gate, odds of each order for the choice that was made) along the byte's path."""
+        byte = (t + b"\xff")[p]
+        place = self.code.place
+        for depth in range(int(self.code.length[byte])):
+            gate, x = None, []
+            for o in range(len(self.model.orders)):
+                c = self.n[self.context(t, p, o)]
+                same = sum(n for b, n in c.items() if b == byte or self.code.shared[place[b], place[byte]] >= depth + 1)
+                both = sum(n for b, n in c.items() if b == byte or self.code.shared[place[b], place[byte]] >= depth)
+                same, other = self.coded(same), self.coded(both - same)
+                x.append(log((same + self.model.prior) / (other + self.model.prior)))
+                gate = min(depth, cm.ROW) * (len(cm.SEEN) + 1) + sum(same + other >= s for s in cm.SEEN)
+            yield gate, x
+
+    def coded(self, n):
+        return float(cm.COUNT_OF[cm.to_code(np.array([n]))][0])
+
+    def bits(self, t):
+        total, drift, read = 0.0, np.zeros(len(self.model.orders)), 0
+        block = cm.edges(len(t) + 1, self.model)
+        for low, high in zip(block[:-1], block[1:]):
+            slope = np.zeros(len(drift))
+            for p in range(low, high):
+                for gate, x in self.choices(t, p):
+                    z = float((self.w[gate] + drift) @ np.array(x))
+                    total += log1p(exp(-z))
+                    slope += np.array(x) / (1 + exp(z))
+                    read += 1
+            drift += self.model.rate / np.sqrt(read) * slope
+        return total / log(2)
+
+
+def vectorised(train, texts, weights, model):
+    seen = np.zeros(256, np.int64)
+    for t in train:
+        seen += np.bincount(np.frombuffer(t + b"\xff", np.uint8), minlength=256)
+    code = cm.prefix_code(seen)
+    s = cm.Stream([*train, *texts], code, model, 56)
+    use = np.repeat(np.arange(len(s.size)) < len(train), s.size)
+    keys, n, place = s.together(use)
+    c = cm.Contexts(code, 56)
+    return cm.costs(s, cm.Odds(s, place, c.lengths([keys]), c.top([keys], [n])[0], model), weights, model)[len(train) :]
+
+
+def corpus():
+    rng = np.random.default_rng(4)
+    words = [bytes(rng.integers(97, 105, int(n), np.uint8)) for n in rng.integers(1, 9, 60)] + ["ünï".encode(), b"x" * 70]
+    return [b" ".join(words[k] for k in rng.zipf(1.4, int(n)) % len(words)) for n in rng.integers(0, 90, 25)]
+
+
+@pytest.mark.parametrize("block", [16, 64])
+def test_scores_equal_the_choices_one_by_one(block):
+    rng = np.random.default_rng(5)
+    texts, model = corpus(), replace(cm.Model(), first_block=block, rate=0.2, together=3)
+    weights = rng.uniform(0.1, 0.8, (cm.GATES, 3))
+    brute = Brute(texts[:15], weights, model)
+    got = vectorised(texts[:15], texts[15:], weights, model)
+    assert np.allclose(got, [brute.bits(t) for t in texts[15:]], rtol=1e-4)
+
+
+def test_chances_of_all_that_may_follow_sum_to_one():
+    texts, model = corpus(), cm.Model()
+    weights = np.random.default_rng(6).uniform(0.1, 0.8, (cm.GATES, 3))
+    brute = Brute(texts, weights, model)
+    drift = np.array([0.05, -0.1, 0.2])
+    for stem in (b"", b"ab", texts[3][:20], b"never seen "):
+        chance = lambda t: exp(-sum(log1p(exp(-float((weights[g] + drift) @ np.array(x)))) for g, x in brute.choices(t, len(stem))))
+        assert isclose(sum(chance(stem + f) for f in [*(bytes([k]) for k in range(255)), b""]), 1.0, rel_tol=1e-6)
+
+
+def test_starting_weights_code_the_counted_choices_best():
+    rng = np.random.default_rng(7)
+    true = np.array([0.3, 0.9, 0.5])
+    cell = rng.integers(0, cm.LEVELS**3, 20_000)
+    x = np.stack([cell // cm.LEVELS % cm.LEVELS, cell % cm.LEVELS, cell // cm.LEVELS**2], 1)
+    x = (x - cm.LEVELS // 2) * cm.STEP
+    chance = 1 / (1 + np.exp(-x @ true))
+    # a choice is seen as made or, with its signs turned, as not made
+    turned = ((-x / cm.STEP + cm.LEVELS // 2).astype(int) * np.array([cm.LEVELS, 1, cm.LEVELS**2])).sum(1)
+    n = np.concatenate([chance, 1 - chance]) * 1000
+    w = cm.fit(np.concatenate([cell, turned]), n, 3)
+    assert np.allclose(w[0], true, atol=1e-3) and np.allclose(w[1], 1 / 3)
 
 
 def test_equal_texts_score_equally_in_any_company():
-    m = cm.Model(slot_bits=12, piece=2_000)
-    rng = np.random.default_rng(2)
-    odds = rng.normal(0, 1, (3, 4096)).astype(np.float32)
-    code = cm.prefix_code(np.ones(256))
-    texts = [bytes(rng.integers(97, 110, int(n), np.uint8)) for n in rng.integers(0, 3_000, 20)]
-    together = cm.costs(texts, code, odds, m)
-    assert all(isclose(cm.costs([t], code, odds, m)[0], c, rel_tol=1e-6, abs_tol=1e-6) for t, c in zip(texts, together))
+    texts, model = corpus(), replace(cm.Model(), together=4)
+    weights = np.full((cm.GATES, 3), 0.4)
+    long = b" ".join(texts * 20)
+    together = vectorised(texts[:5], [*texts, long], weights, model)
+    assert all(isclose(vectorised(texts[:5], [t], weights, model)[0], c, rel_tol=1e-6) for t, c in zip([*texts, long], together))
+
+
+def test_messages_follow_the_buckets():
+    """A bucket sends so many messages whatever the corpus; levels are added as it grows."""
+    keys = np.sort(np.random.default_rng(0).integers(0, 2**63, 5_000).astype(np.uint64))
+    sent = {n: sum(1 << w for w in exchange.Tree(n, cm.Tokens()).widths) for n in (40, 2_500, 10_000_000)}
+    assert len(exchange.Tree(2_500, cm.Tokens()).send(1, [keys], [np.ones(5_000, np.int64)])) <= 64
+    assert sent[40] <= 64 and sent[2_500] <= 128 and sent[10_000_000] <= 256
