@@ -4,7 +4,7 @@ A lower-cased text is a sequence of bytes and one end symbol. A prefix code over
 choice is predicted by hashed contexts of several orders: the log-odds of the training documents' counts. Predictions are summed under
 weights that a gate selects (how far into the code, and how often the word so far was seen) and squashed. The weights start from those that
 code all training documents best, where no place counts for itself; while a text is read they move, block by block, down the gradient of its
-coding cost. The sum of the choices' costs is the text's bits, a proper code length: all bytes that may follow share a chance of one.
+coding cost; the last order's moves as a multiple of its gated weight. The sum of the choices' costs is the text's bits, a proper code length: all bytes that may follow share a chance of one.
 
 Counting covers all training documents and follows the corpus: buckets send the distinct (context, byte) pairs that they hold, with their
 counts, up a tree of ranges (exchange.py), which answers each pair with the counts along its path over the whole corpus. Context hashes grow
@@ -32,18 +32,19 @@ from pyspark.sql import functions as F
 
 from skein.llm import exchange as X
 from skein.llm.knn_quality import remainder
-from skein.llm.substring import LONG_WORD, SPACE, mix, powers
+from skein.llm.substring import BYTE_BASE, SPACE, mix
 from skein.llm.tables import cut
 
 U = np.uint64
 END = 255  # never in UTF-8
 GAP = SPACE | (np.arange(256) == END)
 WORD = 32  # bytes of a word that are read at once
-BUCKET_BYTES = 8_000_000
+BUCKET_BYTES = 4_000_000
 AT_ONCE, CELLS_AT_ONCE = 16_000, 240_000  # bytes
-ROW = 4  # choices of a byte that are kept side by side
+ROW = 5  # choices of a byte that are kept side by side
 SEEN = np.array([1, 2, 4, 16, 256])  # a gate for each range of counts
 GATES = (ROW + 1) * (len(SEEN) + 1)
+POWERS = np.cumprod(np.full(WORD, BYTE_BASE, U))
 LEVELS, STEP = 33, 0.5  # quantised predictions, for the starting weights only
 
 
@@ -53,7 +54,7 @@ class Model:
     prior: float = 0.4
     first_block: int = 64  # bytes
     last_block: int = 1024
-    rate: float = 0.03
+    rate: float = 0.015
     together: int = 128  # texts read side by side
 
 
@@ -127,6 +128,7 @@ class Stream:
         self.size = np.fromiter(map(len, texts), np.int64, len(texts)) + 1
         self.first = np.cumsum(self.size) - self.size
         self.code, self.model, self.shift = code, model, U(64 - context_bits)
+        self.more = np.maximum(code.length - ROW, 0).astype(np.uint8).take(self.buf)  # choices behind the row
         self._words()
         found = [self._front(k) if k else self._word() for k in model.orders]
         self.keys, self.entry = [f[0] for f in found], [f[1] for f in found]
@@ -147,45 +149,46 @@ class Stream:
 
     def _words(self) -> None:
         """Words with the byte behind them, long ones in pieces: where they start, their sizes, and which are later pieces."""
-        buf, n = self.buf, len(self.buf)
-        up, self.down = powers(1 << n.bit_length())
-        self.total = np.empty(n + 1, U)
-        self.total[0] = 0
-        np.cumsum((buf + U(1)) * up[:n], out=self.total[1:])
-        self.word = np.concatenate([np.zeros(1, np.int64), np.flatnonzero(GAP[buf[:-1]]) + 1])
+        n = len(self.buf)
+        self.word = np.concatenate([np.zeros(1, np.int64), np.flatnonzero(GAP[self.buf[:-1]]) + 1])
         size = np.diff(self.word, append=n)
         pieces = -(-size // WORD)
         place = np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces)
         self.piece = np.repeat(self.word, pieces) + place * WORD
         self.piece_size, self.later = np.diff(self.piece, append=n), place > 0
-
-    def _hash(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        return (self.total[end] - self.total[start]) * self.down[start]
+        away = np.arange(n, dtype=np.int32) - np.repeat(self.piece.astype(np.int32), self.piece_size)
+        self.hash = np.add.reduceat((self.buf + U(1)) * POWERS.take(away), self.piece)
 
     def tokens(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(hashes of the distinct tokens, the token of each place, its text); every text's last is its end, with hash 0."""
-        start, end = self.word, np.append(self.word[1:], len(self.buf)) - 1  # the byte behind the word
-        h = mix(self._hash(start, end) + (end - start).astype(U))
-        for k in np.flatnonzero(end - start > LONG_WORD):
+        size = np.diff(self.word, append=len(self.buf)) - 1
+        short = size < WORD
+        h = np.empty(len(size), U)
+        whole = np.flatnonzero(~self.later)
+        # without the byte behind it
+        h[short] = mix(self.hash[whole] - (self.buf[self.word + size] + U(1)) * POWERS[np.minimum(size, WORD - 1)] + size.astype(U))[short]
+        for k in np.flatnonzero(~short):
             import xxhash
 
-            h[k] = xxhash.xxh64_intdigest(self.buf[start[k] : end[k]].tobytes(), 1)
-        doc = np.searchsorted(self.first, start, "right") - 1
-        some = end > start
+            h[k] = xxhash.xxh64_intdigest(self.buf[self.word[k] : self.word[k] + size[k]].tobytes(), 1)
+        doc = np.searchsorted(self.first, self.word, "right") - 1
+        some = size > 0
         own, at = find(np.concatenate([h[some], np.zeros(len(self.first), U)]))
         return own, at, np.concatenate([doc[some], np.arange(len(self.first))])
 
     def _word(self) -> tuple[np.ndarray, np.ndarray]:
         """All bytes of the word so far. Each kind of word is worked out once."""
         start, size, later = self.piece, self.piece_size, self.later
-        kinds, which = find(mix(self._hash(start, start + size) + later, 9) & ~U(63) | size.astype(U))
+        kinds, which = find(mix(self.hash + later, 9) & ~U(63) | size.astype(U))
         lead = np.zeros(len(kinds), np.int64)
         lead[which[::-1]] = np.arange(len(start))[::-1]
         length = size[lead]
         own = np.cumsum(length) - length
-        at = np.arange(length.sum()) + np.repeat(start[lead] - own, length)
-        context = (self.total[at] - np.repeat(self.total[start[lead]], length)) * np.repeat(self.down[start[lead]], length) + np.repeat(later[lead], length)
-        keys, entry = find(self._key(context, 0, self.buf[at]))
+        away = np.arange(length.sum()) - np.repeat(own, length)
+        byte = self.buf[away + np.repeat(start[lead], length)]
+        total = np.concatenate([np.zeros(1, U), np.cumsum((byte + U(1)) * POWERS.take(away))])
+        context = total[:-1] - np.repeat(total[own], length) + np.repeat(later[lead], length)
+        keys, entry = find(self._key(context, 0, byte))
         return keys, entry[np.repeat(own[which] - start, size) + np.arange(len(self.buf))]
 
     def together(self, use: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -227,17 +230,17 @@ class Contexts(X.Scheme):
         out = np.zeros(length.sum(), np.uint16)
         # the bytes under a node of the code are neighbours within a context; with the one in front, a byte shares so many choices
         shared = np.full(len(place), -1, np.int8)
-        shared[1:] = np.where(context[1:] == context[:-1], self.code.shared[place[1:], place[:-1]], -1)
+        shared[1:] = np.where(context[1:] == context[:-1], self.code.shared.ravel().take(place[1:] << 8 | place[:-1]), -1)
         total = np.concatenate([np.zeros(1, np.int64), np.cumsum(values[0], dtype=np.int64)])
         left, before = np.arange(len(place)), None
         for depth in range(int(length.max(initial=0)) + 1):
             heads = np.flatnonzero(shared < depth)
             ends = np.append(heads[1:], len(shared))
-            seen = np.repeat(total[ends] - total[heads], ends - heads)[left]
+            seen = np.repeat(total.take(ends) - total.take(heads), ends - heads).take(left)
             if before is not None:
                 out[first[left] + depth - 1] = to_code(seen).astype(np.uint16) << 8 | to_code(before - seen)
-            on = length[left] > depth
-            left, before = left[on], seen[on]
+            on = np.flatnonzero(length.take(left) > depth)
+            left, before = left.take(on), seen.take(on)
         return [out]
 
 
@@ -279,12 +282,12 @@ def edges(longest: int, model: Model) -> np.ndarray:
 
 def beyond(stream: Stream, odds: Odds, byte: np.ndarray, entry: list[np.ndarray]) -> tuple[list[np.ndarray], np.ndarray]:
     """(per order, the places in odds.rest of the choices behind the rows; how many each byte has)."""
-    n = np.maximum(stream.code.length[stream.buf[byte]] - ROW, 0)
+    n = stream.more.take(byte)
     some = np.flatnonzero(n)
-    m = n[some]
+    m = n.take(some).astype(np.int64)
     ends = np.cumsum(m)
     count = np.arange(ends[-1] if len(ends) else 0)
-    return [np.repeat(s[e[some]] - (ends - m), m) + count for s, e in zip(odds.begin, entry)], n
+    return [np.repeat(s.take(e.take(some)) - (ends - m), m) + count for s, e in zip(odds.begin, entry)], n
 
 
 def cells(stream: Stream, odds: Odds, use: np.ndarray) -> np.ndarray:
@@ -300,7 +303,7 @@ def cells(stream: Stream, odds: Odds, use: np.ndarray) -> np.ndarray:
         cell = []
         for p in range(k, min(len(byte), k + CELLS_AT_ONCE), AT_ONCE):
             own = byte[p : p + AT_ONCE]
-            entry = [e[own] for e in stream.entry]
+            entry = [e.take(own) for e in stream.entry]
             at, _ = beyond(stream, odds, own, entry)
             for x in ([r.take(e, 0).ravel() for r, e in zip(row, entry)], [rest.take(a) for a in at[:-1]] + [last.take(at[-1])]):
                 one = x[-1]
@@ -340,14 +343,14 @@ def costs(stream: Stream, odds: Odds, weights: np.ndarray, model: Model) -> np.n
     row_w, rest_w = [w[i].take(odds.gate) for i in orders], [w[i].take(odds.rest_gate) for i in orders]
     own_row = row_w[-1] * odds.row[-1]
     own_row[odds.gate == GATES] = 60  # choices that there are not cost nothing
-    own_rest = rest_w[-1] * odds.rest
+    own_rest, row = rest_w[-1] * odds.rest, [*odds.row[:-1], own_row]
     out = np.zeros(len(stream.size))
     by_length = np.argsort(-stream.size, kind="stable")
     for k in range(0, len(by_length), model.together):
         texts = by_length[k : k + model.together]
         size, first = stream.size[texts], stream.first[texts]
         drift = np.zeros((len(orders), len(texts)), np.float32)
-        nats, read = np.zeros(len(texts)), np.zeros(len(texts))
+        nats = np.zeros(len(texts))
         block = edges(int(size[0]), model)
         for low, high in zip(block[:-1], block[1:]):
             m = int(np.searchsorted(-size, -low))  # those that go on: longest first
@@ -355,15 +358,15 @@ def costs(stream: Stream, odds: Odds, weights: np.ndarray, model: Model) -> np.n
             n = np.minimum(high, size[:m]) - low
             ends = np.cumsum(n)
             byte = np.repeat(first[:m] + low - (ends - n), n) + np.arange(ends[-1])
-            entry = [e[byte] for e in stream.entry]
+            entry = [e.take(byte) for e in stream.entry]
             at, many = beyond(stream, odds, byte, entry)
-            many = np.add.reduceat(many, ends - n)
+            many = np.add.reduceat(many, ends - n, dtype=np.int64)
             e = entry[-1]
-            rows = [x.take(y, 0).ravel() for x, y in zip(odds.row, entry)], own_row.take(e, 0).ravel(), [x.take(e, 0).ravel() for x in row_w[:-1]], n * ROW
-            rest = [odds.rest.take(a) for a in at], own_rest.take(at[-1]), [x.take(at[-1]) for x in rest_w[:-1]], many
+            rows = [x.take(y, 0).ravel() for x, y in zip(row, entry)], [x.take(e, 0).ravel() for x in row_w[:-1]], n * ROW
+            rest = [x.take(a) for x, a in zip([*[odds.rest] * (len(orders) - 1), own_rest], at)], [x.take(at[-1]) for x in rest_w[:-1]], many
             slope = np.zeros((len(orders), more), np.float32)
-            for x, z, gated, count in (rows, rest):
-                stops = np.cumsum(count)
+            for x, gated, count in (rows, rest):
+                stops, z = np.cumsum(count), x[-1].copy()
                 for i in orders[:-1]:
                     z += gated[i] * x[i]
                 if low:
@@ -376,8 +379,7 @@ def costs(stream: Stream, odds: Odds, weights: np.ndarray, model: Model) -> np.n
                     miss = miss / (1 + miss)  # what the chance of the choice lacks
                     for i in orders:
                         slope[i] += between(miss * x[i][: len(miss)], stops[:more])
-            read[:m] += many + np.add.reduceat(np.minimum(stream.code.length[stream.buf[byte]], ROW), ends - n)
-            drift[:, :more] += (model.rate / np.sqrt(read[:more])).astype(np.float32) * slope
+            drift[:, :more] += np.float32(model.rate / np.sqrt(high)) * slope
         out[texts] = nats / log(2)
     return out
 
@@ -395,8 +397,8 @@ SENT = f"kind string, {X.UP}"
 SAID = f"kind string, {X.DOWN}"
 
 
-def _lower(column: pa.ChunkedArray) -> list[bytes]:
-    return [t.encode("utf-8").lower() for t in column.to_pylist()]
+def _lower(column: pa.Array | pa.ChunkedArray) -> list[bytes]:
+    return [t.lower() for t in column.cast(pa.binary()).to_pylist()]
 
 
 def score(docs: DataFrame, train, model: Model = Model(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -77,10 +77,11 @@ class Brute:
             slope = np.zeros(len(drift))
             for p in range(low, high):
                 for gate, x in self.choices(t, p):
-                    z = float((self.w[gate] + drift) @ np.array(x))
+                    x = np.array([*x[:-1], x[-1] * self.w[gate][-1]])
+                    z = float(np.array([*self.w[gate][:-1], 1.0]) @ x + drift @ x)
                     total += log1p(exp(-z))
-                    slope += np.array(x) / (1 + exp(z))
-                    read += 1
+                    slope += x / (1 + exp(z))
+            read += high - low
             drift += self.model.rate / np.sqrt(read) * slope
         return total / log(2)
 
