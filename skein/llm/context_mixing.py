@@ -33,13 +33,13 @@ from pyspark.sql import functions as F
 from skein.llm import exchange as X
 from skein.llm.knn_quality import remainder
 from skein.llm.substring import BYTE_BASE, SPACE, mix
-from skein.llm.tables import cut
 
 U = np.uint64
 END = 255  # never in UTF-8
 GAP = SPACE | (np.arange(256) == END)
 WORD = 32  # bytes of a word that are read at once
 BUCKET_BYTES = 4_000_000
+CELL_BUCKETS = 64  # whose cells meet in one task
 AT_ONCE, CELLS_AT_ONCE = 16_000, 240_000  # bytes
 ROW = 5  # choices of a byte that are kept side by side
 SEEN = np.array([1, 2, 4, 16, 256])  # a gate for each range of counts
@@ -393,17 +393,12 @@ def between(x: np.ndarray, ends: np.ndarray) -> np.ndarray:
     return out
 
 
-SENT = f"kind string, {X.UP}"
-SAID = f"kind string, {X.DOWN}"
-
-
 def _lower(column: pa.Array | pa.ChunkedArray) -> list[bytes]:
     return [t.lower() for t in column.cast(pa.binary()).to_pylist()]
 
 
 def score(docs: DataFrame, train, model: Model = Model(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_tokens, n_known, train_tokens, base_score, bits, n_bytes, score). train: a function of the id's column."""
-    spark = docs.sparkSession
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
     rows = rows.withColumn("train", F.coalesce(train(F.col("doc_id")), F.lit(True)))
     kind = dict(rows.dtypes)["doc_id"]
@@ -424,8 +419,8 @@ def score(docs: DataFrame, train, model: Model = Model(), id_col: str = "doc_id"
         counts[r["byte"]] = r["n"]
     code = prefix_code(counts[:256])
     context_bits = min(56, max(40, int(counts[256]).bit_length() + 10))
-    tokens, contexts = Tokens(), Contexts(code, context_bits)
-    token_tree, context_tree = (X.Tree(int(counts[257]), s) for s in (tokens, contexts))
+    contexts = Contexts(code, context_bits)
+    tree, groups = X.Tree(int(counts[257]), [Tokens(), contexts]), ceil(counts[257] / CELL_BUCKETS) or 1
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Each bucket's texts, packed; its distinct tokens and pairs with their training counts; its choices for the starting weights."""
@@ -435,42 +430,47 @@ def score(docs: DataFrame, train, model: Model = Model(), id_col: str = "doc_id"
             word, at, doc = stream.tokens()
             n = np.bincount(at[use[doc]], minlength=len(word))
             order = np.argsort(word)
-            out = [("text", None, bucket, None, None, [X.freeze(left)])]
-            out += [("token", *x) for x in token_tree.send(bucket, [word[order]], [n[order]])]
+            out = [tree.carry(bucket, [X.freeze(left)]), *tree.send(bucket, 0, [word[order]], [n[order]])]
             trained = np.repeat(use, stream.size)
             keys, n, place = stream.together(trained)
-            out += [("context", *x) for x in context_tree.send(bucket, [keys], [n])]
+            out += tree.send(bucket, 1, [keys], [n])
             cell = cells(stream, Odds(stream, place, contexts.lengths([keys]), contexts.top([keys], [n])[0], model, 1), trained)
             some = np.flatnonzero(cell)
-            out.append(("cell", None, bucket, None, X.pack_sorted(some.astype(U)), [X.pack(cell[some])]))
-            yield from X.table(out, SENT).to_batches()
-
-    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for r in b.to_pylist():
-                yield pa.RecordBatch.from_arrays([pa.array(X.unpack_sorted(r["keys"]).astype(np.int64)), pa.array(X.unpack(r["values"][0], np.int64))], names=["cell", "n"])
-
-    sent = cut(rows.mapInArrow(gather, SENT))
-    of = lambda k: sent.where(F.col("kind") == k).drop("kind")
-    answers = token_tree.totals(of("token")).select(F.lit("token").alias("kind"), "*").union(context_tree.totals(of("context")).select(F.lit("context").alias("kind"), "*"))
-    counted = of("cell").select("keys", "values").mapInArrow(spread, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()  # at most as many rows as the model has cells
-    weights = fit(np.asarray(counted["cell"]), np.asarray(counted["n"]), len(model.orders))
+            out.append(tree.carry(tree.number(bucket) % groups, [X.pack_sorted(some.astype(U)), X.pack(cell[some])], 1))
+            yield from X.table(out, X.UP).to_batches()
+
+    def add(t: pa.Table) -> pa.Table:
+        """The cells of some buckets."""
+        out = np.zeros((GATES + 1) * LEVELS ** len(model.orders), np.int64)
+        if t.column("to")[0].as_py() & 3 == X.PASS:
+            for x in t.filter(pa.compute.equal(t.column("at"), 1)).column("values").to_pylist():
+                out[X.unpack_sorted(x[0]).astype(np.int64)] += X.unpack(x[1], np.int64)
+        some = np.flatnonzero(out)
+        return pa.table({"cell": some, "n": out[some]})
+
+    def solve(t: pa.Table) -> pa.Table:
+        return pa.table({"w": pa.array([fit(np.asarray(t.column("cell")), np.asarray(t.column("n")), len(model.orders)).tobytes()], pa.binary())})
+
+    # one shuffle serves the answers and the cells; there are at most as many sums as the model has cells, and one row of weights
+    sent = rows.mapInArrow(gather, X.UP)
+    weights = sent.groupBy("to").applyInArrow(add, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).withColumn("all", F.lit(0)).groupBy("all").applyInArrow(solve, "w binary")
     schema = f"doc_id {kind}, n_tokens long, n_known long, train_tokens long, base_score double, bits double, n_bytes long"
 
-    def apply(left: pa.Table, said: pa.Table) -> pa.Table:
-        left = X.thaw(left.column("values")[0][0].as_py())
+    def apply(said: pa.Table) -> pa.Table:
+        left = X.thaw(X.carried(said)[0])
+        weights = np.frombuffer(said.column("w")[0].as_py()).reshape(GATES, -1)
+        said = said.drop_columns("w")
         texts = _lower(left.column("t"))
-        parts = {k: said.filter(pa.compute.equal(said.column("kind"), k)) for k in ("token", "context")}
         stream = Stream(texts, code, model, context_bits)
         word, at, doc = stream.tokens()
-        (count,), (v, total) = token_tree.read(parts["token"])
+        (count,), (v, total) = tree.read(said, 0)
         c = np.empty(len(word), np.int64)
         c[np.argsort(word)] = count
         c = c[at]
         n = np.bincount(doc, minlength=len(texts))
         keys, _, place = stream.together(np.zeros(len(stream.buf), bool))
-        (said,), _ = context_tree.read(parts["context"])
-        odds = Odds(stream, place, contexts.lengths([keys]), said, model)
+        (answers,), _ = tree.read(said, 1)
+        odds = Odds(stream, place, contexts.lengths([keys]), answers, model)
         return pa.table(
             {
                 "doc_id": left.column("doc_id"),
@@ -483,7 +483,8 @@ def score(docs: DataFrame, train, model: Model = Model(), id_col: str = "doc_id"
             }
         )
 
-    out = of("text").groupBy("child").cogroup(answers.groupBy("child")).applyInArrow(apply, schema)
+    said = tree.totals(sent).join(F.broadcast(weights), F.lit(True))
+    out = said.groupBy("child").applyInArrow(apply, schema)
     return out.withColumn("score", F.col("bits") * (-log(2) / log(10)))
 
 

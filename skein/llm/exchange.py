@@ -18,9 +18,10 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 U = np.uint64
-FAN_BITS = 6
-UP = "node long, child long, at int, keys binary, values array<binary>"
-DOWN = "child long, at int, values array<binary>"
+FAN_BITS = 8
+PASS = 3
+UP = "to long, child long, at int, keys binary, values array<binary>"
+DOWN = "child long, kind int, at int, values array<binary>"
 
 
 def pack(x: np.ndarray) -> bytes:
@@ -128,33 +129,40 @@ class Scheme:
 
 
 class Tree:
-    def __init__(self, buckets: int, scheme: Scheme, fan_bits: int | None = None):
+    """Several schemes at once. Rows of UP are grouped by `to`: a node's number and the scheme's place; PASS marks what goes along unread."""
+
+    def __init__(self, buckets: int, schemes: list[Scheme], fan_bits: int | None = None):
         bits = ceil(log2(max(1, buckets)))
         levels = max(1, ceil(bits / (fan_bits or FAN_BITS)))
         self.widths = [bits // levels + (k < bits % levels) for k in range(levels)]
-        self.scheme = scheme
+        self.schemes = schemes
 
     def number(self, bucket: int) -> int:
         """Buckets are dealt to the first level by a hash."""
         return (bucket * 0x9E3779B97F4A7C15 % 2**64) >> 20 & ((1 << sum(self.widths)) - 1)
 
-    def messages(self, level: int, node: int, child: int, keys: list[np.ndarray], values: list[np.ndarray]) -> list[tuple]:
-        """Rows of UP to the nodes of the next level, one for each of its ranges even if it is empty."""
-        had, width = sum(self.widths[:level]), self.widths[level]
+    def _messages(self, level: int, node: int, child: int, kind: int, keys: list[np.ndarray], values: list[np.ndarray]) -> list[tuple]:
+        """Rows to the nodes of the next level, one for each of its ranges even if it is empty."""
+        scheme, had, width = self.schemes[kind], sum(self.widths[:level]), self.widths[level]
         have = had + width
         group = node >> have << have
         low = (node & ((1 << had) - 1)) << width if level else 0
-        at = (keys[0] >> U(self.scheme.bits - have)).astype(np.int64) if have else np.zeros(len(keys[0]), np.int64)
+        at = (keys[0] >> U(scheme.bits - have)).astype(np.int64) if have else np.zeros(len(keys[0]), np.int64)
         edges = np.searchsorted(at, np.arange(low, low + (1 << width) + 1))
         cut = [(k, slice(edges[k], edges[k + 1])) for k in range(1 << width)]
-        return [(group | low | k, child, k, *self.scheme._packed([x[s] for x in keys], [x[s] for x in values])) for k, s in cut]
+        return [((group | low | k) << 2 | kind, child, k, *scheme._packed([x[s] for x in keys], [x[s] for x in values])) for k, s in cut]
+
+    def send(self, bucket: int, kind: int, keys: list[np.ndarray], values: list[np.ndarray]) -> list[tuple]:
+        """Rows of UP with a bucket's keys."""
+        return self._messages(0, self.number(bucket), bucket, kind, keys, values)
 
-    def send(self, bucket: int, keys: list[np.ndarray], values: list[np.ndarray]) -> list[tuple]:
-        return self.messages(0, self.number(bucket), bucket, keys, values)
+    def carry(self, bucket: int, values: list[bytes], at: int = 0) -> tuple:
+        """A row that comes back to its bucket as it is, if `at` is 0."""
+        return bucket << 2 | PASS, bucket, at, None, values
 
-    def _meet(self, rows: list[dict]):
+    def _meet(self, scheme: Scheme, rows: list[dict]):
         """(children's values, merged keys and values, for each child the places of its keys among the merged ones)."""
-        parts = [self.scheme._unpacked(r["keys"], r["values"]) for r in rows]
+        parts = [scheme._unpacked(r["keys"], r["values"]) for r in rows]
         keys = [np.concatenate(x) for x in zip(*(k for k, _ in parts))]
         values = [np.concatenate(x) for x in zip(*(v for _, v in parts))]
         order = np.lexsort(keys[::-1]) if len(keys) > 1 else np.argsort(keys[0], kind="stable")
@@ -164,13 +172,13 @@ class Tree:
         place = np.empty(len(order), np.int64)
         place[order] = np.cumsum(new) - 1
         heads = np.flatnonzero(new)
-        merged = self.scheme.merge([v[order] for v in values], heads) if len(order) else values
+        merged = scheme.merge([v[order] for v in values], heads) if len(order) else values
         ends = np.cumsum([0, *(len(k[0]) for k, _ in parts)])
         return [v for _, v in parts], [k[order][heads] for k in keys], merged, [place[a:b] for a, b in zip(ends[:-1], ends[1:])]
 
-    def _reply(self, rows: list[dict], answers: list[np.ndarray], sums: np.ndarray, met) -> pa.Table:
-        own, keys, merged, places = met
-        many = self.scheme.lengths(keys)
+    def _reply(self, kind: int, rows: list[dict], answers: list[np.ndarray], sums: np.ndarray, met) -> pa.Table:
+        scheme, (own, keys, merged, places) = self.schemes[kind], met
+        many = scheme.lengths(keys)
         first = None if many is None else np.cumsum(many) - many
         out = []
         for r, mine, at in zip(rows, own, places):
@@ -178,44 +186,61 @@ class Tree:
             if many is not None:
                 n = many[at]
                 said.append(answers[-1][np.repeat(first[at] - (np.cumsum(n) - n), n) + np.arange(n.sum())])
-            said = self.scheme.child(said, mine, [v[at] for v in merged])
-            out.append((r["child"], r["at"], [*(pack(x) for x in said), pack(sums)]))
+            said = scheme.child(said, mine, [v[at] for v in merged])
+            out.append((r["child"], kind, r["at"], [*(pack(x) for x in said), pack(sums)]))
         return table(out, DOWN)
 
     def totals(self, sent: DataFrame) -> DataFrame:
-        """The answers to rows of UP, as rows of DOWN; read() puts a bucket's together."""
+        """The answers to rows of UP, as rows of DOWN, and what was carried; read() puts a bucket's together.
+
+        Every step groups `sent` by the same key, so that Spark shuffles it once.
+        """
+
+        def carried(rows: list[dict]) -> pa.Table:
+            return table([(r["child"], PASS, 0, r["values"]) for r in rows if r["at"] == 0], DOWN)
 
         def rise(level: int):
             def run(t: pa.Table) -> pa.Table:
-                rows = t.to_pylist()
-                _, keys, merged, _ = self._meet(rows)
-                return table(self.messages(level, rows[0]["node"], rows[0]["node"], keys, merged), UP)
+                to = t.column("to")[0].as_py()
+                if to & 3 == PASS:
+                    return table([], UP)
+                _, keys, merged, _ = self._meet(self.schemes[to & 3], t.to_pylist())
+                return table(self._messages(level, to >> 2, to, to & 3, keys, merged), UP)
 
             return run
 
         def top(t: pa.Table) -> pa.Table:
             rows = t.to_pylist()
-            met = self._meet(rows)
-            return self._reply(rows, self.scheme.top(met[1], met[2]), self.scheme.sums(met[1], met[2]), met)
+            kind = rows[0]["to"] & 3
+            if kind == PASS:
+                return carried(rows)
+            met, scheme = self._meet(self.schemes[kind], rows), self.schemes[kind]
+            return self._reply(kind, rows, scheme.top(met[1], met[2]), scheme.sums(met[1], met[2]), met)
 
         def fall(t: pa.Table, said: pa.Table) -> pa.Table:
             rows = t.to_pylist()
-            if not rows:
-                return table([], DOWN)
-            return self._reply(rows, *self.read(said), self._meet(rows))
+            kind = rows[0]["to"] & 3 if rows else PASS
+            if kind == PASS:
+                return carried(rows)
+            return self._reply(kind, rows, *self.read(said, kind), self._meet(self.schemes[kind], rows))
 
         up = [sent]
         for level in range(1, len(self.widths)):
-            up.append(up[-1].groupBy("node").applyInArrow(rise(level), UP))
-        down = up[-1].groupBy("node").applyInArrow(top, DOWN)
+            up.append(up[-1].groupBy("to").applyInArrow(rise(level), UP))
+        down = up[-1].groupBy("to").applyInArrow(top, DOWN)
         for level in reversed(range(len(self.widths) - 1)):
-            down = up[level].groupBy("node").cogroup(down.groupBy("child")).applyInArrow(fall, DOWN)
+            down = up[level].groupBy("to").cogroup(down.groupBy("child")).applyInArrow(fall, DOWN)
         return down
 
-    def read(self, said: pa.Table) -> tuple[list[np.ndarray], np.ndarray]:
-        """(answers in the order of the keys that were sent, sums)."""
-        rows = sorted(said.to_pylist(), key=lambda r: r["at"])
-        kinds = self.scheme.answers
+    def read(self, said: pa.Table, kind: int) -> tuple[list[np.ndarray], np.ndarray]:
+        """(a scheme's answers in the order of the keys that were sent, sums)."""
+        rows = sorted((r for r in said.to_pylist() if r["kind"] == kind), key=lambda r: r["at"])
+        kinds = self.schemes[kind].answers
         answers = [np.concatenate([*(unpack(r["values"][i], k) for r in rows), np.empty(0, k)]) for i, k in enumerate(kinds)]
         sums = [unpack(r["values"][len(kinds)], np.int64) for r in rows]
         return answers, np.sum(sums, axis=0) if sums else np.zeros(0, np.int64)
+
+
+def carried(said: pa.Table) -> list[bytes] | None:
+    """What carry() took along."""
+    return next((r["values"] for r in said.to_pylist() if r["kind"] == PASS), None)

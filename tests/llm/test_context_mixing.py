@@ -149,6 +149,6 @@ def test_equal_texts_score_equally_in_any_company():
 def test_messages_follow_the_buckets():
     """A bucket sends so many messages whatever the corpus; levels are added as it grows."""
     keys = np.sort(np.random.default_rng(0).integers(0, 2**63, 5_000).astype(np.uint64))
-    sent = {n: sum(1 << w for w in exchange.Tree(n, cm.Tokens()).widths) for n in (40, 2_500, 10_000_000)}
-    assert len(exchange.Tree(2_500, cm.Tokens()).send(1, [keys], [np.ones(5_000, np.int64)])) <= 64
-    assert sent[40] <= 64 and sent[2_500] <= 128 and sent[10_000_000] <= 256
+    tree = {n: exchange.Tree(n, [cm.Tokens()]) for n in (40, 2_500, 10_000_000)}
+    assert [sum(1 << w for w in t.widths) for t in tree.values()] == [64, 128, 768]
+    assert len(tree[2_500].send(1, 0, [keys], [np.ones(5_000, np.int64)])) == 64
