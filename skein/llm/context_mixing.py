@@ -225,20 +225,22 @@ class Contexts(X.Scheme):
 
     def top(self, keys, values):
         place, context = (keys[0] & U(255)).astype(np.int64), keys[0] >> U(8)
-        length = self.by_place[place]
-        first = np.cumsum(length) - length
-        out = np.zeros(length.sum(), np.uint16)
+        length, n = self.by_place[place], values[0]
+        new = np.ones(len(place), bool)
+        new[1:] = context[1:] != context[:-1]
+        out = np.repeat(to_code(n).astype(np.uint16) << 8, length)  # right for the only byte of a context
+        some = np.flatnonzero(~(new & np.append(new[1:], True)))
+        first = (np.cumsum(length) - length).take(some)
         # the bytes under a node of the code are neighbours within a context; with the one in front, a byte shares so many choices
-        shared = np.full(len(place), -1, np.int8)
-        shared[1:] = np.where(context[1:] == context[:-1], self.code.shared.ravel().take(place[1:] << 8 | place[:-1]), -1)
-        total = np.concatenate([np.zeros(1, np.int64), np.cumsum(values[0], dtype=np.int64)])
-        left, before = np.arange(len(place)), None
+        shared = np.where(new[some], -1, self.code.shared.ravel().take(place[some] << 8 | place[some - 1]))
+        total, length = np.concatenate([np.zeros(1, np.int64), np.cumsum(n[some])]), length[some]
+        left, before = np.arange(len(some)), None
         for depth in range(int(length.max(initial=0)) + 1):
             heads = np.flatnonzero(shared < depth)
-            ends = np.append(heads[1:], len(shared))
-            seen = np.repeat(total.take(ends) - total.take(heads), ends - heads).take(left)
+            group = np.searchsorted(heads, left, "right") - 1
+            seen = (np.append(total.take(heads[1:]), total[-1]) - total.take(heads)).take(group) if len(left) else left
             if before is not None:
-                out[first[left] + depth - 1] = to_code(seen).astype(np.uint16) << 8 | to_code(before - seen)
+                out[first.take(left) + (depth - 1)] = to_code(seen).astype(np.uint16) << 8 | to_code(before - seen)
             on = np.flatnonzero(length.take(left) > depth)
             left, before = left.take(on), seen.take(on)
         return [out]
@@ -430,21 +432,20 @@ def score(docs: DataFrame, train, model: Model = Model(), id_col: str = "doc_id"
             word, at, doc = stream.tokens()
             n = np.bincount(at[use[doc]], minlength=len(word))
             order = np.argsort(word)
-            out = [tree.carry(bucket, [X.freeze(left)]), *tree.send(bucket, 0, [word[order]], [n[order]])]
+            out = [tree.keep(bucket, [X.freeze(left)]), *tree.send(bucket, 0, [word[order]], [n[order]])]
             trained = np.repeat(use, stream.size)
             keys, n, place = stream.together(trained)
             out += tree.send(bucket, 1, [keys], [n])
             cell = cells(stream, Odds(stream, place, contexts.lengths([keys]), contexts.top([keys], [n])[0], model, 1), trained)
             some = np.flatnonzero(cell)
-            out.append(tree.carry(tree.number(bucket) % groups, [X.pack_sorted(some.astype(U)), X.pack(cell[some])], 1))
+            out.append(tree.keep(tree.number(bucket) % groups, [X.pack_sorted(some.astype(U)), X.pack(cell[some])], 1))
             yield from X.table(out, X.UP).to_batches()
 
     def add(t: pa.Table) -> pa.Table:
         """The cells of some buckets."""
         out = np.zeros((GATES + 1) * LEVELS ** len(model.orders), np.int64)
-        if t.column("to")[0].as_py() & 3 == X.PASS:
-            for x in t.filter(pa.compute.equal(t.column("at"), 1)).column("values").to_pylist():
-                out[X.unpack_sorted(x[0]).astype(np.int64)] += X.unpack(x[1], np.int64)
+        for at, n in X.kept(t, 1):
+            out[X.unpack_sorted(at).astype(np.int64)] += X.unpack(n, np.int64)
         some = np.flatnonzero(out)
         return pa.table({"cell": some, "n": out[some]})
 
@@ -456,10 +457,11 @@ def score(docs: DataFrame, train, model: Model = Model(), id_col: str = "doc_id"
     weights = sent.groupBy("to").applyInArrow(add, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).withColumn("all", F.lit(0)).groupBy("all").applyInArrow(solve, "w binary")
     schema = f"doc_id {kind}, n_tokens long, n_known long, train_tokens long, base_score double, bits double, n_bytes long"
 
-    def apply(said: pa.Table) -> pa.Table:
-        left = X.thaw(X.carried(said)[0])
-        weights = np.frombuffer(said.column("w")[0].as_py()).reshape(GATES, -1)
-        said = said.drop_columns("w")
+    def apply(left: pa.Table, said: pa.Table) -> pa.Table:
+        if not said.num_rows:  # a node, or cells
+            return pa.table({})
+        left = X.thaw(X.kept(left)[0][0])
+        weights = np.frombuffer(next(w for w in said.column("w").to_pylist() if w)).reshape(GATES, -1)
         texts = _lower(left.column("t"))
         stream = Stream(texts, code, model, context_bits)
         word, at, doc = stream.tokens()
@@ -483,8 +485,9 @@ def score(docs: DataFrame, train, model: Model = Model(), id_col: str = "doc_id"
             }
         )
 
-    said = tree.totals(sent).join(F.broadcast(weights), F.lit(True))
-    out = said.groupBy("child").applyInArrow(apply, schema)
+    said = X.of_buckets(tree.totals(sent)).join(F.broadcast(weights), F.lit(True))
+    said = said.withColumn("w", F.when(F.col("at") == 0, F.col("w")))
+    out = sent.groupBy("to").cogroup(said.groupBy("to")).applyInArrow(apply, schema)
     return out.withColumn("score", F.col("bits") * (-log(2) / log(10)))
 
 

@@ -16,6 +16,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 U = np.uint64
 FAN_BITS = 8
@@ -129,7 +130,7 @@ class Scheme:
 
 
 class Tree:
-    """Several schemes at once. Rows of UP are grouped by `to`: a node's number and the scheme's place; PASS marks what goes along unread."""
+    """Several schemes at once. Rows of UP are grouped by `to`: a node's number and the scheme's place, or PASS for what is not read here."""
 
     def __init__(self, buckets: int, schemes: list[Scheme], fan_bits: int | None = None):
         bits = ceil(log2(max(1, buckets)))
@@ -156,9 +157,9 @@ class Tree:
         """Rows of UP with a bucket's keys."""
         return self._messages(0, self.number(bucket), bucket, kind, keys, values)
 
-    def carry(self, bucket: int, values: list[bytes], at: int = 0) -> tuple:
-        """A row that comes back to its bucket as it is, if `at` is 0."""
-        return bucket << 2 | PASS, bucket, at, None, values
+    def keep(self, group: int, values: list[bytes], at: int = 0) -> tuple:
+        """A row of UP that is not for a node, but stays with its group."""
+        return group << 2 | PASS, group, at, None, values
 
     def _meet(self, scheme: Scheme, rows: list[dict]):
         """(children's values, merged keys and values, for each child the places of its keys among the merged ones)."""
@@ -191,13 +192,7 @@ class Tree:
         return table(out, DOWN)
 
     def totals(self, sent: DataFrame) -> DataFrame:
-        """The answers to rows of UP, as rows of DOWN, and what was carried; read() puts a bucket's together.
-
-        Every step groups `sent` by the same key, so that Spark shuffles it once.
-        """
-
-        def carried(rows: list[dict]) -> pa.Table:
-            return table([(r["child"], PASS, 0, r["values"]) for r in rows if r["at"] == 0], DOWN)
+        """The answers to rows of UP, as rows of DOWN; read() puts a bucket's together. All steps group `sent` by `to`: one shuffle of it."""
 
         def rise(level: int):
             def run(t: pa.Table) -> pa.Table:
@@ -213,7 +208,7 @@ class Tree:
             rows = t.to_pylist()
             kind = rows[0]["to"] & 3
             if kind == PASS:
-                return carried(rows)
+                return table([], DOWN)
             met, scheme = self._meet(self.schemes[kind], rows), self.schemes[kind]
             return self._reply(kind, rows, scheme.top(met[1], met[2]), scheme.sums(met[1], met[2]), met)
 
@@ -221,7 +216,7 @@ class Tree:
             rows = t.to_pylist()
             kind = rows[0]["to"] & 3 if rows else PASS
             if kind == PASS:
-                return carried(rows)
+                return table([], DOWN)
             return self._reply(kind, rows, *self.read(said, kind), self._meet(self.schemes[kind], rows))
 
         up = [sent]
@@ -241,6 +236,11 @@ class Tree:
         return answers, np.sum(sums, axis=0) if sums else np.zeros(0, np.int64)
 
 
-def carried(said: pa.Table) -> list[bytes] | None:
-    """What carry() took along."""
-    return next((r["values"] for r in said.to_pylist() if r["kind"] == PASS), None)
+def kept(rows: pa.Table, at: int = 0) -> list[list[bytes]]:
+    """What keep() left in a group."""
+    return [] if not rows.num_rows or rows.column("to")[0].as_py() & 3 != PASS else [r["values"] for r in rows.to_pylist() if r["at"] == at]
+
+
+def of_buckets(down: DataFrame) -> DataFrame:
+    """Rows of DOWN with `to`, by which they meet what keep() left of their buckets."""
+    return down.withColumn("to", F.shiftleft("child", 2).bitwiseOR(F.lit(PASS)))
