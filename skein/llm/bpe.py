@@ -130,7 +130,7 @@ class Merges:
                 self.words.update(zip((w for w, _ in some), found))
 
     def pieces(self, text: str) -> list[str]:
-        if self.split is None or "<" not in text:
+        if not any(x in text for x in self.special):
             return self.findall(text)
         return [w for x in self.split(text) if x for w in ([x] if x in self.special else self.findall(x))]
 

@@ -3,8 +3,9 @@
 decode() reads a file: blocks, LZW code streams, local and global palettes, interlace, transparency and disposal. encode() writes one, which
 the query uses to store texts as 8-bit samples. Files are handled one at a time inside tasks; there is no shuffle.
 
-Defined results: a null file gives null columns; a broken file gives its error's text and no frames; a null text counts as empty; null ids
-stay null; repeated rows get equal results, one each; other columns are not read; an empty table gives an empty table.
+Defined results: a null file gives null columns; a broken file gives its error's text and no frames; a null text counts as empty; very long
+texts are more frames; null ids stay null, and ids may be of any type; repeated rows get equal results, one each; other columns are not read; an
+empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -249,10 +250,19 @@ def histogram(canvas: np.ndarray) -> np.ndarray:
     return np.bincount(rgb[:, 0] * 16 + rgb[:, 1] * 4 + rgb[:, 2], minlength=64)
 
 
+FRAMES = "array<struct<delay_ms:int,disposal:int,histogram:array<long>>>"
+FRAME_LIST = pa.list_(pa.struct([("delay_ms", pa.int32()), ("disposal", pa.int32()), ("histogram", pa.list_(pa.int64()))]))
+AT_ONCE = 500  # rows of a batch
+
+
+def _shown(f: Frame, canvas: np.ndarray) -> dict:
+    return {"delay_ms": f.delay * 10, "disposal": f.disposal, "histogram": histogram(canvas).tolist()}
+
+
 def media_columns(files: DataFrame, id_col: str = "doc_id", media_col: str = "media") -> DataFrame:
     """(doc_id, width, height, frames array<struct<delay_ms, disposal, histogram>>, error), one row per file."""
     rows = files.select(F.col(id_col).alias("doc_id"), F.col(media_col).alias("media"))
-    schema = f"doc_id {dict(rows.dtypes)['doc_id']}, width int, height int, frames array<struct<delay_ms:int,disposal:int,histogram:array<long>>>, error string"
+    schema = f"doc_id {dict(rows.dtypes)['doc_id']}, width int, height int, frames {FRAMES}, error string"
 
     def one(key, data: bytes | None) -> dict:
         out = {"doc_id": key, "width": None, "height": None, "frames": None, "error": None}
@@ -260,57 +270,80 @@ def media_columns(files: DataFrame, id_col: str = "doc_id", media_col: str = "me
             return out
         try:
             w, h, frames = decode(data)
-            shown = [{"delay_ms": f.delay * 10, "disposal": f.disposal, "histogram": histogram(c).tolist()} for f, c in zip(frames, compose(w, h, frames))]
+            shown = [_shown(f, c) for f, c in zip(frames, compose(w, h, frames))]
             return out | {"width": w, "height": h, "frames": shown}
         except (ValueError, IndexError) as e:
             return out | {"error": str(e) or "broken"}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kind = pa.list_(pa.struct([("delay_ms", pa.int32()), ("disposal", pa.int32()), ("histogram", pa.list_(pa.int64()))]))
         for b in batches:
             made = [one(k.as_py(), m.as_py()) for k, m in zip(b.column(0), b.column(1))]
-            cols = [b.column(0), *(pa.array([m[n] for m in made], t) for n, t in (("width", pa.int32()), ("height", pa.int32()), ("frames", kind), ("error", pa.string())))]
+            cols = [b.column(0), *(pa.array([m[n] for m in made], t) for n, t in (("width", pa.int32()), ("height", pa.int32()), ("frames", FRAME_LIST), ("error", pa.string())))]
             yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "width", "height", "frames", "error"])
 
     return rows.mapInArrow(run, schema)
 
 
 ROW = 64  # samples in a row of a stored text
-ROWS = 1024  # in a frame
+ROWS = 64  # in a frame
+TURN = 101  # by which a frame's palette is turned against the one before
+DISPOSALS = (1, 3, 2)  # of the frames in turn: stay, back to what was there, cleared
+DELAY = 10
 
 
 def store(text: bytes) -> bytes:
-    """A text as a GIF: its bytes, padded with zeros to a positive multiple of ROW, are grey samples, row by row and frame by frame."""
-    padded = text + bytes(-len(text) % ROW if text else ROW)
-    samples = np.frombuffer(padded, np.uint8).reshape(-1, ROW)
-    frames = [Frame(0, 0, samples[k : k + ROWS], GREY, 10, 1, None) for k in range(0, len(samples), ROWS)]
-    return encode(frames, ROW, min(ROWS, len(samples)))
-
+    """A text as a GIF: its bytes, padded with zeros to a positive multiple of ROW, are grey pixels, row by row and frame by frame.
 
-def read_back(media: bytes) -> tuple[bytes, list[Frame]]:
-    frames = decode(media)[2]
-    return b"".join(f.samples.tobytes() for f in frames), frames
+    From the second frame on, palettes are turned greys, and a pixel that is shown already is stored as the transparent place, if there is one
+    to spare. The frames are disposed of in turn by each rule. So the text comes back only through the composed pictures.
+    """
+    padded = text + bytes(-len(text) % ROW if text else ROW)
+    pixels = np.frombuffer(padded, np.uint8).reshape(-1, ROW)
+    shown = np.full((min(ROWS, len(pixels)), ROW), -1, np.int16)  # no colour
+    frames = []
+    for k in range(-(-len(pixels) // ROWS)):
+        part = pixels[k * ROWS : (k + 1) * ROWS]
+        turn, disposal, clear = TURN * k & 255, DISPOSALS[k % len(DISPOSALS)], None
+        samples, same = part - np.uint8(turn), shown[: len(part)] == part
+        spare = np.flatnonzero(np.bincount(samples.ravel(), minlength=256) == 0)
+        if same.any() and len(spare):
+            clear = int(spare[0])
+            samples = np.where(same, np.uint8(clear), samples)
+        frames.append(Frame(0, 0, samples, np.roll(GREY, -turn, 0) if turn else GREY, DELAY, disposal, clear))
+        if disposal != 3:
+            shown[: len(part)] = part if disposal == 1 else -1
+    return encode(frames, ROW, len(shown))
+
+
+def read_back(media: bytes) -> tuple[bytes, list[dict]]:
+    """(the payload of a stored text, its frames as media_columns() has them), from the composed pictures."""
+    width, height, frames = decode(media)
+    payload, out = [], []
+    for f, canvas in zip(frames, compose(width, height, frames)):
+        payload.append(canvas[: len(f.samples), :, 0].tobytes())
+        out.append(_shown(f, canvas))
+    return b"".join(payload), out
 
 
 def digest(docs: DataFrame) -> DataFrame:
-    """The contract's columns; the feature is the share of each quarter of the grey scale over all frames, and the frames' number."""
+    """The contract's columns, and the timed frames; the feature is the frames' number, and the pixels of each colour over all of them."""
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("t"))
-    schema = f"doc_id {dict(rows.dtypes)['doc_id']}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+    schema = f"doc_id {dict(rows.dtypes)['doc_id']}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, frames {FRAMES}"
 
     def one(text: str) -> tuple:
         raw = text.encode("utf-8")
         media = store(raw)
         payload, frames = read_back(media)
-        # grey samples: the palette's place is the colour, so counting places counts colours
-        counts = sum(np.bincount(f.samples.ravel() >> 6, minlength=4) for f in frames)
-        feature = f"{len(frames)}:" + ",".join(map(str, counts.tolist()))
-        return len(raw), len(payload), sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(media), sha256(media).hexdigest(), feature
+        counts = np.sum([f["histogram"] for f in frames], axis=0)
+        feature = f"{len(frames)}:" + ",".join(f"{k}={counts[k]}" for k in np.flatnonzero(counts))
+        return len(raw), len(payload), sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(media), sha256(media).hexdigest(), feature, frames
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
-        kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
+        names = ["n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "frames"]
+        kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), FRAME_LIST]
         for b in batches:
-            made = [one(t.as_py()) for t in b.column(1)]
-            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array([m[i] for m in made], k) for i, k in enumerate(kinds))], names=["doc_id", *names])
+            for first in range(0, b.num_rows, AT_ONCE):
+                made = [one(t.as_py()) for t in b.column(1).slice(first, AT_ONCE)]
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(first, AT_ONCE), *(pa.array([m[i] for m in made], k) for i, k in enumerate(kinds))], names=["doc_id", *names])
 
     return rows.mapInArrow(run, schema)

@@ -6,8 +6,9 @@ corpus. Every document is multiplied with all of them in blocks, exactly, and it
 cosine. One pass over the documents, no shuffle of texts.
 
 Defined results: null and empty texts have a zero vector and get the mean label; null ids are not held out and are never learned from;
-repeated rows get equal scores; labels that are null are not learned from; without any labels every score is 0.5; other columns are not
-read; an empty table gives an empty table.
+repeated rows get equal scores; of several texts with one id the smallest is learned from, and of several labels their mean; neighbours whose
+cosines are equal to six digits go by a hash of their ids; labels that are null are not learned from; without any labels every score is 0.5;
+very long texts are read whole; ids may be of any type; other columns are not read; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -95,6 +96,13 @@ def _unit(z: np.ndarray) -> np.ndarray:
     return z / np.maximum(np.linalg.norm(z, axis=1, keepdims=True), 1e-12)
 
 
+def nearest(cosine: np.ndarray, k: int) -> np.ndarray:
+    """Places of each row's k largest cosines; those that are equal to six digits go by their place."""
+    n = cosine.shape[1]
+    order = np.rint(cosine * -1e6).astype(np.int64) * n + np.arange(n)
+    return np.argpartition(order, k - 1, axis=1)[:, :k]
+
+
 def score(docs: DataFrame, labels: DataFrame, learn_from: Column, voting: Voting = Voting(), id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> DataFrame:
     """(doc_id, score), one row per document. labels: (id_col, label_col); learn_from: which ids may be learned from."""
     spark = docs.sparkSession
@@ -103,21 +111,22 @@ def score(docs: DataFrame, labels: DataFrame, learn_from: Column, voting: Voting
     known = known.orderBy(F.xxhash64("_id"), "_id").limit(voting.sample)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
     # at most `sample` ids, so their side is broadcast; repeated rows of an id count once
-    taken = rows.join(F.broadcast(known), F.col("doc_id") == F.col("_id")).groupBy("_id").agg(F.first("t").alias("t"), F.first("_y").alias("y"))
+    taken = rows.join(F.broadcast(known), F.col("doc_id") == F.col("_id")).groupBy("_id").agg(F.min("t").alias("t"), F.first("_y").alias("y"))
     scales = voting.scales
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts = [t.encode("utf-8") for t in b.column(0).to_pylist()]
             for s in _pieces(texts):
-                yield pa.RecordBatch.from_arrays([pa.array([x.tobytes() for x in features(texts[s], scales)], pa.binary()), b.column(1)[s]], names=["x", "y"])
+                yield pa.RecordBatch.from_arrays([pa.array([x.tobytes() for x in features(texts[s], scales)], pa.binary()), b.column(1)[s], b.column(2)[s]], names=["x", "y", "place"])
 
-    learned = taken.select("t", "y").mapInArrow(vectors, "x binary, y double").toPandas()
+    # at most `sample` rows; in one order whatever the partitions, so that sums and ties come out alike
+    learned = taken.select("t", "y", F.xxhash64("_id").alias("place")).mapInArrow(vectors, "x binary, y double, place long").toPandas().sort_values(["place", "x"])
     width = WORDS + SHAPES + REPEATS
     x = np.frombuffer(b"".join(learned["x"]), np.float32).reshape(-1, width)
     y = learned["y"].to_numpy(np.float32)
     prior = float(y.mean()) if len(y) else 0.5
-    _, basis = np.linalg.eigh((x.T @ x).astype(np.float64))
+    _, basis = np.linalg.eigh(x.T.astype(np.float64) @ x.astype(np.float64))
     basis = np.ascontiguousarray(basis[:, ::-1][:, : voting.dims]).astype(np.float32)
     model = spark.sparkContext.broadcast((basis, _unit(x @ basis), y))
     k, sharp = min(voting.neighbours, len(y)), voting.sharpness
@@ -132,7 +141,7 @@ def score(docs: DataFrame, labels: DataFrame, learn_from: Column, voting: Voting
                     z = features(texts[s], scales) @ basis
                     some = np.linalg.norm(z, axis=1) > 1e-9
                     cosine = _unit(z) @ known.T
-                    near = np.argpartition(-cosine, k - 1, axis=1)[:, :k]
+                    near = np.sort(nearest(cosine, k), axis=1)
                     weight = np.maximum(np.take_along_axis(cosine, near, 1), 0.0).astype(np.float64) ** sharp + 1e-12
                     out[some] = ((weight * y[near]).sum(1) / weight.sum(1))[some]
                 yield pa.RecordBatch.from_arrays([b.column(0)[s], pa.array(np.clip(out, 0.0, 1.0))], names=["doc_id", "score"])

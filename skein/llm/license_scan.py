@@ -1,27 +1,39 @@
-"""License scans: an exact set-similarity join between text blocks (lines) and license templates.
+"""License scans: an exact set-similarity join between blocks of words and license templates.
 
-Tokens are ordered by their frequency in the whole corpus, rarest first. A block can hold `threshold` of a template's tokens only if it
-holds one of the template's first `size - required + 1` tokens (prefix filter), has `required` template tokens at all (length filter),
-and has enough tokens left behind the first common one on both sides (positional filter). What passes is counted exactly, so every
-block that meets the threshold is found and no other. DataFrame functions only; what is broadcast is bounded by the template list.
+A block is any run of `span` words of a document, which is `SLACK` times the words of the template, so that it goes across lines and what
+stands between them. A template is found where a block holds `threshold` of its tokens.
 
-Defined results: null text counts as empty (no words, no labels, score 0); null ids stay null; repeated rows get equal results, one
-each; other columns are not read; an empty table gives an empty table.
+Tokens are ordered by their frequency in the whole corpus, rarest first. A document can hold such a block only if it has `required` of the
+template's tokens at all (length filter). In a block that does, the first common token in that order is one of the template's first
+`size - required + 1` (prefix filter), so only blocks around those places are looked at; and the tokens from that one on, in the template and
+around the place, must make up the overlap (positional filter). What passes is counted exactly, so every block that meets the threshold is
+found and no other. DataFrame functions only; texts are split into words once; what is broadcast is bounded by the template list.
+
+Defined results: null text counts as empty (no words, no labels, score 0); null ids stay null, and ids may be of any type; results join back by
+a number of each row, and repeated rows get equal results, one each; very long texts are scanned whole; other columns are not read; an empty
+table gives an empty table.
 """
 
 from __future__ import annotations
 
+import re
+from dataclasses import dataclass
+from functools import reduce
 from math import ceil
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from skein.llm.text import ascii_lower, computed_once, let, row_key, words
+from skein.llm.tables import cut
+from skein.llm.text import ascii_lower, let, words
 
 #: The contract's word class, and its phrases with their labels.
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 PHRASES = {"gnu general public license": "gpl", "apache license": "apache", "cc by": "cc-by", "mit license": "mit"}
 
+#: A block's words, as a multiple of the template's.
+SLACK = 1.25
+
 #: Sentences of public licenses and license notices, by label.
 TEMPLATES = {
     "agpl-notice": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License",
@@ -68,51 +80,60 @@ def phrase_places(w: Column, phrases: dict[str, str] = PHRASES) -> Column:
     return let(F.concat(F.lit(" "), F.array_join(w, " "), F.lit(" ")), lambda line: F.filter(F.array(*[one(line, p, k) for p, k in phrases.items()]), lambda x: x["n"] > 0))
 
 
-def template_hits(docs: DataFrame, templates: dict[str, str] = TEMPLATES, threshold: float = 0.9, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(key, label, containment): the row's blocks against all templates; key is text.row_key of the row."""
-    spark = docs.sparkSession
-    vocabulary = F.array(*[F.lit(t) for t in sorted({t for x in templates.values() for t in _tokens(x)})])
-    lines = docs.select(row_key(id_col, text_col).alias("key"), F.explode(F.split(ascii_lower(F.col(text_col)), "\n")).alias("line"))
-    # one row per template token, so what comes to the driver is bounded by the template list
-    counts = lines.select(F.explode(F.array_intersect(vocabulary, words(F.col("line"), WORD))).alias("token")).groupBy("token").count()
-    freq = {r["token"]: r["count"] for r in counts.collect()}
-    order = sorted({t for x in templates.values() for t in _tokens(x)}, key=lambda t: (freq.get(t, 0), t))
-    place = {t: i for i, t in enumerate(order)}
-
-    index, sets = [], []
-    for label, x in templates.items():
-        tokens = sorted(_tokens(x), key=place.get)
-        required = ceil(threshold * len(tokens) - 1e-9)
-        sets.append((label, tokens, required))
-        index += [(t, label, p, len(tokens), required) for p, t in enumerate(tokens[: len(tokens) - required + 1])]
-    prefixes = spark.createDataFrame(index, "token string, label string, p int, size int, required int")
-    full = spark.createDataFrame([(k, t, r) for k, t, r in sets], "label string, tokens array<string>, required int")
-
-    first = F.array(*[F.lit(t) for t in sorted({x[0] for x in index})])
-    ordered = F.array(*[F.lit(t) for t in order])
-    blocks = lines.select("key", F.array_distinct(words(F.col("line"), WORD)).alias("own")).where(F.arrays_overlap("own", first))
-    blocks = blocks.select("key", F.array_intersect(ordered, F.col("own")).alias("own")).where(F.size("own") >= min(r for *_, r in sets))
-    pairs = blocks.select("key", "own", F.posexplode("own").alias("q", "token")).join(F.broadcast(prefixes), "token")
-    pairs = pairs.where(F.size("own") >= F.col("required"))
-    pairs = pairs.where(1 + F.least(F.col("size") - F.col("p") - 1, F.size("own") - F.col("q") - 1) >= F.col("required"))
-    pairs = pairs.select("key", "own", "label").join(F.broadcast(full), "label")
-    held = F.size(F.array_intersect("own", "tokens"))
-    return pairs.where(held >= F.col("required")).groupBy("key", "label").agg(F.max(held / F.size("tokens")).alias("containment"))
+@dataclass(frozen=True)
+class Template:
+    label: str
+    tokens: frozenset[str]
+    required: int
+    span: int
 
 
-def _tokens(text: str) -> set[str]:
-    import re
-
-    return set(re.findall(WORD, text.lower()))
-
-
-def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, threshold: float = 0.9, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def templates_of(templates: dict[str, str], threshold: float = 0.9, slack: float = SLACK) -> list[Template]:
+    out = []
+    for label, x in templates.items():
+        own = re.findall(WORD, x.lower())
+        out.append(Template(label, frozenset(own), ceil(threshold * len(set(own)) - 1e-9), ceil(slack * len(own))))
+    return out
+
+
+def _literals(x: list[str]) -> Column:
+    return F.array(*[F.lit(t) for t in x])
+
+
+def template_hits(rows: DataFrame, templates: list[Template]) -> DataFrame:
+    """(key, label, containment) from rows (key, w, own): w, the words, of documents that may hold a template, else null; own, the template
+    tokens that a document has."""
+    # one row for each template token, so what comes to the driver is bounded by the template list
+    freq = {r["token"]: r["count"] for r in rows.select(F.explode("own").alias("token")).groupBy("token").count().collect()}
+    index, whole = [], []
+    for t in templates:
+        ordered = sorted(t.tokens, key=lambda x: (freq.get(x, 0), x))
+        whole.append((t.label, ordered, t.required, t.span))
+        index += [(x, t.label, ordered[p:]) for p, x in enumerate(ordered[: len(ordered) - t.required + 1])]
+    prefixes = rows.sparkSession.createDataFrame(index, "token string, label string, onward array<string>")
+    full = rows.sparkSession.createDataFrame(whole, "label string, tokens array<string>, required int, span int")
+    first = _literals(sorted({x[0] for x in index}))
+
+    places = F.filter(F.transform("w", lambda x, i: F.struct(i.alias("at"), x.alias("token"))), lambda x: F.array_contains(first, x["token"]))
+    pairs = rows.where("w is not null").select("key", "w", F.inline(places)).join(F.broadcast(prefixes), "token").join(F.broadcast(full), "label")
+    low = F.greatest(F.col("at") - F.col("span") + 1, F.lit(0))
+    around = F.slice("w", low + 1, F.col("at") + F.col("span") - low)
+    pairs = pairs.where(F.size(F.array_intersect("onward", around)) >= F.col("required"))
+    held = F.array_max(F.transform(F.sequence(low, F.col("at")), lambda start: F.size(F.array_intersect(F.col("tokens"), F.slice("w", start + 1, F.col("span"))))))
+    pairs = pairs.withColumn("held", held).where("held >= required")
+    return pairs.groupBy("key", "label").agg(F.max(F.col("held") / F.size("tokens")).alias("containment"))
+
+
+def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, threshold: float = 0.9, slack: float = SLACK, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: id, n_words, the phrases' places and labels, all labels, and score (1 at a phrase, else the best containment)."""
-    rows = docs.select(row_key(id_col, text_col).alias("key"), F.col(id_col).alias("doc_id"), words(ascii_lower(F.col(text_col)), WORD).alias("w"))
-    rows = computed_once(rows.select("key", "doc_id", F.size("w").cast("long").alias("n_words"), phrase_places(F.col("w")).alias("at")))
-    hits = template_hits(docs, templates, threshold, id_col, text_col)
-    hits = hits.groupBy("key").agg(F.collect_set("label").alias("found"), F.max("containment").alias("containment"))
-    out = rows.join(hits, "key", "left")
+    known = templates_of(templates, threshold, slack)
+    rows = docs.select(F.col(id_col).alias("doc_id"), words(ascii_lower(F.col(text_col)), WORD).alias("w"))
+    rows = rows.select("doc_id", "w", F.size("w").cast("long").alias("n_words"), phrase_places(F.col("w")).alias("at"), F.array_intersect(_literals(sorted({x for t in known for x in t.tokens})), "w").alias("own"))
+    able = reduce(lambda a, b: a | b, [F.size(F.array_intersect("own", _literals(sorted(t.tokens)))) >= t.required for t in known])
+    # words go on only where some template may be, so the written table is small
+    rows = cut(rows.select(F.monotonically_increasing_id().alias("key"), "doc_id", "n_words", "at", "own", F.when(able, F.col("w")).alias("w")))
+    hits = template_hits(rows, known).groupBy("key").agg(F.collect_set("label").alias("found"), F.max("containment").alias("containment"))
+    out = rows.drop("own", "w").join(hits, "key", "left")
     own = F.transform("at", lambda x: x["label"])
     joined = lambda c: F.array_join(F.array_sort(F.array_distinct(c)), ",")
     return out.select(

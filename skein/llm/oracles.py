@@ -2,11 +2,9 @@
 
 from __future__ import annotations
 
-from math import ceil
-
-from skein.llm.license_scan import PHRASES, TEMPLATES, _tokens
-from skein.llm.mixing import Mix
-from skein.llm.quality_rules import BOILERPLATE
+from skein.llm.license_scan import PHRASES, TEMPLATES, templates_of
+from skein.llm.mixing import ANY, TARGETS, Mix
+from skein.llm.quality_rules import FURNITURE
 
 WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -22,7 +20,6 @@ with d as (select doc_id, {WORDS} w from documents),
 select doc_id, coalesce(n_words, 0) n_words, coalesce(n_removed, 0)::bigint n_removed, sha256(coalesce(kept, '')) kept_sha256 from d left join s using (doc_id)
 """
 
-_BOILER = "|".join(BOILERPLATE)
 QUALITY = rf"""
 with d as (select doc_id, coalesce(text, '') t, {WORDS} w from documents),
  u as (select doc_id, generate_subscripts(w, 1) k, unnest(w) x from d),
@@ -35,7 +32,7 @@ with d as (select doc_id, coalesce(text, '') t, {WORDS} w from documents),
      or len(regexp_extract_all(x, ' [|>»•] ')) >= 3
      or len(regexp_extract_all(x, '!!|\?\?')) >= 3
      or stutters >= 3
-     or regexp_matches(lower(x), '{_BOILER}')
+     or regexp_matches(lower(x), '{FURNITURE}')
      or (not regexp_matches(x, '[.!?:;…。！？][\x22\x27’”»)\]]*[\x20\x09\x0D]*$') and not regexp_matches(x, '(?:[^\x20]+\x20+){{12}}')) fails
    from (select *, list_reduce(list_prepend({{'last': '', 'n': 0}}, list_transform(string_split(x, ' '), lambda y: {{'last': y, 'n': 0}})), lambda a, b: {{'last': case when a.last = b.last and b.last <> '' then '' else b.last end, 'n': a.n + (a.last = b.last and b.last <> '')::int}}).n stutters from l)),
  q as (select doc_id, sum(n * len(x)) total, coalesce(sum(len(x)) filter (not fails), 0) passed, sum(n - 1) dups from f group by 1),
@@ -47,15 +44,15 @@ select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_wo
 
 def _license() -> str:
     phrases = " union all ".join(f"select '{label}' label, {p.split()!r} p" for p, label in PHRASES.items())
-    templates = " union all ".join(f"select '{k}' label, {sorted(_tokens(x))!r} s, {ceil(0.9 * len(_tokens(x)) - 1e-9)} r" for k, x in TEMPLATES.items())
+    templates = " union all ".join(f"select '{t.label}' label, {sorted(t.tokens)!r} s, {t.required} r, {t.span} span" for t in templates_of(TEMPLATES))
     return rf"""
 with d as (select doc_id, {LOWER} t from documents),
  w as (select doc_id, t, regexp_extract_all(t, '{LICENSE_WORD}') w from d),
  u as (select doc_id, generate_subscripts(w, 1) - 1 k, w, unnest(w) x from w where regexp_matches(t, 'license|cc')),
  a as (select doc_id, k, label from u, ({phrases}) p where x = p[1] and list_slice(w, k + 1, k + len(p)) = p),
  b as (select doc_id, count(*) n_base, min(k) first_word, max(k) last_word, string_agg(distinct label, ',' order by label) base_labels from a group by 1),
- l as (select doc_id, list_distinct(regexp_extract_all(x, '{LICENSE_WORD}')) s from (select doc_id, unnest(string_split(t, chr(10))) x from d)),
- h as (select doc_id, label, max(len(list_intersect(l.s, q.s)) / len(q.s)::double) c from l, ({templates}) q where len(l.s) >= r and len(list_intersect(l.s, q.s)) >= r group by 1, 2),
+ l as (select doc_id, w, label, s, r, span from (select doc_id, w, list_distinct(w) o from w), ({templates}) q where len(list_intersect(o, s)) >= r),
+ h as (select doc_id, label, max(c) c from (select doc_id, label, r, len(list_intersect(list_distinct(list_slice(w, k, k + span - 1)), s)) n, n / len(s)::double c from (select *, unnest(range(1, len(w) + 1)) k from l)) where n >= r group by 1, 2),
  o as (select doc_id, max(c) c from h group by 1),
  z as (select doc_id, string_agg(distinct label, ',' order by label) labels from (select doc_id, label from a union select doc_id, label from h) group by 1)
 select doc_id, len(w)::bigint n_words, coalesce(n_base, 0) n_base, first_word::bigint first_word, last_word::bigint last_word, coalesce(base_labels, '') base_labels, coalesce(labels, '') labels, case when n_base > 0 then 1.0::double else coalesce(c, 0.0::double) end score
@@ -63,11 +60,10 @@ from w left join b using (doc_id) left join z using (doc_id) left join o using (
 """
 
 
-
 def _mixing() -> str:
-    plan = Mix()
+    plan = Mix(targets=TARGETS)
     keys = ["domain", "lang", "source"]
-    parts, given = [], ""
+    parts = []
     for depth in (1, 2, 3):
         own, up = keys[:depth], keys[: depth - 1]
         same = " and ".join(f"n.{k} is not distinct from g.{k}" for k in up) or "true"
@@ -75,15 +71,19 @@ def _mixing() -> str:
         by = f"partition by {', '.join(up)}" if up else ""
         order = f"({by} order by supply / weight, {', '.join(own)} rows between "
         cols = ", ".join(own)
+        given = sorted(((path, w) for path, w in plan.targets.items() if len(path) == depth), key=lambda x: x[0].count(ANY))
+        when = " ".join("when " + " and ".join(f"{k} = '{x}'" for k, x in zip(own, path) if x != ANY) + f" then {w}::double" for path, w in given)
+        target = f"case {when} end" if when else "null::double"
         parts.append(
-            f"n{depth} as (select {cols}, sum(n_tokens) n_tokens, sum(n_tokens) * {plan.max_epochs}::double supply, greatest(power(sum(n_tokens)::double, {plan.temperature}::double), 1e-9) weight from leaf group by {cols}), "
+            f"t{depth} as (select {cols}, sum(n_tokens) n_tokens, sum(n_tokens) * {plan.max_epochs}::double supply, greatest(power(sum(n_tokens)::double, {plan.temperature}::double), 1e-9) own, {target} target from leaf group by {cols}), "
+            f"n{depth} as (select *, greatest(coalesce(target, greatest(1 - coalesce(sum(target) over ({by}), 0), 0) * own / sum(own) filter (target is null) over ({by})), 1e-9) weight from t{depth}), "
             f"x{depth} as (select *, (given - coalesce(sum(supply) over {order} unbounded preceding and 1 preceding), 0)) / sum(weight) over {order} current row and unbounded following) lev from (select n.*, g.budget given from n{depth} n {above})), "
             f"b{depth} as (select *, least(supply, coalesce(first_value(case when supply / weight > lev then lev end ignore nulls) over {order} unbounded preceding and unbounded following) * weight, supply)) budget from x{depth})"
         )
-    number = "regexp_extract(coalesce(source, ''), '([0-9]{1,9})$', 1)"
+    number = "regexp_extract(source, '([0-9]{1,9})$', 1)"
     same = " and ".join(f"d.{k} is not distinct from b.{k}" for k in keys)
     return f"""
-with d as (select doc_id, 'domain' || (case when {number} = '' then '0' else {number} end::bigint % 4)::varchar as domain, lang, source, len({WORDS})::bigint n_tokens from documents),
+with d as (select doc_id, case when {number} = '' then source else 'domain' || ({number}::bigint % 4)::varchar end as domain, lang, source, len({WORDS})::bigint n_tokens from documents),
  leaf as (select domain, lang, source, sum(n_tokens) n_tokens from d group by 1, 2, 3), {", ".join(parts)},
  p as (select d.*, case when b.n_tokens > 0 then floor(budget / b.n_tokens) else 1 end::int as whole, budget, b.n_tokens all_tokens from d join b3 b on {same}),
  o as (select *, ('0x' || substr(md5('{plan.seed}:' || whole::varchar || ':' || doc_id::varchar), 1, 13))::bigint spot from p),

@@ -7,8 +7,12 @@ confidence of its patterns. Patterns of high confidence and support mark all the
 
 DataFrame functions only. The graph is grouped to distinct pairs before each shuffle; its rows are checkpointed before the rounds.
 
-Defined results: null text counts as empty (no spans); null ids stay null; repeated rows get equal results, one each; other columns are
-not read; an empty table gives an empty table.
+A pattern that a third of all instances share is one key of the pair table; joins on it are split by Spark's skew handling, and counts are
+summed before they are shuffled.
+
+Defined results: null text counts as empty (no spans); null ids stay null, and ids may be of any type; rows join back by a SHA-256 of id and
+text, and repeated rows get equal results, one each; very long texts are searched whole; other columns are not read; an empty table gives an
+empty table.
 """
 
 from __future__ import annotations
@@ -42,6 +46,7 @@ class Bootstrap:
     rounds: int = 3
     confidence: float = 0.8
     support: int = 3  # distinct instances
+    reach: int = 60  # code points in front of an instance that its pattern may take
     smoothing: float = 0.5
 
 
@@ -53,8 +58,8 @@ def luhn(digits: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.length(digits)), F.lit(0), lambda s, i: s + worth(i)) % 10 == 0
 
 
-def spans(text: Column, pattern: str) -> Column:
-    """array<struct<start, end, value, left>> of the leftmost non-overlapping matches, in code points; left: up to 60 in front.
+def spans(text: Column, pattern: str, reach: int = Bootstrap.reach) -> Column:
+    """array<struct<start, end, value, left>> of the leftmost non-overlapping matches, in code points; left: up to `reach` in front.
 
     The pieces between matches and the matches themselves come from the same search, so lengths add up to places.
     """
@@ -63,7 +68,7 @@ def spans(text: Column, pattern: str) -> Column:
     def add(acc: Column, x: Column) -> Column:
         start = acc["at"] + F.length(x["piece"])
         end = start + F.length(x["hit"])
-        one = F.struct(start.alias("start"), end.alias("end"), x["hit"].alias("value"), F.right(x["piece"], F.lit(60)).alias("left"))
+        one = F.struct(start.alias("start"), end.alias("end"), x["hit"].alias("value"), F.right(x["piece"], F.lit(reach)).alias("left"))
         return F.struct(end.alias("at"), F.concat(acc["out"], F.array(one)).alias("out"))
 
     def placed(hits: Column) -> Column:
@@ -74,12 +79,12 @@ def spans(text: Column, pattern: str) -> Column:
     return let(F.regexp_extract_all(text, F.lit(f"({pattern})"), F.lit(1)), lambda hits: F.when(F.size(hits) > 0, placed(hits)).otherwise(none))
 
 
-def base_spans(text: Column) -> dict[str, Column]:
+def base_spans(text: Column, reach: int = Bootstrap.reach) -> dict[str, Column]:
     """By kind, what the contract's patterns find and its tests keep."""
     digits = lambda x: F.regexp_replace(x["value"], "[^0-9]", "")
     part = lambda p: F.ltrim(p, F.lit("0"))
     low = lambda x: F.forall(F.split(x["value"], r"\."), lambda p: (F.length(part(p)) <= 3) & (F.coalesce(F.try_to_number(part(p), F.lit("999")), F.lit(0)) <= 255))
-    found = lambda hint, pattern: F.when(hint, spans(text, pattern)).otherwise(F.array().cast(SPAN))
+    found = lambda hint, pattern: F.when(hint, spans(text, pattern, reach)).otherwise(F.array().cast(SPAN))
     return {
         "email": found(text.contains("@"), EMAIL),
         "ip": F.filter(found(text.rlike(r"[0-9]\.[0-9]"), IP), low),
@@ -102,12 +107,12 @@ def confident_patterns(edges: DataFrame, rules: Bootstrap = Bootstrap()) -> Data
 def extract(docs: DataFrame, rules: Bootstrap = Bootstrap(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: doc_id, key, an array of spans per base kind, and `id`, the spans that confident patterns add."""
     rows = docs.select(row_key(id_col, text_col).alias("key"), F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
-    rows = rows.select("key", "doc_id", "t", *[c.alias(k) for k, c in base_spans(F.col("t")).items()])
+    rows = rows.select("key", "doc_id", "t", *[c.alias(k) for k, c in base_spans(F.col("t"), rules.reach).items()])
 
     pattern = lambda x: F.lower(F.regexp_extract(x["left"], CONTEXT, 1))
     clear = lambda x: ~F.exists(F.concat(*KINDS), lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"]))
     tagged = lambda c, seed: F.transform(c, lambda x: F.struct(pattern(x).alias("pattern"), x["value"].alias("value"), x["start"].alias("start"), x["end"].alias("end"), seed(x).alias("seed"), seed(x).isNull().alias("base")))
-    others = F.when(F.col("t").rlike("[0-9]"), F.filter(spans(F.col("t"), CANDIDATE), clear)).otherwise(F.array().cast(SPAN))
+    others = F.when(F.col("t").rlike("[0-9]"), F.filter(spans(F.col("t"), CANDIDATE, rules.reach), clear)).otherwise(F.array().cast(SPAN))
     found = rows.where(F.col("t").rlike("[0-9@]")).select("key", F.explode(F.concat(tagged(F.concat(*KINDS), lambda x: F.lit(None).cast("boolean")), tagged(others, lambda x: x["value"].rlike(SECRET)))).alias("x"))
     found = cut(found.select("key", "x.*").withColumn("seed", F.coalesce("seed", F.lit(True))))
 
@@ -132,20 +137,26 @@ def digest(docs: DataFrame) -> DataFrame:
     )
 
 
+def marks(kind: str) -> Column:
+    """The spans of a kind as (start, end, what is put there)."""
+    return F.transform(kind, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), F.lit(f"<{kind}>").alias("name")))
+
+
 def redact(docs: DataFrame, rules: Bootstrap = Bootstrap(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with each span of the text replaced by its kind in angle brackets; overlapping spans become one, named after the first.
 
-    All columns stay as they are; rows without spans keep their text to the byte.
+    All columns stay as they are; rows without spans keep their text to the byte, and null texts stay null.
     """
-    marks = [F.transform(k, lambda x, kind=k: F.struct(x["start"].alias("start"), x["end"].alias("end"), F.lit(f"<{kind}>").alias("kind"))) for k in (*KINDS, "id")]
-    found = extract(docs, rules, id_col, text_col).select(F.col("key").alias("_key"), F.array_sort(F.concat(*marks)).alias("_marks")).where(F.size("_marks") > 0).dropDuplicates(["_key"])
-    text = F.col(text_col)
+    found = extract(docs, rules, id_col, text_col).select("key", F.array_sort(F.concat(*[marks(k) for k in (*KINDS, "id")])).alias("marks"))
+    found = found.where(F.size("marks") > 0).dropDuplicates(["key"])
 
     def put(acc: Column, m: Column) -> Column:
-        apart = F.concat(acc["out"], F.substr(text, acc["at"] + 1, m["start"] - acc["at"]), m["kind"])
+        apart = F.concat(acc["out"], F.substr("t", acc["at"] + 1, m["start"] - acc["at"]), m["name"])
         return F.struct(F.greatest(acc["at"], m["end"]).alias("at"), F.when(m["start"] >= acc["at"], apart).otherwise(acc["out"]).alias("out"))
 
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    clean = F.aggregate("_marks", start, put, lambda acc: F.concat(acc["out"], F.substr(text, acc["at"] + 1)))
-    rows = docs.withColumn("_key", row_key(id_col, text_col)).join(found, "_key", "left")
-    return rows.withColumn(text_col, F.when(F.col("_marks").isNotNull(), clean).otherwise(text)).select(*docs.columns)
+    clean = F.aggregate("marks", start, put, lambda acc: F.concat(acc["out"], F.substr("t", acc["at"] + 1)))
+    # the input row travels as one column, so that its names meet none of these
+    rows = docs.select(F.struct("*").alias("row"), row_key(id_col, text_col).alias("key"), F.col(text_col).alias("t")).join(found, "key", "left")
+    text = F.when(F.col("marks").isNotNull(), clean).otherwise(F.col("t"))
+    return rows.select(*[text.alias(c) if c == text_col else F.col(f"row.`{c}`").alias(c) for c in docs.columns])

@@ -3,7 +3,7 @@
 DataFrame functions only; one pass over the table, no shuffle, so a hot source or a group of copies cannot skew it.
 
 Defined results: a null text counts as empty (0 words, rejected); a null id stays null; repeated rows each get their own,
-equal result; other columns of the input are not read, so clashing names are harmless; an empty table gives an empty table.
+equal result; a very long text is judged whole, line by line; other columns of the input are not read, so clashing names are harmless; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -19,18 +19,17 @@ from skein.llm.text import computed_once, let, words
 SYMBOLS = r"[#*$%&|<>]"
 SENTENCE_END = r"[.!?:;\x{2026}\x{3002}\x{FF01}\x{FF1F}][\x22\x27\x{2019}\x{201D}\x{BB})\]]*[\x20\x09\x0D]*$"
 BOILERPLATE = (
-    "all rights reserved",
-    "click here",
-    "cookie policy",
-    "enable javascript",
-    "log in to",
-    "privacy policy",
-    "share this",
-    "sign up for",
-    "skip to content",
-    "subscribe to",
-    "terms of use",
-)
+    # English
+    "all rights reserved", "click here", "cookie policy", "enable javascript", "log in to", "privacy policy", "share this", "sign up for", "skip to content", "subscribe to", "terms of use",
+    # German
+    "alle rechte vorbehalten", "cookie-richtlinie", "datenschutzerklärung", "hier klicken", "javascript aktivieren", "jetzt anmelden", "newsletter abonnieren", "nutzungsbedingungen", "zum inhalt springen",
+    # French
+    "aller au contenu", "cliquez ici", "conditions générales", "inscrivez-vous", "mentions légales", "politique de confidentialité", "politique des cookies", "tous droits réservés",
+    # Spanish
+    "aviso legal", "haga clic", "haz clic", "ir al contenido", "política de cookies", "política de privacidad", "suscríbete", "términos de uso", "todos los derechos reservados",
+)
+#: One of them at the start of a line or behind a space.
+FURNITURE = r"(?:^|\x20)(?:" + "|".join(BOILERPLATE) + ")"
 
 
 @dataclass(frozen=True)
@@ -80,7 +79,7 @@ def line_fails(line: Column, rules: Rules) -> Column:
         | (count(r" [|>\x{BB}\x{2022}] ") >= rules.min_nav_bars)
         | (count(r"!!|\?\?") >= rules.max_shouts)
         | (count(r"(?<![^\x20])([^\x20]++)\x20\1(?![^\x20])") >= rules.max_stutters)
-        | F.lower(line).rlike("|".join(BOILERPLATE))
+        | F.lower(line).rlike(FURNITURE)
         | (~line.rlike(SENTENCE_END) & ~line.rlike(r"(?:[^\x20]++\x20++){" + str(rules.min_open_words) + "}"))
     )
 

@@ -6,7 +6,6 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-import corpus_pipeline
 from skein.llm import bpe, context_mixing, gif, knn_quality, license_scan, mixing, oracles, pii, quality_rules, simhash, substring
 from skein.llm.text import documents
 
@@ -63,7 +62,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_mixing": op8_mixing,
         "op9_bpe": op9_bpe,
         "op10_quality_rules": op10_quality_rules,
-        "pipeline": corpus_pipeline.run,
     }
 
 

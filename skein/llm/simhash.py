@@ -10,7 +10,8 @@ A group gives a spanning forest, never all its pairs. Components follow by alter
 checkpointed. Nothing of the corpus passes through the driver.
 
 Defined results: null text counts as empty; texts without words have fingerprint zero and are linked like any other; null ids get a row
-and never name a component unless all its ids are null; repeated rows share a component; an empty table gives an empty table.
+and never name a component unless all its ids are null; ids may be of any type with an order; repeated rows share a component; very long
+texts are read whole; other columns are not read; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skein.llm.tables import cut
+from skein.llm.tables import cut, join_hot, one_of_each
 
 PAIRS_AT_ONCE = 1_000_000
 SHARD_ROWS = 20_000
@@ -226,11 +227,13 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
 def near_duplicates(docs: DataFrame, reach: int = 4, width: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, fp, component_id), one row per input row."""
     fps = cut(fingerprints(docs, width, id_col, text_col))
-    distinct = cut(fps.groupBy("fp").agg(F.min("doc_id").alias("low")))
-    found = components(links(distinct.select("fp"), reach))
-    roots = distinct.join(found, distinct["fp"] == found["node"], "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
-    ids = roots.groupBy("root").agg(F.min("low").alias("component_id"))
-    return fps.join(roots.select("fp", "root").join(ids, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
+    distinct = cut(fps.groupBy("fp").agg(F.min("doc_id").alias("low"), F.count("*").alias("n")))
+    # fingerprints are named after their smallest document, those without any last, so that a component's root names it
+    named = lambda end: distinct.select(F.col("fp").alias(end), F.struct(F.col("low").isNull().alias("without"), "low", "fp").alias(f"{end}_named"))
+    edges = links(distinct.select("fp"), reach).join(named("a"), "a").join(named("b"), "b").select(F.col("a_named").alias("a"), F.col("b_named").alias("b"))
+    found = components(edges).select(F.col("node.fp").alias("fp"), F.col("root.low").alias("component_id"))
+    ids = cut(distinct.join(found, "fp", "left").select("fp", "n", F.coalesce("component_id", "low").alias("component_id")))
+    return join_hot(fps, ids, "fp", "n").select("doc_id", "fp", "component_id")
 
 
 def digest(docs: DataFrame) -> DataFrame:
@@ -239,7 +242,6 @@ def digest(docs: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, reach: int = 4, width: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with one row per component: the one whose id names it. Rows with null ids stay; repeated rows of an id become one."""
-    lead = near_duplicates(docs, reach, width, id_col, text_col).where("doc_id = component_id").select(F.col("doc_id").alias("_lead")).distinct()
-    kept = docs.join(lead, docs[id_col] == F.col("_lead"), "left_semi").dropDuplicates([id_col])
-    return kept.unionByName(docs.where(F.col(id_col).isNull()))
+    """docs with one row per component: the one whose id names it. Rows with null ids stay; of rows with one id the smallest text stays."""
+    lead = near_duplicates(docs, reach, width, id_col, text_col).where("doc_id = component_id").select("doc_id").distinct()
+    return one_of_each(docs, lead, id_col, text_col)

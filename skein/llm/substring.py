@@ -1,20 +1,22 @@
 """Substring dedup: windows of words that an earlier document has go, found with a count-min prefilter.
 
-Documents are dealt to buckets by id. A bucket hashes its windows and sends each row of its count-min sketch, cut to ranges of cells, to
-the ranges' shards; a shard merges the partial sketches of all buckets and answers, one bit per cell sent, whether the estimate is two or
-more. Estimates never fall short, so a window found in two documents always passes. In the second pass only passing windows travel, with
-96 bits of hash and the bucket's smallest id; a shard groups them exactly and answers whether another bucket has a smaller id.
+Documents are taken in buckets, pieces of partitions. A bucket hashes its windows and sends the cells that they fall into, for each row of a
+count-min sketch, up a tree of ranges (exchange.py); merged over all buckets, it answers each cell with whether its estimate is two or more.
+Estimates never fall short, so a window found in two documents always passes. In the second pass only passing windows travel, with 96 bits of
+hash and the bucket's smallest id; the tree groups them exactly and answers whether a smaller id has the window.
 
-The sketch's width follows the corpus and so does the number of shards, so a sketch neither saturates nor outgrows a task; answers are
-bits, and nothing is broadcast or collected but the corpus's length. A window that a third of all documents share is one entry a bucket.
-The three passes over a bucket share one shuffle of the documents.
+The sketch's width follows the corpus and is held in ranges, so it neither saturates nor outgrows a task; answers are bits, and nothing is
+broadcast or collected but the corpus's length. A window that a third of all documents share is one entry a bucket. Words are told apart by 64
+bits of hash, windows by 96. Buckets are shuffled packed, once for each pass.
 
 Defined results: null text has no words; a document with a null id keeps all its words and takes none from others; rows with equal ids
-take nothing from each other; texts under a window keep all words; other columns are not read; an empty table gives an empty table.
+take nothing from each other; ids that are no whole numbers are a TypeError; texts under a window keep all words; a very long text is a bucket
+of its own; other columns are not read; an empty table gives an empty table.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import lru_cache
 from itertools import compress
 from math import ceil, log2
@@ -23,8 +25,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
-BUCKET_BYTES = 12_000_000
+from skein.llm import exchange as X
+
+BUCKET_BYTES = 8_000_000
 PIECE_BYTES = 2_000_000
 DEPTH = 2
 LONG_WORD = 256
@@ -112,158 +117,111 @@ def cells(h: np.ndarray, row: int, bits: int) -> tuple[np.ndarray, np.ndarray]:
     return np.unique(mix(h, row + 1) >> U(64 - bits), return_inverse=True)
 
 
-def _pack(x: np.ndarray) -> bytes:
-    """Bytes by significance, compressed."""
-    planes = np.ascontiguousarray(x).view(np.uint8).reshape(len(x), -1).T
-    return len(x).to_bytes(8, "little") + pa.Codec("zstd", 1).compress(np.ascontiguousarray(planes).tobytes(), asbytes=True)
-
-
-def _unpack(b: bytes, kind) -> np.ndarray:
-    n, width = int.from_bytes(b[:8], "little"), np.dtype(kind).itemsize
-    if not n:
-        return np.empty(0, kind)
-    planes = np.frombuffer(pa.Codec("zstd").decompress(b[8:], n * width, asbytes=True), np.uint8).reshape(width, n)
-    return np.ascontiguousarray(planes.T).view(kind).reshape(n)
-
-
-def _steps(sorted_: np.ndarray) -> bytes:
-    return _pack(np.diff(sorted_, prepend=sorted_.dtype.type(0)))
+class Cells(X.Scheme):
+    """Cells of a sketch row with the documents that fell into each, up to two; the answer is whether all buckets together have two."""
 
+    values = (np.uint8,)
+    answers = (np.uint8,)
 
-def _unsteps(b: bytes) -> np.ndarray:
-    return np.cumsum(_unpack(b, U), dtype=U)
+    def __init__(self, bits: int):
+        self.bits = bits
 
+    def merge(self, values, heads):
+        return [np.minimum(np.add.reduceat(values[0].astype(np.int64), heads), 2).astype(np.uint8)]
 
-def _bits(x: np.ndarray) -> bytes:
-    return len(x).to_bytes(8, "little") + np.packbits(x).tobytes()
+    def top(self, keys, values):
+        return [(values[0] > 1).astype(np.uint8)]
 
 
-def _unbits(b: bytes) -> np.ndarray:
-    return np.unpackbits(np.frombuffer(b[8:], np.uint8), count=int.from_bytes(b[:8], "little")).astype(bool)
+class Windows(X.Scheme):
+    """96 bits of windows' hashes with the smallest id that has each; the answer is whether a smaller one has it."""
 
+    more = (np.uint32,)
+    values = (np.int64,)
+    answers = (np.uint8,)
 
-SENT = "shard int, bucket int, part int, a binary, b binary, c binary"
-ANSWER = "bucket int, part int, shard int, a binary"
+    def merge(self, values, heads):
+        return [np.minimum.reduceat(values[0], heads)]
 
+    def top(self, keys, values):
+        return [np.zeros(len(keys[0]), np.uint8)]
 
-def _table(rows: list[tuple], names: str) -> pa.Table:
-    kinds = {"int": pa.int32(), "binary": pa.binary(), "long": pa.int64(), "string": pa.string()}
-    spec = [x.split() for x in names.split(", ")]
-    return pa.table({n: pa.array([r[i] for r in rows], kinds[k]) for i, (n, k) in enumerate(spec)})
+    def child(self, answers, own, merged):
+        return [answers[0] | (own[0] > merged[0])]
 
 
 def remove_repeats(docs: DataFrame, size: int = 13, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_words, n_removed, kept): kept holds the words that stay, joined by a space."""
+    """(doc_id, n_words, n_removed, kept): kept holds the words that stay, joined by a space. Ids are whole numbers."""
+    if not isinstance(docs.schema[id_col].dataType, IntegralType):
+        raise TypeError(f"ids must be whole numbers, as the smallest one keeps a window; {id_col} is {docs.schema[id_col].dataType.simpleString()}")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
-    octets = rows.agg(F.sum(F.octet_length("t"))).first()[0] or 1
-    buckets = max(1, ceil(octets / BUCKET_BYTES))
-    shard_bits = ceil(log2(buckets))
-    cell_bits = max(12, shard_bits, ceil(log2(octets)))  # several cells for each window
-    rows = rows.withColumn("bucket", F.pmod(F.xxhash64(F.coalesce("doc_id", F.xxhash64("t"))), F.lit(buckets)).cast("int"))
-
-    def load(left: pa.Table) -> tuple[Bucket, np.ndarray, list[bytes]]:
-        """Windows of documents with an id, which are put in the order of ids."""
-        left = left.sort_by("doc_id")
-        texts = [x.as_py().encode("utf-8") for x in left.column("t")]
+    parts = rows.groupBy(F.spark_partition_id().alias("p")).agg(F.sum(F.octet_length("t")).alias("n"))
+    sized = parts.agg(F.sum("n").alias("octets"), F.sum(F.greatest(F.lit(1), F.ceil(F.col("n") / BUCKET_BYTES))).alias("buckets")).first()
+    octets, buckets = sized["octets"] or 1, int(sized["buckets"] or 1)
+    cell_bits = max(12, ceil(log2(buckets)), ceil(log2(octets)))  # several cells for each window
+    sketched, exact = X.Tree(buckets, [Cells(cell_bits)] * DEPTH), X.Tree(buckets, [Windows()])
+
+    def load(blob: bytes) -> tuple[Bucket, np.ndarray, pa.Table]:
+        """Windows of documents with an id, which are in the order of ids."""
+        left = X.thaw(blob)
         ids = left.column("doc_id")
-        b = Bucket(texts, size)
+        b = Bucket(left.column("t").cast(pa.binary()).to_pylist(), size)
         named = np.asarray(ids.is_valid())
         b.keep(named[b.doc])
-        return b, np.asarray(ids.fill_null(0)), texts
+        return b, np.asarray(ids.fill_null(0)), left
 
-    def shard_of(sorted_: np.ndarray, bits: int) -> list[tuple[int, slice]]:
-        """The parts of sorted values of so many bits by shard."""
-        at = (sorted_ >> U(bits - shard_bits)).astype(np.int64)
-        edges = np.searchsorted(at, np.arange((1 << shard_bits) + 1))
-        return [(s, slice(edges[s], edges[s + 1])) for s in range(1 << shard_bits) if edges[s] < edges[s + 1]]
-
-    def sketch(left: pa.Table) -> pa.Table:
+    def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """A cell counts documents, one or more; windows of one document count once."""
-        b, ids, _ = load(left)
-        own = left.column("bucket")[0].as_py()
-        key = _once(b.h, ids[b.doc])
-        out = []
-        for row in range(DEPTH):
-            cell, inverse = cells(key, row, cell_bits)
-            twice = np.bincount(inverse, minlength=len(cell)) > 1
-            out += [(s * DEPTH + row, own, row, _steps(cell[x]), _bits(twice[x]), None) for s, x in shard_of(cell, cell_bits)]
-        return _table(out, SENT)
-
-    def merge(table: pa.Table) -> pa.Table:
-        """Merged counts of one shard's cells, up to two."""
-        parts = [(r["bucket"], r["part"], _unsteps(r["a"]), _unbits(r["b"])) for r in table.to_pylist()]
-        shard = table.column("shard")[0].as_py()
-        low = U(shard // DEPTH) << U(cell_bits - shard_bits)
-        counts = np.zeros(1 << (cell_bits - shard_bits), np.uint8)
-        for _, _, cell, twice in parts:
-            counts[cell - low] = np.minimum(counts[cell - low] + 1 + twice, 2)
-        return _table([(bucket, part, shard, _bits(counts[cell - low] > 1)) for bucket, part, cell, _ in parts], ANSWER)
-
-    def passing(b: Bucket, answers: pa.Table) -> np.ndarray:
+        for bucket, left in X.bucketed(batches, "t", BUCKET_BYTES):
+            blob = X.freeze(left.sort_by("doc_id"))
+            b, ids, _ = load(blob)
+            key = _once(b.h, ids[b.doc])
+            out = [sketched.keep(bucket, [blob])]
+            for row in range(DEPTH):
+                cell, inverse = cells(key, row, cell_bits)
+                out += sketched.send(bucket, row, [cell], [np.minimum(np.bincount(inverse, minlength=len(cell)), 2).astype(np.uint8)])
+            yield from X.table(out, X.UP).to_batches()
+
+    def send(left: pa.Table, said: pa.Table) -> pa.Table:
         """Windows whose estimate is two or more in every row."""
+        if not said.num_rows:  # a node
+            return X.table([], X.UP)
+        ((blob,),), bucket = X.kept(left), left.column("child")[0].as_py()
+        b, ids, _ = load(blob)
         mask = np.ones(len(b.h), bool)
         for row in range(DEPTH):
-            said = sorted((r["shard"], r["a"]) for r in answers.to_pylist() if r["part"] == row)
-            cell, inverse = cells(b.h, row, cell_bits)
-            mask &= np.concatenate([*[_unbits(a) for _, a in said], np.empty(0, bool)])[inverse] if len(cell) else mask
-        return mask
-
-    def send(left: pa.Table, answers: pa.Table) -> pa.Table:
-        if not left.num_rows:
-            return _table([], SENT)
-        b, ids, _ = load(left)
-        own = left.column("bucket")[0].as_py()
-        mask = passing(b, answers)
+            (twice,), _ = sketched.read(said, row)
+            if len(b.h):
+                mask &= twice[cells(b.h, row, cell_bits)[1]] > 0
         b.keep(mask)
+        first = _firsts(b.h, b.more)  # in order of ids: the first has the smallest
+        return X.table([exact.keep(bucket, [blob, X.pack_bits(mask)]), *exact.send(bucket, 0, [b.h[first], b.more[first]], [ids[b.doc[first]]])], X.UP)
+
+    def apply(left: pa.Table, said: pa.Table) -> pa.Table:
+        if not said.num_rows:
+            return X.table([], out_schema)
+        ((blob, mask),) = X.kept(left)
+        b, ids, left = load(blob)
+        b.keep(X.unpack_bits(mask))
         first = _firsts(b.h, b.more)
-        h, more, low = b.h[first], b.more[first], ids[b.doc[first]]  # in order of ids: the first has the smallest
-        out = [(s * DEPTH, own, DEPTH, _steps(h[x]), _pack(more[x]), _pack(low[x])) for s, x in shard_of(h, 64)]
-        return _table([*out, (own % (1 << shard_bits) * DEPTH, own, DEPTH + 1, _bits(mask), None, None)], SENT)
-
-    def group(table: pa.Table) -> pa.Table:
-        """Exact groups of one shard; what a bucket sends to itself (the mask) passes."""
-        shard, rows_ = table.column("shard")[0].as_py(), table.to_pylist()
-        out = [(r["bucket"], r["part"], shard, r["a"]) for r in rows_ if r["part"] > DEPTH]
-        rows_ = [r for r in rows_ if r["part"] == DEPTH]
-        h = [_unsteps(r["a"]) for r in rows_]
-        more, low = [_unpack(r["b"], np.uint32) for r in rows_], [_unpack(r["c"], np.int64) for r in rows_]
-        if rows_:
-            all_h, all_more, all_low = np.concatenate(h), np.concatenate(more), np.concatenate(low)
-            order = np.lexsort((all_low, all_more, all_h))
-            new = np.concatenate([[True], (np.diff(all_h[order]) != 0) | (np.diff(all_more[order].astype(np.int64)) != 0)])
-            least = all_low[order][new][np.cumsum(new) - 1]
-            after = np.empty(len(order), bool)
-            after[order] = all_low[order] > least
-            ends = np.cumsum([0, *map(len, h)])
-            out += [(r["bucket"], DEPTH, shard, _bits(after[ends[i] : ends[i + 1]])) for i, r in enumerate(rows_)]
-        return _table(out, ANSWER)
-
-    def apply(left: pa.Table, answers: pa.Table) -> pa.Table:
-        if not left.num_rows:
-            return _table([], out_schema)
-        b, ids, texts = load(left)
-        said = answers.to_pylist()
-        b.keep(_unbits(next(r["a"] for r in said if r["part"] == DEPTH + 1)))
-        first = _firsts(b.h, b.more)
-        elsewhere = np.concatenate([*[_unbits(r["a"]) for r in sorted((r for r in said if r["part"] == DEPTH), key=lambda r: r["shard"])], np.empty(0, bool)])
+        (elsewhere,), _ = exact.read(said, 0)
         entry = _entry(b.h, b.more, first)
-        gone = elsewhere[entry] | (ids[b.doc] > ids[b.doc[first]][entry]) if len(first) else np.zeros(0, bool)
+        gone = (elsewhere[entry] > 0) | (ids[b.doc] > ids[b.doc[first]][entry]) if len(first) else np.zeros(0, bool)
         marks = np.zeros(int(b.n_words.sum()) + size + 1, np.int32)
-        marks[b.word[gone]] += 1
-        marks[b.word[gone] + size] -= 1
+        marks += np.bincount(b.word[gone], minlength=len(marks)).astype(np.int32)
+        marks -= np.bincount(b.word[gone] + size, minlength=len(marks)).astype(np.int32)
         stays = np.cumsum(marks) == 0
-        out, named = [], left.sort_by("doc_id").column("doc_id").to_pylist()
-        for i, t in enumerate(texts):
+        out = []
+        for i, (name, t) in enumerate(zip(left.column("doc_id").to_pylist(), left.column("t").cast(pa.binary()).to_pylist())):
             own = stays[b.first_word[i] : b.first_word[i] + b.n_words[i]]
             words, n = t.split(), int(own.sum())
-            out.append((named[i], len(words), len(words) - n, b" ".join(words if n == len(words) else compress(words, own)).decode("utf-8")))
-        return _table(out, out_schema)
+            out.append((name, len(words), len(words) - n, b" ".join(words if n == len(words) else compress(words, own)).decode("utf-8")))
+        return X.table(out, out_schema)
 
     out_schema = "doc_id long, n_words long, n_removed long, kept string"
-    of = rows.groupBy("bucket")
-    answers = of.applyInArrow(sketch, SENT).groupBy("shard").applyInArrow(merge, ANSWER)
-    exact = of.cogroup(answers.groupBy("bucket")).applyInArrow(send, SENT).groupBy("shard").applyInArrow(group, ANSWER)
-    return of.cogroup(exact.groupBy("bucket")).applyInArrow(apply, out_schema)
+    sent = rows.mapInArrow(sketch, X.UP)
+    passed = sent.groupBy("to").cogroup(X.of_buckets(sketched.totals(sent)).groupBy("to")).applyInArrow(send, X.UP)
+    return passed.groupBy("to").cogroup(X.of_buckets(exact.totals(passed)).groupBy("to")).applyInArrow(apply, out_schema)
 
 
 def _once(h: np.ndarray, doc: np.ndarray) -> np.ndarray:

@@ -35,5 +35,6 @@ def computed_once(df: DataFrame) -> DataFrame:
 
 
 def row_key(id_col: str, text_col: str) -> Column:
-    """A key by which results join back. Rows that share it are equal in id and text, so get equal results."""
-    return F.xxhash64(F.col(id_col), F.coalesce(F.col(text_col), F.lit("")))
+    """A key by which results join back: a SHA-256 of id and text. Rows that share it are equal in both, so get equal results."""
+    own = F.col(id_col).cast("string")
+    return F.unhex(F.sha2(F.concat_ws(":", F.coalesce(F.length(own), F.lit(-1)), own, F.coalesce(F.col(text_col), F.lit(""))), 256))

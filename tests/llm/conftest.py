@@ -22,7 +22,8 @@ def docs(spark, sf):
     both = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text", "lang", "source", "n_chars")
     edge = spark.createDataFrame(EDGE, schema)
     both = both.selectExpr("doc_id + 100 as doc_id", "text", "lang", "source", "n_chars").union(edge)
-    return both.selectExpr("*", "'x' as key", "1 as t", "2 as w", "3 as label", "4 as value").cache()
+    names = "key t w label value row id tie domain tokens rest whole buckets bucket before end spot epoch marks lead node fp low n to child at keys values kind train place _key _marks _lead _domain _lang _source _tokens own lines found budget given".split()
+    return both.selectExpr("*", *[f"'{n}' as {n}" for n in names]).cache()
 
 
 @pytest.fixture(scope="session")

@@ -26,17 +26,29 @@ def test_bpe_odd_texts():
 def test_mixing_budgets(spark):
     rows = [(f"{d}{lang}{i}", "w " * 10, lang, f"s{d}") for d in range(2) for lang in ("en", "fr") for i in range(40 if lang == "en" else 5)]
     df = spark.createDataFrame(rows, "doc_id string, text string, lang string, source string")
-    plan = mixing.Mix(budget_share=0.5, max_epochs=2, temperature=1.0, weights={"domain0": 1.0, "domain1": 3.0})
-    out = mixing.mix(df, plan).groupBy("_domain").agg(F.sum("_tokens").alias("n"), F.max("_epoch").alias("e"))
-    got = {r["_domain"]: r["n"] for r in out.collect()}
+    plan = mixing.Mix(budget_share=0.5, max_epochs=2, temperature=1.0, targets={("domain0",): 1.0, ("domain1",): 3.0})
+    out = mixing.mix(df, plan).groupBy("domain").agg(F.sum("n_tokens").alias("n"), F.max("epoch").alias("e"))
+    got = {r["domain"]: r["n"] for r in out.collect()}
     assert abs(got["domain0"] - 112.5) <= 20 and abs(got["domain1"] - 337.5) <= 20
-    full = mixing.mix(df, mixing.Mix(budget_share=5.0, max_epochs=2)).groupBy("doc_id").count()
+    full = mixing.mixed(df, mixing.Mix(budget_share=5.0, max_epochs=2)).groupBy("doc_id").count()
     assert full.where("count <> 2").count() == 0 and full.count() == len(rows)
 
 
+def test_mixing_targets_on_all_levels(spark):
+    rows = [(f"{d}{lang}{i}{s}", "w " * 10, lang, f"{d}{s}") for d in ("web", "books") for lang in ("en", "fr") for s in "ab" for i in range(50)]
+    df = spark.createDataFrame(rows, "doc_id string, text string, lang string, source string")
+    targets = {("web",): 0.75, (mixing.ANY, "en"): 0.8, ("web", "en", "weba"): 0.9, ("books", "fr"): 0.5}
+    plan = mixing.Mix(budget_share=0.4, max_epochs=9, targets=targets)
+    out = mixing.mix(df, plan, domain=F.regexp_extract("source", "web|books", 0)).groupBy("domain", "row.lang", "row.source").agg(F.sum("n_tokens").alias("n"))
+    got = {(r.domain, r.lang, r.source): r.n for r in out.collect()}
+    total = 0.4 * 4000
+    expected = {("web", "en", "weba"): 0.75 * 0.8 * 0.9, ("web", "en", "webb"): 0.75 * 0.8 * 0.1, ("web", "fr", "weba"): 0.75 * 0.2 * 0.5, ("books", "fr", "booksb"): 0.25 * 0.5 / (0.5 + 0.8) * 0.5}
+    assert all(abs(got[k] - x * total) <= 10 for k, x in expected.items())
+
+
 def test_mixing_edges(docs, none):
-    out = mixing.mix(docs)
-    assert set(docs.columns) < set(out.columns) and out.count() > 0
+    out = mixing.mixed(docs)
+    assert out.columns == docs.columns and out.count() > 0 and out.where("rest <> 'rest' or domain <> 'domain'").count() == 0
     assert mixing.digest(none).count() == 0
 
 

@@ -47,9 +47,88 @@ def test_media_columns(spark):
     assert r[2].error and r[3].error is None and r[3].frames is None and r[4].error
 
 
+def plain_decode(data):
+    """A second reader, code by code and pixel by pixel: (frames' delays, disposals, the canvases as lists of (r, g, b) or None)."""
+    w, h, flags = int.from_bytes(data[6:8], "little"), int.from_bytes(data[8:10], "little"), data[10]
+    at, shared = 13, None
+    if flags & 0x80:
+        n = 3 * (2 << (flags & 7))
+        shared, at = data[at : at + n], at + n
+    canvas, out, control = [[None] * w for _ in range(h)], [], None
+    while data[at] != 0x3B:
+        if data[at] == 0x21:
+            control, at = data[at + 3 : at + 7], at + 8
+            continue
+        left, top, fw, fh = (int.from_bytes(data[at + k : at + k + 2], "little") for k in (1, 3, 5, 7))
+        own, at = data[at + 9], at + 10
+        palette = shared
+        if own & 0x80:
+            n = 3 * (2 << (own & 7))
+            palette, at = data[at : at + n], at + n
+        size, at = data[at], at + 1
+        stream = b""
+        while data[at]:
+            stream, at = stream + data[at + 1 : at + 1 + data[at]], at + 1 + data[at]
+        at += 1
+        bits, place, width, stop = int.from_bytes(stream, "little"), 0, size + 1, 1 << size
+        table, last, pixels = None, None, []
+        while True:
+            code = bits >> place & ((1 << width) - 1)
+            place += width
+            if code == stop:
+                table, width, last = [[k] for k in range(stop)] + [None, None], size + 1, None
+                continue
+            if code == stop + 1:
+                break
+            now = table[code] if code < len(table) else [*last, last[0]]
+            pixels += now
+            if last is not None and len(table) < 4096:
+                table.append([*last, now[0]])
+                if len(table) == 1 << width and width < 12:
+                    width += 1
+            last = now
+        before = [list(r) for r in canvas]
+        for k, p in enumerate(pixels):
+            if not (control[0] & 1 and p == control[3]):
+                canvas[top + k // fw][left + k % fw] = tuple(palette[3 * p : 3 * p + 3])
+        disposal = control[0] >> 2 & 7
+        out.append((int.from_bytes(control[1:3], "little"), disposal, [list(r) for r in canvas], fh))
+        if disposal == 3:
+            canvas = before
+        elif disposal == 2:
+            for y in range(fh):
+                for x in range(fw):
+                    canvas[top + y][left + x] = None
+    return out
+
+
+@pytest.mark.parametrize("text", [b"", b"plain", b"the cat sat on the mat. " * 900, bytes(range(256)) * 60, b"same line of it\n" * 1200])
+def test_stored_texts_are_files_that_another_reader_shows(text):
+    media = gif.store(text)
+    back, frames = gif.read_back(media)
+    shown = plain_decode(media)
+    pixels = b"".join(bytes(p[0] for row in c[:fh] for p in row) for _, _, c, fh in shown)
+    assert pixels == back == text + bytes(-len(text) % 64 if text else 64)
+    assert [(f["delay_ms"], f["disposal"]) for f in frames] == [(10 * d, k) for d, k, _, _ in shown]
+    for f, (_, _, canvas, _) in zip(frames, shown):
+        own = [0] * 64
+        for p in (p for row in canvas for p in row if p):
+            own[(p[0] >> 6) * 16 + (p[1] >> 6) * 4 + (p[2] >> 6)] += 1
+        assert f["histogram"] == own
+    if len(text) > 15_000:
+        assert {1, 2, 3} == {k for _, k, _, _ in shown}
+
+
+def test_transparency_and_palettes_carry_stored_texts():
+    frames = gif.decode(gif.store(b"the cat sat on the mat. " * 900))[2]
+    assert any(f.clear is not None and (f.samples == f.clear).any() for f in frames) and len({f.palette.tobytes() for f in frames}) > 2
+
+
 def test_digest(docs, none):
     for r, t in zip(gif.digest(docs).collect(), docs.select("doc_id", "text").collect()):
         raw = (t.text or "").encode()
         payload = raw + bytes(-len(raw) % 64 if raw else 64)
+        media = gif.store(raw)
         assert (r.doc_id, r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (t.doc_id, len(raw), len(payload), sha256(payload).hexdigest(), zlib.crc32(payload[-64:]))
+        assert (r.media_bytes, r.media_sha256) == (len(media), sha256(media).hexdigest()) and [f.delay_ms for f in r.frames] == [100] * -(-len(payload) // 4096)
     assert gif.digest(none).count() == 0

@@ -2,7 +2,9 @@
 
 from collections import Counter
 
-from skein.llm import substring
+import pytest
+
+from skein.llm import exchange, substring
 
 
 def brute(rows, size=13):
@@ -28,3 +30,15 @@ def test_against_brute_force(docs, none, monkeypatch):
     got = Counter(tuple(r) for r in substring.remove_repeats(docs).collect())
     assert got == expected and any(r[2] for r in got)
     assert substring.digest(none).count() == 0
+
+
+def test_ids_must_be_whole_numbers(spark):
+    with pytest.raises(TypeError, match="whole numbers"):
+        substring.remove_repeats(spark.createDataFrame([("a", "x")], "doc_id string, text string"))
+
+
+def test_levels_of_the_tree_agree(docs, monkeypatch):
+    monkeypatch.setattr(substring, "BUCKET_BYTES", 20_000)
+    flat = Counter(tuple(r) for r in substring.digest(docs).collect())
+    monkeypatch.setattr(exchange, "FAN_BITS", 1)
+    assert Counter(tuple(r) for r in substring.digest(docs).collect()) == flat
