@@ -45,7 +45,9 @@ ROW = 5  # choices of a byte that are kept side by side
 SEEN = np.array([1, 2, 4, 16, 256])  # a gate for each range of counts
 GATES = (ROW + 1) * (len(SEEN) + 1)
 POWERS = np.cumprod(np.full(WORD, BYTE_BASE, U))
-LEVELS, STEP = 33, 0.5  # quantised predictions, for the starting weights only
+_UP = [0.25, 0.5, 1, 1.5, 2, 2.5, 3, 4, 5, 6.5, 8]
+PREDICTIONS = np.array([*(-x for x in reversed(_UP)), 0, *_UP])  # as which they count for the starting weights
+LEVELS = len(PREDICTIONS)
 
 
 @dataclass(frozen=True)
@@ -251,12 +253,16 @@ class Odds:
     each, and the rest of all paths in a run."""
 
     def __init__(self, stream: Stream, place: np.ndarray, many: np.ndarray, answers: np.ndarray, model: Model, own: int = 0):
-        """answers: to the keys of all orders together, in order; many: choices of each. own: what each byte counts for itself."""
+        """answers: to the keys of all orders together, in order; many: choices of each. own: what each byte counts for itself; if it does,
+        the odds come as places in PREDICTIONS."""
         end = np.cumsum(many)
         taken, other = COUNT_OF[np.arange(1 << 16) >> 8], COUNT_OF[np.arange(1 << 16) & 255]
         taken, prior = np.maximum(taken - own, 0), np.float32(model.prior)
-        odds = np.append(np.log((taken + prior) / (other + prior)).take(answers), np.float32(0))  # one more for choices that there are not
-        gate = np.append(np.searchsorted(SEEN, taken + other, "right").astype(np.int16).take(answers), np.int16(0))
+        odds = np.log((taken + prior) / (other + prior))
+        if own:
+            odds = np.searchsorted((PREDICTIONS[1:] + PREDICTIONS[:-1]) / 2, odds).astype(np.int32)
+        odds = np.append(odds.take(answers), odds[0])  # one more for choices that there are not
+        gate = np.append(np.searchsorted(SEEN, taken + other, "right").astype(np.int32).take(answers), np.int32(0))
         ends = np.cumsum([0, *map(len, stream.keys)])
         self.row, self.rest, self.begin = [], odds, []
         for a, b in zip(ends[:-1], ends[1:]):
@@ -265,15 +271,11 @@ class Odds:
             spot = np.where(np.arange(ROW) < n[:, None], start[:, None] + np.arange(ROW), len(answers))
             self.row.append(odds.take(spot))
             self.begin.append(start + ROW)
-        depth = np.arange(ROW, dtype=np.int16) * (len(SEEN) + 1)
+        depth = np.arange(ROW, dtype=np.int32) * (len(SEEN) + 1)
         self.gate = np.where(spot < len(answers), gate.take(spot) + depth, GATES)
         self.rest_gate = gate + ROW * (len(SEEN) + 1)
 
 
-def level(odds: np.ndarray) -> np.ndarray:
-    return np.clip(np.rint(odds / STEP), -(LEVELS // 2), LEVELS // 2).astype(np.int32) + LEVELS // 2
-
-
 def edges(longest: int, model: Model) -> np.ndarray:
     """Where blocks begin, and the end: a block is a quarter of what has been read, within bounds."""
     out = [0]
@@ -296,8 +298,7 @@ def cells(stream: Stream, odds: Odds, use: np.ndarray) -> np.ndarray:
     """Choices of the bytes in use by gate and quantised predictions."""
     orders = len(odds.row)
     size = LEVELS**orders
-    row, rest = [level(x) for x in odds.row], level(odds.rest)
-    row[-1] += odds.gate * LEVELS  # the last order's comes with its gate
+    row, rest = [*odds.row[:-1], odds.row[-1] + odds.gate * LEVELS], odds.rest  # the last order's comes with its gate
     last = rest + odds.rest_gate * LEVELS
     out = np.zeros((GATES + 1) * size, np.int64)
     byte = np.flatnonzero(use)
@@ -325,7 +326,7 @@ def fit(cell: np.ndarray, n: np.ndarray, orders: int, rounds: int = 30, ridge: f
     for g in range(GATES):
         own = cell // size == g
         rest, many = cell[own] % size, n[own].astype(float)
-        digit = [((rest // LEVELS ** (orders - 1 - i)) % LEVELS - LEVELS // 2) * STEP for i in range(orders)]
+        digit = [PREDICTIONS[rest // LEVELS ** (orders - 1 - i) % LEVELS] for i in range(orders)]
         x = np.stack([*digit[1:], digit[0]], 1)  # the last order is the first digit
         w = out[g].copy()
         for _ in range(rounds if own.any() else 0):

@@ -229,7 +229,7 @@ class Tree:
 
     def read(self, said: pa.Table, kind: int) -> tuple[list[np.ndarray], np.ndarray]:
         """(a scheme's answers in the order of the keys that were sent, sums)."""
-        rows = sorted((r for r in said.to_pylist() if r["kind"] == kind), key=lambda r: r["at"])
+        rows = sorted(said.filter(pc.equal(said.column("kind"), kind)).to_pylist(), key=lambda r: r["at"])
         kinds = self.schemes[kind].answers
         answers = [np.concatenate([*(unpack(r["values"][i], k) for r in rows), np.empty(0, k)]) for i, k in enumerate(kinds)]
         sums = [unpack(r["values"][len(kinds)], np.int64) for r in rows]

@@ -128,11 +128,10 @@ def test_starting_weights_code_the_counted_choices_best():
     rng = np.random.default_rng(7)
     true = np.array([0.3, 0.9, 0.5])
     cell = rng.integers(0, cm.LEVELS**3, 20_000)
-    x = np.stack([cell // cm.LEVELS % cm.LEVELS, cell % cm.LEVELS, cell // cm.LEVELS**2], 1)
-    x = (x - cm.LEVELS // 2) * cm.STEP
-    chance = 1 / (1 + np.exp(-x @ true))
+    digits = np.stack([cell // cm.LEVELS % cm.LEVELS, cell % cm.LEVELS, cell // cm.LEVELS**2], 1)
+    chance = 1 / (1 + np.exp(-cm.PREDICTIONS[digits] @ true))
     # a choice is seen as made or, with its signs turned, as not made
-    turned = ((-x / cm.STEP + cm.LEVELS // 2).astype(int) * np.array([cm.LEVELS, 1, cm.LEVELS**2])).sum(1)
+    turned = ((cm.LEVELS - 1 - digits) * np.array([cm.LEVELS, 1, cm.LEVELS**2])).sum(1)
     n = np.concatenate([chance, 1 - chance]) * 1000
     w = cm.fit(np.concatenate([cell, turned]), n, 3)
     assert np.allclose(w[0], true, atol=1e-3) and np.allclose(w[1], 1 / 3)
