@@ -112,3 +112,8 @@ def distances(name: str, a: np.ndarray, b: np.ndarray, most: int = 4_000_000) ->
         raise ValueError(f"unknown distance {name!r}")
     step = max(1, most // max(1, b.size))
     return np.concatenate([METRICS[name](a[k : k + step], b) for k in range(0, len(a), step)]) if len(a) else np.empty((0, len(b)))
+
+
+def paired(name: str, a: np.ndarray, b: np.ndarray, block: int = 32) -> np.ndarray:
+    """Distances of the rows of a and b one by one, from the diagonals of small blocks."""
+    return np.concatenate([*(METRICS[name](a[k : k + block], b[k : k + block]).diagonal() for k in range(0, len(a), block)), np.empty(0)])

@@ -257,6 +257,8 @@ def components(g: DataFrame, vertices: DataFrame | None = None, rounds: int = 60
         label = new.select("id", F.col("n").alias("c"))
         if not changed:
             break
+    else:
+        raise RuntimeError(f"labels still change after {rounds} rounds")
     numbered = number(label.select("c").distinct(), ["c"], "component")
     return label.join(numbered, "c").select("id", "component")
 

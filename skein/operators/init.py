@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 
 from skein.operators.graph import components
 from skein.operators.layout import BROADCAST_CELLS
-from skein.operators.scaling import apply_pca, fit_pca
+from skein.operators.scaling import apply_pca, fit_pca, gram
+from skein.operators.tables import cut
 
 NAMES = ("spectral", "random", "lvrandom", "normlaplacian", "laplacian", "spca", "pca", "inormlaplacian", "ispectral", "agspectral", "irlba_spectral", "irlba_laplacian", "pacpca")
 SPECTRAL = ("spectral", "normlaplacian", "laplacian", "inormlaplacian", "ispectral", "irlba_spectral", "irlba_laplacian")
@@ -57,14 +58,63 @@ def normalized_entries(g: DataFrame) -> DataFrame:
     return both.select("i", "j", (F.col("w") / F.sqrt(F.col("deg") * F.col("deg_j"))).alias("v"))
 
 
+def _starting(ids: DataFrame, width: int, seed: int) -> DataFrame:
+    return random_coords(ids, width, seed, normal=True)
+
+
 def eigen_coords(g: DataFrame, n: int, dim: int, rounds: int = 60, seed: int = 42, walk: bool = False) -> DataFrame | None:
-    """Eigenvectors 2 .. dim + 1 of the normalised graph by subspace iteration; ids are 0 to n - 1; None where that is not possible.
+    """Eigenvectors 2 .. dim + 1 of the normalised graph by subspace iteration; ids are 0 to n - 1; None for graphs of too few vertices.
 
-    Each round multiplies a few vectors of n numbers, broadcast up to BROADCAST_CELLS, with edges held in partitions. walk: of the random walk.
+    Up to BROADCAST_CELLS numbers, each round multiplies a few vectors, broadcast, with edges held in partitions; beyond, vectors are a table
+    that is joined with the edges. Both start alike and stop by the same rule. walk: of the random walk.
     """
     width = dim + 5
-    if n < 3 or n <= dim + 1 or n * width > BROADCAST_CELLS:
+    if n < 3 or n <= dim + 1:
         return None
+    small = n * width <= BROADCAST_CELLS
+    y = _eigen_local(g, n, width, dim, rounds, seed, walk) if small else _eigen_joined(g, width, dim, rounds, seed, walk)
+    top = y.agg(*[F.max_by(F.col("y")[k], F.abs(F.col("y")[k])).alias(f"t{k}") for k in range(dim)]).first()
+    return y.withColumn("y", F.array(*[F.col("y")[k] * float(np.sign(top[f"t{k}"]) or 1.0) for k in range(dim)]))
+
+
+def _settled(value: np.ndarray, last: np.ndarray, dim: int) -> bool:
+    return bool(np.abs(value - last)[-dim - 1 :].max() < 1e-7)
+
+
+def _eigen_joined(g: DataFrame, width: int, dim: int, rounds: int, seed: int, walk: bool) -> DataFrame:
+    degree = cut(g.groupBy("i").agg(F.sum("w").alias("deg")))
+    entries = cut(normalized_entries(g))
+    q = cut(_turned(_starting(degree.select(F.col("i").alias("id")), width, seed), None))
+    last = np.zeros(width)
+    for _ in range(rounds):
+        part = entries.join(q, entries["j"] == q["id"]).select("i", F.transform("y", lambda x: x * F.col("v")).alias("y"))
+        part = part.groupBy(F.col("i").alias("id")).agg(F.array(*[F.sum(F.col("y")[k]) for k in range(width)]).alias("p"))
+        z = cut(q.join(part, "id").select("id", "y", F.zip_with("p", "y", lambda a, b: a + b).alias("z")))
+        _, _, square = gram(z.select(F.concat("y", "z").alias("x")))  # a few vectors' products
+        value, turn = np.linalg.eigh((square[:width, width:] + square[:width, width:].T) / 2)
+        q = cut(_turned(z.select("id", F.col("z").alias("y")), turn[:, ::-1]))
+        if _settled(value, last, dim):
+            break
+        last = value
+    if walk:
+        q = q.join(degree.select(F.col("i").alias("id"), "deg"), "id").select("id", F.transform("y", lambda x: x / F.sqrt("deg")).alias("y"))
+    q = q.select("id", F.slice("y", 2, dim).alias("y"))
+    if walk:
+        size = q.agg(*[F.sqrt(F.sum(F.col("y")[k] ** 2)).alias(f"n{k}") for k in range(dim)]).first()
+        q = q.withColumn("y", F.array(*[F.col("y")[k] / size[f"n{k}"] for k in range(dim)]))
+    return q
+
+
+def _turned(z: DataFrame, turn: np.ndarray | None) -> DataFrame:
+    """z (times turn) with orthonormal columns; only their products come to the driver."""
+    _, _, square = gram(z, "y")
+    turn = np.eye(len(square)) if turn is None else turn
+    low = np.linalg.cholesky(turn.T @ square @ turn)
+    by = turn @ np.linalg.inv(low).T
+    return apply_pca(z, {"center": 0.0, "rotation": by}, "y")
+
+
+def _eigen_local(g: DataFrame, n: int, width: int, dim: int, rounds: int, seed: int, walk: bool) -> DataFrame:
     spark = g.sparkSession
     degree = g.groupBy("i").agg(F.sum("w").alias("deg")).toPandas()  # n rows, checked above
     deg = np.zeros(n)
@@ -89,23 +139,27 @@ def eigen_coords(g: DataFrame, n: int, dim: int, rounds: int = 60, seed: int = 4
         known.unpersist()
         return total * half[:, None] + q  # the graph's matrix plus one has no negative eigenvalues
 
+    def orthonormal(z: np.ndarray) -> np.ndarray:
+        return z @ np.linalg.inv(np.linalg.cholesky(z.T @ z)).T
+
     try:
-        q, _ = np.linalg.qr(np.random.default_rng(seed).normal(size=(n, width)))
+        start = _starting(spark.range(n), width, seed).toPandas().sort_values("id")
+        q = orthonormal(np.stack(start["y"].to_numpy()))
         last = np.zeros(width)
         for _ in range(rounds):
             z = times(q)
-            value, turn = np.linalg.eigh(q.T @ z)
-            q, _ = np.linalg.qr(z @ turn[:, ::-1])
-            if np.abs(value - last)[-dim - 1 :].max() < 1e-7:
+            value, turn = np.linalg.eigh((q.T @ z + z.T @ q) / 2)
+            q = orthonormal(z @ turn[:, ::-1])
+            if _settled(value, last, dim):
                 break
             last = value
     finally:
         entries.unpersist()
+    if walk:
+        q = q * half[:, None]
     y = q[:, 1 : dim + 1]
     if walk:
-        y = y * half[:, None]
         y = y / np.linalg.norm(y, axis=0)
-    y = y * np.sign(y[np.abs(y).argmax(0), np.arange(dim)])
     return spark.createDataFrame(pa.table({"id": np.arange(n), "y": pa.array(y.tolist(), pa.list_(pa.float64()))}))
 
 

@@ -2,7 +2,7 @@
 
 Exact search packs rows into blocks and joins blocks with blocks; every pair of blocks is one task's work, and per-row results merge by
 rank. Approximate search joins rows that share a leaf in one of several random-projection trees, ranks those pairs exactly, and can
-improve the table by looking at neighbours of neighbours.
+improve the table by looking at neighbours of neighbours. What a metric cannot part is still in one leaf at most four times its size.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from skein.functions.metrics import METRICS, distances
+from skein.functions.metrics import METRICS, distances, paired
 from skein.operators.tables import cut
 
 BLOCK = 2048
@@ -69,9 +69,11 @@ def knn(df: DataFrame, k: int, metric: str = "euclidean", query: DataFrame | Non
     return _rank(pairs, k, own)
 
 
-def knn_from_distances(pairs: DataFrame, k: int, triangular: bool = False) -> DataFrame:
-    """From (i, j, d) of defined distances: the k - 1 smallest that are not zero, and the row itself."""
-    full = pairs.select("i", "j", "d").where("d <> 0 and i <> j")
+def knn_from_distances(pairs: DataFrame, k: int, triangular: bool = False, zeros: bool = False) -> DataFrame:
+    """From (i, j, d) of defined distances: the k - 1 smallest, and the row itself. zeros: a distance of zero is one like any other, as in a
+    table of all distances; in a sparse table it is undefined."""
+    full = pairs.select("i", "j", "d").where("i <> j")
+    full = full if zeros else full.where("d <> 0")
     if triangular:
         full = full.union(full.select("j", "i", "d")).distinct()
     few = full.groupBy("i").count().where(F.col("count") < k - 1).orderBy("i").first()
@@ -81,32 +83,109 @@ def knn_from_distances(pairs: DataFrame, k: int, triangular: bool = False) -> Da
     return _rank(full.union(own), k)
 
 
-def ann(df: DataFrame, k: int, metric: str = "euclidean", trees: int = 12, leaf: int = 256, rounds: int = 2, seed: int = 42) -> DataFrame:
+class Forest:
+    """Trees over a bounded sample of rows: a split is the plane half-way between two of a node's rows, as long as it has more than `leaf`."""
+
+    def __init__(self, sample: np.ndarray, trees: int, leaf: int, seed: int):
+        rng = np.random.default_rng(seed)
+        self.trees = [self._grow(sample, leaf, rng) for _ in range(trees)]
+
+    def _grow(self, x: np.ndarray, leaf: int, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(normals, offsets, children by side); a child below zero is a leaf."""
+        normals, offsets, children, leaves = [], [], [], 0
+        todo = [(np.arange(len(x)), None)]
+        while todo:
+            own, place = todo.pop()
+            split = None
+            for _ in range(5 if len(own) > leaf else 0):
+                u, v = x[rng.choice(own, 2, replace=False)]
+                normal = u - v
+                side = x[own] @ normal > normal @ (u + v) / 2
+                if split is None or abs(side.mean() - 0.5) < abs(split[2].mean() - 0.5):
+                    split = normal, normal @ (u + v) / 2, side
+                if 0.1 < side.mean() < 0.9:
+                    break
+            if split is None or split[2].all() or not split[2].any():
+                leaves += 1
+                node = -leaves
+            else:
+                node = len(normals)
+                normals.append(split[0])
+                offsets.append(split[1])
+                children.append([0, 0])
+                todo += [(own[split[2] == side], (node, side)) for side in (0, 1)]
+            if place:
+                children[place[0]][place[1]] = node
+        return np.array(normals).reshape(len(normals), x.shape[1]), np.array(offsets), np.array(children, np.int64).reshape(-1, 2)
+
+    def leaves(self, m: np.ndarray) -> np.ndarray:
+        """(rows, trees) numbers of leaves."""
+        out = np.zeros((len(m), len(self.trees)), np.int64)
+        for t, (normals, offsets, children) in enumerate(self.trees):
+            node = np.zeros(len(m), np.int64) if len(normals) else np.full(len(m), -1)
+            while (on := np.flatnonzero(node >= 0)).size:
+                own = node[on]
+                side = (m[on] * normals[own]).sum(1) > offsets[own]
+                node[on] = children[own, side.astype(np.int64)]
+            out[:, t] = -node
+        return out
+
+
+def _planar(x: np.ndarray, metric: str) -> np.ndarray:
+    """Rows whose planes part what the metric parts."""
+    if metric in ("correlation", "spearmanr"):
+        x = x - x.mean(1, keepdims=True)
+    if metric in ("cosine", "correlation", "spearmanr", "tsss"):
+        x = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
+    return np.sqrt(np.abs(x)) if metric == "hellinger" else x
+
+
+def _numbers(df: DataFrame) -> DataFrame:
+    return df.select(F.col("id").cast("long").alias("id"), F.col("x").cast("array<double>").alias("x"))
+
+
+def forest_of(df: DataFrame, n: int, metric: str, trees: int, leaf: int, sample: int, seed: int) -> Forest:
+    """Fit on the `sample` rows with the smallest hashes; their leaves stand for `leaf` rows of all."""
+    taken = _numbers(df).orderBy(F.xxhash64(F.lit(seed), "id"), "id").limit(sample).toPandas()
+    x = _planar(np.stack(taken["x"].to_numpy()), metric)
+    return Forest(x, trees, max(8, leaf * len(x) // n), seed)
+
+
+def routed(df: DataFrame, forest: Forest, metric: str) -> DataFrame:
+    """(id, x, tree, leaf): each row once for each tree."""
+    known = df.sparkSession.sparkContext.broadcast(forest)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                leaf = known.value.leaves(_planar(np.asarray(b.column(1).flatten()).reshape(b.num_rows, -1), metric))
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(leaf.tolist(), pa.list_(pa.int64()))], names=["id", "x", "leaves"])
+
+    return _numbers(df).mapInArrow(run, "id long, x array<double>, leaves array<long>").select("id", "x", F.posexplode("leaves").alias("tree", "leaf"))
+
+
+def _matrix(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """(ids in order, their rows)."""
+    ids = np.asarray(t.column("id"))
+    order = np.argsort(ids)
+    return ids[order], np.asarray(t.column("x").combine_chunks().flatten()).reshape(len(ids), -1)[order]
+
+
+def ann(df: DataFrame, k: int, metric: str = "euclidean", trees: int = 12, leaf: int = 256, rounds: int = 2, seed: int = 42, sample: int = 16_384) -> DataFrame:
     """Approximate neighbours: rows that share a leaf of a tree, then `rounds` of neighbours of neighbours.
 
-    A tree's leaves are the sign patterns of seeded hyperplanes through the mean; a leaf is dealt on when it is over-full, by a further
-    hash of its rows, so none grows with the data.
+    The trees are fit on a bounded sample, and every row goes down each of them. A leaf with more than 4 * leaf rows, as many equal rows make,
+    is dealt on by a hash, so that no task grows with the data; the rounds bring its parts together.
     """
     n = df.count()
-    rows = df.select(F.col("id").cast("long").alias("id"), F.col("x").cast("array<double>").alias("x"))
-    dim = rows.select(F.size("x")).first()[0]
-    bits = max(0, int(np.ceil(np.log2(max(1, n / leaf)))))
-    planes = np.random.default_rng(seed).normal(size=(trees, bits, dim))
-
-    def leaves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            m = np.asarray(b.column(1).flatten()).reshape(b.num_rows, -1)
-            code = [((m @ p.T > 0) @ (1 << np.arange(bits))).astype(np.int64) if bits else np.zeros(len(m), np.int64) for p in planes]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(np.stack(code, 1).tolist(), pa.list_(pa.int64()))], names=["id", "x", "codes"])
-
-    coded = rows.mapInArrow(leaves, "id long, x array<double>, codes array<long>").select("id", "x", F.posexplode("codes").alias("tree", "leaf"))
+    if n < k:
+        raise ValueError(f"n_neighbors must be at most the number of rows ({n})")
+    coded = routed(df, forest_of(df, n, metric, trees, leaf, sample, seed), metric)
     full = coded.groupBy("tree", "leaf").count()
     coded = coded.join(full, ["tree", "leaf"]).withColumn("part", F.pmod(F.xxhash64("id", "tree"), F.ceil(F.col("count") / (4 * leaf))))
 
     def inside(t: pa.Table) -> pa.Table:
-        ids = np.asarray(t.column("id"))
-        order = np.argsort(ids)
-        m, ids = np.asarray(t.column("x").combine_chunks().flatten()).reshape(len(ids), -1)[order], ids[order]
+        ids, m = _matrix(t)
         d = distances(metric, m, m)
         np.fill_diagonal(d, -1.0)
         at = np.argsort(d, axis=1, kind="stable")[:, :k]
@@ -114,11 +193,34 @@ def ann(df: DataFrame, k: int, metric: str = "euclidean", trees: int = 12, leaf:
 
     pairs = coded.groupBy("tree", "leaf", "part").applyInArrow(inside, "i long, j long, d double")
     table = cut(_rank(pairs.distinct(), k))
+    rows = _numbers(df)
     for _ in range(rounds):
         table = cut(descend(table, rows, k, metric))
     return table
 
 
+def ann_query(df: DataFrame, query: DataFrame, k: int, metric: str = "euclidean", trees: int = 24, leaf: int = 512, seed: int = 42, sample: int = 16_384) -> DataFrame:
+    """Approximate neighbours of query's rows among df's: those that share a leaf of a tree. Both have id long and x array."""
+    n = df.count()
+    forest = forest_of(df, n, metric, trees, leaf, sample, seed)
+    coded = routed(df, forest, metric)
+    full = coded.groupBy("tree", "leaf").agg(F.ceil(F.count("*") / (4 * leaf)).alias("parts"))
+    coded = coded.join(full, ["tree", "leaf"]).withColumn("part", F.pmod(F.xxhash64("id", "tree"), "parts")).drop("parts")
+    asked = routed(query, forest, metric).join(full, ["tree", "leaf"]).select("id", "x", "tree", "leaf", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"))
+
+    def across(q: pa.Table, r: pa.Table) -> pa.Table:
+        if not q.num_rows or not r.num_rows:
+            return pa.table({"i": pa.array([], pa.int64()), "j": pa.array([], pa.int64()), "d": pa.array([], pa.float64())})
+        (qi, a), (rj, b) = _matrix(q), _matrix(r)
+        d = distances(metric, a, b)
+        at = np.argsort(d, axis=1, kind="stable")[:, :k]
+        return pa.table({"i": np.repeat(qi, at.shape[1]), "j": rj[at].ravel(), "d": np.take_along_axis(d, at, 1).ravel()})
+
+    by = ["tree", "leaf", "part"]
+    pairs = asked.groupBy(*by).cogroup(coded.groupBy(*by)).applyInArrow(across, "i long, j long, d double")
+    return _rank(pairs.distinct(), k, False)
+
+
 def descend(table: DataFrame, rows: DataFrame, k: int, metric: str) -> DataFrame:
     """One round of neighbours of neighbours, both ways; only the k nearest of a row are followed, so a hub costs no more."""
     back = table.select(F.col("j").alias("i"), F.col("i").alias("j"), "d").withColumn("r", F.row_number().over(W.partitionBy("i").orderBy("d", "j"))).where(F.col("r") <= k)
@@ -131,19 +233,27 @@ def descend(table: DataFrame, rows: DataFrame, k: int, metric: str) -> DataFrame
         for b in batches:
             if b.num_rows:
                 u, v = (np.asarray(b.column(c).flatten()).reshape(b.num_rows, -1) for c in (2, 3))
-                d = np.sqrt(((u - v) ** 2).sum(1)) if metric == "euclidean" else np.array([distances(metric, u[r : r + 1], v[r : r + 1])[0, 0] for r in range(len(u))])
+                d = np.sqrt(((u - v) ** 2).sum(1)) if metric == "euclidean" else paired(metric, u, v)
                 yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(d)], names=["i", "j", "d"])
 
     found = pairs.select("i", "j", "xi", "xj").mapInArrow(measure, "i long, j long, d double")
     return _rank(table.select("i", "j", "d").union(found), k)
 
 
-def neighbours(df: DataFrame, k: int, metric: str = "euclidean", method: str = "auto", **args) -> DataFrame:
-    """Dispatch: auto is exact up to EXACT_ROWS rows; fnn is exact; annoy, hnsw and nndescent are the approximate search."""
-    if method not in ("auto", "fnn", "exact", "annoy", "hnsw", "nndescent"):
+#: What the searches by other names call their settings.
+SETTINGS = {"n_trees": "trees", "leaf_size": "leaf", "n_iters": "rounds"}
+
+
+def neighbours(df: DataFrame, k: int, metric: str = "euclidean", method: str = "auto", query: DataFrame | None = None, **args) -> DataFrame:
+    """Dispatch: auto is exact up to EXACT_ROWS rows of df; fnn is exact; annoy and nndescent are the approximate search, with its settings."""
+    if method == "hnsw":
+        raise ValueError("there is no navigable-graph index here; annoy and nndescent are approximate searches")
+    if method not in ("auto", "fnn", "exact", "annoy", "nndescent"):
         raise ValueError(f"unknown nn_method {method!r}")
-    exact = method in ("fnn", "exact") or method == "auto" and df.count() <= EXACT_ROWS
-    return knn(df, k, metric) if exact else ann(df, k, metric, **args)
+    args = {SETTINGS.get(x, x): v for x, v in args.items()}
+    if method in ("fnn", "exact") or method == "auto" and df.count() <= EXACT_ROWS:
+        return knn(df, k, metric, query)
+    return ann(df, k, metric, **args) if query is None else ann_query(df, query, k, metric, **{x: v for x, v in args.items() if x != "rounds"})
 
 
 def locally_scaled(table: DataFrame, k: int) -> DataFrame:
@@ -202,15 +312,16 @@ SPARSE = ("cosine", "euclidean", "hellinger", "manhattan")
 
 
 def knn_sparse(terms: DataFrame, k: int, metric: str = "cosine") -> DataFrame:
-    """Neighbours of sparse rows in long form (id, term, value), over an inverted index: rows that share no term are not candidates.
+    """Neighbours of sparse rows in long form (id, term, value), over an inverted index; rows without a value are not there.
 
-    Distances come from sums over shared terms and sums of each row alone, so no vector is made dense.
+    Distances come from sums over shared terms and sums of each row alone, so no vector is made dense. Rows that share no term are as far as
+    their sizes say, so the smallest ones are tried, ever more of them until no other can be nearer.
     """
     if metric not in SPARSE:
         raise ValueError(f"sparse distances are {SPARSE}")
     t = terms.where("value <> 0").select("id", "term", F.col("value").cast("double").alias("value"))
     v = F.col("value")
-    own = t.groupBy("id").agg(F.sum(v * v).alias("sq"), F.sum(F.abs(v)).alias("ab"))
+    own = cut(t.groupBy("id").agg(F.sum(v * v).alias("sq"), F.sum(F.abs(v)).alias("ab")))
     a, b = t.select(F.col("id").alias("i"), "term", v.alias("x")), t.select(F.col("id").alias("j"), "term", v.alias("y"))
     x, y = F.col("x"), F.col("y")
     shared = a.join(b, "term").groupBy("i", "j").agg(F.sum(x * y).alias("dot"), F.sum(F.sqrt(F.abs(x)) * F.sqrt(F.abs(y))).alias("root"), F.sum(F.abs(x - y) - F.abs(x) - F.abs(y)).alias("gap"))
@@ -221,7 +332,29 @@ def knn_sparse(terms: DataFrame, k: int, metric: str = "cosine") -> DataFrame:
         "hellinger": F.sqrt(F.greatest(F.lit(0.0), 1 - F.col("root") / F.sqrt(F.col("ab_i") * F.col("ab_j")))),
         "manhattan": F.col("ab_i") + F.col("ab_j") + F.col("gap"),
     }[metric]
-    return _rank(full.select("i", "j", F.when(F.col("i") == F.col("j"), 0.0).otherwise(d).alias("d")), k)
+    related = cut(full.select("i", "j", F.when(F.col("i") == F.col("j"), 0.0).otherwise(d).alias("d")))
+    size = {"euclidean": F.col("sq"), "manhattan": F.col("ab")}.get(metric, F.lit(0.0))
+    far = {"euclidean": F.sqrt(F.col("size_i") + F.col("size_j")), "manhattan": F.col("size_i") + F.col("size_j")}.get(metric, F.lit(1.0))
+    sizes = cut(own.select("id", size.alias("size")))
+    n, tried, done = sizes.count(), 2 * k, None
+    todo = sizes.select(F.col("id").alias("i"), F.col("size").alias("size_i"))
+    while True:
+        few = sizes.orderBy("size", "id").limit(tried)
+        last = few.orderBy(F.desc("size"), F.desc("id")).first()
+        few = few.select(F.col("id").alias("j"), F.col("size").alias("size_j"))  # `tried` rows
+        strange = todo.join(F.broadcast(few), F.lit(True)).where("i <> j").join(related, ["i", "j"], "left_anti").select("i", "j", far.alias("d"))
+        best = _rank(related.join(todo, "i", "left_semi").union(strange), k)
+        if tried >= n or last is None:
+            return best if done is None else done.union(best)
+        ends = best.groupBy("i").agg(F.count("*").alias("n"), F.max(F.struct("d", "j")).alias("end")).join(todo, "i").withColumn("size_j", F.lit(float(last["size"])))
+        sure = (F.col("n") == k) & ((F.col("end.d") < far) | ((F.col("end.d") == far) & (F.col("end.j") <= last["id"])))
+        ends = cut(ends.select("i", "size_i", sure.alias("sure")))
+        best = cut(best.join(ends.where("sure").select("i"), "i", "left_semi"))
+        done = best if done is None else done.union(best)
+        todo = ends.where("not sure").select("i", "size_i")
+        if not todo.limit(1).count():
+            return done
+        tried *= 4
 
 
 def mid_near(rows: DataFrame, n: int, k: int, draws: int = 6, seed: int = 42) -> DataFrame:

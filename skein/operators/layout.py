@@ -2,7 +2,8 @@
 
 An epoch joins the edges that fire with the coordinates of both ends and of the sampled other vertices, sums clamped gradients per head, and
 moves all vertices. epoch() is that plan in DataFrame operations, at any size. optimize() runs many epochs and keeps edges packed per head
-partition; the coordinates, whose size is checked against BROADCAST_CELLS, are broadcast, and beyond it every epoch is a plan of joins.
+partition; the coordinates, whose size is checked against BROADCAST_CELLS, are broadcast, and beyond it every epoch is a plan of joins with the
+same draws, so that the size changes how the work is done but not its result.
 """
 
 from __future__ import annotations
@@ -105,12 +106,17 @@ def epoch(coords: DataFrame, edges: DataFrame, t: int, n_epochs: int, n: int, ke
     result does not depend on partitions.
     """
     fired = schedule(edges, t, rate)
-    with_ai = "ai" in coords.columns
-    head = coords.select(F.col("id").alias("i"), F.col("y").alias("yi"), *[F.col("ai").alias("ai_i")] * with_ai)
-    tail = coords.select(F.col("id").alias("o"), F.col("y").alias("yo"), *[F.col("ai").alias("ai_o")] * with_ai)
     pulls = fired.select("i", F.col("j").alias("o"), F.lit(2.0).alias("mult"), F.lit(True).alias("pull"), F.col("edge_id").alias("at"))
     pushes = fired.select("i", F.pmod(F.col("edge_id") * (t + 1), F.lit(n)).alias("o"), F.col("negatives").cast("double").alias("mult"), F.lit(False).alias("pull"), F.col("edge_id").alias("at"))
-    acts = pulls.union(pushes.where("o <> i and mult > 0")).join(head, "i").join(tail, "o")
+    return _moved(coords, pulls.union(pushes.where("o <> i and mult > 0")), None, t, n_epochs, kernel, a, b, gamma, alpha, optimizer, beta1, beta2, eps)
+
+
+def _moved(coords: DataFrame, acts: DataFrame, fixed: DataFrame | None, t: int, n_epochs: int, kernel: str, a: float, b: float, gamma: float, alpha: float, optimizer: str, beta1: float, beta2: float, eps: float) -> DataFrame:
+    """coords after the acts (i, o, mult, pull, at) of an epoch. fixed: where the other ends are, if they do not move."""
+    with_ai = "ai" in coords.columns
+    head = coords.select(F.col("id").alias("i"), F.col("y").alias("yi"), *[F.col("ai").alias("ai_i")] * with_ai)
+    tail = (coords if fixed is None else fixed).select(F.col("id").alias("o"), F.col("y").alias("yo"), *[F.col("ai").alias("ai_o")] * with_ai)
+    acts = acts.join(head, "i").join(tail, "o")
     diff = F.zip_with("yi", "yo", lambda x, y: x - y)
     acts = acts.withColumn("diff", diff).withColumn("d2", F.greatest(F.lit(EPS), F.aggregate("diff", F.lit(0.0), lambda s, x: s + x * x)))
     size = F.col("ai_i") * F.col("ai_o") if with_ai else F.lit(a)
@@ -142,6 +148,22 @@ def draw(seed: int, t: int, edge: np.ndarray, place: np.ndarray, n: int) -> np.n
     return (_mix(_mix(key) + place.astype(np.uint64)) % np.uint64(n)).astype(np.int64)
 
 
+def sampled(fired: DataFrame, t: int, n: int, seed: int, fitting: bool) -> DataFrame:
+    """(i, o, mult, pull, at) of the edges that fire: each pull, and each of its negatives, drawn among n vertices."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            e, i, j, many = (np.asarray(batch.column(k)).astype(np.int64) for k in range(4))
+            edge = np.repeat(np.arange(len(e)), many)
+            o = draw(seed, t, e[edge], np.arange(len(edge)) - np.repeat(np.cumsum(many) - many, many), n)
+            edge, o = (x[o != i[edge]] for x in (edge, o)) if fitting else (edge, o)
+            pull = np.arange(len(e) + len(edge)) < len(e)
+            cols = np.concatenate([i, i[edge]]), np.concatenate([j, o]), np.where(pull & fitting, 2.0, 1.0), pull, np.concatenate([e, e[edge]])
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in cols], names=["i", "o", "mult", "pull", "at"])
+
+    return fired.select("edge_id", "i", "j", "negatives").mapInArrow(run, "i long, o long, mult double, pull boolean, at long")
+
+
 def optimize(
     coords: DataFrame, edges: DataFrame, n_epochs: int, kernel: str = "umap", a: float = 1.0, b: float = 1.0, gamma: float = 1.0, rate: float = 5.0, alpha: float = 1.0, optimizer: str = "adam",
     seed: int = 42, beta1: float = 0.5, beta2: float = 0.9, eps: float = 1e-7, fixed: DataFrame | None = None, callback: Callable | None = None,
@@ -154,12 +176,13 @@ def optimize(
     others = n if fixed is None else fixed.count()
     with_ai = "ai" in coords.columns
     if (n + others) * dim > BROADCAST_CELLS:
-        state = coords.withColumn("m", F.transform("y", lambda x: F.lit(0.0))).withColumn("v", F.transform("y", lambda x: F.lit(0.0))) if optimizer == "adam" else coords
-        if fixed is not None:
-            raise ValueError("transform in batches: coordinates are beyond what may be broadcast")
+        state = coords.withColumns({x: F.transform("y", lambda x: F.lit(0.0)) for x in ("m", "v")}) if optimizer == "adam" else coords
         for t in range(n_epochs):
-            state = epoch(state, edges, t, n_epochs, n, kernel, a, b, gamma, rate, alpha, optimizer, beta1, beta2, eps)
-            state = cut(state) if t % 5 == 4 or t == n_epochs - 1 else state
+            acts = sampled(schedule(edges, t, rate), t, others, seed, fixed is None)
+            state = _moved(state, acts, fixed, t, n_epochs, kernel, a, b, gamma, alpha, optimizer, beta1, beta2, eps)
+            state = cut(state) if t % 5 == 4 or t == n_epochs - 1 or callback else state
+            if callback:  # here with a table of coordinates
+                callback(t + 1, n_epochs, state.select("id", "y"), *([] if fixed is None else [fixed]))
         return state.select("id", "y")
     spark = coords.sparkSession
 

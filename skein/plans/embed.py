@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from skein.operators import graph as G
 from skein.operators import init as I
 from skein.operators import layout as L
-from skein.operators.knn import check_knn, knn, neighbours
+from skein.operators.knn import check_knn, knn_from_distances, knn_sparse, neighbours
 from skein.operators.scaling import apply_pca, apply_scale, fit_pca, fit_scale, numeric_columns
 from skein.operators.tables import check_complete, cut, number
 from skein.sources.inputs import graph_table
@@ -43,6 +43,7 @@ class Params:
     a: float | None = None
     b: float | None = None
     nn_method: str = "auto"
+    nn_args: dict = field(default_factory=dict)  # settings of the approximate search
     perplexity: float = 50.0
     kernel: str = "gauss"
     pca: int | None = None
@@ -91,13 +92,11 @@ class Model:
         self._ready()
         spark = self.embedding.sparkSession
         arrays = lambda m: None if m is None else {k: v.tolist() if isinstance(v, np.ndarray) else v for k, v in m.items()}
-        meta = {"params": vars(self.params), "cols": self.cols, "n_epochs": self.n_epochs, "radii": self.radii, "blocks": [b | {"pca": arrays(b["pca"])} for b in self.blocks]}
+        tables = {name: df for name in ("embedding", "rows", "nn", "graph", "stats", "ai") if (df := getattr(self, name)) is not None}
+        meta = {"params": vars(self.params), "cols": self.cols, "n_epochs": self.n_epochs, "radii": self.radii, "blocks": [b | {"pca": arrays(b["pca"])} for b in self.blocks], "tables": list(tables)}
         spark.createDataFrame([(json.dumps(meta),)], "meta string").coalesce(1).write.mode("errorifexists").parquet(f"{path}/meta")
-        self.embedding.write.mode("errorifexists").parquet(f"{path}/embedding")
-        if self.rows is not None:
-            self.rows.write.mode("errorifexists").parquet(f"{path}/rows")
-        if self.ai is not None:
-            self.ai.write.mode("errorifexists").parquet(f"{path}/ai")
+        for name, df in tables.items():
+            df.write.mode("errorifexists").parquet(f"{path}/{name}")
 
     def unload(self) -> None:
         """Releases what is held in memory; the model cannot be used afterwards. A second call does nothing."""
@@ -114,9 +113,8 @@ class Model:
 def load(spark: SparkSession, path: str) -> Model:
     meta = json.loads(spark.read.parquet(f"{path}/meta").first()["meta"])
     blocks = [b | {"pca": None if b["pca"] is None else {k: np.array(v) if isinstance(v, list) else v for k, v in b["pca"].items()}} for b in meta["blocks"]]
-    params = Params(**meta["params"])
-    ai = spark.read.parquet(f"{path}/ai") if params.method == "leopold" else None
-    return Model(params, meta["cols"], blocks, spark.read.parquet(f"{path}/rows"), spark.read.parquet(f"{path}/embedding"), meta["n_epochs"], radii=meta["radii"], ai=ai)
+    tables = {name: spark.read.parquet(f"{path}/{name}") if name in meta["tables"] else None for name in ("embedding", "rows", "nn", "graph", "stats", "ai")}
+    return Model(Params(**meta["params"]), meta["cols"], blocks, n_epochs=meta["n_epochs"], radii=meta["radii"], **tables)
 
 
 def with_ids(df: DataFrame, key: str) -> DataFrame:
@@ -202,7 +200,7 @@ def similarity_graph(df: DataFrame, key: str, p: Params | None = None, y: str |
             b["pca"] = fit_pca(x, p.pca, p.pca_center)
             x = apply_pca(x, b["pca"])
         x = cut(x)
-        found = cut(neighbours(x, k, b["metric"], p.nn_method)) if nn is None or b_no else nn
+        found = cut(neighbours(x, k, b["metric"], p.nn_method, **p.nn_args)) if nn is None or b_no else nn
         log.info("block %d of %d: %d rows, %d neighbours, %s", b_no + 1, len(blocks), n, k, b["metric"])
         w, s = _weights(found, p)
         g = cut(w) if g is None else cut(G.intersect(g, w, 0.5))
@@ -216,6 +214,41 @@ def similarity_graph(df: DataFrame, key: str, p: Params | None = None, y: str |
     return Model(p, cols, blocks, table, table.select("id", "key"), 0, nn=first, graph=g, stats=stats)
 
 
+def graph_of(tables: DataFrame | list[DataFrame], p: Params | None = None, y: DataFrame | None = None) -> Model:
+    """The graph without data: from a neighbour table, or one for each block. Rows are ids from 0; y: (id, label) of a categorical target."""
+    p = p or Params()
+    p.check()
+    tables = [tables] if isinstance(tables, DataFrame) else list(tables)
+    first = cut(check_knn(tables[0]))
+    n = first.agg(F.max("i")).first()[0] + 1
+    g, stats = _weights(first, p)
+    for t in tables[1:]:
+        g = cut(G.intersect(cut(g), _weights(cut(check_knn(t, n)), p)[0], 0.5))
+    if y is not None:
+        g = G.categorical_intersection(g, y, p.target_weight)
+    rows = first.sparkSession.range(n).select("id", F.col("id").alias("key"))
+    return Model(p, [], [], rows, rows, 0, nn=first, graph=cut(g), stats=stats)
+
+
+def graph_of_distances(pairs: DataFrame, p: Params | None = None, triangular: bool = False, zeros: bool = True) -> Model:
+    """From distances (i, j, d). zeros: whether a distance of zero is defined, as it is in a table of all distances."""
+    p = p or Params()
+    return graph_of(knn_from_distances(pairs, p.n_neighbors, triangular, zeros), p)
+
+
+def graph_of_terms(terms: DataFrame, p: Params | None = None, metric: str = "cosine") -> Model:
+    """From sparse rows in long form (id, term, value)."""
+    p = p or Params()
+    return graph_of(knn_sparse(terms, p.n_neighbors, metric), p)
+
+
+def laid_out(m: Model, start: DataFrame | None = None, callback: Callable | None = None) -> Model:
+    """A graph's model with coordinates; starts that need features do not work without."""
+    coords, m.n_epochs, m.ai = optimize_graph_layout(m.graph, m.rows.count(), m.params, None, start, m.stats, callback)
+    m.embedding = cut(m.rows.select("id", "key").join(coords, "id"))
+    return m
+
+
 def optimize_graph_layout(g: DataFrame, n: int, p: Params | None = None, rows: DataFrame | None = None, start: DataFrame | None = None, stats: DataFrame | None = None, callback: Callable | None = None) -> tuple[DataFrame, int, DataFrame | None]:
     """(coordinates, epochs, ai) from a symmetric graph over ids 0 to n - 1."""
     p = p or Params()
@@ -279,27 +312,40 @@ def transform_init(nn: DataFrame, coords: DataFrame, weighted: bool = True) -> D
     return both.groupBy(F.col("i").alias("id")).agg(F.array(*[F.sum(F.col("y")[k] * w) / F.sum(w) for k in range(dim)]).alias("y"))
 
 
-def transform(model: Model, df: DataFrame, key: str, n_epochs: int | None = None, weighted: bool = True, seed: int | None = None) -> DataFrame:
-    """(key, y) of new rows; the model's coordinates stay. Rows do not affect each other, but for their sampling by the heaviest weight."""
+def transform(model: Model, df: DataFrame, key: str, n_epochs: int | None = None, weighted: bool = True, seed: int | None = None, nn: list[DataFrame] | None = None, graph: bool = False) -> DataFrame:
+    """(key, y) of new rows; the model's coordinates stay. Rows do not affect each other, but for their sampling by the heaviest weight.
+
+    nn: for each block, neighbours (i, rank, j, d) of the new rows (ids from 0 in the order of key) among the model's, instead of a search.
+    graph: the weights (i, j, w) between new and old rows instead of coordinates.
+    """
     model._ready()
     p = model.params
     missing = [c for c in model.cols if c not in df.columns]
-    if missing:
-        raise ValueError(f"Incorrect dimensions: columns {missing} are missing")
-    check_complete(df, model.cols, "data")
+    if missing and nn is None:
+        raise ValueError(f"the model needs columns that are not there: {missing}")
+    if nn is None:
+        check_complete(df, model.cols, "data")
+    elif len(nn) != max(1, len(model.blocks)):
+        raise ValueError(f"the model has {max(1, len(model.blocks))} blocks, and {len(nn)} neighbour tables were given")
     rows = cut(with_ids(df, key))
-    n_new, n_old = rows.count(), model.rows.count()
+    n_old = model.rows.count()
     table, start = None, None
     old = model.embedding.select("id", "y")
     stats = None
-    for k, b in enumerate(model.blocks):
-        found = cut(knn(model.rows.select("id", F.col(f"x{k}").alias("x")), min(p.n_neighbors, n_old), b["metric"], query=_vectors(rows, b, "x")))
+    for k in range(len(nn) if nn is not None else len(model.blocks)):
+        if nn is not None:
+            found = cut(nn[k].select("i", "rank", "j", "d"))
+        else:
+            b = model.blocks[k]
+            found = cut(neighbours(model.rows.select("id", F.col(f"x{k}").alias("x")), min(p.n_neighbors, n_old), b["metric"], p.nn_method, query=_vectors(rows, b, "x"), **p.nn_args))
         w = cut(G.smooth(found, max(0.0, p.local_connectivity - 1), 1.0, True, float(np.log2(p.n_neighbors)) * p.bandwidth))
         stats = stats if stats is not None else G.vertex_stats(w)
         one = transform_init(w, old, weighted)
         start = one if start is None else start.join(one.withColumnRenamed("y", "y2"), "id").select("id", F.zip_with("y", "y2", lambda a, c: (a + c) / 2).alias("y"))
         g = w.select("i", "j", "w").where("w <> 0")
         table = g if table is None else G.general_intersection(table, g, 0.5)
+    if graph:
+        return table
     epochs = max(2, round(model.n_epochs / 3)) if n_epochs is None else n_epochs
     if epochs > 0:
         g = table.withColumn("w", F.lit(1.0)) if p.binary_edge_weights else table

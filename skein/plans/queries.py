@@ -55,6 +55,12 @@ def near(spark: SparkSession, sf: str, k: int = N, **part) -> DataFrame:
     return K.knn(vectors(spark, sf, **part), k)
 
 
+def pairs(spark: SparkSession, sf: str) -> DataFrame:
+    """All distances."""
+    x = vectors(spark, sf)
+    return K.knn(x, x.count()).select("i", "j", "d")
+
+
 def fuzzy(spark: SparkSession, sf: str, mix: float = 1.0, **part) -> DataFrame:
     return G.fuzzy(G.smooth(near(spark, sf, **part)), mix)
 
@@ -76,10 +82,10 @@ for _mode, (_a, _b, _from) in SCALES.items():
     query(f"scale_{_mode}", _sql)(lambda spark, sf, m=_mode: rounded(S.apply_scale(p := table(spark, sf, "part").select("p_partkey", *COLS), S.fit_scale(p, COLS, m))))
 
 
-@query("scale_apply", f"{PART} select p_partkey, {R6.format('(a - ma) / sa')} p_size, {R6.format('(b - mb) / sb')} p_retailprice from t, (select avg(a) ma, avg(b) mb, stddev_samp(a) sa, stddev_samp(b) sb from t where p_partkey % 2 = 0) s where p_partkey % 2 = 1")
+@query("scale_apply", f"select c_custkey, round((c_acctbal::double - m) / s, 6) + 0.0 c_acctbal from customer, (select avg(s_acctbal::double) m, stddev_samp(s_acctbal::double) s from supplier)")
 def scale_apply(spark, sf):
-    p = table(spark, sf, "part").select("p_partkey", *COLS)
-    return rounded(S.apply_scale(p.where("p_partkey % 2 = 1"), S.fit_scale(p.where("p_partkey % 2 = 0"), COLS, "z")))
+    known = S.fit_scale(table(spark, sf, "supplier").select(F.col("s_acctbal").alias("c_acctbal")), ["c_acctbal"], "z")
+    return rounded(S.apply_scale(table(spark, sf, "customer").select("c_custkey", "c_acctbal"), known))
 
 
 @query("numeric_block_select", "select c_custkey, c_nationkey, c_acctbal from customer")
@@ -155,25 +161,23 @@ for _m, _e in BINARY.items():
     query(f"knn_{_m}", f"with {v_sql(value='(x > 0)::int::double')}, {knn_sql(_e)} select i, rank, j, round(d, 6) + 0.0 d from t")(lambda spark, sf, m=_m: rounded(K.knn(signs(spark, sf), N, m)))
 
 
-@query("knn_query", f"with {v_sql()}, p as (select a.i i, b.i j, {EUCLIDEAN} d from v a join v b using (k) where a.i % 5 = 0 and b.i % 5 <> 0 group by 1, 2) select i, row_number() over (partition by i order by d, j)::int rank, j, round(d, 6) + 0.0 d from p qualify rank <= {N}")
+@query("knn_query", f"with {v_sql()}, p as (select a.i i, b.i j, {EUCLIDEAN} d from v a join v b using (k) where a.i % 100 = 0 group by 1, 2) select i, row_number() over (partition by i order by d, j)::int rank, j, round(d, 6) + 0.0 d from p qualify rank <= {N}")
 def knn_query(spark, sf):
     x = vectors(spark, sf)
-    return rounded(K.knn(x.where("id % 5 <> 0"), N, query=x.where("id % 5 = 0")))
+    return rounded(K.knn(x, N, query=x.where("id % 100 = 0")))
 
 
-SOME = f"with {v_sql()}, t0 as (select a.i i, b.i j, {EUCLIDEAN} d from v a join v b using (k) where a.i < 200 and b.i < 200 and a.i {{}} b.i group by 1, 2)"
+SOME = f"with {v_sql()}, t0 as (select a.i i, b.i j, {EUCLIDEAN} d from v a join v b using (k) where a.i {{}} b.i group by 1, 2)"
 
 
 @query("knn_from_sparse", SOME.format("<>") + " select i, row_number() over (partition by i order by (i <> j)::int, d, j)::int rank, j, round(d, 6) + 0.0 d from (select * from t0 union all select distinct i, i, 0.0 from t0) qualify rank <= 10")
 def knn_from_sparse(spark, sf):
-    pairs = K.knn(vectors(spark, sf).where("id < 200"), 200).select("i", "j", "d")
-    return rounded(K.knn_from_distances(pairs, 10))
+    return rounded(K.knn_from_distances(pairs(spark, sf), 10))
 
 
 @query("knn_from_triangular", SOME.format("<") + ", f as (select * from t0 union all select j, i, d from t0) select i, row_number() over (partition by i order by (i <> j)::int, d, j)::int rank, j, round(d, 6) + 0.0 d from (select * from f union all select distinct i, i, 0.0 from f) qualify rank <= 10")
 def knn_from_triangular(spark, sf):
-    pairs = K.knn(vectors(spark, sf).where("id < 200"), 200).select("i", "j", "d").where("i < j")
-    return rounded(K.knn_from_distances(pairs, 10, triangular=True))
+    return rounded(K.knn_from_distances(pairs(spark, sf).where("i < j"), 10, triangular=True))
 
 
 KNN = f"with {v_sql()}, {knn_sql(EUCLIDEAN)} "
@@ -206,14 +210,15 @@ def knn_hubness(spark, sf):
     return K.occurrences(near(spark, sf))
 
 
-SPARSE = "with t as (select i, k, x from (select vec_id i, generate_subscripts(embedding, 1) k, unnest(embedding)::double x from embeddings) where abs(x) > 0.2), o as (select i, sum(x * x) sq, sum(abs(x)) ab from t group by 1), s as (select a.i, b.i j, sum(a.x * b.x) dot, sum(sqrt(abs(a.x)) * sqrt(abs(b.x))) root, sum(abs(a.x - b.x) - abs(a.x) - abs(b.x)) gap from t a join t b using (k) group by 1, 2), f as (select s.i, s.j, case when s.i = s.j then 0.0 else {} end::double d from s join o p on p.i = s.i join o q on q.i = s.j) select i, row_number() over (partition by i order by (i <> j)::int, d, j)::int rank, j, round(d, 6) + 0.0 d from f qualify rank <= 10"
+SPARSE_KNN = "t as (select i, k, case when abs(x) > 0.2 then x else 0 end x from (select vec_id i, generate_subscripts(embedding, 1) k, unnest(embedding)::double x from embeddings)), o as (select i, sum(x * x) sq, sum(abs(x)) ab from t group by 1 having sum(abs(x)) > 0), s as (select a.i, b.i j, sum(a.x * b.x) dot, sum(sqrt(abs(a.x)) * sqrt(abs(b.x))) root, sum(abs(a.x - b.x) - abs(a.x) - abs(b.x)) gap from t a join t b using (k) group by 1, 2), f as (select s.i, s.j, case when s.i = s.j then 0.0 else {} end::double d from s join o p on p.i = s.i join o q on q.i = s.j), t1 as (select i, row_number() over (partition by i order by (i <> j)::int, d, j)::int rank, j, d from f qualify rank <= {})"
+SPARSE = "with " + SPARSE_KNN + " select i, rank, j, round(d, 6) + 0.0 d from t1"
 for _m, _e in (("cosine", "1 - dot / (sqrt(p.sq) * sqrt(q.sq))"), ("euclidean", "sqrt(greatest(0, p.sq + q.sq - 2 * dot))"), ("hellinger", "sqrt(greatest(0, 1 - root / sqrt(p.ab * q.ab)))"), ("manhattan", "p.ab + q.ab + gap")):
 
     def _sparse(spark, sf, m=_m):
         terms = vectors(spark, sf).select("id", F.posexplode("x").alias("term", "value")).where("abs(value) > 0.2")
         return rounded(K.knn_sparse(terms, 10, m))
 
-    query(f"knn_sparse_{_m}", SPARSE.format(_e))(_sparse)
+    query(f"knn_sparse_{_m}", SPARSE.format(_e, 10))(_sparse)
 
 
 @query("knn_mid_near")
@@ -224,8 +229,9 @@ def knn_mid_near(spark, sf):
 
 @query("classical_mds")
 def classical_mds(spark, sf):
-    x = vectors(spark, sf).where("id < 200")
-    y = S.classical_mds(K.knn(x, 200), 200, 2)
+    x = vectors(spark, sf)
+    n = x.count()
+    y = S.classical_mds(pairs(spark, sf), n, 2)
     return spark.createDataFrame([(i, *c) for i, c in y], "id long, y0 double, y1 double")
 
 
@@ -234,6 +240,12 @@ def ann_knn(spark, sf):
     return K.ann(vectors(spark, sf), N)
 
 
+@query("ann_query")
+def ann_query(spark, sf):
+    x = vectors(spark, sf)
+    return K.ann_query(x, x.where("id % 100 = 0"), N)
+
+
 # --- graphs ---------------------------------------------------------------------------------------------------------------------------
 
 
@@ -272,6 +284,16 @@ def membership_strengths(spark, sf):
     return rounded(G.smooth(near(spark, sf)).select("i", "j", "w"), 4)
 
 
+for _name, _source in (("distances", lambda spark, sf: E.graph_of_distances(pairs(spark, sf))), ("neighbours", lambda spark, sf: E.graph_of(near(spark, sf)))):
+    query(f"graph_from_{_name}", f"{BASE}, {fuzzy_sql('m', 'g')} select i, j, round(w, 4) + 0.0 w from g")(lambda spark, sf, source=_source: rounded(source(spark, sf).graph, 4))
+
+
+@query("graph_from_sparse", "with recursive " + SPARSE_KNN.format("1 - dot / (sqrt(p.sq) * sqrt(q.sq))", N) + f", {smooth_sql('t1', 'm')}, {fuzzy_sql('m', 'g')} select i, j, round(w, 4) + 0.0 w from g")
+def graph_from_sparse(spark, sf):
+    terms = vectors(spark, sf).select("id", F.posexplode("x").alias("term", "value")).where("abs(value) > 0.2")
+    return rounded(E.graph_of_terms(terms).graph, 4)
+
+
 for _name, _mix in (("union", 1.0), ("intersection", 0.0), ("mix", 0.5)):
     query(f"fuzzy_{_name}", f"{BASE}, {fuzzy_sql('m', 'g', _mix)} select i, j, round(w, 4) + 0.0 w from g")(lambda spark, sf, m=_mix: rounded(fuzzy(spark, sf, m), 4))
 
@@ -474,31 +496,34 @@ for _name, _w in (("weighted", True), ("average", False)):
 # --- whole fits -------------------------------------------------------------------------------------------------------------------------
 
 
+DIMS = 64
+
+
 def features(spark, sf) -> DataFrame:
     e = table(spark, sf, "embeddings")
-    return e.select("vec_id", *[F.col("embedding")[k].cast("double").alias(f"x{k}") for k in range(16)], F.concat(F.lit("c"), F.col("label")).alias("label"), F.col("embedding")[20].cast("double").alias("target"))
+    return e.select("vec_id", *[F.col("embedding")[k].cast("double").alias(f"x{k}") for k in range(DIMS)], F.concat(F.lit("c"), F.col("label")).alias("label"), F.col("embedding")[20].cast("double").alias("target"))
 
 
 def coords(m: E.Model) -> DataFrame:
     return m.embedding.select(F.col("key").alias("vec_id"), F.col("y")[0].alias("y0"), F.col("y")[1].alias("y1"))
 
 
-FIT = 10  # epochs
+FIT = 200  # epochs: the default beyond 10,000 rows
 query("umap_fit")(lambda spark, sf: coords(E.umap(features(spark, sf).drop("label", "target"), "vec_id", n_epochs=FIT)))
-query("umap2_fit")(lambda spark, sf: coords(E.umap2(features(spark, sf).drop("label", "target"), "vec_id", n_epochs=FIT, init="pca")))
-query("tumap_fit")(lambda spark, sf: coords(E.tumap(features(spark, sf).drop("label", "target"), "vec_id", n_epochs=FIT, init="pca")))
-query("lvish_fit")(lambda spark, sf: coords(E.lvish(features(spark, sf).drop("label", "target"), "vec_id", n_epochs=FIT, perplexity=10.0)))
-query("leopold_fit")(lambda spark, sf: coords(E.umap(features(spark, sf).drop("label", "target"), "vec_id", n_epochs=FIT, init="pca", method="leopold", dens_scale=0.5)))
-query("supervised_categorical_fit")(lambda spark, sf: coords(E.umap(features(spark, sf).drop("target"), "vec_id", "label", n_epochs=FIT, init="pca")))
-query("supervised_numeric_fit")(lambda spark, sf: coords(E.umap(features(spark, sf).drop("label"), "vec_id", "target", n_epochs=FIT, init="pca")))
-query("mixed_blocks_fit")(lambda spark, sf: coords(E.umap(features(spark, sf), "vec_id", metric={"euclidean": [f"x{k}" for k in range(8)], "manhattan": [f"x{k}" for k in range(8, 16)], "categorical": ["label"]}, n_epochs=FIT, init="pca")))
+query("umap2_fit")(lambda spark, sf: coords(E.umap2(features(spark, sf).drop("label", "target"), "vec_id", n_epochs=FIT)))
+query("tumap_fit")(lambda spark, sf: coords(E.tumap(features(spark, sf).drop("label", "target"), "vec_id", n_epochs=FIT)))
+query("lvish_fit")(lambda spark, sf: coords(E.lvish(features(spark, sf).drop("label", "target"), "vec_id", n_epochs=FIT)))
+query("leopold_fit")(lambda spark, sf: coords(E.umap(features(spark, sf).drop("label", "target"), "vec_id", n_epochs=FIT, method="leopold", dens_scale=0.5)))
+query("supervised_categorical_fit")(lambda spark, sf: coords(E.umap(features(spark, sf).drop("target"), "vec_id", "label", n_epochs=FIT)))
+query("supervised_numeric_fit")(lambda spark, sf: coords(E.umap(features(spark, sf).drop("label"), "vec_id", "target", n_epochs=FIT)))
+query("mixed_blocks_fit")(lambda spark, sf: coords(E.umap(features(spark, sf), "vec_id", metric={"euclidean": [f"x{k}" for k in range(32)], "manhattan": [f"x{k}" for k in range(32, DIMS)], "categorical": ["label"]}, n_epochs=FIT)))
 
 
 @query("umap_transform")
 def umap_transform(spark, sf):
     x = features(spark, sf).drop("label", "target")
-    m = E.umap(x.where("vec_id % 5 <> 0"), "vec_id", n_epochs=FIT, init="pca")
-    return E.transform(m, x.where("vec_id % 5 = 0"), "vec_id").select(F.col("key").alias("vec_id"), F.col("y")[0].alias("y0"), F.col("y")[1].alias("y1"))
+    m = E.umap(x, "vec_id", n_epochs=FIT)
+    return E.transform(m, x, "vec_id").select(F.col("key").alias("vec_id"), F.col("y")[0].alias("y0"), F.col("y")[1].alias("y1"))
 
 
 def queries() -> dict[str, Q]:

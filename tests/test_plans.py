@@ -6,6 +6,7 @@ import pandas as pd
 import pytest
 
 from skein.operators import graph as G
+from skein.operators import init as I
 from skein.operators import knn as K
 from skein.operators import layout as L
 from skein.operators import scaling as S
@@ -87,7 +88,7 @@ def test_fit_save_load_transform(mixture, spark, tmp_path):
         m.save(str(tmp_path / "m"))
     new = E.transform(E.load(spark, str(tmp_path / "m")), mixture.where("k % 10 = 0"), "k", n_epochs=0)
     assert new.count() == 16
-    with pytest.raises(ValueError, match="Incorrect dimensions"):
+    with pytest.raises(ValueError, match="columns that are not there"):
         E.transform(m, mixture.drop("f0"), "k")
     m.unload()
     with pytest.raises(ValueError, match="unloaded"):
@@ -100,16 +101,88 @@ def test_errors(mixture):
             E.umap(mixture, "k", **args)
 
 
-def test_approximate_recall(spark, mixture):
+def test_approximate_recall(spark, mixture, sf):
     x = mixture.selectExpr("k as id", "array(f0, f1, f2, f3, f4, f5, f6, f7) as x")
     r = K.overlap(K.knn(x, 10), K.ann(x, 10, trees=6, leaf=40, rounds=1), 10).first()[0]
     assert r > 0.9
-
-
-@pytest.mark.parametrize("name", ["scale_z", "knn_jaccard", "smooth_knn_sigma_rho", "fuzzy_union", "graph_intersect", "edge_schedule", "epoch_umap_adam"])
+    assert K.overlap(K.knn(x, 10, "manhattan"), K.ann(x, 10, "manhattan", trees=6, leaf=40, rounds=1), 10).first()[0] > 0.9
+
+
+def test_recall_of_the_queries(spark):
+    """With the queries' settings, on their tables; and on rows far from the origin, where leaves are many."""
+    sf = "/root/testdata/sf0.1"
+    x = P.vectors(spark, sf).cache()
+    assert K.overlap(K.knn(x, P.N), P.QUERIES["ann_knn"](spark, sf), P.N).first()[0] > 0.9
+    exact = K.knn(x, P.N, query=x.where("id % 100 = 0"))
+    assert K.overlap(exact, P.QUERIES["ann_query"](spark, sf), P.N).first()[0] > 0.9
+    rng = np.random.default_rng(3)
+    far = spark.createDataFrame(pd.DataFrame({"id": np.arange(8_000), "x": (rng.normal(size=(8_000, 24)) + 5).tolist()})).cache()
+    asked = far.where("id % 100 = 0")
+    assert K.overlap(K.knn(far, 10, query=asked), K.ann(far, 10, sample=2_000).where("i % 100 = 0"), 10).first()[0] > 0.9
+
+
+def test_equal_rows_fill_no_leaf(spark):
+    rows = [(i, [1.0, 2.0, 3.0]) for i in range(400)] + [(400 + i, [float(i), 0.0, 1.0]) for i in range(40)]
+    t = K.ann(spark.createDataFrame(rows, "id long, x array<double>"), 5, leaf=16, rounds=1)
+    assert t.where("i < 400 and d > 0").count() == 0 and t.groupBy("i").count().where("count <> 5").count() == 0
+
+
+def test_size_does_not_change_results(mixture, monkeypatch):
+    p = E.Params(n_epochs=4, n_neighbors=10, optimizer="adam")
+    small = E.fit(mixture, "k", p)
+    new = mixture.where("k % 8 = 0")
+    placed = E.transform(small, new, "k", n_epochs=3)
+    y, z = (np.stack(d.orderBy("key").toPandas().y) for d in (small.embedding, placed))
+    start = {w: I.eigen_coords(small.graph, 160, 2, walk=w, rounds=4).orderBy("id").toPandas().y for w in (False, True)}
+    for module in (L, I):
+        monkeypatch.setattr(module, "BROADCAST_CELLS", 0)
+    for w, s in start.items():
+        assert np.allclose(np.stack(I.eigen_coords(small.graph, 160, 2, walk=w, rounds=4).orderBy("id").toPandas().y), np.stack(s), atol=1e-6)
+    rows = small.rows.selectExpr("id", "x0 as x")
+    start = I.initial("pca", small.graph, rows, 160, 2)
+    many = L.optimize(start, edges_of(small, 3), 3).orderBy("id").toPandas().y
+    monkeypatch.setattr(L, "BROADCAST_CELLS", 10**7)
+    few = L.optimize(start, edges_of(small, 3), 3).orderBy("id").toPandas().y
+    assert np.allclose(np.stack(many), np.stack(few), atol=1e-9)
+    monkeypatch.setattr(L, "BROADCAST_CELLS", 0)
+    assert np.allclose(np.stack(E.transform(small, new, "k", n_epochs=3).orderBy("key").toPandas().y), z, atol=1e-9)
+
+
+def edges_of(m, epochs):
+    return L.number_edges(L.epochs_per_sample(G.prune(m.graph, epochs)))
+
+
+def test_neighbours_and_graphs_of_new_rows(mixture, spark, tmp_path):
+    m = E.fit(mixture, "k", E.Params(n_epochs=2, init="pca", n_neighbors=10))
+    new = mixture.where("k % 10 = 0")
+    x = m.rows.selectExpr("id", "x0 as x")
+    nn = K.knn(x, 10, query=new.selectExpr("cast(k / 10 as long) as id", "array(f0, f1, f2, f3, f4, f5, f6, f7) as x"))
+    a, b = (np.stack(E.transform(m, new, "k", n_epochs=0, **args).orderBy("key").toPandas().y) for args in ({}, {"nn": [nn]}))
+    assert np.allclose(a, b)
+    g = E.transform(m, new, "k", graph=True)
+    assert g.columns == ["i", "j", "w"] and g.select("i").distinct().count() == 16 and g.where("w <= 0 or w > 1").count() == 0
+    with pytest.raises(ValueError, match="blocks"):
+        E.transform(m, new, "k", nn=[nn, nn])
+    g = E.graph_of(m.nn, E.Params(n_epochs=2, init="random", n_neighbors=10))
+    assert g.graph.count() == m.graph.count()
+    laid = E.laid_out(g)
+    assert laid.embedding.count() == 160
+    laid.save(str(tmp_path / "n"))
+    assert E.load(spark, str(tmp_path / "n")).graph.count() == m.graph.count()
+
+
+def test_zero_distances_of_whole_tables(spark):
+    d = spark.createDataFrame([(i, j, float(abs(i // 2 - j // 2))) for i in range(6) for j in range(6) if i != j], "i long, j long, d double")
+    assert K.knn_from_distances(d, 2, zeros=True).where("rank = 2 and d = 0").count() == 6
+    assert K.knn_from_distances(d, 2).where("rank = 2 and d = 1").count() == 6
+    with pytest.raises(ValueError, match="navigable"):
+        K.neighbours(d, 2, method="hnsw")
+
+
+@pytest.mark.parametrize("name", sorted(P.SQL))
 def test_other_engine_agrees(spark, sf, name):
     con = duckdb.connect()
-    for t in ("part", "customer", "embeddings"):
+    for t in ("part", "customer", "supplier", "embeddings"):
         con.execute(f"create view {t} as select * from '{sf}/{t}.parquet'")
     a, b = P.QUERIES[name](spark, sf).toPandas(), con.execute(P.SQL[name]).df()
     cols = sorted(a.columns)
