@@ -53,7 +53,8 @@ def plainly(rows, docs):
 
 
 def test_run_on_odd_rows_equals_plain_code(spark, docs, tmp_path, monkeypatch):
-    docs.drop("n").write.parquet(str(tmp_path / "documents.parquet"))
+    nameless = docs.where("doc_id = 4").withColumns({"doc_id": F.lit(None).cast("long"), "text": F.lit("Nobody gave this text an id, and still it is long enough to be kept, with a mail a.b@c.example.org in it.")})
+    docs.union(nameless).drop("n").write.parquet(str(tmp_path / "documents.parquet"))
     monkeypatch.setattr(corpus_pipeline, "MIX", mixing.Mix(budget_share=2.0, max_epochs=1))
     out = corpus_pipeline.run(spark, str(tmp_path)).collect()
     m = bpe.Merges(bpe.vocabulary_path())
