@@ -3,6 +3,8 @@
 import random
 from itertools import combinations
 
+import pytest
+
 import corpus_pipeline
 from skein.llm import near_copies, simhash
 
@@ -51,7 +53,9 @@ def made():
     return list(enumerate(out, 1))
 
 
-def test_components_are_those_of_all_pairs(spark):
+@pytest.mark.parametrize("pairs", [1, 0])  # 0: always more hubs
+def test_components_are_those_of_all_pairs(spark, monkeypatch, pairs):
+    monkeypatch.setattr(near_copies, "PAIRS_A_ROW", pairs)
     rows = made()
     expected = groups(rows)
     docs = spark.createDataFrame([(i, t, "en", "a", 0) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
