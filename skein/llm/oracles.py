@@ -93,4 +93,39 @@ select doc_id, domain, lang, source, n_tokens, unnest(range(n::bigint))::int epo
 """
 
 
-SQL = {"op1_substring": SUBSTRING, "op7_license_scan": _license(), "op8_mixing": _mixing(), "op10_quality_rules": QUALITY}
+TERMS = r"'[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'"
+
+LEXICAL = f"""
+with d as (select doc_id, regexp_extract_all({LOWER}, {TERMS}) w from documents),
+ q as (select distinct item_id, unnest(regexp_extract_all({LOWER}, {TERMS})) x from benchmark),
+ n as (select doc_id, len(w)::bigint n from d where len(w) > 0),
+ s as (select count(*)::bigint docs, sum(n)::bigint length from n),
+ f as (select doc_id, x, count(*) tf from (select doc_id, unnest(w) x from d) where x in (select x from q) group by 1, 2),
+ g as (select x, count(*) df from f group by 1),
+ w as (select x, floor(1000 * ln((2 * docs + 2)::double / (2 * df + 1)::double))::bigint w from g, s),
+ m as (select doc_id, 10 + (90 * n * docs) // length m from n, s),
+ c as (select item_id, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 8 * m)))::bigint score from q join f using (x) join w using (x) join m using (doc_id) group by 1, 2)
+select item_id, row_number() over (partition by item_id order by score desc, doc_id)::int as rank, doc_id, score from c where score > 0 qualify rank <= 10
+"""
+
+
+def _codes(parts: int = 16, entries: int = 64, rounds: int = 2, scale: int = 256) -> str:
+    near = lambda c: f"select vec_id, part, min(d * {entries} + entry) % {entries} entry, min(d) d from (select p.vec_id, p.part, c.entry, list_sum(list_transform(range(1, len(v) + 1), lambda k: (v[k] - c.c[k]) ** 2))::bigint d from p join {c} c using (part)) group by 1, 2"
+    moved = "".join(
+        f""" a{r} as ({near(f"c{r}")}),
+ m{r} as (select part, entry, list(m order by k) m from (select part, entry, k, floor(sum(x)::double / count(*))::bigint m from (select part, entry, generate_subscripts(v, 1) k, unnest(v) x from p join a{r} using (vec_id, part)) group by 1, 2, 3) group by 1, 2),
+ c{r + 1} as (select part, entry, coalesce(m, c) c from c{r} left join m{r} using (part, entry)),"""
+        for r in range(rounds)
+    )
+    return f"""
+with e as (select vec_id, label, list_transform(embedding, lambda x: floor({scale} * x::double)::bigint) v from embeddings where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+ p as (select vec_id, part, list_slice(v, part * len(v) // {parts} + 1, (part + 1) * len(v) // {parts}) v from (select *, unnest(range({parts})) part from e)),
+ c0 as (select part, (row_number() over (partition by part order by vec_id)) - 1 entry, v c from p qualify entry < {entries}),{moved}
+ a as ({near(f"c{rounds}")}),
+ o as (select vec_id, string_agg(printf('%02x', entry), '' order by part) code, sum(d)::bigint error from a group by 1),
+ h as (select sha256(string_agg(x::varchar, ',' order by part, entry, k)) codebooks_sha256 from (select part, entry, generate_subscripts(c, 1) k, unnest(c) x from c{rounds}))
+select vec_id, code, error, sum(error) over (partition by label)::bigint label_error, codebooks_sha256 from o join e using (vec_id), h
+"""
+
+
+SQL = {"op12_lexical_search": LEXICAL, "op13_vector_codes": _codes(), "op1_substring": SUBSTRING, "op7_license_scan": _license(), "op8_mixing": _mixing(), "op10_quality_rules": QUALITY}

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from skein.llm import bpe, context_mixing, gif, knn_quality, license_scan, mixing, oracles, pii, quality_rules, simhash, substring
+from skein.llm import bpe, context_mixing, gif, knn_quality, language_id, lexical, license_scan, mixing, oracles, pii, quality_rules, simhash, substring, vector_codes
 from skein.llm.text import documents
 
 
@@ -50,6 +50,18 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.digest(documents(spark, sf_dir))
 
 
+def op11_ppm_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.digest(documents(spark, sf_dir))
+
+
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.digest(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_substring": op1_substring,
@@ -62,6 +74,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_mixing": op8_mixing,
         "op9_bpe": op9_bpe,
         "op10_quality_rules": op10_quality_rules,
+        "op11_ppm_language": op11_ppm_language,
+        "op12_lexical_search": op12_lexical_search,
+        "op13_vector_codes": op13_vector_codes,
     }
 
 

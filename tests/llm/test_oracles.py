@@ -10,7 +10,8 @@ from skein.llm import queries
 @pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
 def test_other_engine_agrees(spark, sf, name):
     con = duckdb.connect()
-    con.execute(f"create view documents as select * from '{sf}/documents.parquet'")
+    for t in ("documents", "benchmark", "embeddings"):
+        con.execute(f"create view {t} as select * from '{sf}/{t}.parquet'")
     a, b = queries.queries()[name](spark, sf).toPandas(), con.execute(queries.oracle_sql()[name]).df()
     cols = sorted(a.columns)
     assert cols == sorted(b.columns)
