@@ -88,7 +88,8 @@ METRICS = {
     "braycurtis": _each(lambda a, b: _ratio(np.abs(a - b).sum(-1), np.abs(a + b).sum(-1))),
     "cosine": _cosine,
     "correlation": lambda a, b: _cosine(_centred(a), _centred(b)),
-    "spearmanr": lambda a, b: _cosine(_centred(_ranks(a)), _centred(_ranks(b))),
+    # of whole ranks, so ties are many: digits that only rounding fills are cut off
+    "spearmanr": lambda a, b: np.round(_cosine(_centred(_ranks(a)), _centred(_ranks(b))), 12),
     "hellinger": _hellinger,
     "jensenshannon": _jensen_shannon,
     "symmetrickl": _symmetric_kl,

@@ -263,6 +263,8 @@ def components(g: DataFrame, vertices: DataFrame | None = None, rounds: int = 60
     return label.join(numbered, "c").select("id", "component")
 
 
-def prune(g: DataFrame, epochs: int) -> DataFrame:
-    """Drops edges too light to be sampled in so many epochs."""
-    return g if epochs <= 0 else g.where(F.col("w") >= F.lit((g.agg(F.max("w")).first()[0] or 0.0) / epochs))
+def prune(g: DataFrame, epochs: int, top: float | None = None) -> DataFrame:
+    """Drops edges too light to be sampled in so many epochs. top: the weight that is sampled in each (the heaviest if None)."""
+    if epochs <= 0:
+        return g
+    return g.where(F.col("w") >= F.lit(((g.agg(F.max("w")).first()[0] or 0.0) if top is None else top) / epochs))

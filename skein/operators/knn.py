@@ -1,8 +1,7 @@
 """k-nearest-neighbour tables (i, rank, j, d): rank 1 is the row itself, ties go to the smaller j.
 
 Exact search packs rows into blocks and joins blocks with blocks; every pair of blocks is one task's work, and per-row results merge by
-rank. Approximate search joins rows that share a leaf in one of several random-projection trees, ranks those pairs exactly, and can
-improve the table by looking at neighbours of neighbours. What a metric cannot part is still in one leaf at most four times its size.
+rank. Approximate searches are in forest, descent and navigable; search chooses between them.
 """
 
 from __future__ import annotations
@@ -15,15 +14,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from skein.functions.metrics import METRICS, distances, paired
+from skein.functions.metrics import METRICS, distances
 from skein.operators.tables import cut
 
 BLOCK = 2048
-EXACT_ROWS = 20_000
-SCHEMA = "i long, rank int, j long, d double"
 
 
-def _rank(pairs: DataFrame, k: int, self_first: bool = True) -> DataFrame:
+def ranked(pairs: DataFrame, k: int, self_first: bool = True) -> DataFrame:
     own = [(F.col("i") != F.col("j")).cast("int")] if self_first else []
     by = W.partitionBy("i").orderBy(*own, "d", "j")
     return pairs.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= k).select("i", "rank", "j", "d")
@@ -64,9 +61,9 @@ def knn(df: DataFrame, k: int, metric: str = "euclidean", query: DataFrame | Non
                 at = np.argsort(key, axis=1, kind="stable")[:, :k]
                 yield pa.RecordBatch.from_arrays([pa.array(np.repeat(qi, at.shape[1])), pa.array(rj[at].ravel()), pa.array(np.take_along_axis(d, at, 1).ravel())], names=["i", "j", "d"])
 
-    # blocks meet all blocks: exact search is quadratic, so callers with more rows use ann()
+    # blocks meet all blocks: exact search is quadratic, so callers with more rows search approximately
     pairs = left.join(right, F.lit(True)).mapInArrow(search, "i long, j long, d double")
-    return _rank(pairs, k, own)
+    return ranked(pairs, k, own)
 
 
 def knn_from_distances(pairs: DataFrame, k: int, triangular: bool = False, zeros: bool = False) -> DataFrame:
@@ -78,182 +75,13 @@ def knn_from_distances(pairs: DataFrame, k: int, triangular: bool = False, zeros
         full = full.union(full.select("j", "i", "d")).distinct()
     few = full.groupBy("i").count().where(F.col("count") < k - 1).orderBy("i").first()
     if few:
-        raise ValueError(f"Row {few['i']} has only {few['count']} defined distances")
+        raise ValueError(f"row {few['i']} comes with {few['count']} distances, too few for {k} neighbours")
     own = full.select("i").distinct().select("i", F.col("i").alias("j"), F.lit(0.0).alias("d"))
-    return _rank(full.union(own), k)
-
-
-class Forest:
-    """Trees over a bounded sample of rows: a split is the plane half-way between two of a node's rows, as long as it has more than `leaf`."""
-
-    def __init__(self, sample: np.ndarray, trees: int, leaf: int, seed: int):
-        rng = np.random.default_rng(seed)
-        self.trees = [self._grow(sample, leaf, rng) for _ in range(trees)]
-
-    def _grow(self, x: np.ndarray, leaf: int, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(normals, offsets, children by side); a child below zero is a leaf."""
-        normals, offsets, children, leaves = [], [], [], 0
-        todo = [(np.arange(len(x)), None)]
-        while todo:
-            own, place = todo.pop()
-            split = None
-            for _ in range(5 if len(own) > leaf else 0):
-                u, v = x[rng.choice(own, 2, replace=False)]
-                normal = u - v
-                side = x[own] @ normal > normal @ (u + v) / 2
-                if split is None or abs(side.mean() - 0.5) < abs(split[2].mean() - 0.5):
-                    split = normal, normal @ (u + v) / 2, side
-                if 0.1 < side.mean() < 0.9:
-                    break
-            if split is None or split[2].all() or not split[2].any():
-                leaves += 1
-                node = -leaves
-            else:
-                node = len(normals)
-                normals.append(split[0])
-                offsets.append(split[1])
-                children.append([0, 0])
-                todo += [(own[split[2] == side], (node, side)) for side in (0, 1)]
-            if place:
-                children[place[0]][place[1]] = node
-        return np.array(normals).reshape(len(normals), x.shape[1]), np.array(offsets), np.array(children, np.int64).reshape(-1, 2)
-
-    def leaves(self, m: np.ndarray) -> np.ndarray:
-        """(rows, trees) numbers of leaves."""
-        out = np.zeros((len(m), len(self.trees)), np.int64)
-        for t, (normals, offsets, children) in enumerate(self.trees):
-            node = np.zeros(len(m), np.int64) if len(normals) else np.full(len(m), -1)
-            while (on := np.flatnonzero(node >= 0)).size:
-                own = node[on]
-                side = (m[on] * normals[own]).sum(1) > offsets[own]
-                node[on] = children[own, side.astype(np.int64)]
-            out[:, t] = -node
-        return out
-
-
-def _planar(x: np.ndarray, metric: str) -> np.ndarray:
-    """Rows whose planes part what the metric parts."""
-    if metric in ("correlation", "spearmanr"):
-        x = x - x.mean(1, keepdims=True)
-    if metric in ("cosine", "correlation", "spearmanr", "tsss"):
-        x = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
-    return np.sqrt(np.abs(x)) if metric == "hellinger" else x
-
-
-def _numbers(df: DataFrame) -> DataFrame:
-    return df.select(F.col("id").cast("long").alias("id"), F.col("x").cast("array<double>").alias("x"))
-
-
-def forest_of(df: DataFrame, n: int, metric: str, trees: int, leaf: int, sample: int, seed: int) -> Forest:
-    """Fit on the `sample` rows with the smallest hashes; their leaves stand for `leaf` rows of all."""
-    taken = _numbers(df).orderBy(F.xxhash64(F.lit(seed), "id"), "id").limit(sample).toPandas()
-    x = _planar(np.stack(taken["x"].to_numpy()), metric)
-    return Forest(x, trees, max(8, leaf * len(x) // n), seed)
-
-
-def routed(df: DataFrame, forest: Forest, metric: str) -> DataFrame:
-    """(id, x, tree, leaf): each row once for each tree."""
-    known = df.sparkSession.sparkContext.broadcast(forest)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if b.num_rows:
-                leaf = known.value.leaves(_planar(np.asarray(b.column(1).flatten()).reshape(b.num_rows, -1), metric))
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(leaf.tolist(), pa.list_(pa.int64()))], names=["id", "x", "leaves"])
+    return ranked(full.union(own), k)
 
-    return _numbers(df).mapInArrow(run, "id long, x array<double>, leaves array<long>").select("id", "x", F.posexplode("leaves").alias("tree", "leaf"))
 
-
-def _matrix(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-    """(ids in order, their rows)."""
-    ids = np.asarray(t.column("id"))
-    order = np.argsort(ids)
-    return ids[order], np.asarray(t.column("x").combine_chunks().flatten()).reshape(len(ids), -1)[order]
-
-
-def ann(df: DataFrame, k: int, metric: str = "euclidean", trees: int = 12, leaf: int = 256, rounds: int = 2, seed: int = 42, sample: int = 16_384) -> DataFrame:
-    """Approximate neighbours: rows that share a leaf of a tree, then `rounds` of neighbours of neighbours.
-
-    The trees are fit on a bounded sample, and every row goes down each of them. A leaf with more than 4 * leaf rows, as many equal rows make,
-    is dealt on by a hash, so that no task grows with the data; the rounds bring its parts together.
-    """
-    n = df.count()
-    if n < k:
-        raise ValueError(f"n_neighbors must be at most the number of rows ({n})")
-    coded = routed(df, forest_of(df, n, metric, trees, leaf, sample, seed), metric)
-    full = coded.groupBy("tree", "leaf").count()
-    coded = coded.join(full, ["tree", "leaf"]).withColumn("part", F.pmod(F.xxhash64("id", "tree"), F.ceil(F.col("count") / (4 * leaf))))
-
-    def inside(t: pa.Table) -> pa.Table:
-        ids, m = _matrix(t)
-        d = distances(metric, m, m)
-        np.fill_diagonal(d, -1.0)
-        at = np.argsort(d, axis=1, kind="stable")[:, :k]
-        return pa.table({"i": np.repeat(ids, at.shape[1]), "j": ids[at].ravel(), "d": np.maximum(np.take_along_axis(d, at, 1).ravel(), 0.0)})
-
-    pairs = coded.groupBy("tree", "leaf", "part").applyInArrow(inside, "i long, j long, d double")
-    table = cut(_rank(pairs.distinct(), k))
-    rows = _numbers(df)
-    for _ in range(rounds):
-        table = cut(descend(table, rows, k, metric))
-    return table
-
-
-def ann_query(df: DataFrame, query: DataFrame, k: int, metric: str = "euclidean", trees: int = 24, leaf: int = 512, seed: int = 42, sample: int = 16_384) -> DataFrame:
-    """Approximate neighbours of query's rows among df's: those that share a leaf of a tree. Both have id long and x array."""
-    n = df.count()
-    forest = forest_of(df, n, metric, trees, leaf, sample, seed)
-    coded = routed(df, forest, metric)
-    full = coded.groupBy("tree", "leaf").agg(F.ceil(F.count("*") / (4 * leaf)).alias("parts"))
-    coded = coded.join(full, ["tree", "leaf"]).withColumn("part", F.pmod(F.xxhash64("id", "tree"), "parts")).drop("parts")
-    asked = routed(query, forest, metric).join(full, ["tree", "leaf"]).select("id", "x", "tree", "leaf", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"))
-
-    def across(q: pa.Table, r: pa.Table) -> pa.Table:
-        if not q.num_rows or not r.num_rows:
-            return pa.table({"i": pa.array([], pa.int64()), "j": pa.array([], pa.int64()), "d": pa.array([], pa.float64())})
-        (qi, a), (rj, b) = _matrix(q), _matrix(r)
-        d = distances(metric, a, b)
-        at = np.argsort(d, axis=1, kind="stable")[:, :k]
-        return pa.table({"i": np.repeat(qi, at.shape[1]), "j": rj[at].ravel(), "d": np.take_along_axis(d, at, 1).ravel()})
-
-    by = ["tree", "leaf", "part"]
-    pairs = asked.groupBy(*by).cogroup(coded.groupBy(*by)).applyInArrow(across, "i long, j long, d double")
-    return _rank(pairs.distinct(), k, False)
-
-
-def descend(table: DataFrame, rows: DataFrame, k: int, metric: str) -> DataFrame:
-    """One round of neighbours of neighbours, both ways; only the k nearest of a row are followed, so a hub costs no more."""
-    back = table.select(F.col("j").alias("i"), F.col("i").alias("j"), "d").withColumn("r", F.row_number().over(W.partitionBy("i").orderBy("d", "j"))).where(F.col("r") <= k)
-    near = table.select("i", "j").union(back.select("i", "j")).distinct()
-    two = near.alias("a").join(near.alias("b"), F.col("a.j") == F.col("b.i")).select(F.col("a.i").alias("i"), F.col("b.j").alias("j")).distinct()
-    fresh = two.join(table.select("i", "j"), ["i", "j"], "left_anti")
-    pairs = fresh.join(rows.select(F.col("id").alias("i"), F.col("x").alias("xi")), "i").join(rows.select(F.col("id").alias("j"), F.col("x").alias("xj")), "j")
-
-    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if b.num_rows:
-                u, v = (np.asarray(b.column(c).flatten()).reshape(b.num_rows, -1) for c in (2, 3))
-                d = np.sqrt(((u - v) ** 2).sum(1)) if metric == "euclidean" else paired(metric, u, v)
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(d)], names=["i", "j", "d"])
-
-    found = pairs.select("i", "j", "xi", "xj").mapInArrow(measure, "i long, j long, d double")
-    return _rank(table.select("i", "j", "d").union(found), k)
-
-
-#: What the searches by other names call their settings.
-SETTINGS = {"n_trees": "trees", "leaf_size": "leaf", "n_iters": "rounds"}
-
-
-def neighbours(df: DataFrame, k: int, metric: str = "euclidean", method: str = "auto", query: DataFrame | None = None, **args) -> DataFrame:
-    """Dispatch: auto is exact up to EXACT_ROWS rows of df; fnn is exact; annoy and nndescent are the approximate search, with its settings."""
-    if method == "hnsw":
-        raise ValueError("there is no navigable-graph index here; annoy and nndescent are approximate searches")
-    if method not in ("auto", "fnn", "exact", "annoy", "nndescent"):
-        raise ValueError(f"unknown nn_method {method!r}")
-    args = {SETTINGS.get(x, x): v for x, v in args.items()}
-    if method in ("fnn", "exact") or method == "auto" and df.count() <= EXACT_ROWS:
-        return knn(df, k, metric, query)
-    return ann(df, k, metric, **args) if query is None else ann_query(df, query, k, metric, **{x: v for x, v in args.items() if x != "rounds"})
+def numbers(df: DataFrame) -> DataFrame:
+    return df.select(F.col("id").cast("long").alias("id"), F.col("x").cast("array<double>").alias("x"))
 
 
 def locally_scaled(table: DataFrame, k: int) -> DataFrame:
@@ -261,7 +89,7 @@ def locally_scaled(table: DataFrame, k: int) -> DataFrame:
     s = table.where(F.col("rank").between(5, 7)).groupBy("i").agg(F.greatest(F.avg("d"), F.lit(1e-10)).alias("s"))
     both = table.join(s, "i").join(s.select(F.col("i").alias("j"), F.col("s").alias("s_j")), "j")
     by = W.partitionBy("i").orderBy((F.col("i") != F.col("j")).cast("int"), F.col("d") * F.col("d") / (F.col("s") * F.col("s_j")), "j")
-    return _rank(both.withColumn("r", F.row_number().over(by)).where(F.col("r") <= k).select("i", "j", "d"), k)
+    return ranked(both.withColumn("r", F.row_number().over(by)).where(F.col("r") <= k).select("i", "j", "d"), k)
 
 
 def mutual(table: DataFrame) -> DataFrame:
@@ -296,13 +124,13 @@ def occurrences(table: DataFrame) -> DataFrame:
 def check_knn(table: DataFrame, n: int | None = None) -> DataFrame:
     """A neighbour table from elsewhere: complete, finite, with ids 0 to n - 1 that all have neighbours; ranks are made if absent."""
     if "rank" not in table.columns:
-        table = _rank(table.select("i", "j", "d"), 2**31 - 1)
+        table = ranked(table.select("i", "j", "d"), 2**31 - 1)
     one = table.agg(F.sum((F.col("j").isNull() | F.col("d").isNull() | F.isnan("d")).cast("long")).alias("bad"), F.min(F.least("i", "j")).alias("low"), F.max(F.greatest("i", "j")).alias("high"), F.countDistinct("i").alias("n"), F.max("d").alias("far")).first()
     n = one["n"] if n is None else n
     if one["bad"] or one["far"] == float("inf"):
-        raise ValueError("neighbour graph contains NA or infinite distances")
+        raise ValueError("given neighbours have missing or infinite distances")
     if one["low"] < 0 or one["high"] >= n:
-        raise ValueError("Invalid neighbor: ids must be 0 to n - 1")
+        raise ValueError("neighbours' ids go from 0 to n - 1")
     if one["n"] != n:
         raise ValueError("every row needs at least one neighbour")
     return table
@@ -343,7 +171,7 @@ def knn_sparse(terms: DataFrame, k: int, metric: str = "cosine") -> DataFrame:
         last = few.orderBy(F.desc("size"), F.desc("id")).first()
         few = few.select(F.col("id").alias("j"), F.col("size").alias("size_j"))  # `tried` rows
         strange = todo.join(F.broadcast(few), F.lit(True)).where("i <> j").join(related, ["i", "j"], "left_anti").select("i", "j", far.alias("d"))
-        best = _rank(related.join(todo, "i", "left_semi").union(strange), k)
+        best = ranked(related.join(todo, "i", "left_semi").union(strange), k)
         if tried >= n or last is None:
             return best if done is None else done.union(best)
         ends = best.groupBy("i").agg(F.count("*").alias("n"), F.max(F.struct("d", "j")).alias("end")).join(todo, "i").withColumn("size_j", F.lit(float(last["size"])))

@@ -55,9 +55,9 @@ def find_ab(spread: float = 1.0, min_dist: float = 0.01) -> tuple[float, float]:
     return float(p[0]), float(p[1])
 
 
-def epochs_per_sample(g: DataFrame) -> DataFrame:
-    """g with eps = max(w) / w; edges of no weight never fire (-1)."""
-    top = g.agg(F.max("w")).first()[0] or 0.0
+def epochs_per_sample(g: DataFrame, top: float | None = None) -> DataFrame:
+    """g with eps = top / w, top being the heaviest weight if None; edges of no weight never fire (-1)."""
+    top = (g.agg(F.max("w")).first()[0] or 0.0) if top is None else top
     return g.withColumn("eps", F.when(F.col("w") > 0, F.lit(top) / F.col("w")).otherwise(-1.0))
 
 

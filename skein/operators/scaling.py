@@ -18,7 +18,7 @@ def numeric_columns(df: DataFrame, skip: tuple[str, ...] = ()) -> list[str]:
     """Names of the numeric columns; others are left out, as in a numeric block."""
     found = [f.name for f in df.schema if isinstance(f.dataType, T.NumericType) and f.name not in skip]
     if not found:
-        raise ValueError("No numeric columns found")
+        raise ValueError("the table has no numeric columns")
     return found
 
 

@@ -30,7 +30,7 @@ def check_complete(df: DataFrame, cols: list[str], what: str) -> None:
     """Raises if a value is missing or not a number; one aggregate over the table."""
     bad = df.agg(*[F.sum((F.col(c).isNull() | F.isnan(F.col(c).cast("double"))).cast("long")).alias(c) for c in cols]).first()
     if any(bad):
-        raise ValueError(f"{what} contains NA")
+        raise ValueError(f"{what}: some values are missing or not numbers")
 
 
 def number(df: DataFrame, by: list[str], name: str) -> DataFrame:

@@ -12,6 +12,7 @@ from skein.operators import init as I
 from skein.operators import knn as K
 from skein.operators import layout as L
 from skein.operators import scaling as S
+from skein.operators import search as X
 from skein.operators.tables import cut
 from skein.plans import embed as E
 
@@ -140,8 +141,20 @@ MEASURES = {
 }
 for _m, _e in MEASURES.items():
     query(f"knn_{_m}", f"with {v_sql()}, {knn_sql(_e)} select i, rank, j, round(d, 6) + 0.0 d from t")(lambda spark, sf, m=_m: rounded(K.knn(vectors(spark, sf), N, m)))
-for _m in ("spearmanr", "jensenshannon", "symmetrickl", "tsss"):
-    query(f"knn_{_m}")(lambda spark, sf, m=_m: K.knn(vectors(spark, sf), N, m))
+
+RAW = "(select vec_id i, generate_subscripts(embedding, 1) k, unnest(embedding)::double x from embeddings)"
+SHARES = f"v as (select i, k, abs(x) / sum(abs(x)) over (partition by i) x from {RAW})"
+APART = "case when {0}.x > 0 then {0}.x * ln({0}.x / ({1})) else 0 end"
+NORMS = "sqrt(sum(a.x ** 2)), sqrt(sum(b.x ** 2))".split(", ")
+ANGLE = f"(acos(least(1, greatest(-1, sum(a.x * b.x) / ({NORMS[0]} * {NORMS[1]})))) + radians(10))"
+OTHERS = {
+    "spearmanr": (f"v as (select i, k, rank() over (partition by i order by x) + (count(*) over (partition by i, x) - 1) / 2.0::double x from {RAW})", "round(1 - corr(a.x, b.x), 12)"),
+    "jensenshannon": (SHARES, f"sqrt(greatest(0, sum({APART.format('a', '(a.x + b.x) / 2')} + {APART.format('b', '(a.x + b.x) / 2')}) / 2))"),
+    "symmetrickl": (SHARES, "sum((a.x - b.x) * ln((a.x + 1e-12) / (b.x + 1e-12)))"),
+    "tsss": (f"v as {RAW}", f"{NORMS[0]} * {NORMS[1]} * abs(sin({ANGLE})) / 2 * (sqrt(sum((a.x - b.x) ** 2)) + abs({NORMS[0]} - {NORMS[1]})) ** 2 * {ANGLE} / 2"),
+}
+for _m, (_v, _e) in OTHERS.items():
+    query(f"knn_{_m}", f"with {_v}, {knn_sql(_e)} select i, rank, j, round(d, 6) + 0.0 d from t")(lambda spark, sf, m=_m: rounded(K.knn(vectors(spark, sf), N, m)))
 
 TT, TF, FT, NN = "sum(a.x * b.x)", "sum(a.x * (1 - b.x))", "sum((1 - a.x) * b.x)", "count(*)"
 DIFFERENT = f"({TF} + {FT})"
@@ -195,7 +208,14 @@ def knn_mutual(spark, sf):
     return rounded(K.mutual(near(spark, sf)))
 
 
-@query("knn_balanced_mutual")
+BALANCED = KNN + ", e1 as (select a.i, a.j, sqrt(a.d * b.d) d from t a join t b on a.i = b.j and a.j = b.i where a.i <> a.j)" + "".join(
+    f", a{r} as (select t.i, t.j, t.d from t left join (select i, count(*) n from e{r - 1} group by 1) using (i) where rank = {r} and coalesce(n, 0) < 4), "
+    f"e{r} as (select i, j, avg(d) d from (select * from e{r - 1} union all select i, j, avg(d) from (select * from a{r} union all select j, i, d from a{r}) group by 1, 2) group by 1, 2)"
+    for r in range(2, 6)
+)
+
+
+@query("knn_balanced_mutual", BALANCED + " select i, j, round(d, 6) + 0.0 d from e5")
 def knn_balanced_mutual(spark, sf):
     return rounded(K.balanced_mutual(near(spark, sf), N, 5))
 
@@ -235,26 +255,57 @@ def classical_mds(spark, sf):
     return spark.createDataFrame([(i, *c) for i, c in y], "id long, y0 double, y1 double")
 
 
-@query("ann_knn")
+def same(df: DataFrame) -> DataFrame:
+    return rounded(df.select("i", "rank", "j", "d"))
+
+
+# approximate searches; on tables of this size they find what exact search finds
+@query("ann_knn", f"with {v_sql()}, {knn_sql(EUCLIDEAN)} select i, rank, j, round(d, 6) + 0.0 d from t")
 def ann_knn(spark, sf):
-    return K.ann(vectors(spark, sf), N)
+    return same(X.neighbours(vectors(spark, sf), N, method="nndescent", max_candidates=60, width=60))
+
 
+NEW = f"with {v_sql()}, p as (select a.i i, b.i j, {EUCLIDEAN} d from v a join v b using (k) where a.i % 100 = 0 group by 1, 2) select i, row_number() over (partition by i order by d, j)::int rank, j, round(d, 6) + 0.0 d from p qualify rank <= {N}"
 
-@query("ann_query")
+
+@query("ann_query", NEW)
 def ann_query(spark, sf):
     x = vectors(spark, sf)
-    return K.ann_query(x, x.where("id % 100 = 0"), N)
+    return same(X.neighbours(x, N, method="nndescent", query=x.where("id % 100 = 0"), ef=200))
+
+
+@query("annoy_knn", f"with {v_sql()}, {knn_sql(EUCLIDEAN)} select i, rank, j, round(d, 6) + 0.0 d from t")
+def annoy_knn(spark, sf):
+    return same(X.neighbours(vectors(spark, sf), N, method="annoy", n_trees=20, search_k=4000))
+
+
+@query("annoy_query", NEW)
+def annoy_query(spark, sf):
+    x = vectors(spark, sf)
+    return same(X.neighbours(x, N, method="annoy", query=x.where("id % 100 = 0"), n_trees=20, search_k=4000))
+
+
+@query("hnsw_query", NEW)
+def hnsw_query(spark, sf):
+    x = vectors(spark, sf)
+    return same(X.neighbours(x, N, method="hnsw", query=x.where("id % 100 = 0"), M=16, ef_construction=200, ef=200))
+
+
+@query("hnsw_cosine", f"with {v_sql()}, p as (select a.i i, b.i j, {MEASURES['cosine']} d from v a join v b using (k) where a.i % 100 = 0 group by 1, 2) select i, row_number() over (partition by i order by d, j)::int rank, j, round(d, 6) + 0.0 d from p qualify rank <= {N}")
+def hnsw_cosine(spark, sf):
+    x = vectors(spark, sf)
+    return same(X.neighbours(x, N, "cosine", "hnsw", query=x.where("id % 100 = 0"), ef=200))
 
 
 # --- graphs ---------------------------------------------------------------------------------------------------------------------------
 
 
-def smooth_sql(t: str, out: str, k: int = N) -> str:
-    """Recursive bisection over each vertex's list of gaps."""
+def smooth_sql(t: str, out: str, k: int = N, low: int = 2, goal: str = "") -> str:
+    """Recursive bisection over each vertex's list of gaps, from rank `low` on."""
     val = "list_sum(list_transform(g, lambda x: case when x <= 0 then 1.0 else exp(-x / s) end))"
-    goal = f"log2({k})"
+    goal = goal or f"log2({k})"
     return f"""
-      {out}b as (select i, rho, mean, list(d - rho order by rank) filter (rank >= 2) g from (select i, rank, d, min(d) filter (d > 0) over (partition by i) rho, avg(d) over (partition by i) mean from {t}) group by 1, 2, 3),
+      {out}b as (select i, rho, mean, list(d - rho order by rank) filter (rank >= {low}) g from (select i, rank, d, min(d) filter (d > 0) over (partition by i) rho, avg(d) over (partition by i) mean from {t}) group by 1, 2, 3),
       {out}r as (select i, rho, mean, g, 0 it, 1.0::double s, 0.0::double lo, 1e308::double hi, false done from {out}b
         union all
         select i, rho, mean, g, it + 1, case when ok then s when val > goal then (lo + s) / 2 when hi = 1e308 then s * 2 else (s + hi) / 2 end,
@@ -288,6 +339,16 @@ for _name, _source in (("distances", lambda spark, sf: E.graph_of_distances(pair
     query(f"graph_from_{_name}", f"{BASE}, {fuzzy_sql('m', 'g')} select i, j, round(w, 4) + 0.0 w from g")(lambda spark, sf, source=_source: rounded(source(spark, sf).graph, 4))
 
 
+#: Lists of 5 to 12 neighbours, without their own row.
+RAGGED = f"with recursive {v_sql()}, {knn_sql(EUCLIDEAN)}, u as (select i, rank - 1 as rank, j, d from t where i <> j and rank <= 6 + i % 8), {smooth_sql('u', 'm', low=1, goal='log2(len(g) + 1)')}, {fuzzy_sql('m', 'g')}"
+
+
+@query("graph_from_ragged", RAGGED + " select i, j, round(w, 4) + 0.0 w from g")
+def graph_from_ragged(spark, sf):
+    nn = near(spark, sf).where("i <> j and rank <= 6 + i % 8").select("i", "j", "d")
+    return rounded(E.graph_of(nn).graph, 4)
+
+
 @query("graph_from_sparse", "with recursive " + SPARSE_KNN.format("1 - dot / (sqrt(p.sq) * sqrt(q.sq))", N) + f", {smooth_sql('t1', 'm')}, {fuzzy_sql('m', 'g')} select i, j, round(w, 4) + 0.0 w from g")
 def graph_from_sparse(spark, sf):
     terms = vectors(spark, sf).select("id", F.posexplode("x").alias("term", "value")).where("abs(value) > 0.2")
@@ -334,7 +395,10 @@ def perplexity_graph(spark, sf):
     return rounded(G.symmetrize(G.perplexity(near(spark, sf), PERP)), 4)
 
 
-@query("intrinsic_dim")
+DINT = ", c as (select i, beta, d, w, ln(w + 2.220446049250313e-16::double) lp from (select t.i, t.d, f.beta, exp(-t.d * t.d * f.beta) / sum(exp(-t.d * t.d * f.beta)) over (partition by t.i) w from t join f using (i) where rank >= 2)), s as (select i, -sum(w * lp) h from c group by 1) "
+
+
+@query("intrinsic_dim", PERPLEXITY.rstrip() + DINT + "select i, round(-2 * any_value(beta) * sum(d * d * w * (lp + h)), 3) + 0.0 dint from c join s using (i) group by 1")
 def intrinsic_dim(spark, sf):
     return G.perplexity(near(spark, sf), PERP).groupBy("i").agg(F.round(F.first("dint"), 3).alias("dint"))
 
@@ -361,14 +425,23 @@ def graph_union(spark, sf):
     return rounded(G.general_union(*_halves(spark, sf)), 4)
 
 
-@query("simplicial_set_intersect")
+#: Each vertex's weights to the power at which they sum to log2(15), by bisection.
+POWERED = """, n as (select i, j, w / max(w) over (partition by i) w from h), l as (select i, list(w order by j) g from n group by 1),
+  r as (select i, g, 0 it, 1.0::double m, 0.0::double lo, 1e308::double hi, false done from l
+    union all
+    select i, g, it + 1, case when ok then m when v < goal then (lo + m) / 2 when hi = 1e308 then m * 2 else (m + hi) / 2 end, case when not ok and v >= goal then m else lo end, case when not ok and v < goal then m else hi end, ok
+    from (select *, abs(v - goal) < 1e-5 ok from (select *, log2(15) goal, list_sum(list_transform(g, lambda x: power(x, m))) v from r where not done and it < 32))),
+  p as (select i, arg_max(m, it) m from r group by 1), o as (select n.i, n.j, power(w, m) w from n join p using (i)), """
+
+
+@query("simplicial_set_intersect", TWO + ", h as (select i, j, case when l > dx or r > dy then r * l else s end w from f where case when l > dx or r > dy then r * l else s end <> 0)" + POWERED + fuzzy_sql("o", "z") + " select i, j, round(w, 4) + 0.0 w from z")
 def simplicial_set_intersect(spark, sf):
-    return G.intersect(*_halves(spark, sf))
+    return rounded(G.intersect(*_halves(spark, sf)), 4)
 
 
-@query("simplicial_set_union")
+@query("simplicial_set_union", TWO + ", h as (select i, j, l + r - l * r w from f)" + POWERED + fuzzy_sql("o", "z") + " select i, j, round(w, 4) + 0.0 w from z")
 def simplicial_set_union(spark, sf):
-    return G.union(*_halves(spark, sf))
+    return rounded(G.union(*_halves(spark, sf)), 4)
 
 
 RESET = ", n as (select i, j, w / max(w) over (partition by i) w from {}), " + fuzzy_sql("n", "z")

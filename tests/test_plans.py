@@ -62,7 +62,7 @@ def test_pca_and_scaling(iris, spark):
     flat = spark.createDataFrame([(1.0, 5.0, "a"), (3.0, 5.0, "b")], "a double, b double, c string")
     assert S.numeric_columns(flat) == ["a", "b"]
     assert S.apply_scale(flat, S.fit_scale(flat, ["a", "b"], "z")).columns == ["a", "c"]
-    with pytest.raises(ValueError, match="No numeric"):
+    with pytest.raises(ValueError, match="no numeric"):
         S.numeric_columns(flat.select("c"))
 
 
@@ -96,37 +96,11 @@ def test_fit_save_load_transform(mixture, spark, tmp_path):
 
 
 def test_errors(mixture):
-    for args, words in (({"n_neighbors": 1}, "n_neighbors"), ({"set_op_mix_ratio": 2}, "set_op_mix_ratio"), ({"local_connectivity": 0.5}, "local_connectivity"), ({"n_components": 0}, "n_components"), ({"pca": 1}, "'pca' must be >=")):
+    for args, words in (({"n_neighbors": 1}, "n_neighbors"), ({"set_op_mix_ratio": 2}, "set_op_mix_ratio"), ({"local_connectivity": 0.5}, "local_connectivity"), ({"n_components": 0}, "n_components"), ({"pca": 1}, "pca has to leave")):
         with pytest.raises(ValueError, match=words):
             E.umap(mixture, "k", **args)
 
 
-def test_approximate_recall(spark, mixture, sf):
-    x = mixture.selectExpr("k as id", "array(f0, f1, f2, f3, f4, f5, f6, f7) as x")
-    r = K.overlap(K.knn(x, 10), K.ann(x, 10, trees=6, leaf=40, rounds=1), 10).first()[0]
-    assert r > 0.9
-    assert K.overlap(K.knn(x, 10, "manhattan"), K.ann(x, 10, "manhattan", trees=6, leaf=40, rounds=1), 10).first()[0] > 0.9
-
-
-def test_recall_of_the_queries(spark):
-    """With the queries' settings, on their tables; and on rows far from the origin, where leaves are many."""
-    sf = "/root/testdata/sf0.1"
-    x = P.vectors(spark, sf).cache()
-    assert K.overlap(K.knn(x, P.N), P.QUERIES["ann_knn"](spark, sf), P.N).first()[0] > 0.9
-    exact = K.knn(x, P.N, query=x.where("id % 100 = 0"))
-    assert K.overlap(exact, P.QUERIES["ann_query"](spark, sf), P.N).first()[0] > 0.9
-    rng = np.random.default_rng(3)
-    far = spark.createDataFrame(pd.DataFrame({"id": np.arange(8_000), "x": (rng.normal(size=(8_000, 24)) + 5).tolist()})).cache()
-    asked = far.where("id % 100 = 0")
-    assert K.overlap(K.knn(far, 10, query=asked), K.ann(far, 10, sample=2_000).where("i % 100 = 0"), 10).first()[0] > 0.9
-
-
-def test_equal_rows_fill_no_leaf(spark):
-    rows = [(i, [1.0, 2.0, 3.0]) for i in range(400)] + [(400 + i, [float(i), 0.0, 1.0]) for i in range(40)]
-    t = K.ann(spark.createDataFrame(rows, "id long, x array<double>"), 5, leaf=16, rounds=1)
-    assert t.where("i < 400 and d > 0").count() == 0 and t.groupBy("i").count().where("count <> 5").count() == 0
-
-
 def test_size_does_not_change_results(mixture, monkeypatch):
     p = E.Params(n_epochs=4, n_neighbors=10, optimizer="adam")
     small = E.fit(mixture, "k", p)
@@ -175,8 +149,6 @@ def test_zero_distances_of_whole_tables(spark):
     d = spark.createDataFrame([(i, j, float(abs(i // 2 - j // 2))) for i in range(6) for j in range(6) if i != j], "i long, j long, d double")
     assert K.knn_from_distances(d, 2, zeros=True).where("rank = 2 and d = 0").count() == 6
     assert K.knn_from_distances(d, 2).where("rank = 2 and d = 1").count() == 6
-    with pytest.raises(ValueError, match="navigable"):
-        K.neighbours(d, 2, method="hnsw")
 
 
 @pytest.mark.parametrize("name", sorted(P.SQL))
@@ -198,7 +170,7 @@ def test_precomputed_neighbours_and_chaining(mixture, spark):
     coords, epochs, _ = E.optimize_graph_layout(g.graph, 160, p, g.rows.selectExpr("id", "x0 as x"))
     a, b = (np.stack(x.orderBy("id").toPandas().y) for x in (coords, m.embedding))
     assert epochs == 4 and np.allclose(a, b, atol=1e-6)
-    with pytest.raises(ValueError, match="Invalid neighbor"):
+    with pytest.raises(ValueError, match="ids go from"):
         K.check_knn(m.nn.selectExpr("i", "rank", "j + 1000 as j", "d"), 160)
 
 
@@ -226,5 +198,5 @@ def test_sources(iris, spark):
         inputs.graph_table(spark.createDataFrame([(0, 1, 1.0)], "i long, j long, w double"))
     with pytest.raises(ValueError, match="distance"):
         K.knn(iris, 4, "nonsense")
-    with pytest.raises(ValueError, match="contains NA"):
+    with pytest.raises(ValueError, match="missing"):
         inputs.feature_table(spark.createDataFrame([(1, 1.0), (2, None)], "k long, a double"), "k")
