@@ -99,17 +99,3 @@ def apply_pca(df: DataFrame, model: dict, col: str = "x") -> DataFrame:
         return pd.Series(list((np.stack(x.to_numpy()) - center) @ rotation)) if len(x) else pd.Series([], dtype=object)
 
     return df.withColumn(col, project(F.col(col).cast("array<double>")))
-
-
-def classical_mds(pairs: DataFrame, n: int, dim: int, most: int = 4096) -> list[tuple[int, list[float]]]:
-    """(id, coordinates) from all distances (i, j, d) among ids 0 to n - 1, either or both ways; for tables of at most `most` rows."""
-    if n > most:
-        raise ValueError(f"classical scaling is for at most {most} rows")
-    p, m = pairs.toPandas(), np.zeros((n, n))
-    m[p["i"], p["j"]] = p["d"] ** 2
-    m = np.maximum(m, m.T)
-    m = -(m - m.mean(0) - m.mean(1)[:, None] + m.mean()) / 2
-    value, vector = np.linalg.eigh(m)
-    y = vector[:, ::-1][:, :dim] * np.sqrt(np.maximum(value[::-1][:dim], 0))
-    y = y * np.sign(y[np.abs(y).argmax(0), np.arange(dim)])
-    return list(enumerate(y.tolist()))

@@ -16,6 +16,7 @@ from skein.operators import init as I
 from skein.operators import layout as L
 from skein.operators.knn import check_knn, knn_from_distances, knn_sparse
 from skein.operators import navigable
+from skein.operators.components import classical_scaling
 from skein.operators.scaling import apply_pca, apply_scale, fit_pca, fit_scale, numeric_columns
 from skein.operators.search import index_of, neighbours
 from skein.operators.tables import check_complete, cut, number
@@ -295,6 +296,14 @@ def graph_of_distances(pairs: DataFrame, p: Params | None = None, triangular: bo
     return graph_of(knn_from_distances(pairs, p.n_neighbors, triangular, zeros), p)
 
 
+def fit_distances(pairs: DataFrame, p: Params | None = None, triangular: bool = False) -> Model:
+    """A graph from all distances (i, j, d), laid out from classical scaling if init is `pca` or `mds`."""
+    p = p or Params()
+    m = graph_of_distances(pairs, p, triangular)
+    start = classical_scaling(pairs, m.rows.count(), p.n_components) if p.init in ("pca", "mds") else None
+    return laid_out(m, start)
+
+
 def graph_of_terms(terms: DataFrame, p: Params | None = None, metric: str = "cosine") -> Model:
     """From sparse rows in long form (id, term, value)."""
     p = p or Params()

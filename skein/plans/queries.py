@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from skein.operators import components as C
 from skein.operators import graph as G
 from skein.operators import init as I
 from skein.operators import knn as K
@@ -249,10 +250,25 @@ def knn_mid_near(spark, sf):
 
 @query("classical_mds")
 def classical_mds(spark, sf):
-    x = vectors(spark, sf)
-    n = x.count()
-    y = S.classical_mds(pairs(spark, sf), n, 2)
-    return spark.createDataFrame([(i, *c) for i, c in y], "id long, y0 double, y1 double")
+    y = C.classical_scaling(pairs(spark, sf), vectors(spark, sf).count(), 2)
+    return y.select("id", F.col("y")[0].alias("y0"), F.col("y")[1].alias("y1"))
+
+
+def sparse_terms(spark, sf) -> DataFrame:
+    return vectors(spark, sf).select("id", F.posexplode("x").alias("term", "value")).where("abs(value) > 0.2")
+
+
+@query("sparse_pca_centre", "select k - 1 term, round(sum(case when abs(x) > 0.2 then x else 0 end) / count(*), 8) + 0.0 mean from (select generate_subscripts(embedding, 1) k, unnest(embedding)::double x from embeddings) group by 1")
+def sparse_pca_centre(spark, sf):
+    found = C.sparse_pca(sparse_terms(spark, sf), vectors(spark, sf).count(), 3)
+    return rounded(found.rotation.select(F.col("term").cast("long").alias("term"), "mean"), 8)
+
+
+@query("sparse_pca_scores")
+def sparse_pca_scores(spark, sf):
+    terms, x = sparse_terms(spark, sf), vectors(spark, sf)
+    y = C.sparse_scores(terms, C.sparse_pca(terms, x.count(), 3), x)
+    return y.select("id", *[F.col("y")[k].alias(f"y{k}") for k in range(3)])
 
 
 def same(df: DataFrame) -> DataFrame:
