@@ -119,7 +119,7 @@ def leading(times: Callable[[DataFrame, int], DataFrame], n: int, wanted: int, c
         fresh, made = times(_each(basis, "x", lambda v: v[:, at:], v=c), width), made + 1
 
 
-def _rows(df: DataFrame, name: str, width: int) -> DataFrame:
+def each_row(df: DataFrame, name: str, width: int) -> DataFrame:
     """(at, name array) from blocks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -131,6 +131,19 @@ def _rows(df: DataFrame, name: str, width: int) -> DataFrame:
     return df.select("p", name).mapInArrow(run, f"at long, {name} array<double>")
 
 
+def packed_rows(df: DataFrame, n: int) -> DataFrame:
+    """(p, y): blocks from (at, v array) of n rows; rows that are not there are zero."""
+
+    def pack(key: tuple, b: pa.Table) -> pa.Table:
+        p = key[0].as_py()
+        v = np.stack(b.column("v").to_pylist())
+        m = np.zeros((min(SIDE, n - p * SIDE), v.shape[1]))
+        m[np.asarray(b.column("at")) - p * SIDE] = v
+        return pa.Table.from_batches([_packed(p, "y", m)])
+
+    return df.withColumn("p", F.floor(F.col("at") / SIDE).cast("long")).groupBy("p").applyInArrow(pack, "p long, y binary")
+
+
 def _signs(df: DataFrame, key: str, name: str, width: int) -> np.ndarray:
     """Each column's largest entry is to be positive."""
     ends = df.agg(*[F.max_by(F.col(name)[k], F.struct(F.abs(F.col(name)[k]), F.hash(key))) for k in range(width)]).first()
@@ -161,20 +174,11 @@ def sparse_pca(terms: DataFrame, n: int, components: int, center: bool = True, t
     means = cut(means)
     size = means.count()
     t = cut(t.join(means.select("term", "at"), "term").select("id", "at", "value"))
-    mean_blocks = None
-
-    def pack(key: tuple, b: pa.Table) -> pa.Table:
-        p = key[0].as_py()
-        v = np.stack(b.column("v").to_pylist())
-        m = np.zeros((min(SIDE, size - p * SIDE), v.shape[1]))
-        m[np.asarray(b.column("at")) - p * SIDE] = v
-        return pa.table({"p": pa.array([p], pa.int64()), "y": pa.array([m.tobytes()], pa.binary())})
-
-    packed = lambda df: df.withColumn("p", F.floor(F.col("at") / SIDE).cast("long")).groupBy("p").applyInArrow(pack, "p long, y binary")
+    packed = lambda df: packed_rows(df, size)
     mean_blocks = cut(packed(means.select("at", F.array("mean").alias("v"))).withColumnRenamed("y", "m"))
 
     def times(x: DataFrame, width: int) -> DataFrame:
-        scores = cut(_summed(t.join(_rows(x, "x", width).withColumnRenamed("x", "v"), "at"), "id", width))
+        scores = cut(_summed(t.join(each_row(x, "x", width).withColumnRenamed("x", "v"), "at"), "id", width))
         total = np.array(scores.agg(*[F.coalesce(F.sum(F.col("v")[k]), F.lit(0.0)) for k in range(width)]).first(), float)
         back = packed(_summed(t.join(scores, "id"), "at", width)).join(mean_blocks, "p")
         # (A - 1m')'(A - 1m') V = A'AV - m (1'AV) - (A'1 - n m) m'V, and the last bracket is zero
@@ -182,7 +186,7 @@ def sparse_pca(terms: DataFrame, n: int, components: int, center: bool = True, t
 
     found = leading(times, size, components, False, tol=tol, seed=seed, spark=terms.sparkSession)
     width = len(found.values)
-    loads = cut(means.join(_rows(found.blocks, "v", width), "at").select("term", "mean", "v"))
+    loads = cut(means.join(each_row(found.blocks, "v", width), "at").select("term", "mean", "v"))
     sign = _signs(loads, "term", "v", width)
     loads = cut(loads.select("term", "mean", F.array(*[F.col("v")[k] * float(sign[k]) for k in range(width)]).alias("loadings")))
     shift = np.array(loads.agg(*[F.coalesce(F.sum(F.col("mean") * F.col("loadings")[k]), F.lit(0.0)) for k in range(width)]).first(), float)
@@ -240,6 +244,6 @@ def classical_scaling(pairs: DataFrame, n: int, dim: int, tol: float = 1e-6, see
 
     found = leading(times, n, dim, True, tol=tol, seed=seed, spark=pairs.sparkSession)
     scale = np.sqrt(np.maximum(found.values, 0))
-    y = cut(_rows(_each(found.blocks, "v", lambda v: v * scale, v=dim), "v", dim))
+    y = cut(each_row(_each(found.blocks, "v", lambda v: v * scale, v=dim), "v", dim))
     sign = _signs(y, "at", "v", dim)
     return y.select(F.col("at").alias("id"), F.array(*[F.col("v")[k] * float(sign[k]) for k in range(dim)]).alias("y"))

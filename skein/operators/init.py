@@ -2,19 +2,24 @@
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from skein.operators.graph import components
+from skein.operators.components import each_row, leading, packed_rows
+from skein.operators.graph import components, fuzzy, smooth
+from skein.operators.knn import mid_near
 from skein.operators.layout import BROADCAST_CELLS
 from skein.operators.scaling import apply_pca, fit_pca, gram
 from skein.operators.tables import cut
 
-NAMES = ("spectral", "random", "lvrandom", "normlaplacian", "laplacian", "spca", "pca", "inormlaplacian", "ispectral", "agspectral", "irlba_spectral", "irlba_laplacian", "pacpca")
+log = logging.getLogger("skein")
+NAMES = ("spectral", "random", "lvrandom", "normlaplacian", "laplacian", "spca", "pca", "inormlaplacian", "ispectral", "agspectral", "irlba_spectral", "irlba_laplacian", "pacpca", "midspectral")
 SPECTRAL = ("spectral", "normlaplacian", "laplacian", "inormlaplacian", "ispectral", "irlba_spectral", "irlba_laplacian")
 
 
@@ -22,7 +27,7 @@ def name_of(init: str) -> str:
     """Partial names are taken where one name fits."""
     fits = [x for x in NAMES if x == init] or [x for x in NAMES if x.startswith(init)]
     if not fits:
-        raise ValueError(f"unknown init {init!r}: a matrix or string is needed")
+        raise ValueError(f"unknown init {init!r}; known are {NAMES}")
     return fits[0]
 
 
@@ -77,6 +82,39 @@ def eigen_coords(g: DataFrame, n: int, dim: int, rounds: int = 60, seed: int = 4
     return y.withColumn("y", F.array(*[F.col("y")[k] * float(np.sign(top[f"t{k}"]) or 1.0) for k in range(dim)]))
 
 
+def krylov_coords(g: DataFrame, n: int, dim: int, seed: int = 42, walk: bool = False, tol: float = 1e-6, products: int = 200) -> tuple[DataFrame, np.ndarray, np.ndarray]:
+    """(coordinates, values, residuals): eigenvectors 2 .. dim + 1 as eigen_coords has them, from a restarted block Krylov basis, which also tells
+    apart values that lie close together. A product joins the edges with the basis' newest vectors; nothing of n rows leaves the tasks.
+    Raises RuntimeError if residuals are not below tol after so many products.
+    """
+    degree = g.groupBy(F.col("i").alias("id")).agg(F.sum("w").alias("deg"))
+    edges = cut(normalized_entries(g))
+
+    def times(x: DataFrame, width: int) -> DataFrame:
+        both = edges.join(each_row(x, "x", width).withColumnRenamed("at", "j"), "j")
+        sums = both.groupBy(F.col("i").alias("at")).agg(*[F.sum(F.col("v") * F.col("x")[k]).alias(f"s{k}") for k in range(width)])
+        return packed_rows(sums.select("at", F.array(*[f"s{k}" for k in range(width)]).alias("v")), n)
+
+    found = leading(times, n, dim + 1, False, tol=tol, products=products, seed=seed, spark=g.sparkSession)
+    v = each_row(found.blocks, "v", len(found.values)).withColumnRenamed("at", "id").join(degree, "id")
+    size = 1 / F.sqrt("deg") if walk else F.lit(1.0)
+    y = cut(v.select("id", F.array(*[F.col("v")[k] * size for k in range(1, dim + 1)]).alias("y")))
+    top = y.agg(*[F.max_by(F.col("y")[k], F.abs(F.col("y")[k])).alias(f"t{k}") for k in range(dim)]).first()
+    y = y.withColumn("y", F.array(*[F.col("y")[k] * float(np.sign(top[f"t{k}"]) or 1.0) for k in range(dim)]))
+    return y, found.values[1:], found.residuals[1:]
+
+
+def mid_near_graph(g: DataFrame, rows: DataFrame, n: int, weight: float = 0.9, mid: int = 5, draws: int = 6, seed: int = 42) -> DataFrame:
+    """weight times g, and 1 - weight times the fuzzy graph of `mid` rows that are neither near nor far: the second closest of `draws`."""
+    if not 0 <= weight <= 1:
+        raise ValueError("graph_weight lies from 0 to 1")
+    by_distance = F.row_number().over(W.partitionBy("i").orderBy("d", "j"))
+    far = fuzzy(smooth(mid_near(rows, n, mid, draws, seed).groupBy("i", "j").agg(F.min("d").alias("d")).withColumn("rank", by_distance)))
+    parts = [df.select("i", "j", (F.col("w") * share).alias("w")) for df, share in ((g, weight), (far, 1 - weight)) if share > 0]
+    both = parts[0] if len(parts) == 1 else parts[0].union(parts[1])
+    return cut(both.groupBy("i", "j").agg(F.sum("w").alias("w")))
+
+
 def _settled(value: np.ndarray, last: np.ndarray, dim: int) -> bool:
     return bool(np.abs(value - last)[-dim - 1 :].max() < 1e-7)
 
@@ -173,6 +211,10 @@ def initial(init: str, g: DataFrame, rows: DataFrame | None, n: int, dim: int, s
     """(id, y) by name; a spectral start on a graph in pieces falls back to scaled principal components, or random without features."""
     init, spark = name_of(init), g.sparkSession
     ids = spark.range(n)
+    if init == "midspectral":
+        if rows is None:
+            raise ValueError(f"init {init} needs features")
+        g, init = mid_near_graph(g, rows, n, seed=seed), "spectral"
     if init in SPECTRAL and components(g, ids).agg(F.max("component")).first()[0]:
         init, sdev = ("spca", 1.0) if rows is not None else ("random", sdev)
     if init in ("pca", "spca", "pacpca") and rows is None:
@@ -182,7 +224,13 @@ def initial(init: str, g: DataFrame, rows: DataFrame | None, n: int, dim: int, s
             extra = ids.select(F.col("id").alias("i"), F.explode(F.transform(F.sequence(F.lit(1), F.lit(int(rate))), lambda k: F.pmod(F.xxhash64(F.lit(seed), k, F.col("id")), F.lit(n)))).alias("j")).where("i <> j")
             flat = g.select("i", "j", F.lit(1.0).alias("w")).union(extra.select("i", "j", F.lit(0.1).alias("w"))).union(extra.select("j", "i", F.lit(0.1).alias("w")))
             g = flat.groupBy("i", "j").agg(F.when(F.max("w") >= 1, 1.0).otherwise(0.1).alias("w"))
-        out = eigen_coords(g, n, dim, seed=seed, walk=init in ("laplacian", "irlba_laplacian"))
+        walk, out = init in ("laplacian", "irlba_laplacian"), None
+        if init.startswith("irlba") and n > dim + 2:
+            try:
+                out, _, _ = krylov_coords(g, n, dim, seed, walk)
+            except RuntimeError as e:
+                log.warning("%s: subspace iteration instead", e)
+        out = eigen_coords(g, n, dim, seed=seed, walk=walk) if out is None else out
         out = random_coords(ids, dim, seed) if out is None else scale_and_jitter(out, seed=seed) if "spectral" in init else out
     elif init in ("random", "lvrandom"):
         out = random_coords(ids, dim, seed, normal=init == "lvrandom")

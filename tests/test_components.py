@@ -3,6 +3,7 @@ import pandas as pd
 import pytest
 
 from skein.operators import components as C
+from skein.operators import init as I
 
 
 def dense(spark, n, d, seed=0):
@@ -66,3 +67,48 @@ def test_classical_scaling(spark, monkeypatch, side):
     assert np.allclose(y, want, atol=1e-4 * np.abs(want).max())
     with pytest.raises(ValueError):
         C.classical_scaling(pairs, 150, 150)
+
+
+@pytest.fixture(scope="module")
+def ring(spark):
+    """A ring of 90 vertices with a few chords: its leading eigenvalues lie close together."""
+    e = {(i, (i + 1) % 90): 1.0 for i in range(90)} | {(i, (i * 7 + 11) % 90): 0.3 for i in range(0, 90, 9)}
+    both = {}
+    for (i, j), w in e.items():
+        if i != j:
+            both[i, j] = both[j, i] = w
+    return spark.createDataFrame([(i, j, w) for (i, j), w in both.items()], "i long, j long, w double"), both
+
+
+def test_krylov_tells_close_values_apart(ring):
+    g, both = ring
+    m = np.zeros((90, 90))
+    for (i, j), w in both.items():
+        m[i, j] = w
+    d = m.sum(1)
+    value, vector = np.linalg.eigh(m / np.sqrt(np.outer(d, d)))
+    y, values, rest = I.krylov_coords(g, 90, 3)
+    assert np.allclose(values, value[::-1][1:4], atol=1e-9) and (rest <= 1e-6).all()
+    v = np.stack(y.orderBy("id").toPandas().y)
+    assert np.linalg.svd(v.T @ vector[:, ::-1][:, 1:4])[1].min() > 1 - 1e-6
+    with pytest.raises(RuntimeError, match="not settled"):
+        I.krylov_coords(g, 90, 3, products=1)
+    walk = np.stack(I.krylov_coords(g, 90, 3, walk=True)[0].orderBy("id").toPandas().y)
+    assert np.allclose(np.abs(walk), np.abs(v) / np.sqrt(d)[:, None], atol=1e-6)
+
+
+def test_mid_near_start(spark, ring):
+    g, both = ring
+    rows = spark.createDataFrame([(i, [float(np.cos(i / 14.32)), float(np.sin(i / 14.32))]) for i in range(90)], "id long, x array<double>")
+    for weight in (0.0, 0.9, 1.0):
+        mixed = {(r.i, r.j): r.w for r in I.mid_near_graph(g, rows, 90, weight).collect()}
+        assert all(abs(mixed[j, i] - w) < 1e-12 for (i, j), w in mixed.items())
+        assert (len(mixed) > len(both)) == (weight == 0.9) or weight == 0.0
+        if weight == 1.0:
+            assert mixed == pytest.approx(both)
+    y = I.initial("midspectral", g, rows, 90, 2).toPandas()
+    assert len(y) == 90 and np.isfinite(np.stack(y.y)).all()
+    with pytest.raises(ValueError, match="features"):
+        I.initial("mid", g, None, 90, 2)
+    with pytest.raises(ValueError, match="graph_weight"):
+        I.mid_near_graph(g, rows, 90, 2.0)
