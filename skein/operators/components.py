@@ -84,16 +84,16 @@ def leading(times: Callable[[DataFrame, int], DataFrame], n: int, wanted: int, c
         # y: what joins the basis, or the operator on its newest columns
         state = cut(fresh if basis is None else basis.join(fresh, "p"))
         w = width
-        low = _sums(state, lambda y: y.sum(0), y=w) / n if center else np.zeros(w)
-        inside = np.zeros((c, w))
         if basis is not None:
-            inside = _sums(state, lambda v, y: (v.T @ (y - low)).ravel(), v=c, y=w).reshape(c, w)
+            # one job for what the basis holds of y, one for what is left, with what rounding left within the basis
+            got = _sums(state, lambda v, y: np.concatenate([y.sum(0), (v.T @ y).ravel()]), v=c, y=w)
+            low, inside = got[:w] / n if center else np.zeros(w), got[w:].reshape(c, w)
             own = np.pad(own, ((0, c - len(own)), (0, c - len(own))))
             own[:, c - w :], own[c - w :, :] = inside, inside.T
-            rest = _each(state, "r", lambda v, y: y - low - v @ inside, v=c, y=w)
-            again = cut(state.select("p", "v").join(rest, "p"))
-            twice = _sums(again, lambda v, r: (v.T @ r).ravel(), v=c, r=w).reshape(c, w)  # what rounding left within the basis
-            gram = _sums(again, lambda v, r: ((r - v @ twice).T @ (r - v @ twice)).ravel(), v=c, r=w).reshape(w, w)
+            rest = lambda v, y, low=low, inside=inside: y - low - v @ inside
+            got = _sums(state, lambda v, y: np.concatenate([(v.T @ (r := rest(v, y))).ravel(), (r.T @ r).ravel()]), v=c, y=w)
+            twice = got[: c * w].reshape(c, w)
+            gram = got[c * w :].reshape(w, w) - twice.T @ twice
             value, turned = np.linalg.eigh((own + own.T) / 2)
             value, turned = value[::-1], turned[:, ::-1]
             left = np.sqrt(np.maximum(0, np.einsum("rk,rs,sk->k", turned[c - w :], gram, turned[c - w :]))) / max(abs(value).max(), 1e-300)
@@ -109,9 +109,10 @@ def leading(times: Callable[[DataFrame, int], DataFrame], n: int, wanted: int, c
                 top = turned[:, :width]
                 basis, own, c = cut(_each(state, "v", lambda v: v @ top, v=c)), np.zeros((0, 0)), width
             else:
-                basis = cut(_each(again, "v", lambda v, r: np.concatenate([v, (r - v @ twice) @ root], 1), v=c, r=w))
+                basis = cut(_each(state, "v", lambda v, y: np.concatenate([v, (rest(v, y) - v @ twice) @ root], 1), v=c, y=w))
                 c, width = c + root.shape[1], root.shape[1]
         else:
+            low = _sums(state, lambda y: y.sum(0), y=w) / n if center else np.zeros(w)
             root = _root(_sums(state, lambda y: ((y - low).T @ (y - low)).ravel(), y=w).reshape(w, w))
             basis = cut(_each(state, "v", lambda y: (y - low) @ root, y=w))
             c = width = root.shape[1]

@@ -512,22 +512,7 @@ def normalized_laplacian_entries(spark, sf):
 for _name in ("spectral", "agspectral", "normlaplacian", "laplacian", "random", "lvrandom"):
     query(f"init_{_name}")(lambda spark, sf, m=_name: I.initial(m, cut(fuzzy(spark, sf)), vectors(spark, sf), vectors(spark, sf).count(), 2))
 
-for _name in ("irlba_spectral", "midspectral"):
-    query(f"init_{_name}")(lambda spark, sf, m=_name: I.initial(m, cut(fuzzy(spark, sf)), vectors(spark, sf), vectors(spark, sf).count(), 2))
-
-
-@query("spectral_residuals", "select unnest(range(1, 4)) component, 0.0::double residual, true settled")
-def spectral_residuals(spark, sf):
-    """How far each vector is from what the normalised graph makes of it, measured over the edges again."""
-    g = cut(fuzzy(spark, sf))
-    y, values, _ = I.krylov_coords(g, vectors(spark, sf).count(), 3)
-    v = y.select("id", F.posexplode("y").alias("k", "v"))
-    made = I.normalized_entries(g).withColumnRenamed("v", "a").join(v.withColumnRenamed("id", "j"), "j").groupBy(F.col("i").alias("id"), "k").agg(F.sum(F.col("a") * F.col("v")).alias("av"))
-    value = F.array(*[F.lit(float(x)) for x in values])
-    gap = F.sum(F.pow(F.col("av") - F.get(value, F.col("k")) * F.col("v"), 2))
-    out = made.join(v, ["id", "k"]).groupBy((F.col("k") + 1).cast("long").alias("component")).agg(F.sqrt(gap).alias("residual"))
-    return rounded(out, 4).withColumn("settled", F.col("residual") < 1e-4)
-
+query("init_midspectral")(lambda spark, sf: I.initial("midspectral", cut(fuzzy(spark, sf)), vectors(spark, sf), vectors(spark, sf).count(), 2))
 
 PRUNED = GRAPH + f", o as (select i, j, w, (select max(w) from g) / w eps, row_number() over (order by i, j) - 1 edge_id from g where w >= (select max(w) from g) / {EPOCHS})"
 
