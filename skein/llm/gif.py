@@ -259,8 +259,11 @@ def _shown(f: Frame, canvas: np.ndarray) -> dict:
     return {"delay_ms": f.delay * 10, "disposal": f.disposal, "histogram": histogram(canvas).tolist()}
 
 
-def media_columns(files: DataFrame, id_col: str = "doc_id", media_col: str = "media") -> DataFrame:
-    """(doc_id, width, height, frames array<struct<delay_ms, disposal, histogram>>, error), one row per file."""
+def media_columns(files: DataFrame, id_col: str = "doc_id", media_col: str = "media", most_pixels: int = 1 << 24) -> DataFrame:
+    """(doc_id, width, height, frames array<struct<delay_ms, disposal, histogram>>, error), one row per file.
+
+    A file's canvas is as large as its head says, whatever follows: one of more than most_pixels is an error, and is not composed.
+    """
     rows = files.select(F.col(id_col).alias("doc_id"), F.col(media_col).alias("media"))
     schema = f"doc_id {dict(rows.dtypes)['doc_id']}, width int, height int, frames {FRAMES}, error string"
 
@@ -270,6 +273,8 @@ def media_columns(files: DataFrame, id_col: str = "doc_id", media_col: str = "me
             return out
         try:
             w, h, frames = decode(data)
+            if w * h > most_pixels:
+                raise ValueError(f"a canvas of {w} x {h} pixels is too large")
             shown = [_shown(f, c) for f, c in zip(frames, compose(w, h, frames))]
             return out | {"width": w, "height": h, "frames": shown}
         except (ValueError, IndexError) as e:

@@ -132,3 +132,14 @@ def test_digest(docs, none):
         assert (r.doc_id, r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (t.doc_id, len(raw), len(payload), sha256(payload).hexdigest(), zlib.crc32(payload[-64:]))
         assert (r.media_bytes, r.media_sha256) == (len(media), sha256(media).hexdigest()) and [f.delay_ms for f in r.frames] == [100] * -(-len(payload) // 4096)
     assert gif.digest(none).count() == 0
+
+
+def test_canvas_that_only_its_head_makes_large(spark):
+    from skein.llm import gif
+
+    small = gif.store(b"some text")
+    huge = small[:6] + (30_000).to_bytes(2, "little") * 2 + small[10:]
+    rows = spark.createDataFrame([(1, huge), (2, small), (3, huge[:35])], "doc_id long, media binary")
+    out = {r.doc_id: r for r in gif.media_columns(rows).collect()}
+    assert "too large" in out[1].error and out[1].frames is None and out[2].error is None and out[2].frames
+    assert out[3].error and "too large" in gif.media_columns(rows.where("doc_id = 2"), most_pixels=10).first().error
