@@ -114,12 +114,16 @@ def template_hits(rows: DataFrame, templates: list[Template]) -> DataFrame:
     full = rows.sparkSession.createDataFrame(whole, "label string, tokens array<string>, required int, span int")
     first = _literals(sorted({x[0] for x in index}))
 
+    # each place takes only the words within reach of the longest span along, so the work is linear in a text
+    reach = max([t.span for t in templates], default=1)
     places = F.filter(F.transform("w", lambda x, i: F.struct(i.alias("at"), x.alias("token"))), lambda x: F.array_contains(first, x["token"]))
-    pairs = rows.where("w is not null").select("key", "w", F.inline(places)).join(F.broadcast(prefixes), "token").join(F.broadcast(full), "label")
-    low = F.greatest(F.col("at") - F.col("span") + 1, F.lit(0))
-    around = F.slice("w", low + 1, F.col("at") + F.col("span") - low)
+    begin = lambda at: F.greatest(at - reach + 1, F.lit(0))
+    near = F.transform(places, lambda x: F.struct(x["at"].alias("at"), x["token"].alias("token"), F.slice("w", begin(x["at"]) + 1, F.lit(2 * reach)).alias("near")))
+    pairs = rows.where("w is not null").select("key", F.inline(near)).join(F.broadcast(prefixes), "token").join(F.broadcast(full), "label")
+    low, off = F.greatest(F.col("at") - F.col("span") + 1, F.lit(0)), begin(F.col("at"))
+    around = F.slice("near", low - off + 1, F.col("at") + F.col("span") - low)
     pairs = pairs.where(F.size(F.array_intersect("onward", around)) >= F.col("required"))
-    held = F.array_max(F.transform(F.sequence(low, F.col("at")), lambda start: F.size(F.array_intersect(F.col("tokens"), F.slice("w", start + 1, F.col("span"))))))
+    held = F.array_max(F.transform(F.sequence(low, F.col("at")), lambda start: F.size(F.array_intersect(F.col("tokens"), F.slice("near", start - off + 1, F.col("span"))))))
     pairs = pairs.withColumn("held", held).where("held >= required")
     return pairs.groupBy("key", "label").agg(F.max(F.col("held") / F.size("tokens")).alias("containment"))
 
