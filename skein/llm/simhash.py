@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skein.llm.tables import cut, join_hot, one_of_each
+from skein.llm.tables import Scratch, cut, join_hot, one_of_each
 
 PAIRS_AT_ONCE = 1_000_000
 SHARD_ROWS = 20_000
@@ -206,15 +206,17 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """(node, root) for every node of edges (a, b); root: the smallest node of the component."""
     ordered = lambda e: e.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct()
     state = lambda e: tuple(e.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first())
-    edges = cut(ordered(edges))
+    scratch = Scratch(edges.sparkSession)
+    edges = scratch.put("0", ordered(edges))
     before = state(edges)
-    for _ in range(rounds):
+    for k in range(rounds):
         both = edges.union(edges.select("b", "a"))
         low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         large = ordered(both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")))
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a")
-        edges = cut(ordered(small.select("a", F.col("m").alias("b")).union(small.select(F.col("b").alias("a"), F.col("m").alias("b")))))
+        edges = scratch.put(f"{k + 1}", ordered(small.select("a", F.col("m").alias("b")).union(small.select(F.col("b").alias("a"), F.col("m").alias("b")))))
+        scratch.drop(f"{k}")
         now = state(edges)
         if now == before:
             break

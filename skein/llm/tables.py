@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,6 +30,23 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+class Scratch:
+    """Named tables of one job as Parquet in the shared folder. A lost executor takes nothing with it; tables that no later step reads are
+    dropped, so that a loop holds the tables of one turn only."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.folder = spark, f"{shared_folder(spark)}/scratch-{uuid.uuid4().hex}"
+
+    def put(self, name: str, df: DataFrame) -> DataFrame:
+        df.write.parquet(f"{self.folder}/{name}")
+        return self.spark.read.schema(df.schema).parquet(f"{self.folder}/{name}")
+
+    def drop(self, *names: str) -> None:
+        for name in names:
+            at = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}")
+            at.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def join_hot(left: DataFrame, right: DataFrame, key: str, count: str) -> DataFrame:
     """left joined with right, which has one row for each key and, in `count`, how many rows of left have it.
 
