@@ -74,6 +74,14 @@ def test_license_join_is_exact(docs, spark):
     assert not any(i in (504, 505) for i, _ in expected)
 
 
+def test_license_in_a_long_text(spark):
+    """1 MB that holds prefix tokens everywhere, and a template at its very end only."""
+    text = "software provided without permission " * 27_000 + license_scan.TEMPLATES["unlicense"]
+    assert len(text) > 990_000
+    row = license_scan.scan(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    assert (row.labels, row.score, row.n_base) == ("unlicense", 1.0, 0)
+
+
 def test_boilerplate_in_four_languages(spark):
     prose = "The river runs past the old mill and on to the sea, as it did when they were young."
     rows = [(1, "Alle Rechte vorbehalten."), (2, "Lisez nos mentions légales et cliquez ici."), (3, "Consulte el aviso legal y la política de privacidad."), (4, "Skip to content.")]
