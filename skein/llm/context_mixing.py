@@ -6,15 +6,18 @@ weights that a gate selects (how far into the code, and how often the word so fa
 code all training documents best, where no place counts for itself; while a text is read they move, block by block, down the gradient of its
 coding cost; the last order's moves as a multiple of its gated weight. The sum of the choices' costs is the text's bits, a proper code length: all bytes that may follow share a chance of one.
 
-Counting covers all training documents and follows the corpus: buckets send the distinct (context, byte) pairs that they hold, with their
-counts, up a tree of ranges (exchange.py), which answers each pair with the counts along its path over the whole corpus. Context hashes grow
-by a bit whenever the corpus doubles, so no table fills up; a bucket keeps only its own pairs. Token counts for the base score go the same
-way. For the starting weights, buckets count the choices by gate and quantised predictions, and Spark sums those cells, whose number is fixed
-by the model; a logistic regression over them is solved on the driver.
-
-Defined results: null text counts as empty (its end symbol is scored); null ids are trained on and not held out; equal texts get equal
-scores in any company; a very long text is read block by block like any other, and words of over 32 bytes in pieces; without training
-documents every choice is even; an empty table gives an empty table; other columns are not read.
+Documents are dealt to buckets by a hash of id and text, as many buckets as the corpus has pieces of BUCKET_BYTES, so a score is a function
+of the table and does not follow its partitions. Counting covers all training documents and follows the corpus: buckets send the distinct
+(context, byte) pairs that they hold, with their counts, up a tree of ranges (exchange.py), which answers each pair with the counts along its
+path over the whole corpus. Context hashes grow by a bit whenever the corpus doubles, so no table fills up; a bucket keeps only its own pairs.
+Token counts for the base score go the same way. For the starting weights, buckets count the choices by gate and quantised predictions, and
+Spark sums those cells, whose number is fixed by the model; a logistic regression over them is solved in one task.
+
+Defined results: null text counts as empty (its end symbol is scored); null ids are trained on and not held out; ids may be of any type that
+Spark hashes; equal texts get equal scores in any company; a very long text is read block by block like any other, and words of over 32 bytes
+in pieces; of rows that are equal in id and text, all but the first of a piece of a partition are dealt by their place, so that no bucket
+gets them all (with such rows the starting weights may move with the partitions); without training documents every choice is even; an empty
+table gives an empty table; other columns are not read.
 """
 
 from __future__ import annotations
@@ -39,6 +42,7 @@ END = 255  # never in UTF-8
 GAP = SPACE | (np.arange(256) == END)
 WORD = 32  # bytes of a word that are read at once
 BUCKET_BYTES = 4_000_000
+DEALT_BYTES = 32_000_000  # of a partition that are dealt to buckets at once
 CELL_BUCKETS = 64  # whose cells meet in one task
 AT_ONCE, CELLS_AT_ONCE = 16_000, 240_000  # bytes
 ROW = 5  # choices of a byte that are kept side by side
@@ -403,7 +407,7 @@ def _lower(column: pa.Array | pa.ChunkedArray) -> list[bytes]:
 def score(docs: DataFrame, train, model: Model = Model(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_tokens, n_known, train_tokens, base_score, bits, n_bytes, score). train: a function of the id's column."""
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
-    rows = rows.withColumn("train", F.coalesce(train(F.col("doc_id")), F.lit(True)))
+    rows = rows.withColumn("train", F.coalesce(train(F.col("doc_id")), F.lit(True))).withColumn("hash", F.xxhash64("doc_id", "t"))
     kind = dict(rows.dtypes)["doc_id"]
 
     def census(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -415,32 +419,53 @@ def score(docs: DataFrame, train, model: Model = Model(), id_col: str = "doc_id"
                     of_train += 1
                     seen += np.bincount(np.frombuffer(t, np.uint8), minlength=256)
         seen[END] += of_train
-        yield pa.RecordBatch.from_arrays([pa.array(range(258), pa.int32()), pa.array([*seen.tolist(), octets, ceil(octets / BUCKET_BYTES)], pa.int64())], names=["byte", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(range(257), pa.int32()), pa.array([*seen.tolist(), octets], pa.int64())], names=["byte", "n"])
 
-    counts = np.zeros(258, np.int64)
-    for r in rows.select("t", "train").mapInArrow(census, "byte int, n long").groupBy("byte").agg(F.sum("n").alias("n")).collect():  # 258 rows
+    counts = np.zeros(257, np.int64)
+    for r in rows.select("t", "train").mapInArrow(census, "byte int, n long").groupBy("byte").agg(F.sum("n").alias("n")).collect():  # 257 rows
         counts[r["byte"]] = r["n"]
     code = prefix_code(counts[:256])
     context_bits = min(56, max(40, int(counts[256]).bit_length() + 10))
     contexts = Contexts(code, context_bits)
-    tree, groups = X.Tree(int(counts[257]), [Tokens(), contexts]), ceil(counts[257] / CELL_BUCKETS) or 1
-
-    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Each bucket's texts, packed; its distinct tokens and pairs with their training counts; its choices for the starting weights."""
-        for bucket, left in X.bucketed(batches, "t", BUCKET_BYTES):
-            use = np.asarray(left.column("train"))
-            stream = Stream(_lower(left.column("t")), code, model, context_bits)
-            word, at, doc = stream.tokens()
-            n = np.bincount(at[use[doc]], minlength=len(word))
-            order = np.argsort(word)
-            out = [tree.keep(bucket, [X.freeze(left)]), *tree.send(bucket, 0, [word[order]], [n[order]])]
-            trained = np.repeat(use, stream.size)
-            keys, n, place = stream.together(trained)
-            out += tree.send(bucket, 1, [keys], [n])
-            cell = cells(stream, Odds(stream, place, contexts.lengths([keys]), contexts.top([keys], [n])[0], model, 1), trained)
-            some = np.flatnonzero(cell)
-            out.append(tree.keep(tree.number(bucket) % groups, [X.pack_sorted(some.astype(U)), X.pack(cell[some])], 1))
-            yield from X.table(out, X.UP).to_batches()
+    buckets = ceil(counts[256] / BUCKET_BYTES) or 1
+    tree, groups = X.Tree(buckets, [Tokens(), contexts]), ceil(buckets / CELL_BUCKETS)
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows as packed pieces, one for each bucket that some of them go to."""
+        for piece, t in X.bucketed(batches, "t", DEALT_BYTES):
+            h = t.column("hash").to_numpy().view(U)
+            _, first = np.unique(h, return_index=True)
+            again = np.ones(len(h), bool)
+            again[first] = False
+            place = np.flatnonzero(again).astype(U) + (U(piece * 0x9E3779B97F4A7C15 % 2**64) if piece else U(0))
+            h = h.copy()
+            h[again] = mix(h[again] ^ mix(place, 1), 2)
+            bucket = (h % U(buckets)).astype(np.int64)
+            order = np.argsort(bucket, kind="stable")
+            t, bucket = t.drop_columns(["hash"]).take(order), bucket[order]
+            edges = np.append(np.flatnonzero(np.diff(bucket, prepend=-1)), len(bucket))
+            for a, b in zip(edges[:-1], edges[1:]):
+                yield pa.RecordBatch.from_arrays([pa.array([bucket[a]]), pa.array([X.freeze(t.slice(a, b - a))], pa.binary())], names=["child", "rows"])
+
+    def thawed(pieces: pa.Table) -> pa.Table:
+        return pa.concat_tables([X.thaw(p.as_py()) for p in pieces.column("rows")])
+
+    def gather(pieces: pa.Table) -> pa.Table:
+        """A bucket's distinct tokens and pairs with their training counts; its choices for the starting weights."""
+        bucket, left = pieces.column("child")[0].as_py(), thawed(pieces)
+        use = left.column("train").to_numpy()
+        stream = Stream(_lower(left.column("t")), code, model, context_bits)
+        word, at, doc = stream.tokens()
+        n = np.bincount(at[use[doc]], minlength=len(word))
+        order = np.argsort(word)
+        out = tree.send(bucket, 0, [word[order]], [n[order]])
+        trained = np.repeat(use, stream.size)
+        keys, n, place = stream.together(trained)
+        out += tree.send(bucket, 1, [keys], [n])
+        cell = cells(stream, Odds(stream, place, contexts.lengths([keys]), contexts.top([keys], [n])[0], model, 1), trained)
+        some = np.flatnonzero(cell)
+        out.append(tree.keep(tree.number(bucket) % groups, [X.pack_sorted(some.astype(U)), X.pack(cell[some])], 1))
+        return X.table(out, X.UP)
 
     def add(t: pa.Table) -> pa.Table:
         """The cells of some buckets."""
@@ -453,15 +478,15 @@ def score(docs: DataFrame, train, model: Model = Model(), id_col: str = "doc_id"
     def solve(t: pa.Table) -> pa.Table:
         return pa.table({"w": pa.array([fit(np.asarray(t.column("cell")), np.asarray(t.column("n")), len(model.orders)).tobytes()], pa.binary())})
 
-    # one shuffle serves the answers and the cells; there are at most as many sums as the model has cells, and one row of weights
-    sent = rows.mapInArrow(gather, X.UP)
+    # one shuffle of the texts serves both readings, one of what buckets send the answers and the cells; there are at most as many sums as
+    # the model has cells, and one row of weights
+    dealt = rows.mapInArrow(deal, "child long, rows binary")
+    sent = dealt.groupBy("child").applyInArrow(gather, X.UP)
     weights = sent.groupBy("to").applyInArrow(add, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).withColumn("all", F.lit(0)).groupBy("all").applyInArrow(solve, "w binary")
     schema = f"doc_id {kind}, n_tokens long, n_known long, train_tokens long, base_score double, bits double, n_bytes long"
 
-    def apply(left: pa.Table, said: pa.Table) -> pa.Table:
-        if not said.num_rows:  # a node, or cells
-            return pa.table({})
-        left = X.thaw(X.kept(left)[0][0])
+    def apply(pieces: pa.Table, said: pa.Table) -> pa.Table:
+        left = thawed(pieces)
         weights = np.frombuffer(next(w for w in said.column("w").to_pylist() if w)).reshape(GATES, -1)
         texts = _lower(left.column("t"))
         stream = Stream(texts, code, model, context_bits)
@@ -486,9 +511,9 @@ def score(docs: DataFrame, train, model: Model = Model(), id_col: str = "doc_id"
             }
         )
 
-    said = X.of_buckets(tree.totals(sent)).join(F.broadcast(weights), F.lit(True))
+    said = tree.totals(sent).join(F.broadcast(weights), F.lit(True))
     said = said.withColumn("w", F.when(F.col("at") == 0, F.col("w")))
-    out = sent.groupBy("to").cogroup(said.groupBy("to")).applyInArrow(apply, schema)
+    out = dealt.groupBy("child").cogroup(said.groupBy("child")).applyInArrow(apply, schema)
     return out.withColumn("score", F.col("bits") * (-log(2) / log(10)))
 
 

@@ -6,6 +6,7 @@ from math import exp, isclose, log, log10, log1p
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from skein.llm import context_mixing as cm
 from skein.llm import exchange
@@ -114,6 +115,38 @@ def test_scores_equal_the_choices_one_by_one(block):
     assert np.allclose(got, [brute.bits(t) for t in texts[15:]], rtol=1e-4)
 
 
+def test_a_table_scores_as_the_choices_one_by_one(spark, monkeypatch):
+    """From rows through buckets, both levels of the tree and back; only the starting weights are given."""
+    texts, weights = corpus(), np.random.default_rng(8).uniform(0.1, 0.8, (cm.GATES, 3))
+
+    def given(cell, n, orders):
+        return weights
+
+    monkeypatch.setattr(cm, "BUCKET_BYTES", 300)
+    monkeypatch.setattr(exchange, "FAN_BITS", 2)
+    monkeypatch.setattr(cm, "fit", given)
+    rows = spark.createDataFrame([(i, t.decode()) for i, t in enumerate(texts)], "doc_id long, text string").repartition(3)
+    got = {r.doc_id: r.bits for r in cm.score(rows, lambda key: key < 15).collect()}
+    brute = Brute(texts[:15], weights, cm.Model())
+    assert len(got) == len(texts) and all(isclose(got[i], brute.bits(t), rel_tol=1e-4) for i, t in enumerate(texts))
+
+
+def test_scores_do_not_follow_partitions(docs, monkeypatch):
+    monkeypatch.setattr(cm, "BUCKET_BYTES", 60_000)
+    rows = docs.dropDuplicates(["doc_id", "text"])
+    scores = [sorted(cm.digest(rows.repartition(n)).select(F.xxhash64("doc_id", "n_tokens"), "base_score", "score").collect()) for n in (1, 2, 24, 100)]
+    assert len(scores[0]) == rows.count()
+    for other in scores[1:]:
+        assert all(a[0] == b[0] and a[1:] == pytest.approx(b[1:], rel=1e-9) for a, b in zip(scores[0], other))
+
+
+def test_a_row_counts_as_often_as_it_stands(spark, monkeypatch):
+    monkeypatch.setattr(cm, "BUCKET_BYTES", 1_000)
+    rows = spark.range(2_000).select(F.lit(1).alias("doc_id"), F.lit("one more time").alias("text"))
+    out = cm.score(rows, lambda key: key > 0).groupBy("score", "n_known", "train_tokens").count().collect()
+    assert [(r.n_known, r.train_tokens, r["count"]) for r in out] == [(4, 8_000, 2_000)]
+
+
 def test_chances_of_all_that_may_follow_sum_to_one():
     texts, model = corpus(), cm.Model()
     weights = np.random.default_rng(6).uniform(0.1, 0.8, (cm.GATES, 3))
