@@ -65,7 +65,7 @@ class Brute:
                 both = sum(n for b, n in c.items() if b == byte or self.code.shared[place[b], place[byte]] >= depth)
                 same, other = self.coded(same), self.coded(both - same)
                 x.append(log((same + self.model.prior) / (other + self.model.prior)))
-                gate = min(depth, cm.ROW) * (len(cm.SEEN) + 1) + sum(same + other >= s for s in cm.SEEN)
+                gate = min(depth, cm.DEPTHS) * (len(cm.SEEN) + 1) + sum(same + other >= s for s in cm.SEEN)
             yield gate, x
 
     def coded(self, n):
