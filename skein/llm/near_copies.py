@@ -1,11 +1,16 @@
-"""Near copies: an exact join of documents on the Jaccard similarity of their word shingles.
+"""Near copies: documents whose sets of word shingles have a Jaccard similarity of `like` or more, by SimHash and an exact completion.
+
+Every set has a SimHash fingerprint of its shingles. Those that differ in at most `reach` bits are found by the hierarchical index in Gray
+order (simhash.links), and the pairs that it gives are held against the whole sets: those at or above `like` are the first links. Of sets at
+0.8 the fingerprints differ in about ten of 64 bits, and no index within some bits finds all of them, so what the fingerprints leave apart is
+completed exactly, by a prefix filter, among sets that are not in one component yet.
 
 All shingles have one global order: seldom ones first, by a sketch of their counts, then by hash. Two sets can have similarity `like` only
 if their first `n - ceil(like * n) + 1` shingles in that order have one in common (prefix filter), so those are sent, packed, to shards.
 At the first that two sets have in common, what is left in both must make up the overlap (positional filter).
 The sketch only decides the order: results are the same under any. The sets that share a shingle are a group, in the order of their names,
-which are hashes. Its first set, the hub, is compared with all others; while many pairs are in different components, the next few, four times
-as many each turn, with all behind them that are not in their component; what is then left in several components is compared pair by pair.
+which are hashes. While many pairs are in different components, its first set, the hub, is compared with all others outside its component;
+then the next few, four times as many each turn, with all behind them; what is then left in several components is compared pair by pair.
 No pair is compared twice in a group. Every comparison counts the whole sets, so each pair at or above `like` ends in one component, and no
 pair below it is a link. Sets are of 64-bit hashes.
 
@@ -25,8 +30,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skein.llm.exchange import pack, unpack
-from skein.llm.simhash import components
+from skein.llm.exchange import bucketed, freeze, pack, thaw, unpack
+from skein.llm.simhash import components, links, majority
 from skein.llm.substring import WINDOW_BASES, mix, word_hashes
 from skein.llm.tables import Scratch, cut, join_hot, one_of_each
 
@@ -35,8 +40,10 @@ CELL_BITS, RANGES, FAN_IN = 21, 32, 32
 PIECE = 2_000_000  # bytes hashed at once
 HELD = 1_000_000  # places sent at once
 SHARD_BYTES = 24_000_000
+DEALT_BYTES, TEXT_BYTES, WORD_BYTES = 32_000_000, 48_000_000, 8  # of a partition dealt at once; of a shard of texts; of a word, about
 PAIRS_AT_ONCE = 1_000_000
 PAIRS_A_ROW, MORE_HUBS = 1, 4
+BITS = 26  # 8 MB at most
 
 
 def _pieces(column: pa.Array) -> Iterator[tuple[int, list[bytes]]]:
@@ -108,15 +115,68 @@ def commonness(texts: DataFrame, width: int) -> tuple[np.ndarray, int]:
 
 
 def _names(rows: DataFrame, width: int) -> DataFrame:
-    """(doc_id, node): the name of the set of each row of rows (doc_id, t)."""
+    """(doc_id, node, fp, text): the name and the fingerprint of the set of each row of rows (doc_id, t), and a hash of its text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for first, texts in _pieces(b.column(1)):
-                node = _nodes(*shingles(texts, width))
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(first, len(node)), pa.array(node)], names=["doc_id", "node"])
+                h, n = shingles(texts, width)
+                columns = [b.column(0).slice(first, len(n)), pa.array(_nodes(h, n)), pa.array(majority(h, n).view(np.int64)), b.column(2).slice(first, len(n))]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "node", "fp", "text"])
+
+    return rows.withColumn("text", F.xxhash64("t")).mapInArrow(run, f"doc_id {dict(rows.dtypes)['doc_id']}, node long, fp long, text long")
+
+
+def fingerprint_pairs(named: DataFrame, reach: int) -> DataFrame:
+    """(a, b): pairs of sets, of named (node, fp), that span the components of fingerprints which differ in at most `reach` bits."""
+    heads = cut(named.groupBy("fp").agg(F.min("node").alias("head")))
+    of = lambda end: heads.select(F.col("fp").alias(f"fp_{end}"), F.col("head").alias(end))
+    near = links(heads.select("fp"), reach).withColumnsRenamed({"a": "fp_a", "b": "fp_b"}).join(of("a"), "fp_a").join(of("b"), "fp_b").select("a", "b")
+    same = named.join(heads, "fp").where("node <> head").select(F.col("head").alias("a"), F.col("node").alias("b"))
+    return near.union(same)
+
+
+def _sets(rows: DataFrame, wanted: DataFrame, width: int, shards: int) -> DataFrame:
+    """(node, h): the sets of wanted (node, text), each from one of the rows (t) with that hash of the text."""
+    shard = lambda c: F.pmod(F.col(c), F.lit(shards)).cast("int").alias("shard")
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Texts as packed pieces, one for each shard that some of them go to; equal ones of a piece of a partition once."""
+        for _, t in bucketed(batches, "t", DEALT_BYTES):
+            t = t.take(np.unique(t.column("text").to_numpy(), return_index=True)[1])
+            to = t.column("shard").to_numpy()
+            order = np.argsort(to, kind="stable")
+            t, to = t.drop_columns(["shard"]).take(order), to[order]
+            edges = np.append(np.flatnonzero(np.diff(to, prepend=-1)), len(to))
+            for a, b in zip(edges[:-1], edges[1:]):
+                yield pa.RecordBatch.from_arrays([pa.array(to[a : a + 1]), pa.array([freeze(t.slice(a, b - a))], pa.binary())], names=["shard", "rows"])
+
+    def build(pieces: pa.Table, wanted: pa.Table) -> pa.Table:
+        want, found, nodes, parts = wanted.column("text").to_numpy(), set(), [], []
+        for p in pieces.column("rows") if len(want) else []:
+            t = thaw(p.as_py())
+            hashes = t.column("text").to_numpy()
+            new = np.flatnonzero(np.isin(hashes, want) & ~np.isin(hashes, np.fromiter(found, np.int64, len(found))))
+            found.update(hashes[new].tolist())
+            for _, texts in _pieces(t.column("t").take(new).combine_chunks()):
+                h, n = shingles(texts, width)
+                nodes.append(_nodes(h, n))
+                parts.append(pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32)), pa.array(h.view(np.int64))))
+        node = np.concatenate([*nodes, np.empty(0, np.int64)])
+        return pa.table({"node": node, "h": pa.chunked_array(parts, pa.list_(pa.int64()))})
+
+    dealt = rows.select("t", F.xxhash64("t").alias("text")).select("t", "text", shard("text")).mapInArrow(deal, "shard int, rows binary")
+    return dealt.groupBy("shard").cogroup(wanted.select("node", "text", shard("text")).groupBy("shard")).applyInArrow(build, "node long, h array<long>")
 
-    return rows.mapInArrow(run, f"doc_id {dict(rows.dtypes)['doc_id']}, node long")
+
+def _those_of(sets: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The sets whose bit of a map of BITS is that of an end of pairs (a, b): all that the pairs need, and few others."""
+    bit = F.pmod(F.col("node"), F.lit(1 << BITS)) + 1
+    at = pairs.select(F.explode(F.array("a", "b")).alias("node")).select(F.bitmap_bucket_number(bit).alias("bucket"), F.bitmap_bit_position(bit).alias("spot"))
+    maps = at.groupBy("bucket").agg(F.bitmap_construct_agg("spot").alias("map"))
+    octet = F.conv(F.hex(F.expr("substring(map, cast(spot div 8 as int) + 1, 1)")), 16, 10).cast("int")
+    named = sets.select("*", F.bitmap_bucket_number(bit).alias("bucket"), F.bitmap_bit_position(bit).alias("spot"))
+    return named.join(F.broadcast(maps), "bucket").where(octet.bitwiseAND(F.expr("shiftleft(1, cast(spot % 8 as int))")) != 0).select(*sets.columns)
 
 
 def _prefixes(texts: DataFrame, width: int, like: float, common: np.ndarray, shard_bits: int) -> DataFrame:
@@ -215,59 +275,53 @@ def _across(low: int, high: float):
     return run
 
 
-def near_copies(docs: DataFrame, like: float = 0.8, width: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, component_id), one row per input row with an id."""
+def near_copies(docs: DataFrame, like: float = 0.8, width: int = 5, id_col: str = "doc_id", text_col: str = "text", reach: int = 4) -> DataFrame:
+    """(doc_id, component_id), one row per input row with an id. reach: bits in which fingerprints may differ to be a candidate."""
     rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("t"))
     kind = dict(rows.dtypes)["doc_id"]
     common, total = commonness(rows.select("t"), width)
     shard_bits = max(4, ceil(np.log2(max(1.0, total * (1 - like) * 16 / SHARD_BYTES))))
     names = cut(_names(rows, width))
+    # sets are named after their smallest document in the end, so that a component's root names it
+    lows = cut(names.groupBy("node").agg(F.min("doc_id").alias("low"), F.count("*").alias("n"), F.min("fp").alias("fp"), F.min("text").alias("text")))
     prefixes = _prefixes(rows.select("t"), width, like, common, shard_bits)
     shared = cut(prefixes.groupBy("shard").applyInArrow(lambda t: _groups(t, like), "shard int, sig long, node long, n long, cap long, place long"))
 
-    # the sets of those that share something, from one document each
-    leads = names.join(shared.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
+    # the sets of those that share a shingle of their prefixes: no others can be alike
+    wanted = lows.join(shared.select("node").distinct(), "node", "left_semi")
+    sets = cut(_sets(rows, wanted, width, max(16, ceil(total * WORD_BYTES / TEXT_BYTES))))
 
-    def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for first, texts in _pieces(b.column(1)):
-                h, n = shingles(texts, width)
-                node = _nodes(h, n)
-                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32)), pa.array(h.view(np.int64)))
-                right = pa.array(node == b.column(0).slice(first, len(n)).to_numpy())  # an id may have several texts
-                yield pa.RecordBatch.from_arrays([pa.array(node), lists], names=["node", "h"]).filter(right)
-
-    sets = cut(rows.join(leads, "doc_id").dropDuplicates(["doc_id", "node", "t"]).select("node", "t").mapInArrow(sets_of, "node long, h array<long>"))
+    scratch = Scratch(docs.sparkSession)
 
-    def alike(pairs: DataFrame) -> DataFrame:
-        both = pairs.join(sets.select(F.col("node").alias("a"), F.col("h").alias("h_a")), "a").join(sets.select(F.col("node").alias("b"), F.col("h").alias("h_b")), "b")
+    def alike(name: str, pairs: DataFrame) -> DataFrame:
+        pairs = scratch.put(f"pairs-{name}", pairs)
+        some = _those_of(sets, pairs)
+        both = pairs.join(some.select(F.col("node").alias("a"), F.col("h").alias("h_a")), "a").join(some.select(F.col("node").alias("b"), F.col("h").alias("h_b")), "b")
         both = both.select("a", "b", F.size(F.array_intersect("h_a", "h_b")).alias("n"), (F.size("h_a") + F.size("h_b")).alias("total"))
         return both.where(F.col("n") >= F.lit(like) * (F.col("total") - F.col("n")) - 1e-9).select("a", "b")
 
     def across(rooted: DataFrame, low: int, high: float) -> DataFrame:
-        return alike(rooted.where(F.col("place") >= low).groupBy("shard").applyInArrow(_across(low, high), "a long, b long").distinct())
+        return alike(f"{low}", rooted.where(F.col("place") >= low).groupBy("shard").applyInArrow(_across(low, high), "a long, b long").distinct())
 
-    # links from each set to its component's root stand for all that earlier turns found
-    scratch, turn, low, high, rows_ = Scratch(docs.sparkSession), 0, 0, 1, shared.count()
-    rooted, stars = shared.withColumn("root", F.col("node")), None
+    # links from each set to its component's root stand for all that earlier turns found; the first turn is the fingerprints'
+    turn, low, high, rows_ = 0, 0, 1, shared.count()
+    more, stars = alike("fp", fingerprint_pairs(lows.select("node", "fp"), reach)), None
     while True:
-        more = across(rooted, low, high)
         found = scratch.put(f"stars-{turn}", components(stars.union(more) if turn else more))
         stars = found.select(F.col("node").alias("a"), F.col("root").alias("b"))
         rooted = shared.join(found.withColumnRenamed("root", "_root"), "node", "left").select("shard", "sig", "node", "n", "cap", "place", F.coalesce("_root", "node").alias("root"))
         rooted = scratch.put(f"rooted-{turn}", rooted)
         if turn:
             scratch.drop(f"stars-{turn - 1}", f"rooted-{turn - 1}")
-        turn, low, high = turn + 1, high, high * MORE_HUBS
         # pairs that are not compared yet and not in one component; while they are many, more hubs bring components together
         own = rooted.where(F.col("place") >= low).groupBy("sig", "root").count()
         own = own.groupBy("sig").agg(F.sum("count").alias("n"), F.sum(F.col("count") * F.col("count")).alias("inner"))
         apart = own.agg(F.sum((F.col("n") * F.col("n") - F.col("inner")) / 2)).first()[0]
         if not apart or apart <= PAIRS_A_ROW * rows_:
             break
+        more = across(rooted, low, high)
+        turn, low, high = turn + 1, high, high * MORE_HUBS
     more = across(rooted, low, float("inf"))
-    # sets are named after their smallest document, so that a component's root names it
-    lows = cut(names.groupBy("node").agg(F.min("doc_id").alias("low"), F.count("*").alias("n")))
     named = lambda end: lows.select(F.col("node").alias(end), F.struct("low", "node").alias(f"{end}_named"))
     edges = stars.union(more).join(named("a"), "a").join(named("b"), "b").select(F.col("a_named").alias("a"), F.col("b_named").alias("b"))
     found = components(edges).select(F.col("node.node").alias("node"), F.col("root.low").alias("component_id"))

@@ -48,6 +48,21 @@ def fingerprint(text: str, width: int = 4, seed: int = 42) -> int:
     return int(np.packbits(ones * 2 > n, bitorder="little").view("<u8")[0])
 
 
+def majority(h: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Fingerprints of many sets at once: of each run of n hashes (n: one number a set), the bits that are set in over half."""
+    some = np.flatnonzero(n)
+    pieces = -(-n[some] // 255)  # of so many hashes, whose bits are counted in bytes
+    first = np.cumsum(pieces) - pieces
+    start = np.repeat(np.cumsum(n[some]) - n[some], pieces) + 255 * (np.arange(pieces.sum()) - np.repeat(first, pieces))
+    ones = np.zeros((len(some), 64), np.int64)
+    for k in range(8 if len(some) else 0):
+        count = np.add.reduceat((h >> np.uint64(k)) & np.uint64(0x0101010101010101), start)
+        ones[:, k::8] = np.add.reduceat(count.astype("<u8").view(np.uint8).reshape(-1, 8).astype(np.int64), first)
+    out = np.zeros(len(n), np.uint64)
+    out[some] = np.packbits(ones * 2 > n[some][:, None], axis=1, bitorder="little").view("<u8").ravel()
+    return out
+
+
 def fingerprints(docs: DataFrame, width: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, fp long), one row per input row."""
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))

@@ -3,6 +3,7 @@
 import random
 from itertools import combinations
 
+import numpy as np
 import pytest
 
 import corpus_pipeline
@@ -73,3 +74,38 @@ def test_whole_table(spark, docs, none):
     assert got == groups([(r.doc_id, r.text) for r in raw.select("doc_id", "text").collect()])
     assert near_copies.keep_one(docs).where("doc_id is null").count() == 1
     assert near_copies.keep_one(none).count() == 0
+
+
+def test_fingerprints_come_first(spark, monkeypatch):
+    """SimHash proposes: its pairs span the fingerprints' components; the exact completion then changes no result."""
+    rows, reach = made(), 4
+    h, n = near_copies.shingles([(t or "").lower().encode() for _, t in rows], 5)
+    node, ends = near_copies._nodes(h, n).tolist(), np.cumsum(n)
+    fp = {}
+    for k, name in enumerate(node):
+        own = h[ends[k] - n[k] : ends[k]].tolist()
+        fp[name] = sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in own) > len(own))
+    assert simhash.majority(h, n).tolist() == [fp[x] for x in node]
+    many = np.arange(1, 1001, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    assert simhash.majority(many, np.array([0, 1000, 0]))[1] == sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in many.tolist()) > 1000)
+
+    def spanned(pairs):
+        up = {x: x for x in fp}
+
+        def top(x):
+            while up[x] != x:
+                x = up[x]
+            return x
+
+        for a, b in pairs:
+            up[max(top(a), top(b))] = min(top(a), top(b))
+        return {x: top(x) for x in fp}
+
+    table = spark.createDataFrame([(x, int(np.uint64(f).astype(np.int64))) for x, f in fp.items()], "node long, fp long")
+    found = [(r.a, r.b) for r in near_copies.fingerprint_pairs(table, reach).collect()]
+    assert spanned(found) == spanned((a, b) for a, b in combinations(fp, 2) if (fp[a] ^ fp[b]).bit_count() <= reach) and len(found) < len(fp)
+
+    asked, whole = [], near_copies.fingerprint_pairs
+    monkeypatch.setattr(near_copies, "fingerprint_pairs", lambda *a: asked.append(a) or whole(*a))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id: r.component_id for r in near_copies.near_copies(docs).collect()} == groups(rows) and len(asked) == 1
