@@ -44,11 +44,11 @@ WORD = 32  # bytes of a word that are read at once
 BUCKET_BYTES = 4_000_000
 DEALT_BYTES = 32_000_000  # of a partition that are dealt to buckets at once
 CELL_BUCKETS = 64  # whose cells meet in one task
-AT_ONCE, CELLS_AT_ONCE = 24_000, 240_000  # bytes
+AT_ONCE, CELLS_AT_ONCE, PIECES_AT_ONCE = 8_000, 1_000_000, 50_000  # bytes, choices, words or pieces of them
 DEPTHS = 5  # choices of a byte with gates of their own
-ROW = 4  # that are kept side by side: rows of 16 bytes are the fastest to look up
 SEEN = np.array([1, 2, 4, 16, 256])  # a gate for each range of counts
 GATES = (DEPTHS + 1) * (len(SEEN) + 1)
+LOW = np.array([(1 << 8 * k) - 1 for k in range(9)], U)  # the lowest bytes
 POWERS = np.cumprod(np.full(WORD, BYTE_BASE, U))
 _UP = [0.25, 0.5, 1, 1.5, 2, 2.5, 3, 4, 5, 6.5, 8]
 PREDICTIONS = np.array([*(-x for x in reversed(_UP)), 0, *_UP])  # as which they count for the starting weights
@@ -121,87 +121,175 @@ COUNT_OF = np.concatenate([np.arange(16.0), 16 * 2 ** ((np.arange(240) + 0.5) /
 
 
 def find(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(distinct keys, the place of each key among them)."""
-    d = pa.array(key).dictionary_encode()
-    return d.dictionary.to_numpy(), d.indices.to_numpy()
+    """(distinct keys as they come, the place of each key among them): hashes of the keys are sorted with their places as the lowest bits."""
+    n = len(key)
+    low = U((1 << n.bit_length()) - 1)
+    order = mix(key) & ~low | np.arange(n, dtype=U)
+    order.sort()
+    at = (order & low).astype(np.int64)
+    own = key.take(at)
+    new = np.ones(n, bool)
+    new[1:] = own[1:] != own[:-1]
+    heads = np.flatnonzero(new)
+    if np.count_nonzero((order[1:] ^ order[:-1]) > low) + 1 != len(heads):  # none at all, or two hashes that differ in the lowest bits alone
+        d = pa.array(key).dictionary_encode()
+        return d.dictionary.to_numpy(), d.indices.to_numpy()
+    lead = at[heads]
+    first = np.zeros(n, bool)
+    first[lead] = True
+    rank = np.cumsum(first, dtype=np.int32) - np.int32(1)
+    which = np.empty(n, np.int32)
+    which[at] = np.repeat(rank[lead], np.diff(heads, append=n))
+    return key[first], which
+
+
+def leads(which: np.ndarray, n: int) -> np.ndarray:
+    """The first place of each of n."""
+    out = np.zeros(n, np.int64)
+    out[which[::-1]] = np.arange(len(which))[::-1]
+    return out
 
 
 class Stream:
-    """Texts (lower-cased bytes), each with its end, as one run of bytes; per order, the distinct keys (context, byte) and each byte's."""
+    """Texts (lower-cased bytes), each with its end, as one run of bytes. Bytes that agree in the contexts of all orders are one kind; per
+    order, `keys` has the distinct keys (context, byte) and `entry` each kind's."""
 
     def __init__(self, texts: list[bytes], code: Code, model: Model, context_bits: int):
-        self.padded = np.frombuffer(bytes(8) + bytes([END]).join([*texts, b""]), np.uint8)
-        self.buf = self.padded[8:]
+        padded = bytes(8) + bytes([END]).join([*texts, b""]) + bytes(WORD)
+        self.padded, self.gap = np.frombuffer(padded, np.uint8), np.frombuffer(padded.translate(GAP.tobytes()), bool)[8:-WORD]
+        self.buf = self.padded[8:-WORD]
+        # the eight bytes from each place less 8 on, the first as the lowest
+        self.eight = np.ndarray((len(self.buf) + WORD,), "<u8", self.padded.data, 0, (1,))
         self.size = np.fromiter(map(len, texts), np.int64, len(texts)) + 1
         self.first = np.cumsum(self.size) - self.size
         self.code, self.model, self.shift = code, model, U(64 - context_bits)
-        self.more = np.maximum(code.length - ROW, 0).astype(np.uint8).take(self.buf)  # choices behind the row
         self._words()
-        found = [self._front(k) if k else self._word() for k in model.orders]
-        self.keys, self.entry = [f[0] for f in found], [f[1] for f in found]
+        self._kinds()
 
     def _key(self, context: np.ndarray, order: int, byte: np.ndarray) -> np.ndarray:
         return mix(context, order) >> self.shift << U(8) | self.code.place[byte].astype(U)
 
-    def _front(self, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """The k (up to 7) bytes in front, none across the text's start."""
-        n = len(self.buf)
-        eight = np.ndarray((n,), "<u8", self.padded.data, 1, (1,))  # each byte, as the highest, with the seven in front of it
-        seen = eight >> U(8 * (7 - k))
-        for t in range(k):
-            seen[(self.first + t)[self.size > t]] &= U(2**64 - (1 << 8 * (k - t)))
-        own, entry = find(seen.astype(np.uint32) if k < 4 else seen)
-        own = own.astype(U)
-        return self._key(own & U((1 << 8 * k) - 1), k, (own >> U(8 * k)).astype(np.int64)), entry
-
     def _words(self) -> None:
-        """Words with the byte behind them, long ones in pieces: where they start, their sizes, and which are later pieces."""
+        """Words with the byte behind them, long ones in pieces: where they start, their sizes, and which are later pieces. Equal pieces are
+        one spelling; for each byte of those, which of the distinct (all bytes of the word so far) it is."""
         n = len(self.buf)
-        self.word = np.concatenate([np.zeros(1, np.int64), np.flatnonzero(GAP[self.buf[:-1]]) + 1])
+        self.word = np.concatenate([np.zeros(1, np.int64), np.flatnonzero(self.gap[:-1]) + 1])
         size = np.diff(self.word, append=n)
         pieces = -(-size // WORD)
         place = np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces)
         self.piece = np.repeat(self.word, pieces) + place * WORD
         self.piece_size, self.later = np.diff(self.piece, append=n), place > 0
-        away = np.arange(n, dtype=np.int32) - np.repeat(self.piece.astype(np.int32), self.piece_size)
-        self.hash = np.add.reduceat((self.buf + U(1)) * POWERS.take(away), self.piece)
+        h = mix(self.eight[self.piece + 8] & LOW.take(self.piece_size, mode="clip"), 9)
+        for k in range(8, WORD, 8):
+            some = np.flatnonzero(self.piece_size > k)
+            h[some] = mix(h[some] ^ (self.eight[self.piece[some] + (k + 8)] & LOW.take(self.piece_size[some] - k, mode="clip")), k)
+        self.hash = h & ~U(127) | (self.piece_size << 1 | self.later).astype(U)
+        spellings, self.spelling = find(self.hash)
+        lead = leads(self.spelling, len(spellings))
+        length, later, start = self.piece_size[lead], self.later[lead], self.piece[lead]
+        self.begin = np.cumsum(length) - length
+        away = np.arange(length.sum()) - np.repeat(self.begin, length)
+        byte = self.buf[away + np.repeat(start, length)]
+        total = np.concatenate([np.zeros(1, U), np.cumsum((byte + U(1)) * POWERS.take(away))])
+        context = total[:-1] - np.repeat(total[self.begin], length) + np.repeat(later, length)
+        last = self.begin + length - 1
+        # of words that are whole in a piece, without the byte behind
+        self.whole = ~later & GAP[byte[last]] & (length > 1)
+        self.token = mix(context[last] + (length - 1).astype(U))
+        so_far, self.so_far = find(mix(context, 0) & ~U(255) | self.code.place[byte].astype(U))
+        lead = leads(self.so_far, len(so_far))
+        self.so_far_away, self.so_far_at = away[lead], (away + np.repeat(start, length))[lead]
+        # the fewer bits of a key hardly ever bring two of them together
+        self.word_keys, self.word_key = so_far >> self.shift << U(8) | so_far & U(255), np.arange(len(so_far))
+        if not np.diff(np.sort(self.word_keys)).all():
+            self.word_keys, self.word_key = find(self.word_keys)
+
+    def _kinds(self) -> None:
+        """Beyond the first bytes of a piece, all bytes of the word so far tell the bytes in front; before, the piece's beginning and the bytes
+        in front of it do."""
+        k, n = max(1, *self.model.orders), len(self.buf)
+        size, start = np.minimum(self.piece_size, k), self.piece
+        ends = np.searchsorted(start, np.append(self.first, n))
+        front = start - np.repeat(self.first, np.diff(ends))
+        self.text = np.add.reduceat(mix(self.hash ^ front.astype(U)), ends[:-1])
+        front = np.minimum(front, k)  # bytes in front of a piece, none across the text's start
+        before = self.eight[start] >> U(8 * (8 - k)) & ~LOW[k - front]
+        h = mix(mix(before, 10) ^ (self.eight[start + 8] & LOW[size]), 11)
+        heads, head = find(h & ~U(31) | (size << 1 | self.later).astype(U))
+        lead = leads(head, len(heads))
+        length = size[lead]
+        begin = np.cumsum(length) - length
+        away = np.arange(length.sum()) - np.repeat(begin, length)
+        at = away + np.repeat(start[lead], length)
+        known = np.minimum(away + np.repeat(front[lead], length), k)
+        so_far = self.so_far[away + np.repeat(self.begin[self.spelling[lead]], length)]
+        self.tail = np.flatnonzero(self.so_far_away >= k)
+        # the k bytes in front, and the byte as the highest; with how many are known they tell the word so far, but for later pieces
+        seen = self.eight[at + 1] >> U(8 * (7 - k)) & ~LOW[k - known]
+        own, self.pair = find(seen ^ mix(np.where(np.repeat(self.later[lead], length), so_far + (k + 1), known).astype(U), 12))
+        lead = leads(self.pair, len(own))
+        seen = np.concatenate([seen[lead], self.eight[self.so_far_at[self.tail] + 1] >> U(8 * (7 - k))])
+        so_far = np.concatenate([so_far[lead], self.tail])
+        seen, which = find(seen)
+        self.head, self.head_size, self.head_begin, self.beyond = head, length, begin, k
+        self.keys, self.entry = [], []
+        for order in self.model.orders:
+            if order:
+                own, entry = find(seen >> U(8 * (k - order))) if order < k else (seen, np.arange(len(seen)))
+                self.keys.append(self._key(own & LOW[order], order, (own >> U(8 * order)).astype(np.int64)))
+                self.entry.append(entry.take(which))
+            else:
+                self.keys.append(self.word_keys)
+                self.entry.append(self.word_key.take(so_far))
+        self.many = self.code.length[(seen >> U(8 * k)).astype(np.int64)].take(which)  # choices of each kind
+
+    def kinds(self) -> np.ndarray:
+        """Each byte's kind. A piece is a run of its head's bytes and a run of its spelling's."""
+        of_tail = np.zeros(len(self.so_far_at), np.int32)
+        of_tail[self.tail] = np.arange(len(self.many) - len(self.tail), len(self.many))
+        kind = np.concatenate([self.pair, of_tail.take(self.so_far)])
+        out, to = np.empty(len(self.buf), np.int32), 0
+        for p in range(0, len(self.piece), PIECES_AT_ONCE):
+            own = slice(p, p + PIECES_AT_ONCE)
+            size = np.minimum(self.piece_size[own], self.beyond)
+            run = np.stack([self.head_begin.take(self.head[own]), len(self.pair) + self.begin.take(self.spelling[own]) + self.beyond], 1).ravel()
+            size = np.stack([size, self.piece_size[own] - size], 1).ravel()
+            ends = np.cumsum(size)
+            at = np.repeat(run - (ends - size), size)
+            at += np.arange(len(at))
+            kind.take(at, out=out[to : to + len(at)], mode="clip")
+            to += len(at)
+        return out
 
     def tokens(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(hashes of the distinct tokens, the token of each place, its text); every text's last is its end, with hash 0."""
         size = np.diff(self.word, append=len(self.buf)) - 1
-        short = size < WORD
-        h = np.empty(len(size), U)
-        whole = np.flatnonzero(~self.later)
-        # without the byte behind it
-        h[short] = mix(self.hash[whole] - (self.buf[self.word + size] + U(1)) * POWERS[np.minimum(size, WORD - 1)] + size.astype(U))[short]
-        for k in np.flatnonzero(~short):
+        spelling = self.spelling[~self.later]
+        doc = np.repeat(np.arange(len(self.first)), np.diff(np.searchsorted(self.word, np.append(self.first, len(self.buf)))))
+        h = [self.token[self.whole], np.zeros(1, U)]
+        at = (np.cumsum(self.whole) - 1)[spelling]
+        long = np.flatnonzero(size >= WORD)
+        if len(long):
             import xxhash
 
-            h[k] = xxhash.xxh64_intdigest(self.buf[self.word[k] : self.word[k] + size[k]].tobytes(), 1)
-        doc = np.searchsorted(self.first, self.word, "right") - 1
+            at[long] = self.whole.sum() + 1 + np.arange(len(long))
+            h.append(np.array([xxhash.xxh64_intdigest(self.buf[self.word[k] : self.word[k] + size[k]].tobytes(), 1) for k in long], U))
         some = size > 0
-        own, at = find(np.concatenate([h[some], np.zeros(len(self.first), U)]))
+        own, which = find(np.concatenate(h))
+        at = which[np.concatenate([at[some], np.full(len(self.first), self.whole.sum())])]
         return own, at, np.concatenate([doc[some], np.arange(len(self.first))])
 
-    def _word(self) -> tuple[np.ndarray, np.ndarray]:
-        """All bytes of the word so far. Each kind of word is worked out once."""
-        start, size, later = self.piece, self.piece_size, self.later
-        kinds, which = find(mix(self.hash + later, 9) & ~U(63) | size.astype(U))
-        lead = np.zeros(len(kinds), np.int64)
-        lead[which[::-1]] = np.arange(len(start))[::-1]
-        length = size[lead]
-        own = np.cumsum(length) - length
-        away = np.arange(length.sum()) - np.repeat(own, length)
-        byte = self.buf[away + np.repeat(start[lead], length)]
-        total = np.concatenate([np.zeros(1, U), np.cumsum((byte + U(1)) * POWERS.take(away))])
-        context = total[:-1] - np.repeat(total[own], length) + np.repeat(later[lead], length)
-        keys, entry = find(self._key(context, 0, byte))
-        return keys, entry.take(np.repeat((own[which] - start).astype(np.int32), size) + np.arange(len(self.buf), dtype=np.int32))
-
     def together(self, use: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(the keys of all orders in order, how many bytes in use have each, by order and key its place)."""
         keys = np.concatenate(self.keys)
-        count = np.concatenate([np.bincount(e[use], minlength=len(k)) for k, e in zip(self.keys, self.entry)])
+        use = use[self.piece]
+        heads = np.bincount(self.head[use], minlength=len(self.head_size))
+        n = np.bincount(self.pair, np.repeat(heads, self.head_size), len(self.many))
+        spellings = np.bincount(self.spelling[use], minlength=len(self.begin))
+        spellings = np.repeat(spellings, np.diff(self.begin, append=len(self.so_far)))
+        n[len(n) - len(self.tail) :] = np.bincount(self.so_far, spellings, len(self.so_far_at))[self.tail]
+        self.often = n  # how many bytes in use are of each kind
+        count = np.concatenate([np.bincount(e, n, len(k)) for k, e in zip(self.keys, self.entry)]).astype(np.int64)
         order = np.argsort(keys)
         place = np.empty(len(keys), np.int64)
         place[order] = np.arange(len(keys))
@@ -254,34 +342,26 @@ class Contexts(X.Scheme):
 
 
 class Odds:
-    """The log-odds of the choices that were made, and the gates of the last order, by key of the stream: a row of the first ROW choices of
-    each, and the rest of all paths in a run."""
+    """The log-odds of the choices of all kinds of bytes, one kind after the other, by order; their gates under the last order."""
 
     def __init__(self, stream: Stream, place: np.ndarray, many: np.ndarray, answers: np.ndarray, model: Model, own: int = 0):
         """answers: to the keys of all orders together, in order; many: choices of each. own: what each byte counts for itself; if it does,
         the odds come as places in PREDICTIONS."""
-        end = np.cumsum(many)
         taken, other = COUNT_OF[np.arange(1 << 16) >> 8], COUNT_OF[np.arange(1 << 16) & 255]
         taken, prior = np.maximum(taken - own, 0), np.float32(model.prior)
         odds = np.log((taken + prior) / (other + prior))
         if own:
             odds = np.searchsorted((PREDICTIONS[1:] + PREDICTIONS[:-1]) / 2, odds).astype(np.int32)
-        odds = np.append(odds.take(answers), odds[0])  # one more for choices that there are not
-        gate = np.append(np.searchsorted(SEEN, taken + other, "right").astype(np.int32).take(answers), np.int32(0))
-        ends = np.cumsum([0, *map(len, stream.keys)])
-        self.row, self.rest, self.begin = [], odds, []
-        for a, b in zip(ends[:-1], ends[1:]):
-            mine = place[a:b]
-            start, n = (end - many)[mine], many[mine]
-            spot = np.where(np.arange(ROW) < n[:, None], start[:, None] + np.arange(ROW), len(answers))
-            self.row.append(odds.take(spot))
-            self.begin.append(start + ROW)
-        depth = np.arange(ROW, dtype=np.int32) * (len(SEEN) + 1)
-        self.gate = np.where(spot < len(answers), gate.take(spot) + depth, GATES)
-        self.rest_gate = gate + DEPTHS * (len(SEEN) + 1)
-        for d in range(ROW, DEPTHS):
-            some = many > d
-            self.rest_gate[(end - many)[some] + d] -= (DEPTHS - d) * (len(SEEN) + 1)
+        gate = np.searchsorted(SEEN, taken + other, "right").astype(np.int32)
+        begin, ends = np.cumsum(many) - many, np.cumsum([0, *map(len, stream.keys)])
+        self.begin = np.cumsum(stream.many) - stream.many
+        depth = np.arange(stream.many.sum())
+        depth -= np.repeat(self.begin, stream.many)
+        self.odds = []
+        for a, b, entry in zip(ends[:-1], ends[1:], stream.entry):
+            said = answers.take(np.repeat(begin[place[a:b]].take(entry), stream.many) + depth)
+            self.odds.append(odds.take(said))
+        self.gate = gate.take(said) + np.minimum(depth, DEPTHS).astype(np.int32) * (len(SEEN) + 1)
 
 
 def edges(longest: int, model: Model) -> np.ndarray:
@@ -292,39 +372,18 @@ def edges(longest: int, model: Model) -> np.ndarray:
     return np.minimum(out, longest)
 
 
-def beyond(stream: Stream, odds: Odds, byte: np.ndarray, entry: list[np.ndarray]) -> tuple[list[np.ndarray], np.ndarray]:
-    """(per order, the places in odds.rest of the choices behind the rows; how many each byte has)."""
-    n = stream.more.take(byte)
-    some = np.flatnonzero(n)
-    m = n.take(some).astype(np.int64)
-    ends = np.cumsum(m)
-    count = np.arange(ends[-1] if len(ends) else 0)
-    return [np.repeat(s.take(e.take(some)) - (ends - m), m) + count for s, e in zip(odds.begin, entry)], n
-
-
-def cells(stream: Stream, odds: Odds, use: np.ndarray) -> np.ndarray:
+def cells(stream: Stream, odds: Odds) -> np.ndarray:
     """Choices of the bytes in use by gate and quantised predictions."""
-    orders = len(odds.row)
-    size = LEVELS**orders
-    row, rest = [*odds.row[:-1], odds.row[-1] + odds.gate * LEVELS], odds.rest  # the last order's comes with its gate
-    last = rest + odds.rest_gate * LEVELS
-    out = np.zeros((GATES + 1) * size, np.int64)
-    byte = np.flatnonzero(use)
-    for k in range(0, len(byte), CELLS_AT_ONCE):
-        cell = []
-        for p in range(k, min(len(byte), k + CELLS_AT_ONCE), AT_ONCE):
-            own = byte[p : p + AT_ONCE]
-            entry = [e.take(own) for e in stream.entry]
-            at, _ = beyond(stream, odds, own, entry)
-            for x in ([r.take(e, 0).ravel() for r, e in zip(row, entry)], [rest.take(a) for a in at[:-1]] + [last.take(at[-1])]):
-                one = x[-1]
-                for y in x[:-1]:
-                    one *= LEVELS
-                    one += y
-                cell.append(one)
-        if cell:
-            out += np.bincount(np.concatenate(cell), minlength=len(out))
-    return out[:-size]
+    out = np.zeros(GATES * LEVELS ** len(odds.odds))
+    n = np.repeat(stream.often, stream.many)
+    for k in range(0, len(n), CELLS_AT_ONCE):
+        own = slice(k, k + CELLS_AT_ONCE)
+        one = odds.gate[own] * LEVELS + odds.odds[-1][own]  # the last order's comes with its gate
+        for x in odds.odds[:-1]:
+            one *= LEVELS
+            one += x[own]
+        out += np.bincount(one, n[own], len(out))
+    return out.astype(np.int64)
 
 
 def fit(cell: np.ndarray, n: np.ndarray, orders: int, rounds: int = 30, ridge: float = 1.0) -> np.ndarray:
@@ -349,61 +408,55 @@ def fit(cell: np.ndarray, n: np.ndarray, orders: int, rounds: int = 30, ridge: f
 
 def costs(stream: Stream, odds: Odds, weights: np.ndarray, model: Model) -> np.ndarray:
     """Bits of each text."""
-    orders = range(len(odds.row))
-    w = np.append(weights.T, np.zeros((len(orders), 1)), 1).astype(np.float32)
-    row_w, rest_w = [w[i].take(odds.gate) for i in orders], [w[i].take(odds.rest_gate) for i in orders]
-    own_row = row_w[-1] * odds.row[-1]
-    own_row[odds.gate == GATES] = 60  # choices that there are not cost nothing
-    own_rest, row = rest_w[-1] * odds.rest, [*odds.row[:-1], own_row]
+    w, total = weights.T.astype(np.float32), len(odds.gate)
+    # a choice's odds by order, the last's weighted, and their sum under the starting weights, all with their signs turned; then choices that
+    # cost nothing and move nothing, with which the shorter of the texts that are read side by side are filled up
+    table = np.zeros((total + model.last_block * int(stream.code.length.max()), len(w) + 1), np.float32)
+    table[:total, -2] = table[:total, -1] = -w[-1].take(odds.gate) * odds.odds[-1]
+    for i, x in enumerate(odds.odds[:-1]):
+        table[:total, i] = -x
+        table[:total, -1] -= w[i].take(odds.gate) * x
+    table[total:, -1] = -60
+    kinds = stream.kinds()
+    runs = odds.begin << 8 | stream.many  # where a kind's choices begin, and how many they are
     out = np.zeros(len(stream.size))
-    by_length = np.argsort(-stream.size, kind="stable")
+    by_length = np.lexsort((stream.text, -stream.size))  # the texts of a bucket in one order
     for k in range(0, len(by_length), model.together):
         texts = by_length[k : k + model.together]
         size, first = stream.size[texts], stream.first[texts]
-        drift = np.zeros((len(orders), len(texts)), np.float32)
+        drift = np.zeros((len(texts), len(w) + 1, 1), np.float32)
+        drift[:, -1] = 1
         nats = np.zeros(len(texts))
         block = edges(int(size[0]), model)
         for low, high in zip(block[:-1], block[1:]):
             m = int(np.searchsorted(-size, -low))  # those that go on: longest first
             more = int(np.searchsorted(-size, -high))
-            n = np.minimum(high, size[:m]) - low
-            ends = np.cumsum(n)
-            byte = np.repeat(first[:m] + low - (ends - n), n) + np.arange(ends[-1])
-            entry = [e.take(byte) for e in stream.entry]
-            at, many = beyond(stream, odds, byte, entry)
-            many = np.add.reduceat(many, ends - n, dtype=np.int64)
-            entry[-1] = e = entry[-1].astype(np.intp)
-            rows = [x.take(y, 0).ravel() for x, y in zip(row, entry)], [x.take(e, 0).ravel() for x in row_w[:-1]], n * ROW
-            rest = [x.take(a) for x, a in zip([*[odds.rest] * (len(orders) - 1), own_rest], at)], [x.take(at[-1]) for x in rest_w[:-1]], many
-            slope = np.zeros((len(orders), more), np.float32)
-            for x, gated, count in (rows, rest):
-                stops, z = np.cumsum(count), x[-1].copy()
-                for i in orders[:-1]:
-                    z += gated[i] * x[i]
-                if low:
-                    for i in orders:
-                        z += np.repeat(drift[i, :m], count) * x[i]
-                chance = np.exp(np.minimum(np.negative(z, out=z), 60, out=z), out=z)
+            for a in range(0, m, max(1, AT_ONCE // (high - low))):
+                b = min(m, a + max(1, AT_ONCE // (high - low)))
+                n = np.minimum(high, size[a:b]) - low
+                fill = np.cumsum(n + 1) - 1  # behind each text's bytes
+                heads = fill - n
+                kind = kinds.take(np.repeat(first[a:b] + low - heads, n + 1) + np.arange(fill[-1] + 1), mode="clip")
+                at = runs.take(kind)
+                at, many = at >> 8, at & 255
+                many[fill] = 0
+                own = np.add.reduceat(many, heads)
+                most = int(own.max())
+                many[fill], at[fill] = most - own, total
+                at -= np.cumsum(many) - many
+                x = table.take(np.repeat(at, many) + np.arange(most * (b - a)), 0).reshape(b - a, most, -1)
+                z = np.matmul(x, drift[a:b])[:, :, 0]
+                chance = np.exp(np.minimum(z, 60, out=z), out=z)
                 whole = 1 + chance
-                nats[:m] += between(np.log(whole), stops)
-                if more:
-                    miss = chance[: stops[more - 1]] / whole[: stops[more - 1]]  # what the chance of the choice lacks
-                    for i in orders:
-                        slope[i] += between(miss * x[i][: len(miss)], stops[:more])
-            drift[:, :more] += np.float32(model.rate / np.sqrt(high)) * slope
+                on = max(a, min(b, more))
+                if on > a:
+                    miss = chance[: on - a] / whole[: on - a]  # what the chance of the choice lacks
+                    drift[a:on, :-1] -= np.float32(model.rate / np.sqrt(high)) * np.matmul(miss[:, None], x[: on - a])[:, 0, :-1, None]
+                nats[a:b] += np.log(whole, out=whole).sum(1, dtype=float)
         out[texts] = nats / log(2)
     return out
 
 
-def between(x: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Sums of the runs of x that end there; a run may be empty."""
-    heads = np.append(0, ends[:-1])
-    some = heads < ends
-    out = np.zeros(len(ends), x.dtype)
-    out[some] = np.add.reduceat(x, heads[some]) if some.any() else 0
-    return out
-
-
 def _lower(column: pa.Array | pa.ChunkedArray) -> list[bytes]:
     return [t.lower() for t in column.cast(pa.binary()).to_pylist()]
 
@@ -466,14 +519,14 @@ def score(docs: DataFrame, train, model: Model = Model(), id_col: str = "doc_id"
         trained = np.repeat(use, stream.size)
         keys, n, place = stream.together(trained)
         out += tree.send(bucket, 1, [keys], [n])
-        cell = cells(stream, Odds(stream, place, contexts.lengths([keys]), contexts.top([keys], [n])[0], model, 1), trained)
+        cell = cells(stream, Odds(stream, place, contexts.lengths([keys]), contexts.top([keys], [n])[0], model, 1))
         some = np.flatnonzero(cell)
         out.append(tree.keep(tree.number(bucket) % groups, [X.pack_sorted(some.astype(U)), X.pack(cell[some])], 1))
         return X.table(out, X.UP)
 
     def add(t: pa.Table) -> pa.Table:
         """The cells of some buckets."""
-        out = np.zeros((GATES + 1) * LEVELS ** len(model.orders), np.int64)
+        out = np.zeros(GATES * LEVELS ** len(model.orders), np.int64)
         for at, n in X.kept(t, 1):
             out[X.unpack_sorted(at).astype(np.int64)] += X.unpack(n, np.int64)
         some = np.flatnonzero(out)

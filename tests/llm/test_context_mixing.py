@@ -184,3 +184,46 @@ def test_messages_follow_the_buckets():
     tree = {n: exchange.Tree(n, [cm.Tokens()]) for n in (40, 2_500, 10_000_000)}
     assert [sum(1 << w for w in t.widths) for t in tree.values()] == [64, 128, 768]
     assert len(tree[2_500].send(1, 0, [keys], [np.ones(5_000, np.int64)])) == 64
+
+
+def test_work_follows_the_kinds_of_bytes_not_the_bytes(monkeypatch):
+    """Bytes that agree in all orders are worked out once; every byte finds its own keys again, across pieces of texts and of words."""
+    monkeypatch.setattr(cm, "PIECES_AT_ONCE", 7)
+    model = cm.Model()
+    texts = [*corpus(), b"", b"\0\0ab \0ab", b"ab ab", b"x" * 31 + b" " + b"y" * 32 + b" " + b"x" * 65 + b"\n", b"yx " * 9]
+    code = cm.prefix_code(np.bincount(np.frombuffer(b"".join(texts), np.uint8), minlength=256))
+    for orders in ((2, 4, 0), (7, 0), (3, 1)):
+        own = replace(model, orders=orders)
+        s, again = cm.Stream(texts, code, own, 56), cm.Stream(texts * 20, code, own, 56)
+        assert len(again.many) == len(s.many) and [len(k) for k in again.keys] == [len(k) for k in s.keys]
+        context = Brute([], None, own).context
+        place = {}
+        for o in range(len(orders)):
+            assert len(set(s.keys[o].tolist())) == len(s.keys[o])
+            key = s.keys[o][s.entry[o][s.kinds()]].tolist()
+            at = iter(key)
+            for t in texts:
+                for p in range(len(t) + 1):
+                    # bytes 0 stand for what is in front of a text
+                    c = context(t, p, o)
+                    c = (*c[:-1], c[-1].rjust(orders[o], b"\0")) if orders[o] else c
+                    assert place.setdefault((c, (t + b"\xff")[p]), k := next(at)) == k
+            assert len({k for (c, _), k in place.items() if c[0] == o}) == sum(c[0] == o for c, _ in place)
+        use = np.repeat(np.arange(len(texts)) % 3 > 0, s.size)
+        keys, n, _ = s.together(use)
+        told = Counter(k for o in range(len(orders)) for k in s.keys[o][s.entry[o][s.kinds()[use]]].tolist())
+        assert Counter(dict(zip(keys.tolist(), n.tolist()))) - Counter() == told
+
+
+def test_distinct_keys_come_in_their_order():
+    rng = np.random.default_rng(11)
+    for key in (rng.integers(0, 50, 1_000), rng.integers(0, 2**62, 1_000), np.zeros(0), np.array([5, 5])):
+        own, which = cm.find(key.astype(np.uint64))
+        assert own.tolist() == [*dict.fromkeys(key.astype(np.uint64).tolist())] and (own[which] == key.astype(np.uint64)).all()
+
+
+def test_distinct_keys_whose_hashes_differ_in_the_lowest_bits_alone(monkeypatch):
+    monkeypatch.setattr(cm, "mix", lambda x, salt=0: x)
+    key = np.array([3, 1, 3, 2, 1, 900], np.uint64)
+    own, which = cm.find(key)
+    assert own.tolist() == [3, 1, 2, 900] and (own[which] == key).all()
