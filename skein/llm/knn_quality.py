@@ -3,7 +3,8 @@
 A text becomes shares of hashed words, of word shapes and of repetition; a singular value decomposition of a bounded sample of labelled
 rows (`sample`, the smallest hashes of ids) gives the latent space. The sample's vectors are broadcast: sample * dims floats, whatever the
 corpus. Every document is multiplied with all of them in blocks, exactly, and its nearest neighbours vote with weights that grow with the
-cosine. One pass over the documents, no shuffle of texts.
+cosine. Factors are rounded to multiples of 1 / FINE, so that the doubles that add up their products lose no bit and a score does not follow
+the block in which its row stands. One pass over the documents, no shuffle of texts.
 
 Defined results: null and empty texts have a zero vector and get the mean label; null ids are not held out and are never learned from;
 repeated rows get equal scores; of several texts with one id the smallest is learned from, and of several labels their mean; neighbours whose
@@ -26,6 +27,7 @@ from skein.llm.substring import SPACE, mix, word_hashes
 WORDS, SHAPES = 512, 512
 REPEATS = 3
 BLOCK = 512
+FINE = 2**24
 U = np.uint64
 
 
@@ -92,8 +94,12 @@ def _pieces(texts: list[bytes], most: int = 1_000_000) -> Iterator[slice]:
             start, held = i + 1, 0
 
 
+def _fine(x: np.ndarray) -> np.ndarray:
+    return np.rint(x.astype(np.float64) * FINE) / FINE
+
+
 def _unit(z: np.ndarray) -> np.ndarray:
-    return z / np.maximum(np.linalg.norm(z, axis=1, keepdims=True), 1e-12)
+    return _fine(z / np.maximum(np.linalg.norm(z, axis=1, keepdims=True), 1e-12))
 
 
 def nearest(cosine: np.ndarray, k: int) -> np.ndarray:
@@ -127,8 +133,8 @@ def score(docs: DataFrame, labels: DataFrame, learn_from: Column, voting: Voting
     y = learned["y"].to_numpy(np.float32)
     prior = float(y.mean()) if len(y) else 0.5
     _, basis = np.linalg.eigh(x.T.astype(np.float64) @ x.astype(np.float64))
-    basis = np.ascontiguousarray(basis[:, ::-1][:, : voting.dims]).astype(np.float32)
-    model = spark.sparkContext.broadcast((basis, _unit(x @ basis), y))
+    basis = _fine(np.ascontiguousarray(basis[:, ::-1][:, : voting.dims]))
+    model = spark.sparkContext.broadcast((basis, _unit(_fine(x) @ basis), y))
     k, sharp = min(voting.neighbours, len(y)), voting.sharpness
 
     def vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -138,11 +144,11 @@ def score(docs: DataFrame, labels: DataFrame, learn_from: Column, voting: Voting
             for s in _pieces(texts):
                 out = np.full(len(texts[s]), prior)
                 if k:
-                    z = features(texts[s], scales) @ basis
+                    z = _fine(features(texts[s], scales)) @ basis
                     some = np.linalg.norm(z, axis=1) > 1e-9
                     cosine = _unit(z) @ known.T
                     near = np.sort(nearest(cosine, k), axis=1)
-                    weight = np.maximum(np.take_along_axis(cosine, near, 1), 0.0).astype(np.float64) ** sharp + 1e-12
+                    weight = np.maximum(np.take_along_axis(cosine, near, 1), 0.0) ** sharp + 1e-12
                     out[some] = ((weight * y[near]).sum(1) / weight.sum(1))[some]
                 yield pa.RecordBatch.from_arrays([b.column(0)[s], pa.array(np.clip(out, 0.0, 1.0))], names=["doc_id", "score"])
 

@@ -50,3 +50,17 @@ def test_votes_are_exact_and_edges_defined(docs, none, spark):
     assert knn_quality.score(docs, labels, every).count() == docs.count()
     assert knn_quality.score(none, labels, every).count() == 0
     assert {r.score for r in knn_quality.score(docs, labels.where("false"), every).collect()} == {0.5}
+
+
+def test_scores_do_not_follow_blocks(docs):
+    rows = docs.where("doc_id is not null").dropDuplicates(["doc_id"]).select("doc_id", "text")
+    labels = rows.select("doc_id", (F.col("doc_id") % 3 == 0).cast("int").alias("quality"))
+    scores = [dict(map(tuple, knn_quality.score(rows.repartition(n), labels, lambda key: F.lit(True)).collect())) for n in (1, 3, 40)]
+    assert len(scores[0]) == rows.count() and scores[1] == scores[0] and scores[2] == scores[0]
+
+
+def test_products_lose_no_bit():
+    rng = np.random.default_rng(2)
+    x, basis = knn_quality._fine(rng.random((9, 1027)) / 20), knn_quality._fine(np.linalg.qr(rng.normal(size=(1027, 48)))[0])
+    exact = [[sum(int(a * knn_quality.FINE) * int(b * knn_quality.FINE) for a, b in zip(u, v)) for v in basis.T] for u in x]
+    assert (x @ basis * float(knn_quality.FINE) ** 2 == np.array(exact, float)).all()
