@@ -7,7 +7,7 @@ from skein.functions import bounds
 from skein.functions.metrics import distances
 from skein.operators.knn import Nearest
 
-KINDS = ["euclidean", "sqeuclidean", "canberra", "jensenshannon", "symmetrickl", "spearmanr"]
+KINDS = ["euclidean", "sqeuclidean", "manhattan", "canberra", "jensenshannon", "symmetrickl", "spearmanr"]
 
 
 def odd_rows(n=900, dim=24):
