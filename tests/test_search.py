@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from skein.operators import descent, forest, navigable, search
 from skein.operators import knn as K
 from skein.operators.knn import knn, overlap
+from skein.plans import queries as Q
 
 
 def table(spark, n, dim, seed=0, shift=0.0):
@@ -120,3 +121,15 @@ def test_choice_and_settings(spark):
         assert (a.j == b.j).all() and np.allclose(a.d, b.d)
         with pytest.raises(ValueError):
             search.neighbours(x, 11, method=method)
+
+
+@pytest.mark.parametrize("name, method, asked", [("ann_knn", "nndescent", False), ("annoy_knn", "annoy", False), ("annoy_query", "annoy", True)])
+def test_registered_searches_are_whole(spark, sf, monkeypatch, name, method, asked):
+    """Their SQL is exact, also where the search itself misses neighbours."""
+    poor = {"nndescent": {"rounds": 1, "trees": 1, "leaf_size": 20, "max_candidates": 2}, "annoy": {"n_trees": 2, "search_k": 60}}[method]
+    real = search.neighbours
+    monkeypatch.setattr(search, "neighbours", lambda df, k, method, query=None, **args: real(df, k, method=method, query=query, **poor))
+    x = Q.vectors(spark, sf)
+    want = Q.same(knn(x, Q.N, query=x.where("id % 100 = 0") if asked else None)).orderBy("i", "rank").collect()
+    assert overlap(knn(x, Q.N), real(x, Q.N, method=method, **poor), Q.N).first()[0] < 0.95
+    assert Q.QUERIES[name](spark, sf).orderBy("i", "rank").collect() == want
