@@ -133,3 +133,16 @@ def test_registered_searches_are_whole(spark, sf, monkeypatch, name, method, ask
     want = Q.same(knn(x, Q.N, query=x.where("id % 100 = 0") if asked else None)).orderBy("i", "rank").collect()
     assert overlap(knn(x, Q.N), real(x, Q.N, method=method, **poor), Q.N).first()[0] < 0.95
     assert Q.QUERIES[name](spark, sf).orderBy("i", "rank").collect() == want
+
+
+@pytest.mark.parametrize("metric", ["euclidean", "cosine"])
+def test_small_forests_are_searched_without_shuffles(cloud, asked, monkeypatch, metric):
+    """A row's vector does not travel to each leaf it visits; what is found is the same."""
+    f = forest.grow(cloud, metric, trees=4, leaf=20)
+    here = forest.search(f, asked, 10, 300)
+    assert "CoGroups" not in here._jdf.queryExecution().toString()
+    monkeypatch.setattr(forest, "BROADCAST_CELLS", 0)
+    apart = forest.search(f, asked, 10, 300)
+    assert "CoGroups" in apart._jdf.queryExecution().toString()
+    a, b = (K.ranked(t, 10, False).orderBy("i", "rank").toPandas() for t in (here, apart))
+    assert len(a) == 1000 and a[["i", "rank", "j"]].equals(b[["i", "rank", "j"]]) and np.allclose(a.d, b.d, atol=1e-12)
