@@ -243,7 +243,39 @@ def classical_scaling(pairs: DataFrame, n: int, dim: int, tol: float = 1e-6, see
         made = blocks.join(x.withColumnRenamed("p", "q"), "q").select("p", "q", "m", "x").mapInArrow(product, "p long, q long, y binary")
         return made.groupBy("p").applyInArrow(added, "p long, y binary")
 
-    found = leading(times, n, dim, True, tol=tol, seed=seed, spark=pairs.sparkSession)
+    return _scaled(leading(times, n, dim, True, tol=tol, seed=seed, spark=pairs.sparkSession), dim)
+
+
+def scaled_rows(rows: DataFrame, n: int, dim: int, tol: float = 1e-6, seed: int = 42) -> DataFrame:
+    """(id, y): classical_scaling of the Euclidean distances of rows (id from 0 to n - 1, x array), of which no table is made.
+
+    Their squares are |a|^2 + |b|^2 - 2 ab, so a product with all of them is two products with the rows: time, memory and disk follow n.
+    """
+    if dim >= n:
+        raise ValueError(f"{n} rows have fewer than {dim} dimensions")
+    blocks = cut(packed_rows(rows.select(F.col("id").alias("at"), F.col("x").cast("array<double>").alias("v")), n).withColumnRenamed("y", "m"))
+    wide = rows.select(F.size("x")).first()[0]
+    mean = _sums(blocks, lambda m: m.sum(0), m=wide) / n
+
+    def times(x: DataFrame, width: int) -> DataFrame:
+        both = blocks.join(x, "p")
+
+        def totals(m: np.ndarray, v: np.ndarray) -> np.ndarray:
+            m = m - mean
+            return np.concatenate([np.stack([v.sum(0), ((m * m).sum(1)[:, None] * v).sum(0)]), m.T @ v]).ravel()
+
+        one, square, *inner = _sums(both, totals, m=wide, x=width).reshape(-1, width)
+
+        def product(m: np.ndarray, v: np.ndarray) -> np.ndarray:
+            m = m - mean
+            return m @ np.stack(inner) - ((m * m).sum(1)[:, None] * one + square) / 2
+
+        return _each(both, "y", product, m=wide, x=width)
+
+    return _scaled(leading(times, n, dim, True, tol=tol, seed=seed, spark=rows.sparkSession), dim)
+
+
+def _scaled(found: Leading, dim: int) -> DataFrame:
     scale = np.sqrt(np.maximum(found.values, 0))
     y = cut(each_row(_each(found.blocks, "v", lambda v: v * scale, v=dim), "v", dim))
     sign = _signs(y, "at", "v", dim)

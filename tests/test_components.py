@@ -112,3 +112,20 @@ def test_mid_near_start(spark, ring):
         I.initial("mid", g, None, 90, 2)
     with pytest.raises(ValueError, match="graph_weight"):
         I.mid_near_graph(g, rows, 90, 2.0)
+
+
+def test_scaled_rows_are_classical_scaling(spark, monkeypatch):
+    """Without a table of all distances."""
+    from skein.plans import queries as Q
+
+    monkeypatch.setattr(C, "SIDE", 64)
+    x = np.random.default_rng(3).normal(size=(150, 5)) * [5, 3, 1, 0.5, 0.2] + 40
+    rows = spark.createDataFrame(pd.DataFrame({"id": np.arange(150), "x": x.tolist()}), "id long, x array<double>").repartition(3)
+    i, j = np.nonzero(np.triu(np.ones((150, 150)), 1))
+    pairs = spark.createDataFrame(pd.DataFrame({"i": i, "j": j, "d": np.sqrt(((x[i] - x[j]) ** 2).sum(1))}))
+    a, b = (np.stack(y.orderBy("id").toPandas().y) for y in (C.scaled_rows(rows, 150, 2), C.classical_scaling(pairs, 150, 2)))
+    assert np.allclose(a, b, atol=1e-6 * np.abs(b).max())
+    with pytest.raises(ValueError):
+        C.scaled_rows(rows, 150, 150)
+    monkeypatch.setattr(Q, "pairs", None)
+    assert Q.classical_mds(spark, "/root/testdata/sf0.001").count() == 500
