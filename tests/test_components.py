@@ -129,3 +129,24 @@ def test_scaled_rows_are_classical_scaling(spark, monkeypatch):
         C.scaled_rows(rows, 150, 150)
     monkeypatch.setattr(Q, "pairs", None)
     assert Q.classical_mds(spark, "/root/testdata/sf0.001").count() == 500
+
+
+def test_spectral_rounds_return_each_vertex_once(spark, monkeypatch):
+    """Partitions hold the edges of vertices of their own, so that a round sends n rows to the driver, however many partitions there are."""
+    from pyspark.sql.classic.dataframe import DataFrame
+
+    rng = np.random.default_rng(8)
+    i, j = np.repeat(np.arange(20_000), 6), rng.integers(0, 20_000, 120_000)
+    e = pd.DataFrame({"i": np.concatenate([i, j]), "j": np.concatenate([j, i]), "w": 1.0}).query("i != j").drop_duplicates(["i", "j"])
+    g, sent = spark.createDataFrame(e).repartition(5), []
+    collect = DataFrame.collect
+
+    def counted(self):
+        out = collect(self)
+        if "s" in self.columns:
+            sent.append(sum(len(r["s"]) for r in out))
+        return out
+
+    monkeypatch.setattr(DataFrame, "collect", counted)
+    y = I.eigen_coords(g, 20_000, 2, rounds=3)
+    assert len(sent) == 3 and set(sent) == {20_000 * 7 * 8} and y.count() == 20_000
