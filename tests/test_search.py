@@ -146,3 +146,21 @@ def test_small_forests_are_searched_without_shuffles(cloud, asked, monkeypatch,
     assert "CoGroups" in apart._jdf.queryExecution().toString()
     a, b = (K.ranked(t, 10, False).orderBy("i", "rank").toPandas() for t in (here, apart))
     assert len(a) == 1000 and a[["i", "rank", "j"]].equals(b[["i", "rank", "j"]]) and np.allclose(a.d, b.d, atol=1e-12)
+
+
+def test_bounded_metrics_are_searched_exactly_for_longer():
+    assert [search.chosen(n, "auto", m, {})[0] for n, m in ((150_000, "euclidean"), (90_000, "manhattan"), (250_000, "euclidean"), (150_000, "canberra"))] == ["fnn", "fnn", "nndescent", "nndescent"]
+
+
+def test_rows_are_packed_once(spark):
+    """Not once for each block they meet."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    x = table(spark, 9000, 4).select("id", "x").mapInArrow(counted, "id long, x array<double>")
+    assert knn(x, 5).count() == 45_000
+    assert seen.value <= 2 * 9000  # counted, and packed
